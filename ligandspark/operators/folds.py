@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ligandspark.plans.scan import prefix_scan
-from ligandspark.plans.sizing import broadcast_if_small
+from ligandspark.plans.sizing import small_side
 
 
 def seeded_order_key(row_id: Column, seed: int) -> Column:
@@ -62,7 +62,7 @@ def stratified_folds(
         keyed = df.withColumn("_ord", seeded_order_key(F.col(row_id), seed))
     else:
         keyed = df.withColumn("_ord", F.col(row_id).cast("long"))
-    quotas = broadcast_if_small(_quota_table(keyed, label, row_id, n_folds))
+    quotas = small_side(_quota_table(keyed, label, row_id, n_folds))
     ranked = prefix_scan(keyed, [label], "_ord", tiebreak=[row_id], row_number="_rn")
     r = F.col("_rn") - 1
     return (

@@ -44,7 +44,143 @@ REPORT9 = ["auc", "accuracy", "se", "sp", "f1", "pre", "rec", "err", "mcc"]
 @register
 def centroid_cv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = T.embeddings(spark, sf_dir).select("vec_id", "features", "y")
-    folded = stratified_folds(emb, "y", "vec_id", n_folds=3, shuffle=False)
-    scored = fold_centroid_scores(folded, "fold", "y", "features")
+    folded = stratified_folds(emb, "y", "vec_id", n_folds=3, shuffle=False).persist()
+    scored = fold_centroid_scores(folded, "fold", "y", "features").persist()
     rep = M.report7(scored, ["fold"], "p", "y")
     return rounded(rep, ["fold"])
+
+
+# ---------------------------------------------------------------------------
+# sequences (F1-F9, P9, P10) and embedding jobs
+# ---------------------------------------------------------------------------
+
+from ligandspark.functions import sequences as S  # noqa: E402
+from ligandspark.operators import embed as EM  # noqa: E402
+from ligandspark.plans.sizing import spread  # noqa: E402
+from ligandspark.session import read_table  # noqa: E402
+
+
+def _docs(spark, sf_dir):
+    # text work is CPU-bound: make sure every core gets a share
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register
+def smiles_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir).withColumn("tok", S.smiles_tokens(F.col("text")))
+    return d.select(
+        "doc_id",
+        F.size("tok").cast("long").alias("n_tokens"),
+        S.dropped_chars(F.col("text"), F.col("tok")).cast("long").alias("dropped_chars"),
+        F.md5(F.array_join("tok", " ")).alias("tokens_md5"),
+    )
+
+
+@register
+def smiles_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir).withColumn("tok", S.smiles_tokens(F.col("text")))
+    d = d.withColumn("cut", S.cut_smiles(F.col("text"))).withColumn("ctok", S.smiles_tokens(F.col("cut")))
+    return d.select(
+        "doc_id",
+        F.size("tok").cast("long").alias("n_tokens"),
+        S.fits(F.col("tok")).alias("fits"),
+        F.length("cut").cast("long").alias("cut_len"),
+        F.size("ctok").cast("long").alias("cut_n_tokens"),
+        F.md5("cut").alias("cut_md5"),
+    )
+
+
+def _encoded(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    d = d.withColumn("tok", S.smiles_tokens(F.col("text")))
+    d = d.withColumn("ctok", S.smiles_tokens(S.cut_smiles(F.col("text"))))
+    # seq is referenced several times below, so the optimizer keeps it as one
+    # projection instead of inlining (and recomputing) it
+    d = d.withColumn("seq", S.canonical_tokens(S.padded_tokens(F.col("ctok"))))
+    return d.select(
+        "doc_id", "tok", "ctok", "seq",
+        S.ids_of(F.col("seq")).alias("ids"),
+        S.mask_of(F.col("seq")).alias("mask"),
+    )
+
+
+@register
+def smiles_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _encoded(spark, sf_dir)
+    return e.select(
+        "doc_id",
+        S.token_ids(F.col("tok")).isNotNull().alias("valid_raw"),
+        F.col("ids").isNotNull().alias("valid"),
+        F.aggregate("mask", F.lit(0), lambda a, m: a + m).cast("long").alias("n_atoms"),
+        F.size(F.filter("seq", lambda t: t == S.OTHER_ATOM)).cast("long").alias("n_other_atom"),
+        F.size(F.filter("seq", lambda t: t == S.OTHER_TOKEN)).cast("long").alias("n_other_token"),
+        F.md5(F.array_join("ids", ",")).alias("ids_md5"),
+    )
+
+
+@register
+def atom_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _encoded(spark, sf_dir)
+    return e.select("doc_id", "ids", F.explode(S.mask_positions(F.col("mask"))).alias("atom_pos")).select(
+        "doc_id",
+        F.col("atom_pos").cast("int").alias("atom_pos"),
+        F.element_at("ids", F.col("atom_pos") + 1).cast("int").alias("token_id"),
+    )
+
+
+@register
+def protein_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir).withColumn("prep", S.protein_prepare(F.col("text")))
+    return d.select(
+        "doc_id",
+        F.substring_index("prep", " ", 1).alias("prefix"),
+        F.length("prep").cast("long").alias("prepared_len"),
+        F.md5("prep").alias("prepared_md5"),
+    )
+
+
+BATCH_SIZE = 8
+
+
+@register
+def batch_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir)
+    # residues + direction prefix token + end token
+    d = d.select("doc_id", (F.length("text") + 2).cast("long").alias("seq_len"),
+                 (F.col("doc_id") / BATCH_SIZE).cast("long").alias("batch_id"))
+    padded, n_pad = S.batch_padding(F.col("seq_len"), F.col("batch_id"))
+    return d.select("doc_id", "batch_id", "seq_len", padded.alias("padded_len"), n_pad.alias("n_pad"))
+
+
+EMBED_DIM = 64
+
+
+def _cut_tokens(spark, sf_dir):
+    return _docs(spark, sf_dir).select(
+        "doc_id", S.smiles_tokens(S.cut_smiles(F.col("text"))).alias("ctok"))
+
+
+@register
+def embed_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = EM.hashed_ngram_counts(_cut_tokens(spark, sf_dir), "doc_id", "ctok", EMBED_DIM)
+    return c.select("doc_id", F.col("dim").cast("int").alias("dim"), F.col("cnt").cast("long").alias("cnt"))
+
+
+@register
+def embed_quarantine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ct = _cut_tokens(spark, sf_dir)
+    vec = EM.hashed_ngram_vectors(ct, "doc_id", "ctok", EMBED_DIM)
+    # every input row is kept: no vector -> quarantined
+    v = ct.select("doc_id").join(vec, "doc_id", "left")
+    split = F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train")
+    return v.groupBy(split.alias("split")).agg(
+        F.count_if(F.col("features").isNotNull()).alias("n_ok"),
+        F.count_if(F.col("features").isNull()).alias("n_failed"))
+
+
+@register
+def embed_callable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir).select("doc_id", S.protein_spaced(F.col("text")).alias("seq"))
+    out = EM.embed_with_callable(d, "doc_id", "seq", EM.residue_trigram_encoder(EMBED_DIM), EMBED_DIM)
+    return out.select("doc_id", F.col("error").isNull().alias("ok"),
+                      F.size("features").cast("long").alias("dim"), "error")

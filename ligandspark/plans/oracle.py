@@ -111,3 +111,109 @@ sc AS (SELECT z.vec_id, z.y, z.fold,
 scored AS (SELECT vec_id, y, fold, 1.0 / (1.0 + exp(-logit)) AS p FROM sc),
 {report7_sql('scored', 'fold')}
 """
+
+
+# ---------------------------------------------------------------------------
+# sequences
+# ---------------------------------------------------------------------------
+
+# Fixed values, identical to ligandspark.functions.sequences.
+SMILES_RE = r"(\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|\/|:|~|@|\?|>|\*|\$|\%[0-9]{2}|[0-9])"
+VOCAB_SQL = ("['[PAD]', '[GLO]', 'c', 'C', '(', ')', 'O', '1', '2', '=', 'N', '3', 'n', '4', '[C@H]', 'F', "
+             "'[C@@H]', '-', 'S', '/', 'Cl', '[nH]', 's', 'o', '5', '#', '[C@]', '[C@@]', '\\', '[O-]', "
+             "'[N+]', 'Br', '6', 'P', '[n+]', '7', 'I', '[S+]', '8', '[N-]', '[Si]', 'B', '9', '[2H]', "
+             "'[Se]', '[other_atom]', '[other_token]']")
+ATOMS_SQL = ("['c', 'C', 'O', 'N', 'n', '[C@H]', 'F', '[C@@H]', 'S', 'Cl', '[nH]', 's', 'o', '[C@]', "
+             "'[C@@]', '[O-]', '[N+]', 'Br', 'P', '[n+]', 'I', '[S+]', '[N-]', '[Si]', 'B', '[Se]', "
+             "'[other_atom]']")
+
+
+def _tok(expr: str) -> str:
+    return f"regexp_extract_all({expr}, '{SMILES_RE}', 1)"
+
+
+CUT = f"""CASE WHEN len({_tok('text')}) > 200
+          THEN substring(text, CAST(floor((length(text) - 200) / 2) AS BIGINT) + 1, 200) ELSE text END"""
+
+ORACLE["smiles_tokens"] = f"""
+WITH t AS (SELECT doc_id, text, {_tok('text')} AS tok FROM documents)
+SELECT doc_id, CAST(len(tok) AS BIGINT) AS n_tokens,
+  CAST(length(text) - coalesce(list_sum(list_transform(tok, lambda x: length(x))), 0) AS BIGINT) AS dropped_chars,
+  md5(array_to_string(tok, ' ')) AS tokens_md5
+FROM t
+"""
+
+ORACLE["smiles_cut"] = f"""
+WITH t AS (SELECT doc_id, text, {_tok('text')} AS tok, {CUT} AS cut FROM documents)
+SELECT doc_id, CAST(len(tok) AS BIGINT) AS n_tokens, len(tok) <= 200 AS fits,
+  CAST(length(cut) AS BIGINT) AS cut_len, CAST(len({_tok('cut')}) AS BIGINT) AS cut_n_tokens,
+  md5(cut) AS cut_md5
+FROM t
+"""
+
+ENCODED = f"""
+t0 AS (SELECT doc_id, text, {_tok('text')} AS tok, {_tok(CUT)} AS ctok FROM documents),
+t1 AS (SELECT doc_id, tok, ctok,
+          list_concat(['[GLO]'], ctok, list_transform(range(greatest(200 - len(ctok), 0)), lambda x: '[PAD]')) AS pseq,
+          list_concat(['[GLO]'], tok, list_transform(range(greatest(200 - len(tok), 0)), lambda x: '[PAD]')) AS praw
+       FROM t0),
+t2 AS (SELECT doc_id, tok, praw,
+          list_transform(pseq, lambda x: CASE WHEN list_contains({VOCAB_SQL}, x) THEN x
+                                          WHEN contains(x, '[') THEN '[other_atom]'
+                                          ELSE '[other_token]' END) AS seq
+       FROM t1),
+enc AS (SELECT doc_id, tok, praw, seq,
+          CASE WHEN len(seq) = 201 THEN list_transform(seq, lambda x: CAST(list_position({VOCAB_SQL}, x) - 1 AS INTEGER)) END AS ids,
+          list_transform(seq, lambda x: CASE WHEN list_contains({ATOMS_SQL}, x) THEN 1 ELSE 0 END) AS mask
+        FROM t2)
+"""
+
+ORACLE["smiles_encode"] = f"""
+WITH {ENCODED}
+SELECT doc_id, len(praw) = 201 AS valid_raw, ids IS NOT NULL AS valid,
+  CAST(list_sum(mask) AS BIGINT) AS n_atoms,
+  CAST(len(list_filter(seq, lambda x: x = '[other_atom]')) AS BIGINT) AS n_other_atom,
+  CAST(len(list_filter(seq, lambda x: x = '[other_token]')) AS BIGINT) AS n_other_token,
+  md5(array_to_string(ids, ',')) AS ids_md5
+FROM enc
+"""
+
+ORACLE["atom_positions"] = f"""
+WITH {ENCODED},
+x AS (SELECT doc_id, ids, unnest(mask) AS m, generate_subscripts(mask, 1) AS i FROM enc)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS atom_pos, CAST(ids[i] AS INTEGER) AS token_id FROM x WHERE m = 1
+"""
+
+ORACLE["protein_prepare"] = """
+WITH s AS (SELECT doc_id, array_to_string(string_split(regexp_replace(text, '[UZOB]', 'X', 'g'), ''), ' ') AS sp
+           FROM documents),
+p AS (SELECT doc_id, CASE WHEN upper(sp) = sp AND lower(sp) <> sp THEN '<AA2fold>' ELSE '<fold2AA>' END
+                     || ' ' || sp AS prep FROM s)
+SELECT doc_id, split_part(prep, ' ', 1) AS prefix, CAST(length(prep) AS BIGINT) AS prepared_len,
+       md5(prep) AS prepared_md5 FROM p
+"""
+
+ORACLE["batch_padding"] = """
+WITH s AS (SELECT doc_id, CAST(length(text) + 2 AS BIGINT) AS seq_len, CAST(doc_id // 8 AS BIGINT) AS batch_id
+           FROM documents)
+SELECT doc_id, batch_id, seq_len, max(seq_len) OVER (PARTITION BY batch_id) AS padded_len,
+       max(seq_len) OVER (PARTITION BY batch_id) - seq_len AS n_pad FROM s
+"""
+
+_BUCKET = "CAST(('0x' || substr(md5(g), 1, 8))::BIGINT % 64 AS INTEGER)"
+CUT_TOK = f"""ct AS (SELECT doc_id, {_tok(CUT)} AS ctok FROM documents)"""
+
+ORACLE["embed_hashed"] = f"""
+WITH {CUT_TOK},
+grams AS (SELECT doc_id, unnest(list_concat(ctok,
+            list_transform(range(1, len(ctok)), lambda i: ctok[i] || ' ' || ctok[i + 1]))) AS g
+          FROM ct WHERE len(ctok) > 0)
+SELECT doc_id, {_BUCKET} AS dim, count(*) AS cnt FROM grams GROUP BY doc_id, {_BUCKET}
+"""
+
+ORACLE["embed_quarantine_counts"] = f"""
+WITH {CUT_TOK}
+SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split,
+  count(*) FILTER (WHERE len(ctok) > 0) AS n_ok, count(*) FILTER (WHERE len(ctok) = 0) AS n_failed
+FROM ct GROUP BY 1
+"""

@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ligandspark.plans.sizing import small_side
+
 DEFAULT_BUCKETS = 64
 
 
@@ -50,12 +52,12 @@ def assign_buckets(
     bounds = df.groupBy(*by).agg(
         F.percentile_approx(kcol, _fracs(n_buckets), accuracy).alias("_bounds")
     ) if by else df.agg(F.percentile_approx(kcol, _fracs(n_buckets), accuracy).alias("_bounds"))
-    bounds = bounds.withColumn("_bounds", F.array_distinct("_bounds"))
+    # one row per group: broadcast after a size check
+    bounds = small_side(bounds.withColumn("_bounds", F.array_distinct("_bounds")))
     if by:
         joined = df.join(bounds, by, "inner")
     else:
-        # one row of at most n_buckets doubles: bounded by the parameter
-        joined = df.join(F.broadcast(bounds), how="inner", on=F.lit(True))
+        joined = df.join(bounds, how="inner", on=F.lit(True))
     k = F.col(key).cast("double")
     if descending:
         b = F.size(F.filter("_bounds", lambda x: x > k))
@@ -104,7 +106,8 @@ def prefix_scan(
         *[F.max(f"_bx_{c}").over(wb).alias(f"_ox_{c}") for c in maxes],
         *[F.min(f"_bn_{c}").over(wb).alias(f"_on_{c}") for c in mins],
     )
-    df = df.join(off, gb, "inner")
+    # offsets: one row per (group, bucket); broadcast after a size check
+    df = df.join(small_side(off), gb, "inner")
 
     korder = F.col(key).desc() if descending else F.col(key).asc()
     order = [korder] + [F.col(t) if isinstance(t, str) else t for t in tiebreak]

@@ -20,6 +20,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if n <= max_rows else df
 
 
+def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Persist a table expected to be small, count it once, and broadcast it
+    when the count is within ``max_rows``; otherwise return it (persisted) so
+    the planner picks a shuffle join."""
+    df = df.persist()
+    n = df.count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
 def collect_small(df: DataFrame, max_rows: int = 1_000_000) -> list:
     """Collect a table that is small by construction (parameters, per-dimension
     statistics, class lists).  Raises instead of pulling unbounded data."""
@@ -27,3 +36,17 @@ def collect_small(df: DataFrame, max_rows: int = 1_000_000) -> list:
     if len(rows) > max_rows:
         raise ValueError(f"expected at most {max_rows} rows, got more; not collecting")
     return rows
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread CPU-heavy per-row work over the cluster.
+
+    A scan of a few large row groups yields fewer partitions than cores; then
+    a round-robin repartition is worth its shuffle.  A scan that already has
+    enough partitions (the normal case on a large cluster) is left alone, so
+    no shuffle is added at scale.  Uses only the plan's partition count; no
+    job runs."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
