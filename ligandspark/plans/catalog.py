@@ -184,3 +184,315 @@ def embed_callable(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = EM.embed_with_callable(d, "doc_id", "seq", EM.residue_trigram_encoder(EMBED_DIM), EMBED_DIM)
     return out.select("doc_id", F.col("error").isNull().alias("ok"),
                       F.size("features").cast("long").alias("dim"), "error")
+
+
+# ---------------------------------------------------------------------------
+# metrics over scored events
+# ---------------------------------------------------------------------------
+
+from ligandspark.operators import ensemble as EN  # noqa: E402
+from ligandspark.operators.folds import class_weight_by_fold, task_pos_weight  # noqa: E402
+from ligandspark.functions import vectors as V  # noqa: E402
+
+
+@register
+def binary_report7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = T.scored_events(spark, sf_dir)
+    return rounded(M.report7(ev, ["fold"], "p", "y"), ["fold"])
+
+
+@register
+def binary_report9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = T.scored_events(spark, sf_dir)
+    return rounded(M.report9(ev, ["fold"], "p", "y"), ["fold"])
+
+
+@register
+def auc_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = T.scored_events(spark, sf_dir)
+    return rounded(M.ranking_metrics(ev, ["user_id"], "p", "y").select("user_id", "roc_auc"), ["user_id"])
+
+
+@register
+def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = T.scored_events(spark, sf_dir)
+    return rounded(M.ranking_metrics(ev, ["fold"], "p", "y").select("fold", "average_precision"), ["fold"])
+
+
+@register
+def pr_trapezoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = T.scored_events(spark, sf_dir)
+    return rounded(M.ranking_metrics(ev, ["fold"], "p", "y").select("fold", "pr_auc_trapezoid"), ["fold"])
+
+
+@register
+def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = T.scored_events(spark, sf_dir)
+    return rounded(M.roc_points(ev, ["fold"], "p", "y"), ["fold"])
+
+
+@register
+def fold_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = T.scored_events(spark, sf_dir)
+    rep = M.report7(ev, ["fold"], "p", "y")
+    return rounded(rep.agg(*[F.avg(c).alias(c) for c in REPORT7]), [])
+
+
+@register
+def bce_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = T.scored_events(spark, sf_dir)
+    w = class_weight_by_fold(ev, "fold", "y").select("fold", "pos_weight")
+    j = ev.join(F.broadcast(w), "fold")  # one row per fold
+    loss = j.groupBy("fold").agg(F.first("pos_weight").alias("pos_weight"),
+                                 F.avg(M.weighted_bce(F.col("logit"), F.col("y"), F.col("pos_weight"))).alias("loss"))
+    return rounded(loss, ["fold"])
+
+
+# ---------------------------------------------------------------------------
+# masked multi-task (documents x labels): P6, A3, A8, A10, A16, A17, A24, A25
+# ---------------------------------------------------------------------------
+
+TASKS = ("quality", "toxic")
+
+
+def doc_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long (doc_id, task, y, mask, logit): a document without a labels row
+    has mask 0 and y NULL.  Scores: quality = ln(1 + n_chars) - 7.5, toxic =
+    20 * upper-case share - 1.5."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    lab = read_table(spark, sf_dir, "labels")
+    d = d.join(lab, "doc_id", "left")
+    upper_share = F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1))
+    q = d.select("doc_id", F.lit("quality").alias("task"), F.col("quality").alias("y"),
+                 F.col("quality").isNotNull().cast("double").alias("mask"),
+                 (F.log1p(F.col("n_chars").cast("double")) - 7.5).alias("logit"))
+    t = d.select("doc_id", F.lit("toxic").alias("task"), F.col("toxic").alias("y"),
+                 F.col("toxic").isNotNull().cast("double").alias("mask"),
+                 (F.lit(20.0) * upper_share - 1.5).alias("logit"))
+    return q.unionByName(t)
+
+
+@register
+def multitask_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lt = doc_tasks(spark, sf_dir)
+    auc = M.compute_metric(lt, "roc_auc").withColumnRenamed("value", "roc_auc")
+    prc = M.compute_metric(lt, "roc_prc").withColumnRenamed("value", "roc_prc")
+    n = M.masked(lt).groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(n.join(auc, "task").join(prc, "task"), ["task", "n"])
+
+
+@register
+def task_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lt = doc_tasks(spark, sf_dir)
+    auc = M.compute_metric(lt, "roc_auc")
+    return rounded(auc.agg(F.avg("value").alias("mean_roc_auc"), F.count(F.lit(1)).alias("n_tasks")), ["n_tasks"])
+
+
+@register
+def task_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(task_pos_weight(doc_tasks(spark, sf_dir)), ["task", "n_pos", "n_neg"])
+
+
+@register
+def masked_cell_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lt = doc_tasks(spark, sf_dir)
+    cell = M.weighted_bce(F.col("logit"), F.coalesce(F.col("y"), F.lit(0))) * (F.col("mask") != 0).cast("double")
+    return rounded(lt.agg(F.count(F.lit(1)).alias("n_cells"), F.avg(cell).alias("loss")), ["n_cells"])
+
+
+LOSS_BATCH = 32
+
+
+@register
+def batch_loss_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lt = doc_tasks(spark, sf_dir).withColumn("batch", (F.col("doc_id") / LOSS_BATCH).cast("long"))
+    cell = M.weighted_bce(F.col("logit"), F.coalesce(F.col("y"), F.lit(0))) * (F.col("mask") != 0).cast("double")
+    per = lt.groupBy("batch").agg(F.avg(cell).alias("loss"), F.countDistinct("doc_id").alias("rows"))
+    return rounded(per.agg(F.count(F.lit(1)).alias("n_batches"), F.sum("rows").alias("n_rows"),
+                           F.sum(F.col("loss") * F.col("rows")).alias("total_loss")), ["n_batches", "n_rows"])
+
+
+# ---------------------------------------------------------------------------
+# regression metrics (lineitem): A12-A15
+# ---------------------------------------------------------------------------
+
+@register
+def regression_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read_table(spark, sf_dir, "lineitem")
+    rows = li.select(F.col("l_returnflag").alias("task"), F.col("l_quantity").alias("y"),
+                     (F.col("l_extendedprice") / 1000.0).alias("pred"),
+                     (F.col("l_linestatus") == "F").cast("double").alias("mask"))
+    r = M.regression_metrics(M.masked(rows), ["task"], "y", "pred")
+    return rounded(r, ["task", "n"])
+
+
+# ---------------------------------------------------------------------------
+# embeddings: vectors, standardization, folds, ensembles, pooling
+# ---------------------------------------------------------------------------
+
+WIDTH = 64
+
+
+@register
+def vector_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.embeddings(spark, sf_dir).select("vec_id", "label", "features")
+    w = V.to_wide(e, "features", "f_", WIDTH)
+    return rounded(w, ["vec_id", "label"])
+
+
+@register
+def vector_from_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.embeddings(spark, sf_dir).select("vec_id", "features")
+    w = V.to_wide(e, "features", "f_", WIDTH)
+    back = w.select("vec_id", V.from_wide(V.numbered("f_", WIDTH)).alias("v"))
+    return rounded(back.select("vec_id", F.posexplode("v").alias("dim", "value")), ["vec_id", "dim"])
+
+
+def subset_positions(width: int = WIDTH, seed: int = 47) -> list[float]:
+    """A fixed selection vector (the form M3 returns) used by vector_subset."""
+    import numpy as np
+    return list(np.random.RandomState(seed).rand(width))
+
+
+@register
+def vector_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.embeddings(spark, sf_dir).select("vec_id", "features")
+    idx = V.selected_indexes(subset_positions())
+    s = e.select("vec_id", V.subset(F.col("features"), subset_positions()).alias("v"))
+    m = F.create_map(*[c for k, i in enumerate(idx) for c in (F.lit(k), F.lit(i))])
+    out = s.select("vec_id", F.posexplode("v").alias("k", "value"))
+    return rounded(out.select("vec_id", (F.col("k") + 1).alias("new_dim"),
+                              F.element_at(m, F.col("k")).alias("src_dim"), "value"),
+                   ["vec_id", "new_dim", "src_dim"])
+
+
+@register
+def standardize_train_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ligandspark.operators.assemble import standardize_train_fit as fit
+    e = T.embeddings(spark, sf_dir).select("vec_id", "split", "features")
+    z = fit(e, "features", "split", "train")
+    return rounded(z.select("vec_id", "split", F.posexplode("features").alias("dim", "z")), ["vec_id", "split", "dim"])
+
+
+@register
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ligandspark.operators.folds import stratified_folds as folds
+    e = T.embeddings(spark, sf_dir).select("vec_id", "label")
+    return folds(e, "label", "vec_id", n_folds=3, shuffle=False)
+
+
+@register
+def stratified_folds_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ligandspark.operators.folds import stratified_folds as folds
+    e = T.embeddings(spark, sf_dir).select("vec_id", "label")
+    return folds(e, "label", "vec_id", n_folds=5, shuffle=True, seed=47)
+
+
+@register
+def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ligandspark.operators.folds import stratified_folds as folds
+    e = T.embeddings(spark, sf_dir).select("vec_id", "y")
+    f = folds(e, "y", "vec_id", n_folds=5, shuffle=True, seed=47)
+    return rounded(class_weight_by_fold(f, "fold", "y"), ["fold", "n_pos", "n_neg"])
+
+
+def _emb_logits(spark, sf_dir):
+    """A fixed linear scorer over the embeddings: logit = 4 * sum(features)."""
+    e = T.embeddings(spark, sf_dir)
+    return e.withColumn("logit", F.lit(4.0) * F.aggregate("features", F.lit(0.0), lambda s, x: s + x)) \
+            .withColumn("mask", F.lit(1.0))
+
+
+@register
+def tta_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _emb_logits(spark, sf_dir)
+    g = EN.tta_ensemble(e, "sample_id", "logit", "y", "mask")
+    return rounded(g, ["sample_id", "n_copies"])
+
+
+@register
+def variant_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _emb_logits(spark, sf_dir)
+    g = EN.variant_ensemble(e, "sample_id", "variant", "logit", "y")
+    return rounded(g, ["sample_id", "y", "n_variants"])
+
+
+@register
+def variant_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.embeddings(spark, sf_dir)
+    return rounded(EN.variant_consensus(e, "sample_id", "variant"), ["sample_id"])
+
+
+DIVERSITY_BATCH = 32
+
+
+@register
+def batch_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.embeddings(spark, sf_dir).withColumn("batch", (F.col("vec_id") / DIVERSITY_BATCH).cast("long"))
+    return rounded(EN.batch_diversity(e, "batch"), ["batch", "batch_rows"])
+
+
+@register
+def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sequence = sample (5 positions); mean over positions > 0."""
+    e = T.embeddings(spark, sf_dir).where(F.col("variant") > 0)
+    lng = e.select("sample_id", F.posexplode("features").alias("dim", "x"))
+    return rounded(lng.groupBy("sample_id", "dim").agg(F.avg("x").alias("value")), ["sample_id", "dim"])
+
+
+@register
+def first_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The position-0 vector of each sequence, and the count of its
+    'atom' positions (label < 5 marks an atom position)."""
+    e = T.embeddings(spark, sf_dir)
+    atoms = e.groupBy("sample_id").agg(F.count_if((F.col("y") == 1) & (F.col("variant") > 0)).alias("n_atoms"))
+    first = e.where(F.col("variant") == 0).select("sample_id", F.posexplode("features").alias("dim", "value"))
+    return rounded(first.join(atoms, "sample_id"), ["sample_id", "dim", "n_atoms"])
+
+
+POOL_BINS = 10
+
+
+@register
+def adaptive_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.embeddings(spark, sf_dir).select("vec_id", V.adaptive_avg_pool(F.col("features"), POOL_BINS).alias("b"))
+    return rounded(e.select("vec_id", F.posexplode("b").alias("bin", "value")), ["vec_id", "bin"])
+
+
+@register
+def eval_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: score all rows, sigmoid, 9-metric list (single task)."""
+    ev = T.scored_events(spark, sf_dir)
+    return rounded(M.report9(ev, [], "p", "y"), [])
+
+
+@register
+def eval_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: mean of logits, labels and masks over copies (A19), then the
+    9-metric list.  Copies of a test-table sample do not all share a label,
+    so the averaged label is binarized at 0.5 (copies of a real sample agree,
+    where this is the identity)."""
+    e = _emb_logits(spark, sf_dir)
+    g = EN.tta_ensemble(e, "sample_id", "logit", "y", "mask")
+    g = g.withColumn("y", (F.col("mean_y") >= 0.5).cast("int"))
+    return rounded(M.report9(g, [], "p", "y"), [])
+
+
+@register
+def eval_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10 + S8: per sample the mean of five variant logits (prediction),
+    the label and the mean canonical-variant cosine."""
+    e = _emb_logits(spark, sf_dir)
+    g = EN.variant_ensemble(e, "sample_id", "variant", "logit", "y")
+    c = EN.variant_consensus(T.embeddings(spark, sf_dir), "sample_id", "variant")
+    out = g.join(c, "sample_id").select(
+        F.col("sample_id").cast("string").alias("smiles"), F.col("p").alias("prediction"),
+        F.col("y").alias("label"), "cos_similarity")
+    return rounded(out, ["smiles", "label"])
+
+
+@register
+def eval_variants_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _emb_logits(spark, sf_dir)
+    g = EN.variant_ensemble(e, "sample_id", "variant", "logit", "y")
+    return rounded(M.report9(g, [], "p", "y"), [])

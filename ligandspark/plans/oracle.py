@@ -6,8 +6,10 @@ from __future__ import annotations
 ORACLE: dict[str, str] = {}
 
 
-def report7_sql(src: str, g: str, p: str = "p", y: str = "y") -> str:
+def report7_sql(src: str, g: str, p: str = "p", y: str = "y", digits: int | None = 6) -> str:
     """7-metric report per group ``g`` over relation ``src`` with prob ``p``."""
+    if digits is None:
+        return _report7_raw(src, g, p, y)
     return f"""
     cc AS (
       SELECT {g},
@@ -29,6 +31,55 @@ def report7_sql(src: str, g: str, p: str = "p", y: str = "y") -> str:
     """
 
 
+def _report7_raw(src: str, g: str, p: str, y: str) -> str:
+    return f"""
+    cc AS (
+      SELECT {g},
+        count(*) FILTER (WHERE {y} = 0 AND NOT ({p} > 0.5)) AS tn,
+        count(*) FILTER (WHERE {y} = 0 AND {p} > 0.5) AS fp,
+        count(*) FILTER (WHERE {y} = 1 AND NOT ({p} > 0.5)) AS fn,
+        count(*) FILTER (WHERE {y} = 1 AND {p} > 0.5) AS tp
+      FROM {src} GROUP BY {g}),
+    rk AS ({ranking_sql(src, g, p, y)}),
+    rep AS (SELECT cc.{g},
+      (tp + tn)::DOUBLE / (tn + fp + fn + tp) AS accuracy,
+      CASE WHEN tp + fp = 0 THEN 0 ELSE tp::DOUBLE / (tp + fp) END AS precision,
+      CASE WHEN tp + fn = 0 THEN 0 ELSE tp::DOUBLE / (tp + fn) END AS recall,
+      CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1,
+      CASE WHEN tn + fp = 0 THEN 1 ELSE tn::DOUBLE / (tn + fp) END AS specificity,
+      rk.roc_auc, rk.average_precision AS pr_auc
+    FROM cc LEFT JOIN rk ON cc.{g} = rk.{g})
+    """
+
+
+def report9_sql(src: str, g: str, p: str = "p", y: str = "y", emit_group: bool = True) -> str:
+    """9-metric report (decisions p >= 0.5) per group ``g``."""
+    sel = f"cc.{g}, " if emit_group else ""
+    return f"""
+    cc AS (
+      SELECT {g},
+        count(*) FILTER (WHERE {y} = 0 AND NOT ({p} >= 0.5)) AS tn,
+        count(*) FILTER (WHERE {y} = 0 AND {p} >= 0.5) AS fp,
+        count(*) FILTER (WHERE {y} = 1 AND NOT ({p} >= 0.5)) AS fn,
+        count(*) FILTER (WHERE {y} = 1 AND {p} >= 0.5) AS tp
+      FROM {src} GROUP BY {g}),
+    rk AS ({ranking_sql(src, g, p, y)})
+    SELECT {sel}
+      round(rk.roc_auc, 6) AS auc,
+      round((tp + tn)::DOUBLE / (tn + fp + fn + tp), 6) AS accuracy,
+      round(round(CASE WHEN tp + fn = 0 THEN NULL ELSE tp::DOUBLE / (tp + fn) END, 4), 6) AS se,
+      round(round(CASE WHEN tn + fp = 0 THEN NULL ELSE tn::DOUBLE / (tn + fp) END, 4), 6) AS sp,
+      round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1,
+      round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp::DOUBLE / (tp + fp) END, 6) AS pre,
+      round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp::DOUBLE / (tp + fn) END, 6) AS rec,
+      round(1 - (tp + tn)::DOUBLE / (tn + fp + fn + tp), 6) AS err,
+      round(CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0
+            ELSE (tp::DOUBLE * tn - fp::DOUBLE * fn)
+                 / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) END, 6) AS mcc
+    FROM cc LEFT JOIN rk ON cc.{g} = rk.{g}
+    """
+
+
 def ranking_sql(src: str, g: str, p: str = "p", y: str = "y") -> str:
     """SELECT g, roc_auc, average_precision, pr_auc_trapezoid.
 
@@ -217,3 +268,237 @@ SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split,
   count(*) FILTER (WHERE len(ctok) > 0) AS n_ok, count(*) FILTER (WHERE len(ctok) = 0) AS n_failed
 FROM ct GROUP BY 1
 """
+
+
+# ---------------------------------------------------------------------------
+# scored events
+# ---------------------------------------------------------------------------
+
+EV = """ev AS (SELECT event_id, user_id, ts, value, CAST(event_type = 'purchase' AS INTEGER) AS y,
+           (value - 100.0) / 25.0 AS logit, 1.0 / (1.0 + exp(-((value - 100.0) / 25.0))) AS p,
+           CAST(user_id % 5 AS INTEGER) AS fold, 1 AS g0 FROM events)"""
+
+ORACLE["binary_report7"] = f"WITH {EV}, {report7_sql('ev', 'fold')}"
+ORACLE["binary_report9"] = f"WITH {EV}, {report9_sql('ev', 'fold')}"
+ORACLE["eval_single"] = f"WITH {EV}, {report9_sql('ev', 'g0', emit_group=False)}"
+ORACLE["auc_by_group"] = f"WITH {EV}, rk AS ({ranking_sql('ev', 'user_id')}) SELECT user_id, round(roc_auc, 6) AS roc_auc FROM rk"
+ORACLE["average_precision"] = f"WITH {EV}, rk AS ({ranking_sql('ev', 'fold')}) SELECT fold, round(average_precision, 6) AS average_precision FROM rk"
+ORACLE["pr_trapezoid"] = f"WITH {EV}, rk AS ({ranking_sql('ev', 'fold')}) SELECT fold, round(pr_auc_trapezoid, 6) AS pr_auc_trapezoid FROM rk"
+ORACLE["roc_points"] = f"""
+WITH {EV},
+d AS (SELECT fold, p AS s, sum(y) AS pos, count(*) - sum(y) AS neg FROM ev GROUP BY fold, p),
+c AS (SELECT fold, s,
+        sum(pos) OVER (PARTITION BY fold ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+        sum(neg) OVER (PARTITION BY fold ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
+        sum(pos) OVER (PARTITION BY fold) AS P, sum(neg) OVER (PARTITION BY fold) AS N FROM d)
+SELECT fold, round(s, 6) AS threshold,
+  round(CASE WHEN N = 0 THEN NULL ELSE fp::DOUBLE / N END, 6) AS fpr,
+  round(CASE WHEN P = 0 THEN NULL ELSE tp::DOUBLE / P END, 6) AS tpr
+FROM c
+"""
+ORACLE["fold_mean"] = f"""
+WITH {EV}, {report7_sql('ev', 'fold', digits=None)}
+SELECT round(avg(accuracy), 6) AS accuracy, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
+       round(avg(f1), 6) AS f1, round(avg(specificity), 6) AS specificity, round(avg(roc_auc), 6) AS roc_auc,
+       round(avg(pr_auc), 6) AS pr_auc FROM rep
+"""
+
+SOFTPLUS = "(greatest({x}, 0) + ln(1 + exp(-abs({x}))))"
+
+
+def _bce(x: str, y: str, w: str = "1.0") -> str:
+    return (f"({w} * {y} * {SOFTPLUS.format(x='-(' + x + ')')} + "
+            f"(1 - {y}) * {SOFTPLUS.format(x=x)})")
+
+
+ORACLE["bce_weighted"] = f"""
+WITH {EV},
+cnt AS (SELECT fold, sum(y) AS np, count(*) - sum(y) AS nn FROM ev GROUP BY fold),
+w AS (SELECT fold, (sum(nn) OVER () - nn)::DOUBLE / (sum(np) OVER () - np) AS pos_weight FROM cnt)
+SELECT ev.fold, round(max(w.pos_weight), 6) AS pos_weight,
+       round(avg({_bce('ev.logit', 'ev.y', 'w.pos_weight')}), 6) AS loss
+FROM ev JOIN w ON ev.fold = w.fold GROUP BY ev.fold
+"""
+
+# ---------------------------------------------------------------------------
+# documents x labels, two tasks
+# ---------------------------------------------------------------------------
+
+DT = """dt AS (
+  SELECT d.doc_id, 'quality' AS task, l.quality AS y,
+         CASE WHEN l.quality IS NOT NULL THEN 1.0 ELSE 0.0 END AS mask,
+         ln(1 + d.n_chars::DOUBLE) - 7.5 AS logit
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+  UNION ALL
+  SELECT d.doc_id, 'toxic' AS task, l.toxic AS y,
+         CASE WHEN l.toxic IS NOT NULL THEN 1.0 ELSE 0.0 END AS mask,
+         20.0 * length(regexp_replace(d.text, '[^A-Z]', '', 'g'))::DOUBLE / greatest(length(d.text), 1) - 1.5 AS logit
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+ORACLE["multitask_masked"] = f"""
+WITH {DT},
+m AS (SELECT task, y, 1.0 / (1.0 + exp(-logit)) AS p FROM dt WHERE mask <> 0),
+rk AS ({ranking_sql('m', 'task')}),
+n AS (SELECT task, count(*) AS n FROM m GROUP BY task)
+SELECT rk.task, n.n, round(round(rk.roc_auc, 4), 6) AS roc_auc, round(rk.pr_auc_trapezoid, 6) AS roc_prc
+FROM rk JOIN n ON rk.task = n.task
+"""
+ORACLE["task_mean"] = f"""
+WITH {DT},
+m AS (SELECT task, y, 1.0 / (1.0 + exp(-logit)) AS p FROM dt WHERE mask <> 0),
+rk AS ({ranking_sql('m', 'task')})
+SELECT round(avg(round(roc_auc, 4)), 6) AS mean_roc_auc, count(*) AS n_tasks FROM rk
+"""
+ORACLE["task_class_weights"] = f"""
+WITH {DT}
+SELECT task, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg,
+       round(count(*) FILTER (WHERE y = 0) / (count(*) FILTER (WHERE y = 1) + 1e-8), 6) AS pos_weight
+FROM dt GROUP BY task
+"""
+ORACLE["masked_cell_loss"] = f"""
+WITH {DT}
+SELECT count(*) AS n_cells,
+       round(avg({_bce('logit', 'coalesce(y, 0)')} * CASE WHEN mask <> 0 THEN 1.0 ELSE 0.0 END), 6) AS loss
+FROM dt
+"""
+ORACLE["batch_loss_total"] = f"""
+WITH {DT},
+b AS (SELECT doc_id // 32 AS batch,
+             avg({_bce('logit', 'coalesce(y, 0)')} * CASE WHEN mask <> 0 THEN 1.0 ELSE 0.0 END) AS loss,
+             count(DISTINCT doc_id) AS nrows
+      FROM dt GROUP BY doc_id // 32)
+SELECT count(*) AS n_batches, sum(nrows) AS n_rows, round(sum(loss * nrows), 6) AS total_loss FROM b
+"""
+
+ORACLE["regression_masked"] = """
+WITH r AS (SELECT l_returnflag AS task, l_quantity AS y, l_extendedprice / 1000.0 AS pred
+           FROM lineitem WHERE l_linestatus = 'F'),
+m AS (SELECT task, avg(y) AS my FROM r GROUP BY task)
+SELECT r.task, count(*) AS n,
+  round(avg(abs(y - pred)), 6) AS l1_mean, round(sum(abs(y - pred)), 6) AS l1_sum,
+  round(avg((y - pred) * (y - pred)), 6) AS mse, round(sqrt(avg((y - pred) * (y - pred))), 6) AS rmse,
+  round(avg(abs(y - pred)), 6) AS mae,
+  round(round(1 - sum((y - pred) * (y - pred)) / sum((y - m.my) * (y - m.my)), 4), 6) AS r2
+FROM r JOIN m ON r.task = m.task GROUP BY r.task
+"""
+
+# ---------------------------------------------------------------------------
+# embeddings
+# ---------------------------------------------------------------------------
+
+ORACLE["vector_wide"] = ("SELECT vec_id, label, "
+                         + ", ".join(f"round(embedding[{i}]::DOUBLE, 6) AS f_{i}" for i in range(1, 65))
+                         + " FROM embeddings")
+ORACLE["vector_from_wide"] = f"""
+WITH {EMB}, {EMB_LONG}
+SELECT vec_id, dim, round(x, 6) AS value FROM emb_long
+"""
+
+
+def _subset_pairs() -> str:
+    import numpy as np
+    pos = np.random.RandomState(47).rand(64)
+    idx = [i for i, p in enumerate(pos) if p > 0.5]
+    return ", ".join(f"({k + 1}, {i})" for k, i in enumerate(idx))
+
+
+ORACLE["vector_subset"] = f"""
+WITH sel(new_dim, src_dim) AS (VALUES {_subset_pairs()})
+SELECT e.vec_id, CAST(sel.new_dim AS INTEGER) AS new_dim, CAST(sel.src_dim AS INTEGER) AS src_dim,
+       round(e.embedding[sel.src_dim + 1]::DOUBLE, 6) AS value
+FROM embeddings e, sel
+"""
+
+ORACLE["standardize_train_fit"] = f"""
+WITH {EMB}, {EMB_LONG},
+st AS (SELECT dim, avg(x) AS mu, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd
+       FROM emb_long WHERE split = 'train' GROUP BY dim)
+SELECT l.vec_id, l.split, l.dim, round((l.x - st.mu) / st.sd, 6) AS z FROM emb_long l JOIN st ON l.dim = st.dim
+"""
+
+ORACLE["stratified_folds"] = f"""
+WITH src AS (SELECT vec_id, label FROM embeddings), {unshuffled_folds_sql('src', 'label', 'vec_id', 3)}
+SELECT vec_id, label, fold FROM folded
+"""
+SEEDED = "('0x' || substr(md5('47-' || CAST(vec_id AS VARCHAR)), 1, 15))::BIGINT"
+ORACLE["stratified_folds_seeded"] = f"""
+WITH src AS (SELECT vec_id, label FROM embeddings), {unshuffled_folds_sql('src', 'label', 'vec_id', 5, SEEDED)}
+SELECT vec_id, label, fold FROM folded
+"""
+ORACLE["class_weights"] = f"""
+WITH {EMB}, src AS (SELECT vec_id, y FROM emb), {unshuffled_folds_sql('src', 'y', 'vec_id', 5, SEEDED)},
+cnt AS (SELECT fold, sum(y) AS np, count(*) - sum(y) AS nn FROM folded GROUP BY fold)
+SELECT fold, CAST(sum(np) OVER () - np AS BIGINT) AS n_pos, CAST(sum(nn) OVER () - nn AS BIGINT) AS n_neg,
+       round((sum(nn) OVER () - nn)::DOUBLE / (sum(np) OVER () - np), 6) AS pos_weight FROM cnt
+"""
+
+EMB_LOGIT = f"""{EMB},
+el AS (SELECT *, 4.0 * list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS logit, 1.0 AS mask FROM emb)"""
+
+ORACLE["tta_ensemble"] = f"""
+WITH {EMB_LOGIT}
+SELECT sample_id, round(avg(logit), 6) AS logit, round(avg(y::DOUBLE), 6) AS mean_y, round(avg(mask), 6) AS mean_mask,
+       count(*) AS n_copies, round(1.0 / (1.0 + exp(-avg(logit))), 6) AS p
+FROM el GROUP BY sample_id
+"""
+VARIANT_ENS = """ve AS (SELECT sample_id, avg(logit) AS logit, max(CASE WHEN variant = 0 THEN y END) AS y,
+                  count(*) AS n_variants, 1.0 / (1.0 + exp(-avg(logit))) AS p, 1 AS g0
+           FROM el GROUP BY sample_id)"""
+ORACLE["variant_ensemble"] = f"""
+WITH {EMB_LOGIT}, {VARIANT_ENS}
+SELECT sample_id, round(logit, 6) AS logit, y, n_variants, round(p, 6) AS p FROM ve
+"""
+ORACLE["eval_variants_report"] = f"WITH {EMB_LOGIT}, {VARIANT_ENS}, {report9_sql('ve', 'g0', emit_group=False)}"
+ORACLE["eval_augmented"] = f"""
+WITH {EMB_LOGIT},
+te AS (SELECT sample_id, 1.0 / (1.0 + exp(-avg(logit))) AS p, CAST(avg(y::DOUBLE) >= 0.5 AS INTEGER) AS y, 1 AS g0
+       FROM el GROUP BY sample_id),
+{report9_sql('te', 'g0', emit_group=False)}
+"""
+
+COS = """cs AS (
+  SELECT v.sample_id, v.variant,
+    list_sum(list_transform(list_zip(c.embedding, v.embedding), lambda t: t[1]::DOUBLE * t[2]::DOUBLE))
+    / (sqrt(list_sum(list_transform(c.embedding, lambda x: x::DOUBLE * x::DOUBLE)))
+       * sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE)))) AS cos
+  FROM emb v JOIN emb c ON c.sample_id = v.sample_id AND c.variant = 0 AND v.variant <> 0),
+vc AS (SELECT sample_id, (count(*) - sum(cos)) / (2.0 * count(*)) AS consensus,
+              1 - 2 * (count(*) - sum(cos)) / (2.0 * count(*)) AS cos_similarity FROM cs GROUP BY sample_id)"""
+ORACLE["variant_consensus"] = f"""
+WITH {EMB}, {COS}
+SELECT sample_id, round(consensus, 6) AS consensus, round(cos_similarity, 6) AS cos_similarity FROM vc
+"""
+ORACLE["eval_variants"] = f"""
+WITH {EMB_LOGIT}, {VARIANT_ENS}, {COS}
+SELECT CAST(ve.sample_id AS VARCHAR) AS smiles, round(ve.p, 6) AS prediction, ve.y AS label,
+       round(vc.cos_similarity, 6) AS cos_similarity
+FROM ve JOIN vc ON ve.sample_id = vc.sample_id
+"""
+ORACLE["batch_diversity"] = f"""
+WITH {EMB}, b AS (SELECT vec_id, vec_id // 32 AS batch, embedding FROM emb),
+pr AS (SELECT a.batch,
+         abs(list_sum(list_transform(list_zip(a.embedding, c.embedding), lambda t: t[1]::DOUBLE * t[2]::DOUBLE))
+         / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE)))
+            * sqrt(list_sum(list_transform(c.embedding, lambda x: x::DOUBLE * x::DOUBLE))))) AS ac
+       FROM b a JOIN b c ON a.batch = c.batch AND a.vec_id < c.vec_id),
+n AS (SELECT batch, count(*) AS batch_rows FROM b GROUP BY batch)
+SELECT n.batch, n.batch_rows, round(2.0 * coalesce(sum(pr.ac), 0) / (n.batch_rows * n.batch_rows), 6) AS diversity
+FROM n LEFT JOIN pr ON n.batch = pr.batch GROUP BY n.batch, n.batch_rows
+"""
+ORACLE["mean_pool"] = f"""
+WITH {EMB}, {EMB_LONG}
+SELECT sample_id, dim, round(avg(x), 6) AS value FROM emb_long WHERE variant > 0 GROUP BY sample_id, dim
+"""
+ORACLE["first_pool"] = f"""
+WITH {EMB}, {EMB_LONG},
+a AS (SELECT sample_id, count(*) FILTER (WHERE y = 1 AND variant > 0) AS n_atoms FROM emb GROUP BY sample_id)
+SELECT l.sample_id, l.dim, a.n_atoms, round(l.x, 6) AS value
+FROM emb_long l JOIN a ON l.sample_id = a.sample_id WHERE l.variant = 0
+"""
+ORACLE["adaptive_pool"] = f"""
+WITH {EMB}, {EMB_LONG},
+bins AS (SELECT unnest(range(10)) AS bin),
+bb AS (SELECT bin, CAST(floor(bin * 64 / 10.0) AS INTEGER) AS lo, CAST(ceil((bin + 1) * 64 / 10.0) AS INTEGER) AS hi FROM bins)
+SELECT l.vec_id, CAST(bb.bin AS INTEGER) AS bin, round(avg(l.x), 6) AS value
+FROM emb_long l JOIN bb ON l.dim >= bb.lo AND l.dim < bb.hi GROUP BY l.vec_id, bb.bin
+"""
