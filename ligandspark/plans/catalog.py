@@ -496,3 +496,107 @@ def eval_variants_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _emb_logits(spark, sf_dir)
     g = EN.variant_ensemble(e, "sample_id", "variant", "logit", "y")
     return rounded(M.report9(g, [], "p", "y"), [])
+
+
+# ---------------------------------------------------------------------------
+# sources and sinks (S1, S5, S8, S9, U0), assembly
+# ---------------------------------------------------------------------------
+
+from ligandspark.sources import io as IO  # noqa: E402
+from ligandspark.session import scratch_path  # noqa: E402
+from ligandspark.operators import assemble as AS  # noqa: E402
+from ligandspark.operators import history as H  # noqa: E402
+from pyspark.sql import types as TT  # noqa: E402
+
+
+@register
+def csv_split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the embeddings as a split pair of wide CSV tables into the shared
+    checkpoint folder (S5), read them back with an explicit schema (S1) and
+    union the splits (U0)."""
+    e = T.embeddings(spark, sf_dir).select("vec_id", "label", "split", "features")
+    out = scratch_path(spark, "csv-split")
+    IO.write_feature_table(e, out, "features", prefix="f_", width=WIDTH, fmt="csv")
+    schema = IO.feature_schema([("vec_id", TT.LongType()), ("label", TT.IntegerType())], "f_", WIDTH, label=None)
+    back = IO.read_split_pair(spark, out, schema)
+    return rounded(back, ["split", "vec_id", "label"])
+
+
+def _drug_block(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("row_id"),
+                    F.when(F.col("p_partkey") % 5 == 0, "test").otherwise("train").alias("split"),
+                    F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("features"))
+
+
+def _target_block(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    g = li.groupBy(F.col("l_partkey").alias("row_id")).agg(
+        F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"))
+    return g.select("row_id", F.when(F.col("row_id") % 5 == 0, "test").otherwise("train").alias("split"),
+                    F.array("q", "d").alias("features"))
+
+
+@register
+def feature_blocks_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = AS.standardize_train_fit(_drug_block(spark, sf_dir))
+    t = AS.standardize_train_fit(_target_block(spark, sf_dir))
+    j = AS.concat_blocks(d, t, ["row_id", "split"])
+    return rounded(j.select("row_id", "split", F.posexplode("features").alias("dim", "value")),
+                   ["row_id", "split", "dim"])
+
+
+@register
+def feature_blocks_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AS.unmatched_keys(_drug_block(spark, sf_dir), _target_block(spark, sf_dir), ["row_id"])
+
+
+@register
+def star_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read_table(spark, sf_dir, "lineitem")
+    fact = li.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("drug_id"),
+                     F.col("l_suppkey").alias("target_id"),
+                     (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    drugs = read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("drug_id"),
+        F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("drug_features"))
+    targets = read_table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("target_id"),
+        F.array(F.col("s_nationkey").cast("double"), F.col("s_acctbal")).alias("target_features"))
+    j = AS.star_lookup(fact, drugs, targets)
+    x = F.concat("drug_features", "target_features")
+    return rounded(j.select("l_orderkey", "l_linenumber", "drug_id", "target_id", "label",
+                            *[F.element_at(x, i).alias(f"x_{i}") for i in range(1, 5)]),
+                   ["l_orderkey", "l_linenumber", "drug_id", "target_id", "label"])
+
+
+# ---------------------------------------------------------------------------
+# metric histories (W3-W5): run = user_id, epochs in (ts, event_id) order,
+# score = value
+# ---------------------------------------------------------------------------
+
+PATIENCE = 5
+
+
+def _history(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run"), "event_id", F.col("value").alias("score"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"))
+    return H.number_epochs(ev, "run", "_t", "event_id", "epoch").drop("_t")
+
+
+@register
+def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = H.running_best(_history(spark, sf_dir), "run", "epoch", "score")
+    return rounded(h.select("run", "epoch", "score", "running_best"), ["run", "epoch"])
+
+
+@register
+def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(H.best_epoch(_history(spark, sf_dir), "run", "epoch", "score"), ["run", "best_epoch"])
+
+
+@register
+def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = H.early_stop(_history(spark, sf_dir), "run", "epoch", "score", PATIENCE)
+    return rounded(e, ["run", "n_epochs", "stop_epoch", "best_epoch"])

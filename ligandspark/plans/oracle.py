@@ -502,3 +502,69 @@ bb AS (SELECT bin, CAST(floor(bin * 64 / 10.0) AS INTEGER) AS lo, CAST(ceil((bin
 SELECT l.vec_id, CAST(bb.bin AS INTEGER) AS bin, round(avg(l.x), 6) AS value
 FROM emb_long l JOIN bb ON l.dim >= bb.lo AND l.dim < bb.hi GROUP BY l.vec_id, bb.bin
 """
+
+ORACLE["csv_split_roundtrip"] = ("SELECT CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, vec_id, label, "
+                                 + ", ".join(f"round(embedding[{i}]::DOUBLE, 6) AS f_{i}" for i in range(1, 65))
+                                 + " FROM embeddings")
+
+BLOCKS = """
+db AS (SELECT p_partkey AS row_id, CASE WHEN p_partkey % 5 = 0 THEN 'test' ELSE 'train' END AS split,
+              [p_size::DOUBLE, p_retailprice] AS f FROM part),
+tb AS (SELECT l_partkey AS row_id, CASE WHEN l_partkey % 5 = 0 THEN 'test' ELSE 'train' END AS split,
+              [avg(l_quantity), avg(l_discount)] AS f FROM lineitem GROUP BY l_partkey)"""
+
+
+def _std_block(name: str) -> str:
+    return f"""
+{name}l AS (SELECT row_id, split, CAST(generate_subscripts(f, 1) - 1 AS INTEGER) AS dim, unnest(f) AS x FROM {name}),
+{name}s AS (SELECT dim, avg(x) AS mu, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd
+            FROM {name}l WHERE split = 'train' GROUP BY dim),
+{name}z AS (SELECT l.row_id, l.split, l.dim, (l.x - s.mu) / s.sd AS z FROM {name}l l JOIN {name}s s ON l.dim = s.dim)"""
+
+
+ORACLE["feature_blocks_join"] = f"""
+WITH {BLOCKS}, {_std_block('db')}, {_std_block('tb')}
+SELECT row_id, split, dim, round(z, 6) AS value FROM dbz WHERE row_id IN (SELECT row_id FROM tb)
+UNION ALL
+SELECT row_id, split, CAST(dim + 2 AS INTEGER) AS dim, round(z, 6) AS value FROM tbz WHERE row_id IN (SELECT row_id FROM db)
+"""
+ORACLE["feature_blocks_unmatched"] = f"""
+WITH {BLOCKS}
+SELECT row_id, 'left_only' AS side FROM db WHERE row_id NOT IN (SELECT row_id FROM tb)
+UNION ALL
+SELECT row_id, 'right_only' AS side FROM tb WHERE row_id NOT IN (SELECT row_id FROM db)
+"""
+ORACLE["star_lookup"] = """
+SELECT l.l_orderkey, l.l_linenumber, l.l_partkey AS drug_id, l.l_suppkey AS target_id,
+       CAST(l.l_returnflag = 'R' AS INTEGER) AS label,
+       round(p.p_size::DOUBLE, 6) AS x_1, round(p.p_retailprice, 6) AS x_2,
+       round(s.s_nationkey::DOUBLE, 6) AS x_3, round(s.s_acctbal, 6) AS x_4
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
+"""
+
+HIST = """h AS (SELECT user_id AS run, event_id, value AS score,
+               row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch FROM events)"""
+ORACLE["running_best"] = f"""
+WITH {HIST}
+SELECT run, epoch, round(score, 6) AS score,
+       round(max(score) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running_best
+FROM h
+"""
+ORACLE["best_epoch"] = f"""
+WITH {HIST},
+r AS (SELECT run, epoch, score, row_number() OVER (PARTITION BY run ORDER BY score DESC, epoch) AS k FROM h)
+SELECT run, epoch AS best_epoch, round(score, 6) AS best_score FROM r WHERE k = 1
+"""
+ORACLE["early_stop"] = f"""
+WITH {HIST},
+a AS (SELECT *, max(score) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM h),
+b AS (SELECT *, CASE WHEN prev IS NULL OR score > prev THEN epoch END AS imp FROM a),
+c AS (SELECT *, max(imp) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_imp,
+             greatest(coalesce(prev, score), score) AS best FROM b),
+s AS (SELECT run, min(epoch) AS stop_epoch FROM c WHERE epoch - last_imp >= 5 GROUP BY run),
+g AS (SELECT run, count(*) AS n_epochs, max(imp) AS last_all, max(score) AS max_all FROM c GROUP BY run)
+SELECT g.run, g.n_epochs, s.stop_epoch,
+       CASE WHEN s.stop_epoch IS NULL THEN g.last_all ELSE c.last_imp END AS best_epoch,
+       round(CASE WHEN s.stop_epoch IS NULL THEN g.max_all ELSE c.best END, 6) AS best_score
+FROM g LEFT JOIN s ON g.run = s.run LEFT JOIN c ON c.run = s.run AND c.epoch = s.stop_epoch
+"""
