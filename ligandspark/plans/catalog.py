@@ -600,3 +600,140 @@ def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = H.early_stop(_history(spark, sf_dir), "run", "epoch", "score", PATIENCE)
     return rounded(e, ["run", "n_epochs", "stop_epoch", "best_epoch"])
+
+
+# ---------------------------------------------------------------------------
+# kNN (J4, J5, T2, A29), selection (M3), wavelets (F12-F17, M5, M6),
+# training (M1, M2, M4, M7, B3)
+# ---------------------------------------------------------------------------
+
+import numpy as np  # noqa: E402
+
+from ligandspark.operators import knn as KN  # noqa: E402
+from ligandspark.operators import select as SEL  # noqa: E402
+from ligandspark.operators import train as TR  # noqa: E402
+from ligandspark.operators import wavelet_layer as WL  # noqa: E402
+from ligandspark.functions import wavelets as WV  # noqa: E402
+
+KNN_K = 3
+KNN_FOLDS = 3
+
+
+def _knn_input(spark, sf_dir):
+    from ligandspark.operators.folds import stratified_folds as folds
+    e = T.embeddings(spark, sf_dir).select("vec_id", "label", "features")
+    return folds(e, "label", "vec_id", n_folds=KNN_FOLDS, shuffle=False).persist()
+
+
+@register
+def knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _knn_input(spark, sf_dir)
+    neigh = KN.knn_neighbours(f, "vec_id", "features", KNN_K, "label", "fold")
+    pred = KN.knn_vote(neigh).select(F.col("qid").alias("vec_id"), "pred")
+    out = pred.join(f.select("vec_id", "fold", "label"), "vec_id")
+    return out.select("vec_id", "fold", "pred", (F.col("pred") == F.col("label")).cast("int").alias("hit"))
+
+
+def cost_candidates(width: int = WIDTH, n: int = 4, seed: int = 11) -> np.ndarray:
+    """Fixed candidate positions (rows) for subset_cost, plus an empty mask."""
+    pos = np.random.RandomState(seed).rand(n, width)
+    return np.vstack([pos, np.zeros((1, width))])
+
+
+@register
+def subset_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _knn_input(spark, sf_dir)
+    masks = KN.masks_from_positions(cost_candidates())
+    c = KN.subset_cost(f, "vec_id", "features", "label", "fold", masks, KNN_K)
+    return rounded(c, ["cand", "n_selected"])
+
+
+COS_TOPK = 5
+
+
+@register
+def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.embeddings(spark, sf_dir).select("vec_id", "features")
+    n = KN.knn_neighbours(e, "vec_id", "features", COS_TOPK, metric="cosine")
+    # the ranking comes from the numpy blocks; the reported value is F10 in
+    # the JVM (sequential sums), joined back on the two ids (k rows per id)
+    qv = e.select(F.col("vec_id").alias("qid"), F.col("features").alias("_a"))
+    rv = e.select(F.col("vec_id").alias("rid"), F.col("features").alias("_b"))
+    j = n.join(qv, "qid").join(rv, "rid")
+    return rounded(j.select(F.col("qid").alias("vec_id"), "rank", F.col("rid").alias("neighbor_id"),
+                            V.cosine(F.col("_a"), F.col("_b")).alias("cos")), ["vec_id", "rank", "neighbor_id"])
+
+
+SELECT_POP, SELECT_ITERS = 10, 3
+
+
+@register
+def select_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 with a small budget (pop 10, 3 iterations; library default 20 x 50):
+    the selected 0-based feature indexes (S6)."""
+    f = _knn_input(spark, sf_dir)
+    idx, best, curve = SEL.select_features(f, "vec_id", "features", "label", "fold", WIDTH,
+                                           pop_size=SELECT_POP, max_iter=SELECT_ITERS)
+    return spark.createDataFrame([(i,) for i in idx], "feature_index int")
+
+
+@register
+def wavelet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.embeddings(spark, sf_dir).select("vec_id", F.posexplode("features").alias("dim", "x"))
+    x, n = F.col("x"), F.col("dim")
+    return rounded(e.select("vec_id", "dim", WV.mexican_hat(x).alias("mexican_hat"), WV.morlet(x).alias("morlet"),
+                            WV.dog(x).alias("dog"), WV.meyer(x).alias("meyer"),
+                            WV.shannon(x, n, F.lit(WIDTH)).alias("shannon")), ["vec_id", "dim"])
+
+
+def layer_params():
+    return [WL.WaveletLayer.init(WIDTH, 8, "mexican_hat", seed=7, jitter=True),
+            WL.WaveletLayer.init(8, 4, "dog", seed=8, jitter=True)]
+
+
+@register
+def wavelet_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.embeddings(spark, sf_dir).select("vec_id", "features")
+    out = WL.score_layers(e, "vec_id", "features", layer_params()[:1])
+    return rounded(out.select("vec_id", F.posexplode("features").alias("j", "value")), ["vec_id", "j"])
+
+
+@register
+def wavelet_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.embeddings(spark, sf_dir).select("vec_id", "features")
+    out = WL.score_layers(e, "vec_id", "features", layer_params())
+    return rounded(out.select("vec_id", F.posexplode("features").alias("j", "value")), ["vec_id", "j"])
+
+
+def _train_split(spark, sf_dir):
+    from ligandspark.operators.folds import stratified_folds as folds
+    e = T.embeddings(spark, sf_dir)
+    tr = folds(e.where(F.col("split") == "train").select("vec_id", "y", "features"), "y", "vec_id",
+               n_folds=5, shuffle=True, seed=47).persist()
+    te = e.where(F.col("split") == "test").select("vec_id", "y", "features")
+    return tr, te
+
+
+@register
+def cv_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tr, _ = _train_split(spark, sf_dir)
+    preds, models, weights = TR.cross_validate(tr, "features", "y", "fold")
+    return rounded(M.report7(preds, ["fold"], "p", "y"), ["fold"])
+
+
+@register
+def independent_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tr, te = _train_split(spark, sf_dir)
+    _, models, _ = TR.cross_validate(tr, "features", "y", "fold")
+    preds = TR.independent_test(te, models, "features")
+    return rounded(M.report7(preds, ["fold"], "p", "y"), ["fold"])
+
+
+@register
+def wavelet_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.embeddings(spark, sf_dir).withColumn("basis", TR.dog_basis("features"))
+    tr = e.where(F.col("split") == "train")
+    w = tr.agg((F.count_if(F.col("y") == 0) / F.count_if(F.col("y") == 1)).alias("w")).first()["w"]
+    model = TR.fit_weighted(tr, "basis", "y", w)
+    preds = TR.score(e.where(F.col("split") == "test"), model, "basis").withColumn("g", F.lit(1))
+    return rounded(M.report7(preds, ["g"], "p", "y").drop("g"), [])

@@ -568,3 +568,142 @@ SELECT g.run, g.n_epochs, s.stop_epoch,
        round(CASE WHEN s.stop_epoch IS NULL THEN g.max_all ELSE c.best END, 6) AS best_score
 FROM g LEFT JOIN s ON g.run = s.run LEFT JOIN c ON c.run = s.run AND c.epoch = s.stop_epoch
 """
+
+# ---------------------------------------------------------------------------
+# kNN
+# ---------------------------------------------------------------------------
+
+KNN_FOLDED = f"""src AS (SELECT vec_id, label, embedding FROM embeddings),
+{unshuffled_folds_sql('src', 'label', 'vec_id', 3)}"""
+
+SQD = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda t: (t[1]::DOUBLE - t[2]::DOUBLE) * (t[1]::DOUBLE - t[2]::DOUBLE)))"
+
+ORACLE["knn_vote"] = f"""
+WITH {KNN_FOLDED},
+pr AS (SELECT a.vec_id AS qid, a.fold, a.label AS qlabel, b.vec_id AS rid, b.label AS rlabel, round({SQD}, 9) AS d
+       FROM folded a JOIN folded b ON a.fold <> b.fold),
+tk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, rid) AS rn FROM pr),
+vt AS (SELECT qid, fold, qlabel, rlabel, count(*) AS c FROM tk WHERE rn <= 3 GROUP BY qid, fold, qlabel, rlabel),
+pk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, rlabel) AS k FROM vt)
+SELECT qid AS vec_id, fold, rlabel AS pred, CAST(rlabel = qlabel AS INTEGER) AS hit FROM pk WHERE k = 1
+"""
+
+
+def _cand_dims() -> str:
+    import numpy as np
+    pos = np.vstack([np.random.RandomState(11).rand(4, 64), np.zeros((1, 64))])
+    rows = [f"({c}, {d})" for c in range(pos.shape[0]) for d in range(64) if pos[c, d] > 0.5]
+    return ", ".join(rows)
+
+
+ORACLE["subset_cost"] = f"""
+WITH {KNN_FOLDED},
+cd(cand, dim) AS (VALUES {_cand_dims()}),
+cands AS (SELECT unnest(range(5))::INTEGER AS cand),
+ns AS (SELECT c.cand, CAST(count(cd.dim) AS INTEGER) AS n_selected FROM cands c LEFT JOIN cd ON c.cand = cd.cand GROUP BY c.cand),
+lg AS (SELECT vec_id, fold, label, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM folded),
+pd AS (SELECT a.vec_id AS qid, b.vec_id AS rid, a.dim, (a.x - b.x) * (a.x - b.x) AS sq
+       FROM lg a JOIN lg b ON a.dim = b.dim AND a.fold <> b.fold),
+dd AS (SELECT cd.cand, pd.qid, pd.rid, round(sum(pd.sq), 9) AS d FROM pd JOIN cd ON pd.dim = cd.dim
+       GROUP BY cd.cand, pd.qid, pd.rid),
+tk AS (SELECT dd.*, f.label AS rlabel, row_number() OVER (PARTITION BY cand, qid ORDER BY d, rid) AS rn
+       FROM dd JOIN folded f ON f.vec_id = dd.rid),
+vt AS (SELECT cand, qid, rlabel, count(*) AS c FROM tk WHERE rn <= 3 GROUP BY cand, qid, rlabel),
+pk AS (SELECT *, row_number() OVER (PARTITION BY cand, qid ORDER BY c DESC, rlabel) AS k FROM vt),
+hit AS (SELECT pk.cand, f.fold, CAST(pk.rlabel = f.label AS DOUBLE) AS h FROM pk JOIN folded f ON f.vec_id = pk.qid WHERE k = 1),
+acc AS (SELECT cand, avg(a) AS accuracy FROM (SELECT cand, fold, avg(h) AS a FROM hit GROUP BY cand, fold) GROUP BY cand)
+SELECT ns.cand, ns.n_selected, round(acc.accuracy, 6) AS accuracy,
+       round(CASE WHEN ns.n_selected = 0 THEN 1.0 ELSE 1 - acc.accuracy + 0.005 * ns.n_selected / 64.0 END, 6) AS cost
+FROM ns LEFT JOIN acc ON ns.cand = acc.cand
+"""
+
+COSX = """list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda t: t[1]::DOUBLE * t[2]::DOUBLE))
+  / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE)))
+     * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))))"""
+ORACLE["cosine_pairs"] = f"""
+WITH pr AS (SELECT a.vec_id, b.vec_id AS neighbor_id, {COSX} AS cos FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+tk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(cos, 9) DESC, neighbor_id) AS rank FROM pr)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(cos, 6) AS cos FROM tk WHERE rank <= 5
+"""
+
+# ---------------------------------------------------------------------------
+# wavelets
+# ---------------------------------------------------------------------------
+
+import math as _m  # noqa: E402
+
+_MH = 2.0 / (_m.sqrt(3.0) * _m.pi ** 0.25)
+
+
+def _psi(name: str, z: str, n: str = "0", N: str = "64") -> str:
+    if name == "mexican_hat":
+        return f"({_MH!r} * (({z}) * ({z}) - 1) * exp(-0.5 * ({z}) * ({z})))"
+    if name == "morlet":
+        return f"(cos(5.0 * ({z})) * exp(-0.5 * ({z}) * ({z})))"
+    if name == "dog":
+        return f"(-({z}) * exp(-0.5 * ({z}) * ({z})))"
+    if name == "meyer":
+        v = f"abs({z})"
+        t = f"(2 * {v} - 1)"
+        nu = f"({t} * {t} * {t} * {t} * (35 - 84 * {t} + 70 * {t} * {t} - 20 * {t} * {t} * {t}))"
+        return (f"(sin(pi() * {v}) * CASE WHEN {v} <= 0.5 THEN 1.0 WHEN {v} >= 1.0 THEN 0.0 "
+                f"ELSE cos(pi() / 2 * {nu}) END)")
+    if name == "shannon":
+        win = f"(CASE WHEN {N} = 1 THEN 1.0 ELSE 0.54 - 0.46 * cos(2 * pi() * {n} / ({N} - 1)) END)"
+        return f"((CASE WHEN ({z}) = 0 THEN 1.0 ELSE sin({z}) / ({z}) END) * {win})"
+    raise ValueError(name)
+
+
+ORACLE["wavelet_values"] = f"""
+WITH {EMB}, {EMB_LONG}
+SELECT vec_id, dim, round({_psi('mexican_hat', 'x')}, 6) AS mexican_hat, round({_psi('morlet', 'x')}, 6) AS morlet,
+       round({_psi('dog', 'x')}, 6) AS dog, round({_psi('meyer', 'x')}, 6) AS meyer,
+       round({_psi('shannon', 'x', 'dim', '64')}, 6) AS shannon
+FROM emb_long
+"""
+
+
+def _layer_sql(name: str, src: str, layer, wavelet: str, n_in: int) -> str:
+    """CTEs: {name}_p params, {name}_o pre-activations, {name} normalized (vec_id, j, v)."""
+    out, inn = layer.weights.shape
+    vals = ", ".join(f"({j}, {i}, {float(layer.weights[j, i])!r}, {float(layer.scale[j, i])!r}, "
+                     f"{float(layer.translation[j, i])!r})"
+                     for j in range(out) for i in range(inn))
+    z = "((x.v - p.t) / p.s)"
+    return f"""
+{name}_p(j, i, w, s, t) AS (VALUES {vals}),
+{name}_o AS (SELECT x.vec_id, p.j, sum(p.w * {_psi(wavelet, z, 'p.i', str(n_in))}) AS o
+             FROM {src} x JOIN {name}_p p ON x.i = p.i GROUP BY x.vec_id, p.j),
+{name}_st AS (SELECT j, avg(o) AS mu, var_pop(o) AS s2 FROM {name}_o GROUP BY j),
+{name} AS (SELECT o.vec_id, o.j AS i, (o.o - st.mu) / sqrt(st.s2 + 1e-5) AS v
+           FROM {name}_o o JOIN {name}_st st ON o.j = st.j)"""
+
+
+def _layers():
+    import numpy as np
+
+    def init(n_in, n_out, seed):
+        rng = np.random.RandomState(seed)
+        b = 1.0 / np.sqrt(n_in)
+        w = rng.uniform(-b, b, (n_out, n_in))
+        s = rng.uniform(0.5, 1.5, (n_out, n_in))
+        t = rng.uniform(-0.1, 0.1, (n_out, n_in))
+
+        class L:
+            pass
+        lay = L()
+        lay.weights, lay.scale, lay.translation = w, s, t
+        return lay
+    return init(64, 8, 7), init(8, 4, 8)
+
+
+_L1, _L2 = _layers()
+X0 = f"""{EMB}, {EMB_LONG}, x0 AS (SELECT vec_id, dim AS i, x AS v FROM emb_long)"""
+ORACLE["wavelet_layer"] = f"""
+WITH {X0}, {_layer_sql('l1', 'x0', _L1, 'mexican_hat', 64)}
+SELECT vec_id, CAST(i AS INTEGER) AS j, round(v, 6) AS value FROM l1
+"""
+ORACLE["wavelet_stack"] = f"""
+WITH {X0}, {_layer_sql('l1', 'x0', _L1, 'mexican_hat', 64)}, {_layer_sql('l2', 'l1', _L2, 'dog', 8)}
+SELECT vec_id, CAST(i AS INTEGER) AS j, round(v, 6) AS value FROM l2
+"""
