@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ligandspark.operators import metrics as M
 from ligandspark.operators.centroid import fold_centroid_scores
-from ligandspark.operators.folds import stratified_folds
+from ligandspark.operators.folds import stratified_folds as folds_op
 from ligandspark.plans import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,7 +44,7 @@ REPORT9 = ["auc", "accuracy", "se", "sp", "f1", "pre", "rec", "err", "mcc"]
 @register
 def centroid_cv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = T.embeddings(spark, sf_dir).select("vec_id", "features", "y")
-    folded = stratified_folds(emb, "y", "vec_id", n_folds=3, shuffle=False).persist()
+    folded = folds_op(emb, "y", "vec_id", n_folds=3, shuffle=False).persist()
     scored = fold_centroid_scores(folded, "fold", "y", "features").persist()
     rep = M.report7(scored, ["fold"], "p", "y")
     return rounded(rep, ["fold"])
@@ -259,7 +259,7 @@ def doc_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long (doc_id, task, y, mask, logit): a document without a labels row
     has mask 0 and y NULL.  Scores: quality = ln(1 + n_chars) - 7.5, toxic =
     20 * upper-case share - 1.5."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
     lab = read_table(spark, sf_dir, "labels")
     d = d.join(lab, "doc_id", "left")
     upper_share = F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1))
@@ -274,11 +274,13 @@ def doc_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def multitask_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lt = doc_tasks(spark, sf_dir)
-    auc = M.compute_metric(lt, "roc_auc").withColumnRenamed("value", "roc_auc")
-    prc = M.compute_metric(lt, "roc_prc").withColumnRenamed("value", "roc_prc")
-    n = M.masked(lt).groupBy("task").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(n.join(auc, "task").join(prc, "task"), ["task", "n"])
+    # roc_auc and roc_prc of compute_metric from one ranking pass
+    m = M.masked(doc_tasks(spark, sf_dir)).withColumn("_p", M.sigmoid(F.col("logit")))
+    r = M.ranking_metrics(m, ["task"], "_p", "y")
+    n = m.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    out = n.join(r, "task").select("task", "n", F.round("roc_auc", 4).alias("roc_auc"),
+                                   F.col("pr_auc_trapezoid").alias("roc_prc"))
+    return rounded(out, ["task", "n"])
 
 
 @register

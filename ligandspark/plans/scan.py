@@ -26,7 +26,34 @@ from pyspark.sql import functions as F
 
 from ligandspark.plans.sizing import small_side
 
-DEFAULT_BUCKETS = 64
+DEFAULT_BUCKETS = None      # None: chosen from the plan's size estimate
+BUCKET_BYTES = 64 << 20     # about one bucket per 64 MB of scanned input
+MAX_BUCKETS = 1024
+FORCE_CONF = "ligandspark.scan.buckets"   # session setting forcing a bucket count
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (the number ``explain("cost")``
+    shows); no job runs."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimate unavailable
+        return None
+
+
+def choose_buckets(df: DataFrame, n_buckets: int | None) -> int:
+    """Explicit count, else the session override, else size based: 1 for
+    inputs below ``BUCKET_BYTES`` (a plain window is then cheapest), up to
+    ``MAX_BUCKETS`` ranges per group for large inputs."""
+    if n_buckets is not None:
+        return n_buckets
+    forced = df.sparkSession.conf.get(FORCE_CONF, None)
+    if forced:
+        return int(forced)
+    size = estimated_bytes(df)
+    if size is None:
+        return 64
+    return int(max(1, min(MAX_BUCKETS, -(-size // BUCKET_BYTES))))
 
 
 def _fracs(n_buckets: int) -> list[float]:
@@ -46,6 +73,7 @@ def assign_buckets(
     With ``descending`` bucket 0 holds the largest keys.
     """
     by = list(by)
+    n_buckets = choose_buckets(df, n_buckets)
     if n_buckets <= 1:
         return df.withColumn("_bucket", F.lit(0))
     kcol = F.col(key).cast("double")
@@ -89,6 +117,9 @@ def prefix_scan(
     distinct keys first when they need tie-exact results.
     """
     by = list(by)
+    n_buckets = choose_buckets(df, n_buckets)
+    if n_buckets <= 1:
+        return _plain_scan(df, by, key, tiebreak, sums, maxes, mins, row_number, descending, inclusive)
     df = assign_buckets(df, by, key, n_buckets, descending)
     if row_number:
         df = df.withColumn("_one", F.lit(1))
@@ -126,3 +157,19 @@ def prefix_scan(
         res = res.withColumn(row_number, rn.cast("long")).drop("_one", "cum__one", "_os__one")
     drop = [f"_os_{c}" for c in sums] + [f"_ox_{c}" for c in maxes] + [f"_on_{c}" for c in mins]
     return res.drop(*[d for d in drop if d in res.columns], "_bucket")
+
+
+def _plain_scan(df, by, key, tiebreak, sums, maxes, mins, row_number, descending, inclusive):
+    """One window per group: used when the input is small enough that a
+    group fits one task comfortably."""
+    korder = F.col(key).desc() if descending else F.col(key).asc()
+    order = [korder] + [F.col(t) if isinstance(t, str) else t for t in tiebreak]
+    end = 0 if inclusive else -1
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    out = [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"cum_{c}") for c in sums]
+    out += [F.max(c).over(w).alias(f"runmax_{c}") for c in maxes]
+    out += [F.min(c).over(w).alias(f"runmin_{c}") for c in mins]
+    if row_number:
+        wr = Window.partitionBy(*by).orderBy(*order)
+        out.append(F.row_number().over(wr).cast("long").alias(row_number))
+    return df.select("*", *out)
