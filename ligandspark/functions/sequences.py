@@ -162,3 +162,29 @@ def batch_padding(seq_len: Column, batch: Column) -> tuple[Column, Column]:
     w = Window.partitionBy(batch)
     padded = F.max(seq_len).over(w)
     return padded, padded - seq_len
+
+
+def vocabulary_table(spark):
+    """The fixed vocabulary as a small table ``(token, token_id, is_atom)``
+    (47 rows, safe to broadcast)."""
+    atoms = set(ATOM_TOKENS)
+    rows = [(t, i, 1 if t in atoms else 0) for i, t in enumerate(VOCAB)]
+    return spark.createDataFrame(rows, "token string, token_id int, is_atom int")
+
+
+def encode_tokens_long(df, id_col: str, tokens: str, max_tokens: int = MAX_TOKENS):
+    """F4 + F5 in long form: one row per position of the padded sequence with
+    ``pos, token_id, atom`` - explode + broadcast hash join on the fixed
+    vocabulary, all in generated code (no per-token lambda lookups).  Rows of
+    sequences longer than ``max_tokens`` are still produced; callers check
+    P10 on the array size."""
+    from pyspark.sql import functions as F
+    voc = F.broadcast(vocabulary_table(df.sparkSession))
+    t = df.select(id_col, F.posexplode(padded_tokens(F.col(tokens), max_tokens)).alias("pos", "token"))
+    j = t.join(voc, "token", "left")
+    bracket = F.instr(F.col("token"), "[") > 0
+    tid = F.coalesce(F.col("token_id"), F.when(bracket, F.lit(VOCAB.index(OTHER_ATOM)))
+                     .otherwise(F.lit(VOCAB.index(OTHER_TOKEN))))
+    atom = F.coalesce(F.col("is_atom"), F.when(bracket, F.lit(1)).otherwise(F.lit(0)))
+    return j.select(id_col, F.col("pos").cast("int").alias("pos"), tid.cast("int").alias("token_id"),
+                    atom.cast("int").alias("atom"))

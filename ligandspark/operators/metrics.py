@@ -111,8 +111,13 @@ def ranking_curve(
 ) -> DataFrame:
     """Per group and distinct score (descending): pos, neg, cum_pos (= TP at
     threshold ``score``), cum_neg (= FP), and group totals P, N."""
+    return curve_from_counts(score_counts(df, by, score, label), by, n_buckets)
+
+
+def curve_from_counts(counts: DataFrame, by: Sequence[str], n_buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
+    """:func:`ranking_curve` from a ``(by..., _score, pos, neg)`` count table
+    whose scores are distinct per group (e.g. accumulated batch counts)."""
     by = list(by)
-    counts = score_counts(df, by, score, label)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     curve = prefix_scan(counts, by, "_score", sums=["pos", "neg"], descending=True,
                         n_buckets=n_buckets)
@@ -129,8 +134,12 @@ def ranking_metrics(
     n_buckets: int = DEFAULT_BUCKETS,
 ) -> DataFrame:
     """roc_auc (A8), average_precision (A9), pr_auc_trapezoid (A10) per group."""
+    return metrics_from_curve(ranking_curve(df, by, score, label, n_buckets), by)
+
+
+def metrics_from_curve(c: DataFrame, by: Sequence[str]) -> DataFrame:
+    """roc_auc, average_precision, pr_auc_trapezoid from a ranking curve."""
     by = list(by)
-    c = ranking_curve(df, by, score, label, n_buckets)
     P = F.col("P").cast("double")
     N = F.col("N").cast("double")
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
@@ -149,6 +158,7 @@ def ranking_metrics(
     N = F.col("N").cast("double")
     return agg.select(
         *by,
+        F.col("P").alias("n_pos"), F.col("N").alias("n_neg"),
         F.when((P > 0) & (N > 0), F.col("_auc_num") / (P * N)).alias("roc_auc"),
         F.when(P > 0, F.col("_ap_num") / P).alias("average_precision"),
         F.when(P > 0, F.col("_tr_num") / P).alias("pr_auc_trapezoid"),

@@ -120,12 +120,9 @@ def smiles_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def atom_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _encoded(spark, sf_dir)
-    return e.select("doc_id", "ids", F.explode(S.mask_positions(F.col("mask"))).alias("atom_pos")).select(
-        "doc_id",
-        F.col("atom_pos").cast("int").alias("atom_pos"),
-        F.element_at("ids", F.col("atom_pos") + 1).cast("int").alias("token_id"),
-    )
+    ct = _docs(spark, sf_dir).select("doc_id", S.smiles_tokens(S.cut_smiles(F.col("text"))).alias("ctok"))
+    enc = S.encode_tokens_long(ct, "doc_id", "ctok")
+    return enc.where(F.col("atom") == 1).select("doc_id", F.col("pos").alias("atom_pos"), "token_id")
 
 
 @register
@@ -262,7 +259,9 @@ def doc_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
     lab = read_table(spark, sf_dir, "labels")
     d = d.join(lab, "doc_id", "left")
-    upper_share = F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1))
+    # upper-case letters A-Z counted with translate (a character map, no regex)
+    upper = F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    upper_share = upper / F.greatest(F.length("text"), F.lit(1))
     q = d.select("doc_id", F.lit("quality").alias("task"), F.col("quality").alias("y"),
                  F.col("quality").isNotNull().cast("double").alias("mask"),
                  (F.log1p(F.col("n_chars").cast("double")) - 7.5).alias("logit"))
@@ -277,9 +276,8 @@ def multitask_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     # roc_auc and roc_prc of compute_metric from one ranking pass
     m = M.masked(doc_tasks(spark, sf_dir)).withColumn("_p", M.sigmoid(F.col("logit")))
     r = M.ranking_metrics(m, ["task"], "_p", "y")
-    n = m.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
-    out = n.join(r, "task").select("task", "n", F.round("roc_auc", 4).alias("roc_auc"),
-                                   F.col("pr_auc_trapezoid").alias("roc_prc"))
+    out = r.select("task", (F.col("n_pos") + F.col("n_neg")).alias("n"), F.round("roc_auc", 4).alias("roc_auc"),
+                   F.col("pr_auc_trapezoid").alias("roc_prc"))
     return rounded(out, ["task", "n"])
 
 

@@ -33,10 +33,13 @@ FORCE_CONF = "ligandspark.scan.buckets"   # session setting forcing a bucket cou
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (the number ``explain("cost")``
-    shows); no job runs."""
+    """Input size behind ``df``: the sum of Catalyst's size statistics of the
+    plan's leaf relations (file scans, local tables); no job runs.  Leaf sizes
+    are used because, without cost-based statistics, join estimates multiply
+    their children's sizes and are no guide."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:  # noqa: BLE001 - estimate unavailable
         return None
 
