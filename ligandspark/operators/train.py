@@ -44,16 +44,27 @@ def score(df: DataFrame, model: LogisticRegressionModel, features: str) -> DataF
             .drop("_vec", "rawPrediction", "probability", "prediction")
 
 
-def cross_validate(df: DataFrame, features: str, label: str, fold: str):
+def cross_validate(df: DataFrame, features: str, label: str, fold: str, parallelism: int = 4):
     """M1: per fold, train on the other folds (class weight from them) and
     score the held-out fold.  Returns (predictions with ``fold``, {fold: model},
-    {fold: pos_weight}).  ``df`` should be persisted by the caller."""
+    {fold: pos_weight}).  ``df`` should be persisted by the caller.
+
+    Fold fits are submitted from ``parallelism`` driver threads, like
+    ``CrossValidator(parallelism=...)``: each fit is a sequence of small
+    distributed jobs, and concurrent fits keep the executors busy."""
+    from concurrent.futures import ThreadPoolExecutor
+
     weights = {r[fold]: r["pos_weight"] for r in collect_small(class_weight_by_fold(df, fold, label))}
-    models, preds = {}, None
-    for f in sorted(weights):
-        m = fit_weighted(df.where(F.col(fold) != f), features, label, weights[f])
-        models[f] = m
-        p = score(df.where(F.col(fold) == f), m, features)
+    folds = sorted(weights)
+
+    def fit(f):
+        return f, fit_weighted(df.where(F.col(fold) != f), features, label, weights[f])
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds)))) as pool:
+        models = dict(pool.map(fit, folds))
+    preds = None
+    for f in folds:
+        p = score(df.where(F.col(fold) == f), models[f], features)
         preds = p if preds is None else preds.unionByName(p)
     return preds, models, weights
 
