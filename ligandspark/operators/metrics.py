@@ -107,71 +107,82 @@ def score_counts(df: DataFrame, by: Sequence[str], score: str, label: str) -> Da
 
 def ranking_curve(
     df: DataFrame, by: Sequence[str], score: str, label: str,
-    n_buckets: int = DEFAULT_BUCKETS,
+    n_buckets: int | None = DEFAULT_BUCKETS,
 ) -> DataFrame:
     """Per group and distinct score (descending): pos, neg, cum_pos (= TP at
-    threshold ``score``), cum_neg (= FP), and group totals P, N."""
+    threshold ``score``), cum_neg (= FP)."""
     return curve_from_counts(score_counts(df, by, score, label), by, n_buckets)
 
 
 def curve_from_counts(counts: DataFrame, by: Sequence[str], n_buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """:func:`ranking_curve` from a ``(by..., _score, pos, neg)`` count table
     whose scores are distinct per group (e.g. accumulated batch counts)."""
-    by = list(by)
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    curve = prefix_scan(counts, by, "_score", sums=["pos", "neg"], descending=True,
-                        n_buckets=n_buckets)
-    if by:
-        curve = curve.join(totals, by, "inner")
-    else:
-        # a single totals row: size bounded
-        curve = curve.join(F.broadcast(totals), how="inner", on=F.lit(True))
-    return curve
+    return prefix_scan(counts, list(by), "_score", sums=["pos", "neg"], descending=True, n_buckets=n_buckets)
 
 
-def ranking_metrics(
-    df: DataFrame, by: Sequence[str], score: str, label: str,
-    n_buckets: int = DEFAULT_BUCKETS,
-) -> DataFrame:
-    """roc_auc (A8), average_precision (A9), pr_auc_trapezoid (A10) per group."""
-    return metrics_from_curve(ranking_curve(df, by, score, label, n_buckets), by)
-
+def metrics_from_curve(c: DataFrame, by: Sequence[str], threshold: float | None = None,
+                       inclusive: bool = False) -> DataFrame:
+    """One aggregation over a ranking curve: n_pos, n_neg, roc_auc,
+    average_precision, pr_auc_trapezoid and, with ``threshold``, the
+    confusion counts of ``score > t`` (or ``>= t``).
 
-def metrics_from_curve(c: DataFrame, by: Sequence[str]) -> DataFrame:
-    """roc_auc, average_precision, pr_auc_trapezoid from a ranking curve."""
+    No group totals are joined back: AUC = (P*N - sum pos*cum_neg +
+    sum pos*neg/2) / (P*N) needs P and N only inside the same aggregation;
+    AP and the trapezoid area use the cumulative counts of each row."""
     by = list(by)
-    P = F.col("P").cast("double")
-    N = F.col("N").cast("double")
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     tp, fp = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
     prec = tp / (tp + fp)
     prev_den = tp - pos + fp - neg
     prev_prec = F.when(prev_den == 0, F.lit(1.0)).otherwise((tp - pos) / prev_den)
-    agg = c.groupBy(*by).agg(
-        F.first("P").alias("P"),
-        F.first("N").alias("N"),
-        F.sum(pos * (N - fp + 0.5 * neg)).alias("_auc_num"),
+    aggs = [
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
+        F.sum(pos * fp).alias("_pf"), F.sum(pos * neg).alias("_pn"),
         F.sum(pos * prec).alias("_ap_num"),
         F.sum(pos * (prec + prev_prec) / 2.0).alias("_tr_num"),
-    )
-    P = F.col("P").cast("double")
-    N = F.col("N").cast("double")
-    return agg.select(
-        *by,
-        F.col("P").alias("n_pos"), F.col("N").alias("n_neg"),
-        F.when((P > 0) & (N > 0), F.col("_auc_num") / (P * N)).alias("roc_auc"),
+    ]
+    if threshold is not None:
+        above = F.col("_score") >= threshold if inclusive else F.col("_score") > threshold
+        aggs += [F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"),
+                 F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp")]
+    agg = c.groupBy(*by).agg(*aggs)
+    P = F.col("n_pos").cast("double")
+    N = F.col("n_neg").cast("double")
+    cols = [
+        *by, "n_pos", "n_neg",
+        F.when((P > 0) & (N > 0), (P * N - F.col("_pf") + 0.5 * F.col("_pn")) / (P * N)).alias("roc_auc"),
         F.when(P > 0, F.col("_ap_num") / P).alias("average_precision"),
         F.when(P > 0, F.col("_tr_num") / P).alias("pr_auc_trapezoid"),
-    )
+    ]
+    if threshold is not None:
+        cols += ["tp", "fp", (F.col("n_pos") - F.col("tp")).alias("fn"), (F.col("n_neg") - F.col("fp")).alias("tn")]
+    return agg.select(*cols)
+
+
+def ranking_metrics(
+    df: DataFrame, by: Sequence[str], score: str, label: str,
+    n_buckets: int | None = DEFAULT_BUCKETS,
+) -> DataFrame:
+    """roc_auc (A8), average_precision (A9), pr_auc_trapezoid (A10) per group."""
+    return metrics_from_curve(ranking_curve(df, by, score, label, n_buckets), by)
 
 
 def roc_points(
     df: DataFrame, by: Sequence[str], score: str, label: str,
-    n_buckets: int = DEFAULT_BUCKETS,
+    n_buckets: int | None = DEFAULT_BUCKETS,
 ) -> DataFrame:
     """ROC curve table (A11): one row per group and distinct threshold with
     fpr / tpr of ``score >= threshold``; every threshold is kept."""
-    c = ranking_curve(df, by, score, label, n_buckets)
+    by = list(by)
+    counts = score_counts(df, by, score, label)
+    c = curve_from_counts(counts, by, n_buckets)
+    if by:
+        totals = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+        c = c.join(totals, by, "inner")
+    else:
+        # two numbers: brought back as literals, no join
+        t = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+        c = c.withColumn("P", F.lit(t["P"] or 0)).withColumn("N", F.lit(t["N"] or 0))
     return c.select(
         *by,
         F.col("_score").alias("threshold"),
@@ -187,25 +198,26 @@ def roc_points(
 def report7(df: DataFrame, by: Sequence[str], prob: str, label: str) -> DataFrame:
     """accuracy, precision, recall, f1, specificity, roc_auc, pr_auc.
 
-    Decisions are ``prob > 0.5``; pr_auc is average precision."""
+    Decisions are ``prob > 0.5``; pr_auc is average precision.  Everything
+    comes from one aggregation over the ranking curve (rows with a NULL / NaN
+    score or a label other than 0 / 1 are not counted)."""
     by = list(by)
-    cc = confusion_counts(df, by, prob, label, 0.5, inclusive=False)
+    r = metrics_from_curve(ranking_curve(df, by, prob, label), by, 0.5, inclusive=False)
     m = _threshold_columns(*(F.col(x) for x in ("tn", "fp", "fn", "tp")))
-    thr = cc.select(*by, *[v.alias(k) for k, v in m.items()])
-    rk = ranking_metrics(df, by, prob, label).select(
-        *by, "roc_auc", F.col("average_precision").alias("pr_auc"))
-    return thr.join(rk, by, "left") if by else thr.join(rk, how="left", on=F.lit(True))
+    return r.select(*by, *[v.alias(k) for k, v in m.items()], "roc_auc",
+                    F.col("average_precision").alias("pr_auc"))
 
 
 def report9(df: DataFrame, by: Sequence[str], prob: str, label: str) -> DataFrame:
     """auc, accuracy, se, sp, f1, pre, rec, err, mcc (A7); decisions ``>= 0.5``;
     se / sp rounded to 4 as in the reference, NULL for an empty class."""
     by = list(by)
-    cc = confusion_counts(df, by, prob, label, 0.5, inclusive=True)
+    r = metrics_from_curve(ranking_curve(df, by, prob, label), by, 0.5, inclusive=True)
     tn, fp, fn, tp = (F.col(x) for x in ("tn", "fp", "fn", "tp"))
     m = _threshold_columns(tn, fp, fn, tp)
-    thr = cc.select(
+    return r.select(
         *by,
+        F.col("roc_auc").alias("auc"),
         m["accuracy"].alias("accuracy"),
         F.round(_div(tp, tp + fn, None), 4).alias("se"),
         F.round(_div(tn, tn + fp, None), 4).alias("sp"),
@@ -215,9 +227,6 @@ def report9(df: DataFrame, by: Sequence[str], prob: str, label: str) -> DataFram
         (F.lit(1.0) - m["accuracy"]).alias("err"),
         mcc(tn, fp, fn, tp).alias("mcc"),
     )
-    rk = ranking_metrics(df, by, prob, label).select(*by, F.col("roc_auc").alias("auc"))
-    out = thr.join(rk, by, "left") if by else thr.join(rk, how="left", on=F.lit(True))
-    return out.select(*by, "auc", "accuracy", "se", "sp", "f1", "pre", "rec", "err", "mcc")
 
 
 # --------------------------------------------------------------------------

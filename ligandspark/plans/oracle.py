@@ -367,7 +367,7 @@ b AS (SELECT doc_id // 32 AS batch,
              avg({_bce('logit', 'coalesce(y, 0)')} * CASE WHEN mask <> 0 THEN 1.0 ELSE 0.0 END) AS loss,
              count(DISTINCT doc_id) AS nrows
       FROM dt GROUP BY doc_id // 32)
-SELECT count(*) AS n_batches, sum(nrows) AS n_rows, round(sum(loss * nrows), 6) AS total_loss FROM b
+SELECT count(*) AS n_batches, CAST(sum(nrows) AS BIGINT) AS n_rows, round(sum(loss * nrows), 6) AS total_loss FROM b
 """
 
 ORACLE["regression_masked"] = """

@@ -28,7 +28,10 @@ from ligandspark.plans.sizing import small_side
 
 DEFAULT_BUCKETS = None      # None: chosen from the plan's size estimate
 BUCKET_BYTES = 64 << 20     # about one bucket per 64 MB of scanned input
-MAX_BUCKETS = 1024
+MAX_BUCKETS = 1024          # per group when grouped (bounds: groups x buckets)
+MAX_BUCKETS_UNGROUPED = 8192   # a single group: the bounds are one row
+UNKNOWN_BUCKETS = 16           # when a leaf has no size statistics
+UNKNOWN_SIZE = 1 << 62         # Catalyst's "no statistics" default is Long.MaxValue
 FORCE_CONF = "ligandspark.scan.buckets"   # session setting forcing a bucket count
 
 
@@ -39,12 +42,15 @@ def estimated_bytes(df: DataFrame) -> int | None:
     their children's sizes and are no guide."""
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     except Exception:  # noqa: BLE001 - estimate unavailable
         return None
+    if any(x >= UNKNOWN_SIZE for x in sizes):   # e.g. an RDD-backed relation
+        return None
+    return sum(sizes)
 
 
-def choose_buckets(df: DataFrame, n_buckets: int | None) -> int:
+def choose_buckets(df: DataFrame, n_buckets: int | None, grouped: bool = True) -> int:
     """Explicit count, else the session override, else size based: 1 for
     inputs below ``BUCKET_BYTES`` (a plain window is then cheapest), up to
     ``MAX_BUCKETS`` ranges per group for large inputs."""
@@ -55,8 +61,9 @@ def choose_buckets(df: DataFrame, n_buckets: int | None) -> int:
         return int(forced)
     size = estimated_bytes(df)
     if size is None:
-        return 64
-    return int(max(1, min(MAX_BUCKETS, -(-size // BUCKET_BYTES))))
+        return UNKNOWN_BUCKETS
+    cap = MAX_BUCKETS if grouped else MAX_BUCKETS_UNGROUPED
+    return int(max(1, min(cap, -(-size // BUCKET_BYTES))))
 
 
 def _fracs(n_buckets: int) -> list[float]:
@@ -76,19 +83,22 @@ def assign_buckets(
     With ``descending`` bucket 0 holds the largest keys.
     """
     by = list(by)
-    n_buckets = choose_buckets(df, n_buckets)
+    n_buckets = choose_buckets(df, n_buckets, grouped=bool(by))
     if n_buckets <= 1:
         return df.withColumn("_bucket", F.lit(0))
     kcol = F.col(key).cast("double")
-    bounds = df.groupBy(*by).agg(
-        F.percentile_approx(kcol, _fracs(n_buckets), accuracy).alias("_bounds")
-    ) if by else df.agg(F.percentile_approx(kcol, _fracs(n_buckets), accuracy).alias("_bounds"))
-    # one row per group: broadcast after a size check
-    bounds = small_side(bounds.withColumn("_bounds", F.array_distinct("_bounds")))
+    fr = _fracs(n_buckets)
     if by:
+        bounds = df.groupBy(*by).agg(F.percentile_approx(kcol, fr, accuracy).alias("_bounds"))
+        # one row per group: broadcast after a size check
+        bounds = small_side(bounds.withColumn("_bounds", F.array_distinct("_bounds")))
         joined = df.join(bounds, by, "inner")
     else:
-        joined = df.join(bounds, how="inner", on=F.lit(True))
+        # a single group: its boundaries are n_buckets - 1 numbers, brought
+        # back and used as a literal array (no join)
+        row = df.agg(F.percentile_approx(kcol, fr, accuracy).alias("b")).first()
+        vals = sorted(set(row["b"] or []))
+        joined = df.withColumn("_bounds", F.array(*[F.lit(float(v)) for v in vals]).cast("array<double>"))
     k = F.col(key).cast("double")
     if descending:
         b = F.size(F.filter("_bounds", lambda x: x > k))
@@ -120,7 +130,7 @@ def prefix_scan(
     distinct keys first when they need tie-exact results.
     """
     by = list(by)
-    n_buckets = choose_buckets(df, n_buckets)
+    n_buckets = choose_buckets(df, n_buckets, grouped=bool(by))
     if n_buckets <= 1:
         return _plain_scan(df, by, key, tiebreak, sums, maxes, mins, row_number, descending, inclusive)
     df = assign_buckets(df, by, key, n_buckets, descending)

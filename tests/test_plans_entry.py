@@ -24,3 +24,12 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) == 3 and "roc_auc" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_no_cartesian_in_ungrouped_report_and_knn(spark, buckets):
+    from ligandspark.operators import knn as K
+    d = spark.range(300).select(F.col("id"), (F.rand(2)).alias("p"), (F.col("id") % 3 == 0).cast("int").alias("y"),
+                                F.array(F.rand(3), F.rand(4)).alias("f"), (F.col("id") % 3).alias("fold"))
+    for df in (M.report9(d, [], "p", "y"), K.knn_neighbours(d, "id", "f", 3, "y", "fold", block_rows=64)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
