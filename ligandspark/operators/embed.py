@@ -127,3 +127,64 @@ def residue_trigram_encoder(dim: int = DEFAULT_DIM) -> Callable[[pd.Series], lis
         return out
 
     return enc
+
+
+def _observed(df: DataFrame, name: str) -> tuple[DataFrame, object]:
+    """Attach a failure counter (P4) that is filled when the job runs."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    return df.observe(obs, F.count_if(F.col("features").isNull()).alias("failed"),
+                      F.count(F.lit(1)).alias("rows")), obs
+
+
+def featurize_smiles(df: DataFrame, id_col: str, smiles_col: str, out_path: str | None = None,
+                     encoder: Callable[[pd.Series], list] | None = None, dim: int = DEFAULT_DIM,
+                     prefix: str = "k_bert_", fmt: str = "parquet"):
+    """B1: per row cut -> tokenize -> encode -> embed; failures are counted
+    over all splits (P4, via ``observe``) and dropped (P3); the kept rows are
+    written per split (S5; CSV gets numbered wide columns, P2).
+
+    ``encoder=None`` uses the hashed n-gram vector of the cut token sequence
+    (not a pretrained model); a callable gets the cut SMILES strings.
+    Returns (kept rows, quarantined rows, observation)."""
+    from ligandspark.functions import sequences as S
+    base = df.withColumn("_cut", S.cut_smiles(F.col(smiles_col)))
+    if encoder is None:
+        toks = base.select(id_col, S.smiles_tokens(F.col("_cut")).alias("_tok"))
+        vec = hashed_ngram_vectors(toks, id_col, "_tok", dim)
+        emb = base.drop("_cut").join(vec, id_col, "left").withColumn(
+            "error", F.when(F.col("features").isNull(), F.lit("no tokens to embed")))
+    else:
+        out = embed_with_callable(base, id_col, "_cut", encoder, dim)
+        emb = base.drop("_cut").join(out, id_col, "left")
+    emb, obs = _observed(emb, "smiles_failures")
+    good, bad = split_quarantine(emb)
+    if out_path:
+        from ligandspark.sources.io import write_feature_table
+        write_feature_table(good.drop("error"), out_path, "features", prefix=prefix, width=dim, fmt=fmt)
+    return good, bad, obs
+
+
+def featurize_protein(df: DataFrame, id_col: str, seq_col: str, out_path: str | None = None,
+                      encoder: Callable[[pd.Series], list] | None = None, dim: int = DEFAULT_DIM,
+                      prefix: str = "ProstT5_", fmt: str = "parquet"):
+    """B2: prepared protein strings (F7 + F8) -> encoder -> quarantine ->
+    optional write.  The default encoder is the hashed n-gram vector of the
+    residues (not a pretrained model)."""
+    from ligandspark.functions import sequences as S
+    base = df.withColumn("_prep", S.protein_prepare(F.col(seq_col)))
+    if encoder is None:
+        toks = base.select(id_col, F.split(F.regexp_replace(F.col(seq_col), S.RARE_RESIDUES, "X"), "").alias("_tok"))
+        toks = toks.withColumn("_tok", F.filter("_tok", lambda t: t != ""))
+        vec = hashed_ngram_vectors(toks, id_col, "_tok", dim)
+        emb = base.drop("_prep").join(vec, id_col, "left").withColumn(
+            "error", F.when(F.col("features").isNull(), F.lit("empty sequence")))
+    else:
+        out = embed_with_callable(base, id_col, "_prep", encoder, dim)
+        emb = base.drop("_prep").join(out, id_col, "left")
+    emb, obs = _observed(emb, "protein_failures")
+    good, bad = split_quarantine(emb)
+    if out_path:
+        from ligandspark.sources.io import write_feature_table
+        write_feature_table(good.drop("error"), out_path, "features", prefix=prefix, width=dim, fmt=fmt)
+    return good, bad, obs
