@@ -85,6 +85,12 @@ def cut_smiles(s: Column, max_tokens: int = MAX_TOKENS) -> Column:
     return F.when(F.size(smiles_tokens(s)) > max_tokens, middle_chars(s, max_tokens)).otherwise(s)
 
 
+def cut_tokens(s: Column, tokens: Column, max_tokens: int = MAX_TOKENS) -> Column:
+    """Tokens of ``cut_smiles(s)`` given the already computed ``tokens`` of
+    ``s``: the whole text is tokenized once, the middle part only when cut."""
+    return F.when(F.size(tokens) > max_tokens, smiles_tokens(middle_chars(s, max_tokens))).otherwise(tokens)
+
+
 def padded_tokens(tokens: Column, max_tokens: int = MAX_TOKENS) -> Column:
     """``[GLO]`` + tokens + ``[PAD]`` up to ``max_tokens + 1`` entries."""
     n_pad = F.greatest(F.lit(max_tokens) - F.size(tokens), F.lit(0))

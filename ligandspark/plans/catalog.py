@@ -79,7 +79,8 @@ def smiles_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def smiles_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir).withColumn("tok", S.smiles_tokens(F.col("text")))
-    d = d.withColumn("cut", S.cut_smiles(F.col("text"))).withColumn("ctok", S.smiles_tokens(F.col("cut")))
+    d = d.withColumn("cut", F.when(F.size("tok") > S.MAX_TOKENS, S.middle_chars(F.col("text"))).otherwise(F.col("text")))
+    d = d.withColumn("ctok", S.cut_tokens(F.col("text"), F.col("tok")))
     return d.select(
         "doc_id",
         F.size("tok").cast("long").alias("n_tokens"),
@@ -93,7 +94,7 @@ def smiles_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _encoded(spark, sf_dir):
     d = _docs(spark, sf_dir)
     d = d.withColumn("tok", S.smiles_tokens(F.col("text")))
-    d = d.withColumn("ctok", S.smiles_tokens(S.cut_smiles(F.col("text"))))
+    d = d.withColumn("ctok", S.cut_tokens(F.col("text"), F.col("tok")))
     # seq is referenced several times below, so the optimizer keeps it as one
     # projection instead of inlining (and recomputing) it
     d = d.withColumn("seq", S.canonical_tokens(S.padded_tokens(F.col("ctok"))))
@@ -120,7 +121,7 @@ def smiles_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def atom_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ct = _docs(spark, sf_dir).select("doc_id", S.smiles_tokens(S.cut_smiles(F.col("text"))).alias("ctok"))
+    ct = _cut_tokens(spark, sf_dir)
     enc = S.encode_tokens_long(ct, "doc_id", "ctok")
     return enc.where(F.col("atom") == 1).select("doc_id", F.col("pos").alias("atom_pos"), "token_id")
 
@@ -153,8 +154,8 @@ EMBED_DIM = 64
 
 
 def _cut_tokens(spark, sf_dir):
-    return _docs(spark, sf_dir).select(
-        "doc_id", S.smiles_tokens(S.cut_smiles(F.col("text"))).alias("ctok"))
+    d = _docs(spark, sf_dir).withColumn("tok", S.smiles_tokens(F.col("text")))
+    return d.select("doc_id", S.cut_tokens(F.col("text"), F.col("tok")).alias("ctok"))
 
 
 @register
