@@ -7,7 +7,8 @@ one group can hold a third of all rows that task is the whole job.
 ``prefix_scan`` splits every group into ``n_buckets`` contiguous key ranges
 taken from per-group approximate quantiles:
 
-1. ``percentile_approx`` per group -> bucket boundaries (one small row per group)
+1. groups with more than ``HOT_ROWS`` rows (hot groups) get boundaries from
+   ``percentile_approx``; all other groups stay one range
 2. bucket id = number of boundaries <= key (equal keys share one bucket, so
    ties never straddle a bucket edge; boundaries only affect balance, never
    the result)
@@ -32,6 +33,7 @@ MAX_BUCKETS = 1024          # per group when grouped (bounds: groups x buckets)
 MAX_BUCKETS_UNGROUPED = 8192   # a single group: the bounds are one row
 UNKNOWN_BUCKETS = 16           # when a leaf has no size statistics
 UNKNOWN_SIZE = 1 << 62         # Catalyst's "no statistics" default is Long.MaxValue
+HOT_ROWS = 1_000_000           # groups above this many rows are split into ranges
 FORCE_CONF = "ligandspark.scan.buckets"   # session setting forcing a bucket count
 
 
@@ -89,10 +91,18 @@ def assign_buckets(
     kcol = F.col(key).cast("double")
     fr = _fracs(n_buckets)
     if by:
-        bounds = df.groupBy(*by).agg(F.percentile_approx(kcol, fr, accuracy).alias("_bounds"))
-        # one row per group: broadcast after a size check
+        # Only hot groups (more than HOT_ROWS rows) are split: their keys form
+        # a table of at most n / HOT_ROWS rows, and only they get boundaries,
+        # so the bounds stay small even with millions of groups.
+        forced = df.sparkSession.conf.get(FORCE_CONF, None)
+        hot_rows = 0 if forced else HOT_ROWS
+        counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_cnt"))
+        hot = small_side(counts.where(F.col("_cnt") > hot_rows).select(*by))
+        bounds = (df.join(hot, by, "left_semi").groupBy(*by)
+                  .agg(F.percentile_approx(kcol, fr, accuracy).alias("_bounds")))
         bounds = small_side(bounds.withColumn("_bounds", F.array_distinct("_bounds")))
-        joined = df.join(bounds, by, "inner")
+        joined = df.join(bounds, by, "left").withColumn(
+            "_bounds", F.coalesce(F.col("_bounds"), F.array().cast("array<double>")))
     else:
         # a single group: its boundaries are n_buckets - 1 numbers, brought
         # back and used as a literal array (no join)

@@ -93,3 +93,23 @@ def test_regression_metrics(spark):
     assert r["n"] == 2 and r["l1_mean"] == pytest.approx(0.25) and r["mse"] == pytest.approx(0.125)
     with pytest.raises(ValueError):
         M.compute_metric(d, "accuracy")
+
+
+def test_only_hot_groups_split(spark, monkeypatch):
+    """Grouped scan with the real hot-group rule: one group above the row
+    threshold is split into ranges, the small ones are not; results exact."""
+    from ligandspark.plans import scan
+    monkeypatch.setattr(scan, "HOT_ROWS", 100)
+    rng = np.random.RandomState(9)
+    n = 400
+    g = [0 if i < 250 else int(rng.randint(1, 6)) for i in range(n)]
+    s = list(np.round(rng.rand(n), 2))
+    y = [int(v) for v in (rng.rand(n) < 0.4)]
+    d = _df(spark, s, y, g)
+    counts = M.score_counts(d, ["g"], "p", "y")
+    res = {r["g"]: r for r in M.metrics_from_curve(M.curve_from_counts(counts, ["g"], n_buckets=6), ["g"]).collect()}
+    for key in set(g):
+        ss = [a for a, k in zip(s, g) if k == key]
+        yy = [b for b, k in zip(y, g) if k == key]
+        assert res[key]["roc_auc"] == pytest.approx(_brute_auc(ss, yy), abs=1e-12)
+        assert res[key]["average_precision"] == pytest.approx(_brute_ap(ss, yy), abs=1e-12)
