@@ -103,10 +103,15 @@ def test_only_hot_groups_split(spark, monkeypatch):
     rng = np.random.RandomState(9)
     n = 400
     g = [0 if i < 250 else int(rng.randint(1, 6)) for i in range(n)]
-    s = list(np.round(rng.rand(n), 2))
+    s = list(np.round(rng.rand(n), 3))      # > 100 distinct scores in group 0, some ties
     y = [int(v) for v in (rng.rand(n) < 0.4)]
     d = _df(spark, s, y, g)
     counts = M.score_counts(d, ["g"], "p", "y")
+    per = {r["g"]: r["c"] for r in counts.groupBy("g").agg(F.count(F.lit(1)).alias("c")).collect()}
+    assert per[0] > 100 and all(v <= 100 for k, v in per.items() if k != 0)
+    b = scan.assign_buckets(counts, ["g"], "_score", 6)
+    nb = {r["g"]: r["nb"] for r in b.groupBy("g").agg(F.countDistinct("_bucket").alias("nb")).collect()}
+    assert nb[0] > 1 and all(v == 1 for k, v in nb.items() if k != 0)
     res = {r["g"]: r for r in M.metrics_from_curve(M.curve_from_counts(counts, ["g"], n_buckets=6), ["g"]).collect()}
     for key in set(g):
         ss = [a for a, k in zip(s, g) if k == key]
