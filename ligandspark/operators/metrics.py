@@ -95,14 +95,19 @@ def score_counts(df: DataFrame, by: Sequence[str], score: str, label: str) -> Da
     NULL and NaN scores are dropped (Spark orders NaN above every number).
     """
     s = F.col(score).cast("double")
-    return (
-        df.where(s.isNotNull() & ~F.isnan(s) & F.col(label).isin(0, 1))
+    g = (
+        df.where(F.col(label).isin(0, 1))
         .groupBy(*by, s.alias("_score"))
         .agg(
             F.count_if(F.col(label) == 1).cast("long").alias("pos"),
             F.count_if(F.col(label) == 0).cast("long").alias("neg"),
+            F.max((s.isNotNull() & ~F.isnan(s)).cast("int")).alias("_ok"),
         )
     )
+    # Validity is filtered as an aggregate output: a filter on the score
+    # itself would be pushed below the aggregation and below repartitions,
+    # to where an expensive score is first computed (one task per scan split).
+    return g.where(F.col("_ok") == 1).drop("_ok")
 
 
 def ranking_curve(
