@@ -194,3 +194,22 @@ def encode_tokens_long(df, id_col: str, tokens: str, max_tokens: int = MAX_TOKEN
     atom = F.coalesce(F.col("is_atom"), F.when(bracket, F.lit(1)).otherwise(F.lit(0)))
     return j.select(id_col, F.col("pos").cast("int").alias("pos"), tid.cast("int").alias("token_id"),
                     atom.cast("int").alias("atom"))
+
+
+def encode_ids(tokens: Column, max_tokens: int = MAX_TOKENS) -> Column:
+    """F4 in one pass: ids of ``[GLO] + tokens + [PAD]...``, unknown bracket
+    tokens -> the other-atom id, other unknowns -> the other-token id (one
+    map lookup per token).  Not length-checked; see :func:`ids_of` / P10."""
+    vm = _vocab_map()
+    other_atom, other_token = VOCAB.index(OTHER_ATOM), VOCAB.index(OTHER_TOKEN)
+    return F.transform(
+        padded_tokens(tokens, max_tokens),
+        lambda t: F.coalesce(F.element_at(vm, t),
+                             F.when(F.instr(t, "[") > 0, F.lit(other_atom)).otherwise(F.lit(other_token))))
+
+
+def mask_from_ids(ids: Column) -> Column:
+    """F5 from ids: an O(1) index into a per-id atom flag array."""
+    atoms = set(ATOM_TOKENS)
+    flags = F.array(*[F.lit(1 if t in atoms else 0) for t in VOCAB])
+    return F.transform(ids, lambda i: F.element_at(flags, i + 1))

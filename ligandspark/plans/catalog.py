@@ -45,7 +45,7 @@ REPORT9 = ["auc", "accuracy", "se", "sp", "f1", "pre", "rec", "err", "mcc"]
 def centroid_cv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = T.embeddings(spark, sf_dir).select("vec_id", "features", "y")
     folded = folds_op(emb, "y", "vec_id", n_folds=3, shuffle=False).persist()
-    scored = fold_centroid_scores(folded, "fold", "y", "features").persist()
+    scored = fold_centroid_scores(folded, "fold", "y", "features")
     rep = M.report7(scored, ["fold"], "p", "y")
     return rounded(rep, ["fold"])
 
@@ -95,14 +95,10 @@ def _encoded(spark, sf_dir):
     d = _docs(spark, sf_dir)
     d = d.withColumn("tok", S.smiles_tokens(F.col("text")))
     d = d.withColumn("ctok", S.cut_tokens(F.col("text"), F.col("tok")))
-    # seq is referenced several times below, so the optimizer keeps it as one
-    # projection instead of inlining (and recomputing) it
-    d = d.withColumn("seq", S.canonical_tokens(S.padded_tokens(F.col("ctok"))))
-    return d.select(
-        "doc_id", "tok", "ctok", "seq",
-        S.ids_of(F.col("seq")).alias("ids"),
-        S.mask_of(F.col("seq")).alias("mask"),
-    )
+    # ids are referenced several times below, so the optimizer keeps them as
+    # one projection instead of inlining (and recomputing) them
+    d = d.withColumn("ids", S.encode_ids(F.col("ctok")))
+    return d.select("doc_id", "tok", "ctok", "ids", S.mask_from_ids(F.col("ids")).alias("mask"))
 
 
 @register
@@ -110,12 +106,14 @@ def smiles_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _encoded(spark, sf_dir)
     return e.select(
         "doc_id",
-        S.token_ids(F.col("tok")).isNotNull().alias("valid_raw"),
-        F.col("ids").isNotNull().alias("valid"),
+        # P10 on the uncut text: the padded sequence has 201 entries exactly
+        # when the text has at most 200 tokens
+        S.fits(F.col("tok")).alias("valid_raw"),
+        (F.size("ids") == S.MAX_TOKENS + 1).alias("valid"),
         F.aggregate("mask", F.lit(0), lambda a, m: a + m).cast("long").alias("n_atoms"),
-        F.size(F.filter("seq", lambda t: t == S.OTHER_ATOM)).cast("long").alias("n_other_atom"),
-        F.size(F.filter("seq", lambda t: t == S.OTHER_TOKEN)).cast("long").alias("n_other_token"),
-        F.md5(F.array_join("ids", ",")).alias("ids_md5"),
+        F.size(F.filter("ids", lambda i: i == S.VOCAB.index(S.OTHER_ATOM))).cast("long").alias("n_other_atom"),
+        F.size(F.filter("ids", lambda i: i == S.VOCAB.index(S.OTHER_TOKEN))).cast("long").alias("n_other_token"),
+        F.md5(F.array_join(F.when(F.size("ids") == S.MAX_TOKENS + 1, F.col("ids")), ",")).alias("ids_md5"),
     )
 
 

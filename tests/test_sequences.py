@@ -53,3 +53,12 @@ def test_protein_prepare(spark):
         v = _one(spark, s, S.protein_prepare)
         assert v.startswith("<fold2AA> ")
         assert v[len("<fold2AA> "):] == " ".join(list(s))
+
+
+def test_one_pass_encoding_matches(spark):
+    rows = [("BrB[nH]xyzK",), ("[13CH4]%12Br.Cl",), ("[2H]C#N",), ("",), ("c1ccccc1O[Se]pb",)]
+    df = spark.createDataFrame(rows, "s string").withColumn("tok", S.smiles_tokens(F.col("s")))
+    out = df.select(S.token_ids(F.col("tok")).alias("a"), S.encode_ids(F.col("tok")).alias("b"),
+                    S.atom_mask(F.col("tok")).alias("m1"), S.mask_from_ids(S.encode_ids(F.col("tok"))).alias("m2"))
+    for r in out.collect():
+        assert r["a"] == r["b"] and r["m1"] == r["m2"]
