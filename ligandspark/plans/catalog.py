@@ -736,3 +736,27 @@ def wavelet_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = TR.fit_weighted(tr, "basis", "y", w)
     preds = TR.score(e.where(F.col("split") == "test"), model, "basis").withColumn("g", F.lit(1))
     return rounded(M.report7(preds, ["g"], "p", "y").drop("g"), [])
+
+
+# ---------------------------------------------------------------------------
+# Prediction accumulation as a stream
+# ---------------------------------------------------------------------------
+
+from ligandspark.streaming import accumulate as ST  # noqa: E402
+
+
+@register
+def streaming_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored events arrive as monthly batches (files in the shared scratch
+    folder); a Structured Streaming job takes one file per micro-batch and
+    accumulates score counts; the metrics per fold come from the counts."""
+    ev = T.scored_events(spark, sf_dir)
+    root = scratch_path(spark, "meter")
+    preds = ev.select(F.lit("events").alias("run"), F.col("fold").cast("string").alias("task"), "logit",
+                      F.col("y").cast("double").alias("y"), F.lit(1.0).alias("mask"),
+                      F.date_format("ts", "yyyy-MM").alias("month"))
+    preds.repartition("month").write.partitionBy("month").parquet(f"{root}/src")
+    q = ST.start_accumulator(spark, f"{root}/src", f"{root}/sink", f"{root}/ck", max_files_per_trigger=1)
+    q.awaitTermination()
+    m = ST.accumulated_metrics(spark, f"{root}/sink")
+    return rounded(m.select("task", "roc_auc", "average_precision", "pr_auc_trapezoid"), ["task"])

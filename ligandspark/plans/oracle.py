@@ -707,3 +707,9 @@ ORACLE["wavelet_stack"] = f"""
 WITH {X0}, {_layer_sql('l1', 'x0', _L1, 'mexican_hat', 64)}, {_layer_sql('l2', 'l1', _L2, 'dog', 8)}
 SELECT vec_id, CAST(i AS INTEGER) AS j, round(v, 6) AS value FROM l2
 """
+
+ORACLE["streaming_meter"] = f"""
+WITH {EV}, rk AS ({ranking_sql('ev', 'fold')})
+SELECT CAST(fold AS VARCHAR) AS task, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision,
+       round(pr_auc_trapezoid, 6) AS pr_auc_trapezoid FROM rk
+"""

@@ -29,13 +29,17 @@ def batch_counts(batch: DataFrame) -> DataFrame:
 
 
 def start_accumulator(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                      schema: str = PREDICTION_SCHEMA, available_now: bool = True):
+                      schema: str = PREDICTION_SCHEMA, available_now: bool = True,
+                      max_files_per_trigger: int | None = None):
     """Start the stream; with ``available_now`` it processes what is there and stops."""
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
         batch_counts(df).write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch_id={batch_id}")
 
-    w = (spark.readStream.schema(schema).parquet(source_dir).writeStream
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    w = (r.parquet(source_dir).writeStream
          .foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
