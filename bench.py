@@ -29,7 +29,7 @@ HEADLINE = [
     "early_stop", "running_best", "best_epoch",
     "variant_consensus", "batch_diversity", "tta_ensemble", "adaptive_pool",
     "knn_vote", "subset_cost", "cosine_pairs",
-    "wavelet_values", "wavelet_stack",
+    "wavelet_values", "wavelet_stack", "streaming_meter",
 ]
 
 
