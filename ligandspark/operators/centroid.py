@@ -1,8 +1,8 @@
 """Per-fold standardization and nearest-class-centroid scoring.
 
 For every fold ``f`` the scaler and the two class centroids are fitted on the
-rows of the *other* folds.  All of it comes from one aggregation of
-``(fold, y, dim) -> (n, sum x, sum x^2)``: the statistics of "all folds but f"
+rows of the *other* folds.  All of it comes from one vector aggregation per
+``(fold, y)`` (count, sum and L2 norm per dimension): the statistics of "all folds but f"
 are totals minus fold f, so no fold is materialized twice.  The statistics
 are folds x classes x dims numbers (bounded by parameters and the feature
 width), brought to the driver and put back as literal arrays; scoring is a
@@ -12,6 +12,8 @@ narrow JVM map over the feature arrays.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +35,22 @@ def fold_centroid_scores(df: DataFrame, fold: str = "fold", y: str = "y",
     """Adds ``logit`` = d(z, c_neg)^2 - d(z, c_pos)^2 and ``p`` = sigmoid(logit),
     where z is the row standardized with the statistics of its training folds
     and c_* the class centroids of those training rows (standardized)."""
-    stats = (
-        df.select(fold, y, F.posexplode(features).alias("dim", "x"))
-        .groupBy(fold, y, "dim")
-        .agg(F.count("x").alias("n"), F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2"))
-    )
-    rows = collect_small(stats)
+    # one vector aggregate per (fold, class): count, sums and L2 norms (sum of
+    # squares) of every dimension, without exploding the feature arrays into
+    # n x d rows.  Features must be NaN-free here (the train-fit standardizer,
+    # which must skip NaN per element, keeps the exploded form).
+    summ = Summarizer.metrics("count", "sum", "normL2")
+    stats = (df.select(fold, y, array_to_vector(F.col(features)).alias("_v"))
+             .groupBy(fold, y).agg(summ.summary(F.col("_v")).alias("_s")))
+    rows = collect_small(stats.select(fold, y, F.col("_s.count").alias("n"),
+                                      vector_to_array(F.col("_s.sum")).alias("s1"),
+                                      vector_to_array(F.col("_s.normL2")).alias("l2")))
     folds = sorted({r[fold] for r in rows})
-    d = 1 + max(r["dim"] for r in rows)
+    d = len(rows[0]["s1"])
     acc = {}
     for r in rows:
-        acc.setdefault((r[fold], r[y]), np.zeros((3, d)))[:, r["dim"]] = (r["n"], r["s1"], r["s2"])
+        acc[(r[fold], r[y])] = np.vstack([np.full(d, float(r["n"])), np.asarray(r["s1"]),
+                                          np.asarray(r["l2"]) ** 2])
     tot = {c: sum(v for (f, cc), v in acc.items() if cc == c) for c in (0, 1)}
     mu, sd, cpos, cneg = {}, {}, {}, {}
     for f in folds:
