@@ -25,6 +25,11 @@ from pyspark.sql import types as T
 
 DEFAULT_DIM = 64
 
+# Prefixes of the numbered wide columns of feature tables
+# (compatible with existing wide CSV feature files).
+SMILES_FEATURE_PREFIX = "k_bert_"
+PROTEIN_FEATURE_PREFIX = "ProstT5_"
+
 
 def hash_bucket(t: Column, dim: int) -> Column:
     """Bucket of a token: first 8 hex digits of md5, modulo ``dim``."""
@@ -139,7 +144,7 @@ def _observed(df: DataFrame, name: str) -> tuple[DataFrame, object]:
 
 def featurize_smiles(df: DataFrame, id_col: str, smiles_col: str, out_path: str | None = None,
                      encoder: Callable[[pd.Series], list] | None = None, dim: int = DEFAULT_DIM,
-                     prefix: str = "k_bert_", fmt: str = "parquet"):
+                     prefix: str = SMILES_FEATURE_PREFIX, fmt: str = "parquet"):
     """B1: per row cut -> tokenize -> encode -> embed; failures are counted
     over all splits (P4, via ``observe``) and dropped (P3); the kept rows are
     written per split (S5; CSV gets numbered wide columns, P2).
@@ -167,7 +172,7 @@ def featurize_smiles(df: DataFrame, id_col: str, smiles_col: str, out_path: str
 
 def featurize_protein(df: DataFrame, id_col: str, seq_col: str, out_path: str | None = None,
                       encoder: Callable[[pd.Series], list] | None = None, dim: int = DEFAULT_DIM,
-                      prefix: str = "ProstT5_", fmt: str = "parquet"):
+                      prefix: str = PROTEIN_FEATURE_PREFIX, fmt: str = "parquet"):
     """B2: prepared protein strings (F7 + F8) -> encoder -> quarantine ->
     optional write.  The default encoder is the hashed n-gram vector of the
     residues (not a pretrained model)."""
