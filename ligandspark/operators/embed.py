@@ -144,7 +144,8 @@ def _observed(df: DataFrame, name: str) -> tuple[DataFrame, object]:
 
 def featurize_smiles(df: DataFrame, id_col: str, smiles_col: str, out_path: str | None = None,
                      encoder: Callable[[pd.Series], list] | None = None, dim: int = DEFAULT_DIM,
-                     prefix: str = SMILES_FEATURE_PREFIX, fmt: str = "parquet"):
+                     prefix: str = SMILES_FEATURE_PREFIX, fmt: str = "parquet",
+                     layout: str = "split_files"):
     """B1: per row cut -> tokenize -> encode -> embed; failures are counted
     over all splits (P4, via ``observe``) and dropped (P3); the kept rows are
     written per split (S5; CSV gets numbered wide columns, P2).
@@ -166,13 +167,15 @@ def featurize_smiles(df: DataFrame, id_col: str, smiles_col: str, out_path: str
     good, bad = split_quarantine(emb)
     if out_path:
         from ligandspark.sources.io import write_feature_table
-        write_feature_table(good.drop("error"), out_path, "features", prefix=prefix, width=dim, fmt=fmt)
+        write_feature_table(good.drop("error"), out_path, "features", prefix=prefix, width=dim, fmt=fmt,
+                            layout=layout)
     return good, bad, obs
 
 
 def featurize_protein(df: DataFrame, id_col: str, seq_col: str, out_path: str | None = None,
                       encoder: Callable[[pd.Series], list] | None = None, dim: int = DEFAULT_DIM,
-                      prefix: str = PROTEIN_FEATURE_PREFIX, fmt: str = "parquet"):
+                      prefix: str = PROTEIN_FEATURE_PREFIX, fmt: str = "parquet",
+                      layout: str = "split_files"):
     """B2: prepared protein strings (F7 + F8) -> encoder -> quarantine ->
     optional write.  The default encoder is the hashed n-gram vector of the
     residues (not a pretrained model)."""
@@ -191,5 +194,6 @@ def featurize_protein(df: DataFrame, id_col: str, seq_col: str, out_path: str |
     good, bad = split_quarantine(emb)
     if out_path:
         from ligandspark.sources.io import write_feature_table
-        write_feature_table(good.drop("error"), out_path, "features", prefix=prefix, width=dim, fmt=fmt)
+        write_feature_table(good.drop("error"), out_path, "features", prefix=prefix, width=dim, fmt=fmt,
+                            layout=layout)
     return good, bad, obs

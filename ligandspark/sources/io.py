@@ -33,8 +33,17 @@ def feature_schema(keys: Sequence[tuple[str, T.DataType]], prefix: str, n: int,
 
 
 def read_split_pair(spark: SparkSession, path: str, schema: T.StructType,
-                    splits: Sequence[str] = SPLITS, fmt: str = "csv") -> DataFrame:
-    """Both splits with header, a ``split`` column, unioned by name."""
+                    splits: Sequence[str] = SPLITS, fmt: str = "csv", layout: str = "split_files") -> DataFrame:
+    """Both splits with header, a ``split`` column, unioned by name.
+
+    ``layout="split_files"`` reads ``<path>/train.<fmt>`` and
+    ``<path>/test.<fmt>``; ``layout="partitioned"`` reads one ``split=...``
+    partitioned table (a filter on ``split`` then prunes partitions)."""
+    if layout == "partitioned":
+        full = T.StructType(schema.fields + [T.StructField("split", T.StringType())])
+        r = spark.read.schema(full)
+        df = r.option("header", True).csv(path) if fmt == "csv" else r.parquet(path)
+        return df.where(F.col("split").isin(*splits))
     out = None
     for sp in splits:
         r = spark.read.schema(schema)
@@ -86,9 +95,19 @@ def read_numbered_features(spark: SparkSession, path: str, length: int, prefix:
 
 
 def write_feature_table(df: DataFrame, path: str, features: str = "features", prefix: str | None = None,
-                        width: int | None = None, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """One output per split (``<path>/<split>.<fmt>``); CSV gets numbered
-    wide columns (P2) with a header and no index column."""
+                        width: int | None = None, fmt: str = "parquet", mode: str = "overwrite",
+                        layout: str = "split_files") -> None:
+    """CSV gets numbered wide columns (P2) with a header and no index column.
+
+    ``layout="partitioned"`` writes one table partitioned by ``split`` in a
+    single pass over ``df`` (the choice for large inputs);
+    ``layout="split_files"`` writes ``<path>/<split>.<fmt>``, the split-pair
+    layout of existing feature files, one filtered pass per split."""
+    if layout == "partitioned":
+        out = to_wide(df, features, prefix, width) if fmt == "csv" else df
+        w = out.write.mode(mode).partitionBy("split")
+        w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path)
+        return
     splits = [r["split"] for r in df.select("split").distinct().collect()]  # a handful of values
     for sp in splits:
         part = df.where(F.col("split") == sp).drop("split")

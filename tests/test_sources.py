@@ -46,3 +46,14 @@ def test_numbered_features_and_sinks(spark):
     pred = spark.createDataFrame([("CCO", 0.7, 1, 0.9)], "smiles string, prediction double, label int, cos_similarity double")
     IO.write_predictions(pred, os.path.join(root, "pred"))
     assert spark.read.option("header", True).csv(os.path.join(root, "pred")).count() == 1
+
+
+def test_partitioned_layout_single_pass(spark):
+    root = tempfile.mkdtemp(prefix="ls-part-")
+    df = spark.createDataFrame([(1, "train", [1.0, 2.0]), (2, "test", [3.0, 4.0]), (3, "train", [5.0, 6.0])],
+                               "row_id int, split string, features array<double>")
+    out = os.path.join(root, "wide")
+    IO.write_feature_table(df, out, "features", prefix="f_", width=2, fmt="csv", layout="partitioned")
+    schema = IO.feature_schema([("row_id", T.IntegerType())], "f_", 2, label=None)
+    back = IO.read_split_pair(spark, out, schema, splits=("train",), layout="partitioned")
+    assert sorted((r["row_id"], r["f_2"], r["split"]) for r in back.collect()) == [(1, 2.0, "train"), (3, 6.0, "train")]
