@@ -90,3 +90,18 @@ def test_wavelet_limits(spark):
     assert sh == 1.0
     with pytest.raises(ValueError):
         W.wavelet("haar", F.col("x"))
+
+
+def test_tta_positional_blocks(spark):
+    """Copies laid out as aug_times consecutive blocks of n samples; the
+    ensemble averages logits, labels and masks per sample, then sigmoid."""
+    from ligandspark.operators.ensemble import positional_sample, tta_ensemble
+    n, aug = 3, 2
+    logits = [0.0, 1.0, -1.0, 2.0, 3.0, 1.0]          # block 0 then block 1
+    rows = [(i, logits[i], 1.0 if i % n == 1 else 0.0, 1.0) for i in range(n * aug)]
+    df = spark.createDataFrame(rows, "pos long, logit double, y double, mask double")
+    df = df.withColumn("sample", positional_sample(F.col("pos"), n))
+    got = {r["sample"]: r for r in tta_ensemble(df, "sample").collect()}
+    assert got[0]["logit"] == pytest.approx(1.0) and got[1]["logit"] == pytest.approx(2.0)
+    assert got[2]["logit"] == pytest.approx(0.0) and got[2]["p"] == pytest.approx(0.5)
+    assert got[1]["mean_y"] == 1.0 and got[0]["n_copies"] == 2
