@@ -105,3 +105,19 @@ def test_tta_positional_blocks(spark):
     assert got[0]["logit"] == pytest.approx(1.0) and got[1]["logit"] == pytest.approx(2.0)
     assert got[2]["logit"] == pytest.approx(0.0) and got[2]["p"] == pytest.approx(0.5)
     assert got[1]["mean_y"] == 1.0 and got[0]["n_copies"] == 2
+
+
+def test_select_features_with_spark_objective(spark):
+    from ligandspark.operators.select import feature_subset_objective, rbmo_minimize
+    rng = np.random.RandomState(4)
+    X = rng.rand(36, 6)
+    lab = (X[:, 0] > 0.5).astype(int)          # dimension 0 carries the label
+    df = spark.createDataFrame([(i, [float(v) for v in X[i]], int(lab[i]), i % 3) for i in range(36)],
+                               "id long, f array<double>, label int, fold int")
+    obj = feature_subset_objective(df, "id", "f", "label", "fold")
+    best, pos, curve = rbmo_minimize(obj, 0.0, 1.0, 6, pop_size=10, max_iter=2, seed=3)
+    assert best == min(obj.cache.values())
+    assert len(obj.cache) == obj.evaluations          # each distinct mask evaluated once
+    assert all(0.0 <= v <= 1.0 + 0.005 for v in obj.cache.values())
+    idx = [int(i) for i in np.where(pos > 0.5)[0]]
+    assert all(0 <= i < 6 for i in idx)
