@@ -5,17 +5,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ligandspark.llm import simhash
+from ligandspark.llm import packing, pieces, sharding, simhash, toxicity, urls
 from ligandspark.llm.common import table
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, packing.CAPACITY, packing.END_ID).drop("ids")
+
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.SHINGLE, simhash.RADIUS)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pieces.encode_decode(table(spark, sf_dir, "documents"), PIECE_BPE)
+    return done.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shuffle_to_shards(table(spark, sf_dir, "documents"), sharding.SHARDS, stable=True)
+    text = F.coalesce("text", F.lit(""))
+    return rows.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "p_insult", "p_contempt", "p_toxic", "is_toxic",
+                         (~F.col("is_toxic")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op4_simhash": op4_simhash,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {}
