@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligandspark.llm import packing, pieces, sharding, simhash, toxicity, urls
+from ligandspark.llm import (
+    embeddings, licenses, merkle, packing, pieces, sharding, simhash, suffix_dedup, toxicity, urls,
+)
 from ligandspark.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -24,10 +26,43 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, packing.CAPACITY, packing.END_ID).drop("ids")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), embeddings.COSINE)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.SHINGLE, simhash.RADIUS)
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m.kind == "base")
+    covered = F.aggregate("matches", F.lit(0).cast("long"), lambda s, m: s + m.words)
+    starts = F.transform(base, lambda m: m.first_word)
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda m: m.label))), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m.label))), ",").alias("labels"),
+        F.when(F.col("n_words") == 0, 0.0)
+        .otherwise(F.least(F.lit(1.0), covered / F.greatest(F.col("n_words"), F.lit(1)))).alias("score"))
+
+
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = merkle.document_fingerprints(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next",
+        merkle.first_changed_leaf(F.col("fingerprint"), F.col("edited_fingerprint")).alias("first_changed_leaf"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup(table(spark, sf_dir, "documents"), suffix_dedup.LENGTH)
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pieces.encode_decode(table(spark, sf_dir, "documents"), PIECE_BPE)
     return done.select(
@@ -53,7 +88,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_simhash": op4_simhash,
+    "op5_license_scans": op5_license_scans,
+    "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
