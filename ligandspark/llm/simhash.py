@@ -273,3 +273,22 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) ->
     named = lookup(rooted.select("fp", "component"), "component", ids).select("fp", "component_id")
     return lookup(own, "fp", named).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One document of each near-duplicate group of ``docs(doc_id, text, ...)``,
+    that of the smallest doc_id, with all its columns.
+
+    A null doc_id is replaced by a large number made from the text's hash, so
+    such a row stays only in a group without ids.  Rows that repeat id and text
+    are one document; rows of one id with other texts stand or go together."""
+    late = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    rows = docs.withColumn("_llm_id", F.coalesce(F.col("doc_id").cast("long"), late))
+    found = near_duplicates(rows.select(F.col("_llm_id").alias("doc_id"), "text"), n, radius)
+    first = cut(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_llm_id"))
+                .agg(F.count(F.lit(1)).alias("_llm_n")))
+    kept = rows.join(first.select("_llm_id"), "_llm_id", "left_semi")
+    if not first.where("_llm_n > 1").isEmpty():
+        kept = kept.withColumn("_llm_text", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(
+            ["_llm_id", "_llm_text"]).drop("_llm_text")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

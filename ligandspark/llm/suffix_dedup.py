@@ -67,12 +67,35 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[:len(h) - rest], h[rest:]) if rest else h
 
 
-def contexts(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first and last window start of each context of ``text``."""
+def _picks(h: np.ndarray, low: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """For each context the number of grams that have its hash: more than one
+    means that it may repeat a string within itself."""
+    block = 64
+    tops = np.zeros(-(-len(h) // block), np.uint64)          # largest minimum of each block of windows
+    at = np.arange(0, len(low), block)
+    tops[:len(at)] = np.maximum.reduceat(low, at)
+    cover = tops.copy()                                      # of all windows that hold a gram of the block
+    for k in range(1, min(len(tops) - 1, -(-(width - 1) // block)) + 1):
+        cover[k:] = np.maximum(cover[k:], tops[:-k])
+    some = np.flatnonzero(h <= np.repeat(cover, block)[:len(h)])
+    c = np.searchsorted(first, np.maximum(some - width + 1, 0), side="right") - 1
+    end = np.searchsorted(first, np.minimum(some, len(low) - 1), side="right") - 1
+    out = np.zeros(len(first), np.int64)
+    while len(some):
+        np.add.at(out, c[low[first[c]] == h[some]], 1)
+        more = c < end
+        some, c, end = some[more], c[more] + 1, end[more]
+    return out
+
+
+def contexts(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last window start, and picks (2: two or more) of each context of ``text``."""
     if len(text) < length:
         none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none, none
-    low = window_minima(gram_hashes(np.frombuffer(text, np.uint8), gram), length - gram + 1)
+        return none.view(np.uint64), none, none, none
+    h = gram_hashes(np.frombuffer(text, np.uint8), gram)
+    width = length - gram + 1
+    low = window_minima(h, width)
     first = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
     size = np.diff(np.append(first, len(low)))
     parts = -(-size // MOST_WINDOWS)
@@ -81,7 +104,7 @@ def contexts(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarra
         step = np.arange(len(base)) - np.repeat(np.cumsum(parts) - parts, parts)
         first = base + step * MOST_WINDOWS
     last = np.append(first[1:], len(low)) - 1
-    return low[first], first, last
+    return low[first], first, last, np.minimum(_picks(h, low, first, width), 2)
 
 
 def _key(data: bytes) -> bytes:
@@ -99,7 +122,7 @@ def _ranges(starts: np.ndarray) -> list[tuple[int, int]]:
 
 
 RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-ITEM = "key binary, grp long, n long, windows int, content binary"
+ITEM = "key binary, grp long, n long, picks int, windows int, content binary"
 
 
 def _range_dicts(ranges: list[tuple[int, int]]) -> list[dict]:
@@ -107,27 +130,29 @@ def _range_dicts(ranges: list[tuple[int, int]]) -> list[dict]:
 
 
 def find_contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``tkey, text`` -> a row per context: ``tkey, grp, first, last, key``."""
+    """``tkey, text`` -> a row per context: ``tkey, grp, first, last, picks, key``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for tkey, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                h, first, last = contexts(data, length, gram)
+                h, first, last, picks = contexts(data, length, gram)
                 if len(h):
                     out[0].extend([tkey] * len(h))
                     out[1].append(h.view(np.int64))
                     out[2].append(first)
                     out[3].append(last)
-                    out[4].extend([_key(data[a:z + length]) for a, z in zip(first.tolist(), last.tolist(),
+                    out[4].append(picks)
+                    out[5].extend([_key(data[a:z + length]) for a, z in zip(first.tolist(), last.tolist(),
                                                                             strict=True)])
-            ints = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out[1:4]]
+            ints = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out[1:5]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.binary()), pa.array(ints[0]), pa.array(ints[1].astype(np.int32)),
-                 pa.array(ints[2].astype(np.int32)), pa.array(out[4], pa.binary())],
-                ["tkey", "grp", "first", "last", "key"])
+                 pa.array(ints[2].astype(np.int32)), pa.array(ints[3].astype(np.int32)),
+                 pa.array(out[5], pa.binary())],
+                ["tkey", "grp", "first", "last", "picks", "key"])
 
-    return texts.mapInArrow(run, "tkey binary, grp long, first int, last int, key binary")
+    return texts.mapInArrow(run, "tkey binary, grp long, first int, last int, picks int, key binary")
 
 
 def _marker(marked: DataFrame, key: str):
@@ -232,13 +257,13 @@ def repeated_windows(items: DataFrame, length: int = LENGTH, gram: int = GRAM, l
     """``key, ranges`` of the items that hold repeated windows.
 
     ``items`` has one row per distinct content: ``key, grp, n`` (times it
-    occurs), ``windows, content``; equal windows lie in items of one grp.
+    occurs), ``picks, windows, content``; equal windows lie in items of one grp.
     ``ranges`` are window starts within the item, both ends included."""
     limit = HOT_BYTES if hot_bytes is None else hot_bytes
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).alias("b")))
-    groups = items.groupBy("grp").agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("all"),
+    groups = items.groupBy("grp").agg(F.sum("picks").alias("picks"),
                                       F.sum(F.length("content").cast("long")).alias("bytes"))
-    several = groups.where("items > 1")
+    several = groups.where("picks > 1")              # else one context without a loop: its count decides
     hot = written(several.where(F.col("bytes") > limit).select("grp"), "hot-groups")
     own = items.where("n > 1").select("key", whole.alias("ranges"))
     if level >= len(WIDTHS):
@@ -251,8 +276,8 @@ def repeated_windows(items: DataFrame, length: int = LENGTH, gram: int = GRAM, l
         # a content that occurs twice is repeated as a whole, yet stays to be met by others
         parts = written(_narrower(large, level, length, gram), "parts")
         single = (parts.groupBy("part_key").agg(
-            F.first("grp").alias("grp"), F.sum("n").alias("n"), F.first("windows").alias("windows"),
-            F.first("content").alias("content")).withColumnRenamed("part_key", "key"))
+            F.first("grp").alias("grp"), F.sum("n").alias("n"), F.lit(1).alias("picks"),
+            F.first("windows").alias("windows"), F.first("content").alias("content")).withColumnRenamed("part_key", "key"))
         single = written(single, "part-items")
         found = repeated_windows(single, length, gram, level + 1, limit)
         found = written(found, "part-ranges").select(F.col("key").alias("part_key"), "ranges")
@@ -270,15 +295,15 @@ def repeated_starts_by_text(texts: DataFrame, length: int = LENGTH, gram: int =
     windows`` with the repeated window starts (ranges, unordered) of each key
     that has any."""
     found = written(find_contexts(texts, length, gram), "contexts")
-    shared = written(found.groupBy("grp").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > 1)
+    shared = written(found.groupBy("grp").agg(F.sum("picks").alias("picks")).where("picks > 1")
                      .select("grp"), "groups")
     near = written(found.where(_marker(shared, "grp")(F.col("grp"))), "near")
     met = written(lookup(near, "grp", shared), "met")
     keys = written(met.groupBy("key").agg(
-        F.first("grp").alias("grp"), F.count(F.lit(1)).alias("n"),
+        F.first("grp").alias("grp"), F.count(F.lit(1)).alias("n"), F.first("picks").alias("picks"),
         F.min(F.struct("tkey", "first", "last")).alias("at")), "context-keys")
     wanted = keys.groupBy("at.tkey").agg(F.collect_list(
-        F.struct("key", "grp", "n", "at.first", "at.last")).alias("at"))
+        F.struct("key", "grp", "n", "picks", "at.first", "at.last")).alias("at"))
     holders = texts.where(_marker(keys.select("at.tkey"), "tkey")(F.col("tkey")))
     one = holders.groupBy("tkey").agg(F.first("text").alias("text"))
 
@@ -290,7 +315,7 @@ def repeated_starts_by_text(texts: DataFrame, length: int = LENGTH, gram: int =
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 for x in at.as_py():
                     part = data[x["first"]:x["last"] + length]
-                    rows.append((x["key"], x["grp"], x["n"], x["last"] - x["first"] + 1, part))
+                    rows.append((x["key"], x["grp"], x["n"], x["picks"], x["last"] - x["first"] + 1, part))
                     size += len(part)
                 if size > OUT_BYTES:
                     yield made(rows)
@@ -298,10 +323,10 @@ def repeated_starts_by_text(texts: DataFrame, length: int = LENGTH, gram: int =
             yield made(rows)
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                          ["key", "grp", "n", "windows", "content"])
+                                          ["key", "grp", "n", "picks", "windows", "content"])
 
     items = written(one.join(wanted, "tkey").select("text", "at").mapInArrow(extract, ITEM), "items")
     flagged = written(repeated_windows(items, length, gram, 0, hot_bytes), "flagged")
@@ -360,3 +385,24 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: in
     done = cut.unionByName(untouched)
     n = F.octet_length("_llm_text").cast("long")
     return done.withColumns({"n_bytes": n, "n_removed": n - F.length("kept")}).drop("_llm_text", "_llm_key")
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with the repeated byte strings cut out of ``text`` and
+    ``n_chars``, if there, set anew; every row stays.
+
+    Where a cut goes through a character of several bytes, the bytes left of
+    it are dropped.  A null text stays null."""
+    @F.pandas_udf("string")
+    def decoded(kept):
+        return kept.map(lambda b: b.decode("utf-8", "ignore"))
+
+    done = dedup(docs, length)
+    text = F.when(F.col("text").isNull(), F.lit(None)).when(F.col("n_removed") == 0, F.col("text")).otherwise(
+        decoded("kept"))
+    done = done.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        done = done.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars"))
+                               .otherwise(F.length("text").cast(kind)))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns])

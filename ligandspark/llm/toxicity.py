@@ -221,3 +221,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     names are replaced, other columns stay."""
     chain = fit_chain(labelled(docs, labels))
     return score(docs.drop("is_toxic"), chain).withColumn("is_toxic", F.col("p_toxic") >= threshold)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are not toxic, with the same columns."""
+    own = docs.withColumns({f"_llm_{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)})
+    scored = score(own, fit_chain(labelled(docs, labels)), prefix="_llm_p_")
+    return scored.where(F.col("_llm_p_toxic") < threshold).select(
+        *[F.col(f"_llm_{i}").alias(c) for i, c in enumerate(docs.columns)])
