@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ligandspark.plans.scan import prefix_scan
-from ligandspark.plans.sizing import small_side
 
 
 def seeded_order_key(row_id: Column, seed: int) -> Column:
@@ -57,19 +56,19 @@ def stratified_folds(
 
     ``shuffle=False`` is the unshuffled stratified split used for 3-fold
     cross-validation scoring (W2); ``shuffle=True`` the seeded 5-fold split of
-    the training driver (W1)."""
+    the training driver (W1).  A NULL label is a class of its own."""
     if shuffle:
         keyed = df.withColumn("_ord", seeded_order_key(F.col(row_id), seed))
     else:
         keyed = df.withColumn("_ord", F.col(row_id).cast("long"))
-    quotas = small_side(_quota_table(keyed, label, row_id, n_folds))
+    # one row per class: the last rank of each fold, so the fold is the number of folds that end before a row
+    ends = (_quota_table(keyed, label, row_id, n_folds).groupBy(label)
+            .agg(F.array_sort(F.collect_list("hi")).alias("_ends")))
     ranked = prefix_scan(keyed, [label], "_ord", tiebreak=[row_id], row_number="_rn")
-    r = F.col("_rn") - 1
-    return (
-        ranked.join(quotas, label, "inner")
-        .where((r >= F.col("lo")) & (r < F.col("hi")))
-        .drop("_ord", "_rn", "lo", "hi")
-    )
+    ends = ends.withColumnRenamed(label, "_class")
+    joined = ranked.join(ends, F.col(label).eqNullSafe(F.col("_class")))
+    fold = F.size(F.filter("_ends", lambda e: e < F.col("_rn")))
+    return joined.withColumn("fold", fold.cast("int")).drop("_ord", "_rn", "_ends", "_class")
 
 
 def class_weight_by_fold(df: DataFrame, fold: str, label: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ligandspark.plans.scan import prefix_scan
+from ligandspark.plans.scan import RANGE, assign_ranges, prefix_scan, scan_ranges
 
 
 def number_epochs(df: DataFrame, run: str, order_key: str, tiebreak: str, epoch: str = "epoch") -> DataFrame:
@@ -24,16 +24,25 @@ def number_epochs(df: DataFrame, run: str, order_key: str, tiebreak: str, epoch:
 def running_best(df: DataFrame, run: str, epoch: str, score: str, mode: str = "higher") -> DataFrame:
     """Best score so far per run (max for ``higher``, min for ``lower``)."""
     if mode == "higher":
-        r = prefix_scan(df, [run], epoch, maxes=[score])
-        return r.withColumnRenamed(f"runmax_{score}", "running_best")
-    r = prefix_scan(df, [run], epoch, mins=[score])
-    return r.withColumnRenamed(f"runmin_{score}", "running_best")
+        r = prefix_scan(_no_nan(df, score), [run], epoch, maxes=["_score"]).drop("_score")
+        return r.withColumnRenamed("runmax__score", "running_best")
+    r = prefix_scan(_no_nan(df, score), [run], epoch, mins=["_score"]).drop("_score")
+    return r.withColumnRenamed("runmin__score", "running_best")
+
+
+def _no_nan(df: DataFrame, score: str) -> DataFrame:
+    """A NaN score is no score: it is never the best (NaN sorts above all numbers)."""
+    return df.withColumn("_score", _number(score))
+
+
+def _number(score: str):
+    return F.nanvl(F.col(score).cast("double"), F.lit(None))
 
 
 def best_epoch(df: DataFrame, run: str, epoch: str, score: str, mode: str = "higher") -> DataFrame:
     """Epoch with the best score per run, earliest on ties."""
-    s = F.col(score) if mode == "higher" else -F.col(score)
-    g = df.groupBy(run).agg(F.max_by(F.col(epoch), F.struct(s, -F.col(epoch))).alias("best_epoch"),
+    s = _number(score) if mode == "higher" else -_number(score)
+    g = df.groupBy(run).agg(F.max_by(F.col(epoch), F.when(s.isNotNull(), F.struct(s, -F.col(epoch)))).alias("best_epoch"),
                             (F.max(s) if mode == "higher" else -F.max(s)).alias("best_score"))
     return g
 
@@ -43,14 +52,16 @@ def early_stop(df: DataFrame, run: str, epoch: str, score: str, patience: int,
     """Per run ``n_epochs``, ``stop_epoch`` (first epoch at which the
     counter of non-improving epochs reaches ``patience``; NULL if never),
     ``best_epoch`` (last strict improvement up to the stop) and
-    ``best_score``.  The first score is always an improvement."""
-    s = F.col(score) if mode == "higher" else -F.col(score)
-    d = df.withColumn("_s", s)
-    d = prefix_scan(d, [run], epoch, maxes=["_s"], inclusive=False).withColumnRenamed("runmax__s", "_prev")
-    d = d.withColumn("_imp_epoch", F.when(F.col("_prev").isNull() | (F.col("_s") > F.col("_prev")), F.col(epoch)))
-    d = prefix_scan(d, [run], epoch, maxes=["_imp_epoch"]).withColumnRenamed("runmax__imp_epoch", "_last")
+    ``best_score``.  The first score is always an improvement; a NULL or NaN
+    score never is."""
+    s = _number(score) if mode == "higher" else -_number(score)
+    ranged = assign_ranges(df.withColumn("_s", s), [run], epoch)        # both scans use the same ranges
+    d = scan_ranges(ranged, maxes=["_s"], inclusive=False).withColumnRenamed("runmax__s", "_prev")
+    better = F.col("_s").isNotNull() & (F.col("_prev").isNull() | (F.col("_s") > F.col("_prev")))
+    d = d.withColumn("_imp_epoch", F.when(better, F.col(epoch)))
+    d = scan_ranges(ranged.derive(d), maxes=["_imp_epoch"]).withColumnRenamed("runmax__imp_epoch", "_last").drop(RANGE)
     d = d.withColumn("_best", F.greatest(F.col("_prev"), F.col("_s")))
-    stopped = (F.col(epoch) - F.col("_last")) >= patience
+    stopped = (F.col(epoch) - F.coalesce(F.col("_last"), F.lit(0))) >= patience
     g = d.groupBy(run).agg(
         F.count(F.lit(1)).alias("n_epochs"),
         F.min(F.when(stopped, F.col(epoch))).alias("stop_epoch"),

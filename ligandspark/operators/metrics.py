@@ -19,11 +19,12 @@ class is NULL.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ligandspark.plans.scan import DEFAULT_BUCKETS, prefix_scan
+from ligandspark.plans.scan import prefix_scan
 
 METRIC_NAMES = ("roc_auc", "l1", "rmse", "mae", "mse", "roc_prc", "r2", "return_pred_true")
 
@@ -52,21 +53,6 @@ def _div(a: Column, b: Column, default) -> Column:
 # confusion-count metrics
 # --------------------------------------------------------------------------
 
-def confusion_counts(
-    df: DataFrame, by: Sequence[str], score: str, label: str,
-    threshold: float = 0.5, inclusive: bool = False,
-) -> DataFrame:
-    """tn, fp, fn, tp per group (A4)."""
-    d = decision(F.col(score), threshold, inclusive)
-    y = F.col(label)
-    return df.groupBy(*by).agg(
-        F.count_if((y == 0) & (d == 0)).alias("tn"),
-        F.count_if((y == 0) & (d == 1)).alias("fp"),
-        F.count_if((y == 1) & (d == 0)).alias("fn"),
-        F.count_if((y == 1) & (d == 1)).alias("tp"),
-    )
-
-
 def _threshold_columns(tn, fp, fn, tp) -> dict[str, Column]:
     n = tn + fp + fn + tp
     return {
@@ -110,19 +96,16 @@ def score_counts(df: DataFrame, by: Sequence[str], score: str, label: str) -> Da
     return g.where(F.col("_ok") == 1).drop("_ok")
 
 
-def ranking_curve(
-    df: DataFrame, by: Sequence[str], score: str, label: str,
-    n_buckets: int | None = DEFAULT_BUCKETS,
-) -> DataFrame:
+def ranking_curve(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
     """Per group and distinct score (descending): pos, neg, cum_pos (= TP at
     threshold ``score``), cum_neg (= FP)."""
-    return curve_from_counts(score_counts(df, by, score, label), by, n_buckets)
+    return curve_from_counts(score_counts(df, by, score, label), by)
 
 
-def curve_from_counts(counts: DataFrame, by: Sequence[str], n_buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
+def curve_from_counts(counts: DataFrame, by: Sequence[str], rows: int | None = None) -> DataFrame:
     """:func:`ranking_curve` from a ``(by..., _score, pos, neg)`` count table
     whose scores are distinct per group (e.g. accumulated batch counts)."""
-    return prefix_scan(counts, list(by), "_score", sums=["pos", "neg"], descending=True, n_buckets=n_buckets)
+    return prefix_scan(counts, list(by), "_score", sums=["pos", "neg"], descending=True, rows=rows)
 
 
 def metrics_from_curve(c: DataFrame, by: Sequence[str], threshold: float | None = None,
@@ -164,26 +147,23 @@ def metrics_from_curve(c: DataFrame, by: Sequence[str], threshold: float | None
     return agg.select(*cols)
 
 
-def ranking_metrics(
-    df: DataFrame, by: Sequence[str], score: str, label: str,
-    n_buckets: int | None = DEFAULT_BUCKETS,
-) -> DataFrame:
+def ranking_metrics(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
     """roc_auc (A8), average_precision (A9), pr_auc_trapezoid (A10) per group."""
-    return metrics_from_curve(ranking_curve(df, by, score, label, n_buckets), by)
+    return metrics_from_curve(ranking_curve(df, by, score, label), by)
 
 
-def roc_points(
-    df: DataFrame, by: Sequence[str], score: str, label: str,
-    n_buckets: int | None = DEFAULT_BUCKETS,
-) -> DataFrame:
+def roc_points(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
     """ROC curve table (A11): one row per group and distinct threshold with
     fpr / tpr of ``score >= threshold``; every threshold is kept."""
     by = list(by)
     counts = score_counts(df, by, score, label)
-    c = curve_from_counts(counts, by, n_buckets)
+    c = curve_from_counts(counts, by)
     if by:
-        totals = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-        c = c.join(totals, by, "inner")
+        # group totals from the curve itself: its last running totals
+        ends = c.groupBy(*by).agg(F.max("cum_pos").alias("P"), F.max("cum_neg").alias("N"))
+        ends = ends.withColumnsRenamed({b: f"_k_{b}" for b in by})
+        on = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"_k_{b}")) for b in by])
+        c = c.join(ends, on).drop(*[f"_k_{b}" for b in by])
     else:
         # two numbers: brought back as literals, no join
         t = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
@@ -246,22 +226,25 @@ def masked(df: DataFrame, mask: str = "mask") -> DataFrame:
 def regression_metrics(df: DataFrame, by: Sequence[str], y: str, pred: str) -> DataFrame:
     """Per group: n, l1_mean, l1_sum, mse, rmse, mae, r2 from one pass of sums
     (A12-A15).  The reference's ``mae`` computes the MSE; here ``mse`` is that
-    value and ``mae`` is the mean absolute error."""
-    yc, pc = F.col(y).cast("double"), F.col(pred).cast("double")
+    value and ``mae`` is the mean absolute error.  Rows without a label or a
+    prediction (NULL or NaN) are left out and counted in ``n_dropped``; ``r2``
+    of constant labels is NULL."""
+    yc, pc = F.nanvl(F.col(y).cast("double"), F.lit(None)), F.nanvl(F.col(pred).cast("double"), F.lit(None))
     e = yc - pc
+    both = F.when(e.isNotNull(), yc)
     a = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(e).alias("n"),
+        F.count_if(e.isNull()).alias("n_dropped"),
         F.sum(F.abs(e)).alias("_sae"),
         F.sum(e * e).alias("_sse"),
-        F.sum(yc).alias("_sy"),
-        F.sum(yc * yc).alias("_syy"),
-        F.avg(yc).alias("_my"),
+        (F.var_pop(both) * F.count(e)).alias("_sst"),      # merged moments: no cancellation at large means
     )
     n = F.col("n").cast("double")
-    sst = F.col("_syy") - F.col("_sy") * F.col("_sy") / n
+    sst = F.col("_sst")
     return a.select(
         *by,
         "n",
+        "n_dropped",
         (F.col("_sae") / n).alias("l1_mean"),
         F.col("_sae").alias("l1_sum"),
         (F.col("_sse") / n).alias("mse"),

@@ -1,198 +1,172 @@
 """Ordered scans (running sums / maxima, ranks) without a one-task window.
 
-A window ``partitionBy(g).orderBy(k)`` puts each group ``g`` into one task,
-and ``orderBy(k)`` without a partition puts *everything* into one task.  When
-one group can hold a third of all rows that task is the whole job.
-
-``prefix_scan`` splits every group into ``n_buckets`` contiguous key ranges
-taken from per-group approximate quantiles:
-
-1. groups with more than ``HOT_ROWS`` rows (hot groups) get boundaries from
-   ``percentile_approx``; all other groups stay one range
-2. bucket id = number of boundaries <= key (equal keys share one bucket, so
-   ties never straddle a bucket edge; boundaries only affect balance, never
-   the result)
-3. totals per (group, bucket) -> a small table, prefix over buckets there
-4. window within (group, bucket) + the offset of the preceding buckets.
-
-Sums, counts and maxima/minima are associative, so the result is exact.
+A window ``partitionBy(g).orderBy(k)`` puts each group into one task, and
+without a partition *everything* into one task.  Here every group is cut into
+contiguous key ranges of about ``RANGE_ROWS`` rows, and the window runs within
+``(group, range)`` plus the totals of the ranges before it:
+
+1. one count per group; only groups above ``RANGE_ROWS`` rows come back (fewer
+   than ``rows / RANGE_ROWS`` of them, so the number of ranges follows the data)
+2. their boundaries from approximate percentiles, in one aggregation
+3. range = number of boundaries <= key, looked up in two steps; equal keys
+   share a range, so boundaries only affect balance, never the result
+4. totals per (large group, range) -> running totals -> broadcast (fewer than
+   ``2 * rows / RANGE_ROWS`` + groups rows) -> window within (group, range).
+
+The plan is the same at every size: groups up to ``RANGE_ROWS`` rows are one
+range.  NULL groups are groups, and NULL keys sort as in a plain window (first
+when ascending, last when descending).  Sums, counts and maxima / minima are
+associative, so the result is exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ligandspark.plans.sizing import small_side
-
-DEFAULT_BUCKETS = None      # None: chosen from the plan's size estimate
-BUCKET_BYTES = 64 << 20     # about one bucket per 64 MB of scanned input
-MAX_BUCKETS = 1024          # per group when grouped (bounds: groups x buckets)
-MAX_BUCKETS_UNGROUPED = 8192   # a single group: the bounds are one row
-UNKNOWN_BUCKETS = 16           # when a leaf has no size statistics
-UNKNOWN_SIZE = 1 << 62         # Catalyst's "no statistics" default is Long.MaxValue
-HOT_ROWS = 1_000_000           # groups above this many rows are split into ranges
-FORCE_CONF = "ligandspark.scan.buckets"   # session setting forcing a bucket count
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Input size behind ``df``: the sum of Catalyst's size statistics of the
-    plan's leaf relations (file scans, local tables); no job runs.  Leaf sizes
-    are used because, without cost-based statistics, join estimates multiply
-    their children's sizes and are no guide."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    except Exception:  # noqa: BLE001 - estimate unavailable
-        return None
-    if any(x >= UNKNOWN_SIZE for x in sizes):   # e.g. an RDD-backed relation
-        return None
-    return sum(sizes)
-
-
-def choose_buckets(df: DataFrame, n_buckets: int | None, grouped: bool = True) -> int:
-    """Explicit count, else the session override, else size based: 1 for
-    inputs below ``BUCKET_BYTES`` (a plain window is then cheapest), up to
-    ``MAX_BUCKETS`` ranges per group for large inputs."""
-    if n_buckets is not None:
-        return n_buckets
-    forced = df.sparkSession.conf.get(FORCE_CONF, None)
-    if forced:
-        return int(forced)
-    size = estimated_bytes(df)
-    if size is None:
-        return UNKNOWN_BUCKETS
-    cap = MAX_BUCKETS if grouped else MAX_BUCKETS_UNGROUPED
-    return int(max(1, min(cap, -(-size // BUCKET_BYTES))))
-
-
-def _fracs(n_buckets: int) -> list[float]:
-    return [i / n_buckets for i in range(1, n_buckets)]
-
-
-def assign_buckets(
-    df: DataFrame,
-    by: Sequence[str],
-    key: str,
-    n_buckets: int = DEFAULT_BUCKETS,
-    descending: bool = False,
-    accuracy: int = 10000,
-) -> DataFrame:
-    """Add ``_bucket``: contiguous, order-preserving ranges of ``key`` per group.
-
-    With ``descending`` bucket 0 holds the largest keys.
-    """
-    by = list(by)
-    n_buckets = choose_buckets(df, n_buckets, grouped=bool(by))
-    if n_buckets <= 1:
-        return df.withColumn("_bucket", F.lit(0))
-    kcol = F.col(key).cast("double")
-    fr = _fracs(n_buckets)
-    if by:
-        # Only hot groups (more than HOT_ROWS rows) are split: their keys form
-        # a table of at most n / HOT_ROWS rows, and only they get boundaries,
-        # so the bounds stay small even with millions of groups.
-        forced = df.sparkSession.conf.get(FORCE_CONF, None)
-        hot_rows = 0 if forced else HOT_ROWS
-        counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_cnt"))
-        hot = small_side(counts.where(F.col("_cnt") > hot_rows).select(*by))
-        bounds = (df.join(hot, by, "left_semi").groupBy(*by)
-                  .agg(F.percentile_approx(kcol, fr, accuracy).alias("_bounds")))
-        bounds = small_side(bounds.withColumn("_bounds", F.array_distinct("_bounds")))
-        joined = df.join(bounds, by, "left").withColumn(
-            "_bounds", F.coalesce(F.col("_bounds"), F.array().cast("array<double>")))
-    else:
-        # a single group: its boundaries are n_buckets - 1 numbers, brought
-        # back and used as a literal array (no join)
-        row = df.agg(F.percentile_approx(kcol, fr, accuracy).alias("b")).first()
-        vals = sorted(set(row["b"] or []))
-        joined = df.withColumn("_bounds", F.array(*[F.lit(float(v)) for v in vals]).cast("array<double>"))
+RANGE_ROWS = 1_000_000                      # rows of one range, about
+RANGE_CONF = "ligandspark.scan.range_rows"  # session setting that overrides it
+RANGE = "_range"
+
+
+def range_rows(df: DataFrame, given: int | None = None) -> int:
+    return int(given or df.sparkSession.conf.get(RANGE_CONF, None) or RANGE_ROWS)
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Null-safe broadcast join on ``keys``; the right side's other columns are added."""
+    renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.lit(True))
+    return left.join(F.broadcast(renamed), on, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def _array(values: Sequence, kind: str) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+
+
+@dataclass
+class Ranged:
+    """A table whose rows carry their range (column ``_range``)."""
+    df: DataFrame
+    by: list[str]
+    key: str
+    descending: bool
+    large: DataFrame | None     # keys of the groups that have several ranges
+
+    def derive(self, df: DataFrame) -> Ranged:
+        """The same ranges for a narrow transformation of the table."""
+        return Ranged(df, self.by, self.key, self.descending, self.large)
+
+
+def assign_ranges(df: DataFrame, by: Sequence[str], key: str, descending: bool = False,
+                  rows: int | None = None) -> Ranged:
+    """Add ``_range``: contiguous, order-preserving ranges of ``key`` per group;
+    with ``descending`` range 0 holds the largest keys."""
+    by, rows = list(by), range_rows(df, rows)
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    large = counts.collect()                # fewer than rows-of-df / rows of them
+    if not large:
+        return Ranged(df.withColumn(RANGE, F.lit(0)), by, key, descending, None)
+    spark = df.sparkSession
+    # groups of one size class (a power of two of ranges) share a list of percentiles
+    classes = [math.ceil(math.log2(-(-r["_n"] // rows))) for r in large]
+    schema = T.StructType([df.schema[c] for c in by] + [T.StructField("_class", T.IntegerType())])
+    keys = spark.createDataFrame([(*[r[c] for c in by], k) for r, k in zip(large, classes, strict=True)], schema)
     k = F.col(key).cast("double")
+    held = same_keys(df.select(*by, k.alias("_v")), keys, by, "inner")
+    cuts = [F.percentile_approx(F.when(F.col("_class") == c, F.col("_v")),
+                                [i / 2 ** c for i in range(1, 2 ** c)], max(10_000, 20 * 2 ** c))
+            for c in sorted(set(classes)) if c]
+    bounds = held.groupBy(*by).agg(F.array_sort(F.array_distinct(F.coalesce(*cuts))).alias("_b")).collect()
+    step = {i: max(1, math.isqrt(len(r["_b"] or []))) for i, r in enumerate(bounds)}
+    schema = T.StructType([df.schema[c] for c in by] + [
+        T.StructField("_b", T.ArrayType(T.DoubleType())), T.StructField("_coarse", T.ArrayType(T.DoubleType())),
+        T.StructField("_step", T.IntegerType())])
+    table = spark.createDataFrame(
+        [(*[r[c] for c in by], list(r["_b"] or []), list((r["_b"] or [])[step[i] - 1::step[i]]), step[i])
+         for i, r in enumerate(bounds)], schema)
+    if by:
+        d = same_keys(df, table, by)
+    else:                                   # one list of boundaries: literals, no join
+        one = table.first()
+        d = df.withColumns({"_b": _array(one["_b"], "double"), "_coarse": _array(one["_coarse"], "double"),
+                            "_step": F.lit(one["_step"])})
+    block = F.size(F.filter("_coarse", lambda x: x <= k))
+    fine = F.slice("_b", block * F.col("_step") + 1, F.col("_step"))
+    below = block * F.col("_step") + F.size(F.filter(fine, lambda x: x <= k))
     if descending:
-        b = F.size(F.filter("_bounds", lambda x: x > k))
+        below = F.when(k.isNull(), F.size("_b")).otherwise(F.size("_b") - below)
     else:
-        b = F.size(F.filter("_bounds", lambda x: x <= k))
-    return joined.withColumn("_bucket", b.cast("int")).drop("_bounds")
+        below = F.when(k.isNull(), 0).otherwise(below)
+    d = d.withColumn(RANGE, F.when(F.col("_b").isNull(), 0).otherwise(below).cast("int")).drop("_b", "_coarse", "_step")
+    return Ranged(d, by, key, descending, keys.drop("_class"))
 
 
-def prefix_scan(
-    df: DataFrame,
-    by: Sequence[str],
-    key: str,
-    tiebreak: Sequence[str | Column] = (),
-    sums: Sequence[str] = (),
-    maxes: Sequence[str] = (),
-    mins: Sequence[str] = (),
-    row_number: str | None = None,
-    descending: bool = False,
-    inclusive: bool = True,
-    n_buckets: int = DEFAULT_BUCKETS,
+def scan_ranges(
+    ranged: Ranged, tiebreak: Sequence[str | Column] = (), sums: Sequence[str] = (), maxes: Sequence[str] = (),
+    mins: Sequence[str] = (), row_number: str | None = None, inclusive: bool = True,
 ) -> DataFrame:
-    """Running aggregates per group in ``key`` order, distributed over buckets.
-
-    For each column ``c`` in ``sums`` adds ``cum_c``; in ``maxes`` ``runmax_c``;
-    in ``mins`` ``runmin_c``.  ``row_number`` (if given) names a 1-based rank
-    column.  ``inclusive=False`` excludes the current row (strictly preceding).
-    Rows with equal ``key`` are ordered by ``tiebreak``; if they are not
-    distinguished the order among them is arbitrary, so callers aggregate to
-    distinct keys first when they need tie-exact results.
-    """
-    by = list(by)
-    n_buckets = choose_buckets(df, n_buckets, grouped=bool(by))
-    if n_buckets <= 1:
-        return _plain_scan(df, by, key, tiebreak, sums, maxes, mins, row_number, descending, inclusive)
-    df = assign_buckets(df, by, key, n_buckets, descending)
+    """Running aggregates per group in key order; see :func:`prefix_scan`.
+    ``_range`` stays, so that a further scan can use the same ranges."""
+    df, by = ranged.df, ranged.by
     if row_number:
         df = df.withColumn("_one", F.lit(1))
-        sums = list(sums) + ["_one"]
-    gb = by + ["_bucket"]
-
-    agg_exprs = [F.sum(c).alias(f"_bs_{c}") for c in sums]
-    agg_exprs += [F.max(c).alias(f"_bx_{c}") for c in maxes]
-    agg_exprs += [F.min(c).alias(f"_bn_{c}") for c in mins]
-    totals = df.groupBy(*gb).agg(*agg_exprs)
-    wb = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    off = totals.select(
-        *gb,
-        *[F.coalesce(F.sum(f"_bs_{c}").over(wb), F.lit(0)).alias(f"_os_{c}") for c in sums],
-        *[F.max(f"_bx_{c}").over(wb).alias(f"_ox_{c}") for c in maxes],
-        *[F.min(f"_bn_{c}").over(wb).alias(f"_on_{c}") for c in mins],
-    )
-    # offsets: one row per (group, bucket); broadcast after a size check
-    df = df.join(small_side(off), gb, "inner")
-
-    korder = F.col(key).desc() if descending else F.col(key).asc()
-    order = [korder] + [F.col(t) if isinstance(t, str) else t for t in tiebreak]
-    end = 0 if inclusive else -1
-    w = Window.partitionBy(*gb).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    out = []
+        sums = [*sums, "_one"]
+    if ranged.large is not None:
+        groups = same_keys(df, ranged.large, by, "left_semi") if by else df
+        totals = groups.groupBy(*by, RANGE).agg(
+            *[F.sum(c).alias(f"_s_{c}") for c in sums], *[F.max(c).alias(f"_x_{c}") for c in maxes],
+            *[F.min(c).alias(f"_m_{c}") for c in mins])
+        # one row per range, so a window per group is small
+        before = Window.partitionBy(*by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select(
+            *by, RANGE, *[F.sum(f"_s_{c}").over(before).alias(f"_s_{c}") for c in sums],
+            *[F.max(f"_x_{c}").over(before).alias(f"_x_{c}") for c in maxes],
+            *[F.min(f"_m_{c}").over(before).alias(f"_m_{c}") for c in mins])
+        if by:
+            df = same_keys(df, totals, [*by, RANGE])
+        else:                               # one list of totals, an entry per range
+            kinds, found = dict(totals.dtypes), {r[RANGE]: r for r in totals.collect()}
+            df = df.withColumns({c: F.element_at(_array(
+                [found[i][c] if i in found else None for i in range(max(found, default=0) + 1)], kinds[c]),
+                F.col(RANGE) + 1) for c in totals.columns if c != RANGE})
+    key = F.col(ranged.key)
+    order = [key.desc() if ranged.descending else key.asc(), *[F.col(t) if isinstance(t, str) else t for t in tiebreak]]
+    w = Window.partitionBy(*by, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out, ahead = [], ranged.large is not None
     for c in sums:
-        out.append((F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"_os_{c}")).alias(f"cum_{c}"))
+        own = F.coalesce(F.sum(c).over(w), F.lit(0))
+        out.append((own + F.coalesce(F.col(f"_s_{c}"), F.lit(0)) if ahead else own).alias(f"cum_{c}"))
     for c in maxes:
-        out.append(F.greatest(F.max(c).over(w), F.col(f"_ox_{c}")).alias(f"runmax_{c}"))
+        own = F.max(c).over(w)
+        out.append((F.greatest(own, F.col(f"_x_{c}")) if ahead else own).alias(f"runmax_{c}"))
     for c in mins:
-        out.append(F.least(F.min(c).over(w), F.col(f"_on_{c}")).alias(f"runmin_{c}"))
+        own = F.min(c).over(w)
+        out.append((F.least(own, F.col(f"_m_{c}")) if ahead else own).alias(f"runmin_{c}"))
     res = df.select("*", *out)
     if row_number:
-        rn = F.col("cum__one") + (0 if inclusive else 1)
-        res = res.withColumn(row_number, rn.cast("long")).drop("_one", "cum__one", "_os__one")
-    drop = [f"_os_{c}" for c in sums] + [f"_ox_{c}" for c in maxes] + [f"_on_{c}" for c in mins]
-    return res.drop(*[d for d in drop if d in res.columns], "_bucket")
-
-
-def _plain_scan(df, by, key, tiebreak, sums, maxes, mins, row_number, descending, inclusive):
-    """One window per group: used when the input is small enough that a
-    group fits one task comfortably."""
-    korder = F.col(key).desc() if descending else F.col(key).asc()
-    order = [korder] + [F.col(t) if isinstance(t, str) else t for t in tiebreak]
-    end = 0 if inclusive else -1
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    out = [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"cum_{c}") for c in sums]
-    out += [F.max(c).over(w).alias(f"runmax_{c}") for c in maxes]
-    out += [F.min(c).over(w).alias(f"runmin_{c}") for c in mins]
-    if row_number:
-        wr = Window.partitionBy(*by).orderBy(*order)
-        out.append(F.row_number().over(wr).cast("long").alias(row_number))
-    return df.select("*", *out)
+        res = res.withColumn(row_number, (F.col("cum__one") + (0 if inclusive else 1)).cast("long")).drop("_one", "cum__one")
+    return res.drop("_s__one", *[f"_s_{c}" for c in sums], *[f"_x_{c}" for c in maxes], *[f"_m_{c}" for c in mins])
+
+
+def prefix_scan(
+    df: DataFrame, by: Sequence[str], key: str, tiebreak: Sequence[str | Column] = (),
+    sums: Sequence[str] = (), maxes: Sequence[str] = (), mins: Sequence[str] = (),
+    row_number: str | None = None, descending: bool = False, inclusive: bool = True, rows: int | None = None,
+) -> DataFrame:
+    """Running aggregates per group in ``key`` order, distributed over ranges.
+
+    For each column ``c`` in ``sums`` adds ``cum_c``; in ``maxes`` ``runmax_c``;
+    in ``mins`` ``runmin_c``.  ``row_number`` (if given) names a 1-based rank
+    column.  ``inclusive=False`` excludes the current row (strictly preceding).
+    Rows with equal ``key`` are ordered by ``tiebreak``; if they are not
+    distinguished the order among them is arbitrary, so callers aggregate to
+    distinct keys first when they need tie-exact results."""
+    ranged = assign_ranges(df, by, key, descending, rows)
+    return scan_ranges(ranged, tiebreak, sums, maxes, mins, row_number, inclusive).drop(RANGE)

@@ -12,7 +12,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from ligandspark.plans.catalog import QUERIES  # noqa: E402
-from ligandspark.plans.scan import FORCE_CONF  # noqa: E402
+from ligandspark.plans.scan import RANGE_CONF  # noqa: E402
 from ligandspark.session import get_session  # noqa: E402
 
 NAMES = ["auc_by_group", "roc_points", "binary_report9", "stratified_folds_seeded", "stratified_folds",
@@ -25,13 +25,13 @@ def main() -> None:
     spark = get_session("local[8]", 8)
     ok = True
     for n in NAMES:
-        spark.conf.unset(FORCE_CONF)
+        spark.conf.unset(RANGE_CONF)
         a = sorted(map(tuple, QUERIES[n](spark, sf).collect()))
-        spark.conf.set(FORCE_CONF, buckets)
+        spark.conf.set(RANGE_CONF, buckets)
         b = sorted(map(tuple, QUERIES[n](spark, sf).collect()))
         ok &= a == b
         print(f"{'OK  ' if a == b else 'DIFF'} {n}: {len(a)} rows")
-    spark.conf.unset(FORCE_CONF)
+    spark.conf.unset(RANGE_CONF)
     print("all identical" if ok else "differences found")
 
 

@@ -25,8 +25,8 @@ def spark():
 
 @pytest.fixture
 def buckets(spark):
-    """Force the bucketed ordered-scan path (as on large inputs)."""
-    from ligandspark.plans.scan import FORCE_CONF
-    spark.conf.set(FORCE_CONF, "4")
-    yield 4
-    spark.conf.unset(FORCE_CONF)
+    """Split every group of the ordered scans into many ranges (as on large inputs)."""
+    from ligandspark.plans.scan import RANGE_CONF
+    spark.conf.set(RANGE_CONF, "3")
+    yield 3
+    spark.conf.unset(RANGE_CONF)

@@ -99,7 +99,7 @@ def test_only_hot_groups_split(spark, monkeypatch):
     """Grouped scan with the real hot-group rule: one group above the row
     threshold is split into ranges, the small ones are not; results exact."""
     from ligandspark.plans import scan
-    monkeypatch.setattr(scan, "HOT_ROWS", 100)
+    monkeypatch.setattr(scan, "RANGE_ROWS", 100)
     rng = np.random.RandomState(9)
     n = 400
     g = [0 if i < 250 else int(rng.randint(1, 6)) for i in range(n)]
@@ -109,10 +109,10 @@ def test_only_hot_groups_split(spark, monkeypatch):
     counts = M.score_counts(d, ["g"], "p", "y")
     per = {r["g"]: r["c"] for r in counts.groupBy("g").agg(F.count(F.lit(1)).alias("c")).collect()}
     assert per[0] > 100 and all(v <= 100 for k, v in per.items() if k != 0)
-    b = scan.assign_buckets(counts, ["g"], "_score", 6)
-    nb = {r["g"]: r["nb"] for r in b.groupBy("g").agg(F.countDistinct("_bucket").alias("nb")).collect()}
+    b = scan.assign_ranges(counts, ["g"], "_score").df
+    nb = {r["g"]: r["nb"] for r in b.groupBy("g").agg(F.countDistinct("_range").alias("nb")).collect()}
     assert nb[0] > 1 and all(v == 1 for k, v in nb.items() if k != 0)
-    res = {r["g"]: r for r in M.metrics_from_curve(M.curve_from_counts(counts, ["g"], n_buckets=6), ["g"]).collect()}
+    res = {r["g"]: r for r in M.metrics_from_curve(M.curve_from_counts(counts, ["g"]), ["g"]).collect()}
     for key in set(g):
         ss = [a for a, k in zip(s, g) if k == key]
         yy = [b for b, k in zip(y, g) if k == key]
