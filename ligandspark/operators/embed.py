@@ -3,12 +3,12 @@
 The tokenization stays in the JVM (column expressions).  The vector comes from
 an *encoder*:
 
-* the built-in default, :func:`hashed_ngram_vectors`, is a hashed unigram +
-  bigram count vector built from SQL functions only (md5 -> bucket -> counts
-  via explode + groupBy), deterministic and checkable by SQL.  It is
+* the built-in default, :func:`add_hashed_vector`, is a hashed unigram +
+  bigram count vector built from SQL functions only (md5 -> bucket -> counts),
+  deterministic and checkable by SQL.  It is
   **not** a pretrained model embedding; no weights exist here.
 * any Python callable ``encoder(pd.Series[str]) -> list[vector]`` plugs in
-  through :func:`embed_with_callable`, which runs it in ``mapInPandas``
+  through :func:`embed_rows`, which runs it in ``mapInArrow``
   (Arrow batches, model loaded once per Python worker by the callable's own
   caching).  A row whose encoding raises is kept with a NULL vector and the
   error text; it never aborts the job (P4).
@@ -54,56 +54,63 @@ def hashed_ngram_counts(df: DataFrame, id_col: str, tokens: str, dim: int = DEFA
         F.count(F.lit(1)).alias("cnt"))
 
 
-def hashed_ngram_vectors(df: DataFrame, id_col: str, tokens: str, dim: int = DEFAULT_DIM) -> DataFrame:
-    """``(id, features array<double>)``: the counts of
-    :func:`hashed_ngram_counts` laid out densely.  The per-id collect holds at
-    most ``dim`` entries.  Ids with no tokens get no row (use a left join
-    from the input to keep them as failures)."""
-    c = hashed_ngram_counts(df, id_col, tokens, dim)
-    m = c.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("dim", "cnt"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.element_at("_m", i), F.lit(0)).cast("double"))
-    return m.select(id_col, dense.alias("features"))
+def add_hashed_vector(df: DataFrame, tokens: str, dim: int = DEFAULT_DIM, out: str = "features") -> DataFrame:
+    """Add the dense hashed uni- and bigram counts of a token array as
+    ``array<double>``, in the row itself (no shuffle, no join, so repeated or
+    NULL ids keep their rows); NULL where there is no token."""
+    df = df.withColumn("_b", F.transform(ngrams(F.col(tokens)), lambda t: hash_bucket(t, dim)))
+    # array_remove runs a plain loop over the int array for each dimension
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                         lambda d: (F.size("_b") - F.size(F.array_remove(F.col("_b"), d))).cast("double"))
+    return df.withColumn(out, F.when(F.size(tokens) > 0, counts)).drop("_b")
 
 
-def embed_with_callable(
-    df: DataFrame, id_col: str, text_col: str,
-    encoder: Callable[[pd.Series], list], dim: int,
-) -> DataFrame:
-    """Run ``encoder`` over ``text_col`` in Python workers, batch by batch.
+def embed_rows(df: DataFrame, text_col: str, encoder: Callable[[pd.Series], list], dim: int) -> DataFrame:
+    """All columns of ``df`` with ``features array<double>`` and ``error
+    string``: ``encoder`` runs over ``text_col`` in Python workers, an Arrow
+    batch at a time, and the other columns pass through untouched.
 
-    Returns ``id_col, features array<double>, error string``.  If a whole batch
-    fails, rows are retried one by one so only the failing rows are
-    quarantined.  Filter *before* this call: it is an optimizer barrier."""
-    schema = T.StructType([
-        T.StructField(id_col, df.schema[id_col].dataType),
-        T.StructField("features", T.ArrayType(T.DoubleType())),
-        T.StructField("error", T.StringType()),
-    ])
+    If a whole batch fails, its rows are tried one by one, so only the failing
+    rows get an error.  Filter *before* this call: it is an optimizer barrier."""
+    import pyarrow as pa
+
+    schema = T.StructType([f for f in df.schema.fields if f.name not in ("features", "error")]
+                          + [T.StructField("features", T.ArrayType(T.DoubleType())),
+                             T.StructField("error", T.StringType())])
+
+    def encode(texts: pd.Series) -> list[list[float]]:
+        vecs = [[float(x) for x in v] for v in encoder(texts)]
+        if len(vecs) != len(texts) or any(len(v) != dim for v in vecs):
+            raise ValueError(f"encoder returned a wrong shape; expected {len(texts)} vectors of length {dim}")
+        return vecs
 
     def run(batches):
-        for pdf in batches:
-            ids, texts = pdf[id_col], pdf[text_col]
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_col)).to_pandas()
             try:
-                vecs = [list(map(float, v)) for v in encoder(texts)]
-                if len(vecs) != len(texts) or any(len(v) != dim for v in vecs):
-                    raise ValueError("encoder returned a wrong shape")
-                errs = [None] * len(vecs)
+                vecs, errs = encode(texts), [None] * len(texts)
             except Exception:  # noqa: BLE001 - isolate the failing rows
                 vecs, errs = [], []
                 for t in texts:
                     try:
-                        v = [float(x) for x in encoder(pd.Series([t]))[0]]
-                        if len(v) != dim:
-                            raise ValueError(f"vector of length {len(v)}, expected {dim}")
-                        vecs.append(v)
+                        vecs += encode(pd.Series([t]))
                         errs.append(None)
                     except Exception as e:  # noqa: BLE001
                         vecs.append(None)
-                        errs.append(f"{type(e).__name__}: {e}"[:200])
-            yield pd.DataFrame({id_col: ids.values, "features": vecs, "error": errs})
+                        errs.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(vecs, pa.list_(pa.float64())), pa.array(errs, pa.string())],
+                [*b.schema.names, "features", "error"])
 
-    return df.select(id_col, text_col).mapInPandas(run, schema)
+    return df.drop("features", "error").mapInArrow(run, schema)
+
+
+def embed_with_callable(
+    df: DataFrame, id_col: str, text_col: str,
+    encoder: Callable[[pd.Series], list], dim: int,
+) -> DataFrame:
+    """``id_col, features, error`` of :func:`embed_rows`."""
+    return embed_rows(df.select(id_col, text_col), text_col, encoder, dim).select(id_col, "features", "error")
 
 
 def split_quarantine(embedded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,28 +119,6 @@ def split_quarantine(embedded: DataFrame) -> tuple[DataFrame, DataFrame]:
             embedded.where(F.col("features").isNull()))
 
 
-def residue_trigram_encoder(dim: int = DEFAULT_DIM) -> Callable[[pd.Series], list]:
-    """A small deterministic Python encoder (stand-in for a model): hashed
-    character-trigram frequencies of each prepared sequence.  Raises on an
-    empty sequence, which is what quarantine is for."""
-    import zlib
-
-    import numpy as np
-
-    def enc(texts: pd.Series) -> list:
-        out = []
-        for s in texts:
-            if s is None or len(s.strip()) == 0:
-                raise ValueError("empty sequence")
-            v = np.zeros(dim)
-            for i in range(max(len(s) - 2, 1)):
-                v[zlib.crc32(s[i:i + 3].encode("utf-8")) % dim] += 1.0
-            out.append(v / v.sum())
-        return out
-
-    return enc
-
-
 def _observed(df: DataFrame, name: str) -> tuple[DataFrame, object]:
     """Attach a failure counter (P4) that is filled when the job runs."""
     from pyspark.sql import Observation
@@ -142,58 +127,58 @@ def _observed(df: DataFrame, name: str) -> tuple[DataFrame, object]:
                       F.count(F.lit(1)).alias("rows")), obs
 
 
+def _embedded_once(emb: DataFrame, name: str, out_path: str | None, prefix: str, width: int, fmt: str, layout: str):
+    """Run the encoder once: the embedded table, errors included, is written to
+    the shared folder; kept rows, quarantine, counts and sinks read it."""
+    from ligandspark.session import scratch_path
+    from ligandspark.sources.io import write_feature_table
+
+    emb, obs = _observed(emb, name)
+    path = scratch_path(emb.sparkSession, name)
+    emb.write.parquet(path)
+    good, bad = split_quarantine(emb.sparkSession.read.schema(emb.schema).parquet(path))
+    if out_path:
+        write_feature_table(good.drop("error"), out_path, "features", prefix=prefix, width=width, fmt=fmt,
+                            layout=layout)
+    return good, bad, obs
+
+
 def featurize_smiles(df: DataFrame, id_col: str, smiles_col: str, out_path: str | None = None,
                      encoder: Callable[[pd.Series], list] | None = None, dim: int = DEFAULT_DIM,
                      prefix: str = SMILES_FEATURE_PREFIX, fmt: str = "parquet",
-                     layout: str = "split_files"):
-    """B1: per row cut -> tokenize -> encode -> embed; failures are counted
-    over all splits (P4, via ``observe``) and dropped (P3); the kept rows are
-    written per split (S5; CSV gets numbered wide columns, P2).
-
-    ``encoder=None`` uses the hashed n-gram vector of the cut token sequence
-    (not a pretrained model); a callable gets the cut SMILES strings.
-    Returns (kept rows, quarantined rows, observation)."""
+                     layout: str = "partitioned", cut: bool = False):
+    """B1: per row tokenize -> encode -> embed; failures are counted over all
+    splits (P4, via ``observe``) and dropped (P3); the kept rows are written
+    per split (S5; CSV gets numbered wide columns, P2).
+
+    ``encoder=None`` uses the hashed n-gram vector of the whole token sequence
+    (not a pretrained model); a callable gets the SMILES strings.  ``cut=True``
+    first takes the middle of long sequences (F3), as an encoder with a fixed
+    number of positions needs.  Rows are embedded once each, repeated ids
+    included.  Returns (kept rows, quarantined rows, observation)."""
     from ligandspark.functions import sequences as S
-    base = df.withColumn("_cut", S.cut_smiles(F.col(smiles_col)))
+    text = S.cut_smiles(F.col(smiles_col)) if cut else F.col(smiles_col)
+    base = df.withColumn("_text", text)
     if encoder is None:
-        toks = base.select(id_col, S.smiles_tokens(F.col("_cut")).alias("_tok"))
-        vec = hashed_ngram_vectors(toks, id_col, "_tok", dim)
-        emb = base.drop("_cut").join(vec, id_col, "left").withColumn(
-            "error", F.when(F.col("features").isNull(), F.lit("no tokens to embed")))
+        emb = add_hashed_vector(base.withColumn("_tok", S.smiles_tokens(F.col("_text"))), "_tok", dim).drop("_tok")
+        emb = emb.withColumn("error", F.when(F.col("features").isNull(), F.lit("no tokens to embed")))
     else:
-        out = embed_with_callable(base, id_col, "_cut", encoder, dim)
-        emb = base.drop("_cut").join(out, id_col, "left")
-    emb, obs = _observed(emb, "smiles_failures")
-    good, bad = split_quarantine(emb)
-    if out_path:
-        from ligandspark.sources.io import write_feature_table
-        write_feature_table(good.drop("error"), out_path, "features", prefix=prefix, width=dim, fmt=fmt,
-                            layout=layout)
-    return good, bad, obs
+        emb = embed_rows(base, "_text", encoder, dim)
+    return _embedded_once(emb.drop("_text"), "smiles_failures", out_path, prefix, dim, fmt, layout)
 
 
 def featurize_protein(df: DataFrame, id_col: str, seq_col: str, out_path: str | None = None,
                       encoder: Callable[[pd.Series], list] | None = None, dim: int = DEFAULT_DIM,
                       prefix: str = PROTEIN_FEATURE_PREFIX, fmt: str = "parquet",
-                      layout: str = "split_files"):
+                      layout: str = "partitioned"):
     """B2: prepared protein strings (F7 + F8) -> encoder -> quarantine ->
     optional write.  The default encoder is the hashed n-gram vector of the
     residues (not a pretrained model)."""
     from ligandspark.functions import sequences as S
-    base = df.withColumn("_prep", S.protein_prepare(F.col(seq_col)))
     if encoder is None:
-        toks = base.select(id_col, F.split(F.regexp_replace(F.col(seq_col), S.RARE_RESIDUES, "X"), "").alias("_tok"))
-        toks = toks.withColumn("_tok", F.filter("_tok", lambda t: t != ""))
-        vec = hashed_ngram_vectors(toks, id_col, "_tok", dim)
-        emb = base.drop("_prep").join(vec, id_col, "left").withColumn(
-            "error", F.when(F.col("features").isNull(), F.lit("empty sequence")))
+        residues = F.split(F.regexp_replace(F.col(seq_col), S.RARE_RESIDUES, "X"), "")
+        emb = add_hashed_vector(df.withColumn("_tok", F.filter(residues, lambda t: t != "")), "_tok", dim).drop("_tok")
+        emb = emb.withColumn("error", F.when(F.col("features").isNull(), F.lit("empty sequence")))
     else:
-        out = embed_with_callable(base, id_col, "_prep", encoder, dim)
-        emb = base.drop("_prep").join(out, id_col, "left")
-    emb, obs = _observed(emb, "protein_failures")
-    good, bad = split_quarantine(emb)
-    if out_path:
-        from ligandspark.sources.io import write_feature_table
-        write_feature_table(good.drop("error"), out_path, "features", prefix=prefix, width=dim, fmt=fmt,
-                            layout=layout)
-    return good, bad, obs
+        emb = embed_rows(df.withColumn("_prep", S.protein_prepare(F.col(seq_col))), "_prep", encoder, dim).drop("_prep")
+    return _embedded_once(emb, "protein_failures", out_path, prefix, dim, fmt, layout)

@@ -56,6 +56,9 @@ def centroid_cv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from ligandspark.functions import sequences as S  # noqa: E402
 from ligandspark.operators import embed as EM  # noqa: E402
+from ligandspark.session import scratch_path  # noqa: E402
+from ligandspark.sources import io as IO  # noqa: E402
+from pyspark.sql import types as TT  # noqa: E402
 from ligandspark.plans.sizing import spread  # noqa: E402
 from ligandspark.session import read_table  # noqa: E402
 
@@ -158,28 +161,67 @@ def _cut_tokens(spark, sf_dir):
 
 @register
 def embed_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = EM.hashed_ngram_counts(_cut_tokens(spark, sf_dir), "doc_id", "ctok", EMBED_DIM)
+    tok = _docs(spark, sf_dir).select("doc_id", S.smiles_tokens(F.col("text")).alias("tok"))
+    c = EM.hashed_ngram_counts(tok, "doc_id", "tok", EMBED_DIM)
     return c.select("doc_id", F.col("dim").cast("int").alias("dim"), F.col("cnt").cast("long").alias("cnt"))
 
 
+def _split(spark, sf_dir):
+    """Documents with a split; every 7th one keeps only its non-SMILES signs, so that some have no token."""
+    d = _docs(spark, sf_dir)
+    signs = F.regexp_replace("text", r"[^ \-,;_]", "")
+    return d.select("doc_id", F.when(F.col("doc_id") % 7 == 3, F.replace(signs, F.lit("-"), F.lit("")))
+                    .otherwise(F.col("text")).alias("text"),
+                    F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"))
+
+
 @register
 def embed_quarantine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ct = _cut_tokens(spark, sf_dir)
-    vec = EM.hashed_ngram_vectors(ct, "doc_id", "ctok", EMBED_DIM)
-    # every input row is kept: no vector -> quarantined
-    v = ct.select("doc_id").join(vec, "doc_id", "left")
-    split = F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train")
-    return v.groupBy(split.alias("split")).agg(
-        F.count_if(F.col("features").isNotNull()).alias("n_ok"),
-        F.count_if(F.col("features").isNull()).alias("n_failed"))
+    v = _split(spark, sf_dir).withColumn("ok", F.size(S.smiles_tokens(F.col("text"))) > 0)
+    return v.groupBy("split").agg(F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"))
+
+
+@register
+def featurize_smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 as a job: whole token sequences -> hashed vectors -> quarantine ->
+    per-split tables (S5), read back (S1); one row per input row."""
+    out = scratch_path(spark, "featurized-smiles")
+    good, bad, _ = EM.featurize_smiles(_split(spark, sf_dir), "doc_id", "text", out, dim=EMBED_DIM)
+    schema = TT.StructType([f for f in good.drop("error", "split").schema.fields])
+    back = IO.read_split_pair(spark, out, schema, fmt="parquet", layout="partitioned")
+    n = F.aggregate("features", F.lit(0.0), lambda s, x: s + x).cast("long")
+    return (back.select("doc_id", "split", n.alias("n_grams"), F.element_at("features", 1).cast("long").alias("first_dim"),
+                        F.lit(None).cast("string").alias("error"))
+            .unionByName(bad.select("doc_id", "split", F.lit(None).cast("long").alias("n_grams"),
+                                    F.lit(None).cast("long").alias("first_dim"), "error")))
+
+
+def letter_encoder(texts):
+    """Counts of four letters; raises for a text without letters (so it is quarantined)."""
+    out = []
+    for t in texts:
+        if not any(c.isascii() and c.isalpha() for c in t):
+            raise ValueError("no letters")
+        out.append([t.count(c) for c in "ACGT"])
+    return out
 
 
 @register
 def embed_callable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).select("doc_id", S.protein_spaced(F.col("text")).alias("seq"))
-    out = EM.embed_with_callable(d, "doc_id", "seq", EM.residue_trigram_encoder(EMBED_DIM), EMBED_DIM)
-    return out.select("doc_id", F.col("error").isNull().alias("ok"),
-                      F.size("features").cast("long").alias("dim"), "error")
+    out = EM.embed_rows(_split(spark, sf_dir), "text", letter_encoder, 4)
+    f = F.col("features")
+    return out.select("doc_id", F.col("error").isNull().alias("ok"), "error",
+                      *[f[i].cast("long").alias(c) for i, c in enumerate("acgt")])
+
+
+@register
+def featurize_protein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2 as a job with a Python encoder over the prepared strings."""
+    good, bad, _ = EM.featurize_protein(_split(spark, sf_dir), "doc_id", "text", encoder=letter_encoder, dim=4)
+    both = good.unionByName(bad)
+    return both.groupBy("split").agg(F.count_if(F.col("error").isNull()).alias("n_ok"),
+                                     F.count_if(F.col("error").isNotNull()).alias("n_failed"),
+                                     F.sum(F.element_at("features", 1)).cast("long").alias("sum_a"))
 
 
 # ---------------------------------------------------------------------------
@@ -322,7 +364,7 @@ def regression_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.col("l_extendedprice") / 1000.0).alias("pred"),
                      (F.col("l_linestatus") == "F").cast("double").alias("mask"))
     r = M.regression_metrics(M.masked(rows), ["task"], "y", "pred")
-    return rounded(r, ["task", "n"])
+    return rounded(r, ["task", "n", "n_dropped"])
 
 
 # ---------------------------------------------------------------------------
@@ -501,11 +543,8 @@ def eval_variants_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # sources and sinks (S1, S5, S8, S9, U0), assembly
 # ---------------------------------------------------------------------------
 
-from ligandspark.sources import io as IO  # noqa: E402
-from ligandspark.session import scratch_path  # noqa: E402
 from ligandspark.operators import assemble as AS  # noqa: E402
 from ligandspark.operators import history as H  # noqa: E402
-from pyspark.sql import types as TT  # noqa: E402
 
 
 @register
@@ -663,17 +702,13 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                             V.cosine(F.col("_a"), F.col("_b")).alias("cos")), ["vec_id", "rank", "neighbor_id"])
 
 
-SELECT_POP, SELECT_ITERS = 10, 3
-
-
 @register
 def select_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3 with a small budget (pop 10, 3 iterations; library default 20 x 50):
-    the selected 0-based feature indexes (S6)."""
+    """M3: the selected 0-based feature indexes (S6) with their cost."""
     f = _knn_input(spark, sf_dir)
-    idx, best, curve = SEL.select_features(f, "vec_id", "features", "label", "fold", WIDTH,
-                                           pop_size=SELECT_POP, max_iter=SELECT_ITERS)
-    return spark.createDataFrame([(i,) for i in idx], "feature_index int")
+    idx, best, curve = SEL.select_features(f, "vec_id", "features", "label", "fold", WIDTH)
+    return spark.createDataFrame([(i, best, float(curve[0])) for i in idx],
+                                 "feature_index int, best_cost double, first_cost double")
 
 
 @register

@@ -252,21 +252,50 @@ SELECT doc_id, batch_id, seq_len, max(seq_len) OVER (PARTITION BY batch_id) AS p
 """
 
 _BUCKET = "CAST(('0x' || substr(md5(g), 1, 8))::BIGINT % 64 AS INTEGER)"
-CUT_TOK = f"""ct AS (SELECT doc_id, {_tok(CUT)} AS ctok FROM documents)"""
-
 ORACLE["embed_hashed"] = f"""
-WITH {CUT_TOK},
-grams AS (SELECT doc_id, unnest(list_concat(ctok,
-            list_transform(range(1, len(ctok)), lambda i: ctok[i] || ' ' || ctok[i + 1]))) AS g
-          FROM ct WHERE len(ctok) > 0)
+WITH t AS (SELECT doc_id, {_tok('text')} AS tok FROM documents),
+grams AS (SELECT doc_id, unnest(list_concat(tok,
+            list_transform(range(1, len(tok)), lambda i: tok[i] || ' ' || tok[i + 1]))) AS g
+          FROM t WHERE len(tok) > 0)
 SELECT doc_id, {_BUCKET} AS dim, count(*) AS cnt FROM grams GROUP BY doc_id, {_BUCKET}
 """
 
+# every 7th document keeps only its non-SMILES signs
+SPLIT_DOCS = """sd AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3
+      THEN replace(regexp_replace(text, '[^ \\-,;_]', '', 'g'), '-', '') ELSE text END AS text,
+    CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents)"""
+
 ORACLE["embed_quarantine_counts"] = f"""
-WITH {CUT_TOK}
-SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split,
-  count(*) FILTER (WHERE len(ctok) > 0) AS n_ok, count(*) FILTER (WHERE len(ctok) = 0) AS n_failed
-FROM ct GROUP BY 1
+WITH {SPLIT_DOCS}, t AS (SELECT split, len({_tok('text')}) AS n FROM sd)
+SELECT split, count(*) FILTER (WHERE n > 0) AS n_ok, count(*) FILTER (WHERE n = 0) AS n_failed FROM t GROUP BY split
+"""
+
+ORACLE["featurize_smiles"] = f"""
+WITH {SPLIT_DOCS}, t AS (SELECT doc_id, split, {_tok('text')} AS tok FROM sd),
+grams AS (SELECT doc_id, unnest(list_concat(tok,
+            list_transform(range(1, len(tok)), lambda i: tok[i] || ' ' || tok[i + 1]))) AS g
+          FROM t WHERE len(tok) > 0),
+c AS (SELECT doc_id, count(*) AS n_grams, count(*) FILTER (WHERE {_BUCKET} = 0) AS first_dim FROM grams GROUP BY doc_id)
+SELECT t.doc_id, t.split, c.n_grams, c.first_dim,
+       CASE WHEN c.doc_id IS NULL THEN 'no tokens to embed' END AS error
+FROM t LEFT JOIN c ON t.doc_id = c.doc_id
+"""
+
+ORACLE["embed_callable"] = f"""
+WITH {SPLIT_DOCS}, t AS (SELECT doc_id, text, regexp_matches(text, '[A-Za-z]') AS ok FROM sd)
+SELECT doc_id, ok, CASE WHEN NOT ok THEN 'ValueError: no letters' END AS error,
+  {', '.join(f"CASE WHEN ok THEN CAST(length(text) - length(replace(text, '{c}', '')) AS BIGINT) END AS {c.lower()}" for c in "ACGT")}
+FROM t
+"""
+
+ORACLE["featurize_protein"] = f"""
+WITH {SPLIT_DOCS},
+s AS (SELECT split, array_to_string(string_split(regexp_replace(text, '[UZOB]', 'X', 'g'), ''), ' ') AS sp FROM sd),
+p AS (SELECT split, CASE WHEN upper(sp) = sp AND lower(sp) <> sp THEN '<AA2fold>' ELSE '<fold2AA>' END
+                    || ' ' || sp AS prep FROM s)
+SELECT split, count(*) AS n_ok, CAST(0 AS BIGINT) AS n_failed,
+       CAST(sum(length(prep) - length(replace(prep, 'A', ''))) AS BIGINT) AS sum_a
+FROM p GROUP BY split
 """
 
 
@@ -374,7 +403,7 @@ ORACLE["regression_masked"] = """
 WITH r AS (SELECT l_returnflag AS task, l_quantity AS y, l_extendedprice / 1000.0 AS pred
            FROM lineitem WHERE l_linestatus = 'F'),
 m AS (SELECT task, avg(y) AS my FROM r GROUP BY task)
-SELECT r.task, count(*) AS n,
+SELECT r.task, count(*) AS n, CAST(0 AS BIGINT) AS n_dropped,
   round(avg(abs(y - pred)), 6) AS l1_mean, round(sum(abs(y - pred)), 6) AS l1_sum,
   round(avg((y - pred) * (y - pred)), 6) AS mse, round(sqrt(avg((y - pred) * (y - pred))), 6) AS rmse,
   round(avg(abs(y - pred)), 6) AS mae,

@@ -6,8 +6,8 @@
 * Feature tables are written with the array column (parquet) or, at the CSV
   boundary, as numbered wide columns built in one ``select``.
 * Positional ids (the star-schema loader indexes dimension rows by their
-  position in the file) come from ``zipWithIndex``: consecutive, in file
-  order, without moving rows to one task.
+  position in the file) come from the counts of the scan's partitions:
+  consecutive, in file order, without moving rows to one task.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ligandspark.functions.vectors import from_wide, numbered, to_wide
+from ligandspark.plans.sizing import collect_small
 
 SPLITS = ("train", "test")
 
@@ -56,9 +57,17 @@ def read_split_pair(spark: SparkSession, path: str, schema: T.StructType,
 
 def with_row_index(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Consecutive 0-based position of each row in scan order."""
-    schema = T.StructType(df.schema.fields + [T.StructField(name, T.LongType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda ri: tuple(ri[0]) + (ri[1],))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    at = F.monotonically_increasing_id()            # partition * 2^33 + place in it
+    counts = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes = {r["p"]: r["n"] for r in counts}        # one number per scan partition
+    first, total = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        first.append(total)
+        total += sizes.get(p, 0)
+    starts = F.array(*[F.lit(x) for x in first]).cast("array<bigint>")
+    d = df.withColumn("_at", at)
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return d.withColumn(name, F.element_at(starts, (F.shiftright("_at", 33) + 1).cast("int")) + place).drop("_at")
 
 
 def read_star(spark: SparkSession, path: str, drug_cols: Sequence[str], target_cols: Sequence[str],
@@ -108,7 +117,7 @@ def write_feature_table(df: DataFrame, path: str, features: str = "features", pr
         w = out.write.mode(mode).partitionBy("split")
         w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path)
         return
-    splits = [r["split"] for r in df.select("split").distinct().collect()]  # a handful of values
+    splits = [r["split"] for r in collect_small(df.select("split").distinct(), 1000)]
     for sp in splits:
         part = df.where(F.col("split") == sp).drop("split")
         if fmt == "csv":

@@ -10,7 +10,7 @@ def test_featurize_smiles_quarantine_and_write(spark):
     rows = [(1, "CCO", "train"), (2, "xyz", "train"), (3, "c1ccccc1", "test"), (4, "", "test")]
     df = spark.createDataFrame(rows, "row_id long, smiles string, split string")
     out = os.path.join(tempfile.mkdtemp(prefix="ls-feat-"), "k")
-    good, bad, obs = featurize_smiles(df, "row_id", "smiles", out, fmt="csv", dim=8)
+    good, bad, obs = featurize_smiles(df, "row_id", "smiles", out, fmt="csv", dim=8, layout="split_files")
     assert sorted(r["row_id"] for r in bad.collect()) == [2, 4]
     assert obs.get["failed"] == 2 and obs.get["rows"] == 4
     back = spark.read.option("header", True).csv(os.path.join(out, "train.csv"))
