@@ -73,7 +73,7 @@ def wavelet(name: str, x: Column, n: Column | None = None, N: Column | None = No
         if n is None or N is None:
             raise ValueError("shannon needs the feature index and width")
         return shannon(x, n, N)
-    raise ValueError(f"Unsupported wavelet type {name!r}; expected one of {WAVELETS}")
+    raise ValueError(f"no wavelet is named {name!r}; there are {', '.join(WAVELETS)}")
 
 
 def wavelet_np(name: str, z, n=None, N=None):
@@ -96,4 +96,4 @@ def wavelet_np(name: str, z, n=None, N=None):
             sinc = np.where(z == 0, 1.0, np.sin(z) / np.where(z == 0, 1.0, z))
         w = np.ones(N) if N == 1 else 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(N) / (N - 1))
         return sinc * w
-    raise ValueError(f"Unsupported wavelet type {name!r}; expected one of {WAVELETS}")
+    raise ValueError(f"no wavelet is named {name!r}; there are {', '.join(WAVELETS)}")

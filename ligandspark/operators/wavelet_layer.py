@@ -18,14 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ligandspark.functions.wavelets import WAVELETS, wavelet_np
-from ligandspark.plans.sizing import collect_small
+from ligandspark.session import ensure_checkpoint_dir
 
 BN_EPS = 1e-5
+BLOCK_BYTES = 32 << 20    # of one temporary block; a few are alive at once
 
 
 @dataclass
@@ -37,7 +40,7 @@ class WaveletLayer:
 
     def __post_init__(self):
         if self.wavelet not in WAVELETS:
-            raise ValueError(f"Unsupported wavelet type {self.wavelet!r}; expected one of {WAVELETS}")
+            raise ValueError(f"no wavelet is named {self.wavelet!r}; there are {', '.join(WAVELETS)}")
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -59,9 +62,12 @@ class WaveletLayer:
             t = np.zeros((out_features, in_features))
         return WaveletLayer(w, s, t, wavelet)
 
-    def pre_activation_np(self, X: np.ndarray, chunk: int = 256) -> np.ndarray:
+    def pre_activation_np(self, X: np.ndarray, chunk: int | None = None) -> np.ndarray:
+        """Wavelet sums of a block of rows; ``chunk`` rows at a time, by default
+        as many as keep a (rows x out x in) block near ``BLOCK_BYTES``."""
         out = np.empty((X.shape[0], self.weights.shape[0]))
         n_in = self.weights.shape[1]
+        chunk = chunk or max(1, BLOCK_BYTES // (8 * self.weights.size))
         for a in range(0, X.shape[0], chunk):
             z = (X[a:a + chunk, None, :] - self.translation[None]) / self.scale[None]
             psi = wavelet_np(self.wavelet, z, None, n_in)
@@ -90,22 +96,25 @@ def batch_norm(df: DataFrame, col: str, mean: list[float] | None = None, var: li
     """Normalize each component of ``col``: with the table's mean / population
     variance when none are supplied, else with the supplied (running) ones."""
     if mean is None or var is None:
-        st = (df.select(F.posexplode(col).alias("j", "v")).groupBy("j")
-              .agg(F.avg("v").alias("m"), F.var_pop("v").alias("s2")))
-        rows = sorted(collect_small(st), key=lambda r: r["j"])
-        mean = [r["m"] for r in rows]
-        var = [r["s2"] for r in rows]
+        # one vector aggregate: mean and (sample) variance of every component
+        stats = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(F.col(col))).alias("s")
+        s = df.select(stats).select("s.count", vector_to_array("s.mean").alias("mean"),
+                                    vector_to_array("s.variance").alias("var")).first()
+        n = s["count"]
+        mean = s["mean"]
+        var = [v * (n - 1) / n if n else 0.0 for v in s["var"]]
     m = F.array(*[F.lit(float(x)) for x in mean])
     d = F.array(*[F.lit(float(np.sqrt(v + eps))) for v in var])
     return df.withColumn(col, F.transform(col, lambda v, j: (v - F.element_at(m, j + 1)) / F.element_at(d, j + 1)))
 
 
 def score_layers(df: DataFrame, id_col: str, features: str, layers: list[WaveletLayer]) -> DataFrame:
-    """M6: layers applied in order, each followed by batch normalization; the
-    lineage is cut (reliable checkpoint) between layers when there are many."""
+    """M6: layers applied in order, each followed by batch normalization.  The
+    sums of each layer are kept (reliable checkpoint), so that a layer runs
+    once although its statistics and its output both need them."""
+    ensure_checkpoint_dir(df.sparkSession)
     cur = df.select(id_col, features)
-    for i, layer in enumerate(layers):
-        cur = batch_norm(apply_layer(cur, id_col, features, layer, features), features)
-        if len(layers) > 2 and i < len(layers) - 1:
-            cur = cur.checkpoint(eager=True)
+    for layer in layers:
+        sums = apply_layer(cur, id_col, features, layer, features).checkpoint(eager=True)
+        cur = batch_norm(sums, features)
     return cur

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ligandspark.functions import wavelets as W
 from ligandspark.operators import history as H
 from ligandspark.operators import knn as K
-from ligandspark.operators.select import MemoObjective, rbmo_minimize
+from ligandspark.operators.select import MemoObjective, magpie_search
 
 
 def _stateful(scores, patience):
@@ -73,7 +73,7 @@ def test_rbmo_memo_and_bounds():
         return ((p > 0.5).sum(axis=1) - 3.0) ** 2
 
     memo = MemoObjective(obj)
-    best, pos, curve = rbmo_minimize(memo, 0.0, 1.0, 8, pop_size=10, max_iter=5, seed=1)
+    best, pos, curve = vars(magpie_search(memo, 0.0, 1.0, 8, members=10, rounds=5, seed=1)).values()
     assert ((pos >= 0) & (pos <= 1)).all()
     assert best == min(memo.cache.values())
     assert all(np.diff(curve) <= 0)
@@ -108,14 +108,14 @@ def test_tta_positional_blocks(spark):
 
 
 def test_select_features_with_spark_objective(spark):
-    from ligandspark.operators.select import feature_subset_objective, rbmo_minimize
+    from ligandspark.operators.select import feature_subset_objective, magpie_search
     rng = np.random.RandomState(4)
     X = rng.rand(36, 6)
     lab = (X[:, 0] > 0.5).astype(int)          # dimension 0 carries the label
     df = spark.createDataFrame([(i, [float(v) for v in X[i]], int(lab[i]), i % 3) for i in range(36)],
                                "id long, f array<double>, label int, fold int")
     obj = feature_subset_objective(df, "id", "f", "label", "fold")
-    best, pos, curve = rbmo_minimize(obj, 0.0, 1.0, 6, pop_size=10, max_iter=2, seed=3)
+    best, pos, curve = vars(magpie_search(obj, 0.0, 1.0, 6, members=10, rounds=2, seed=3)).values()
     assert best == min(obj.cache.values())
     assert len(obj.cache) == obj.evaluations          # each distinct mask evaluated once
     assert all(0.0 <= v <= 1.0 + 0.005 for v in obj.cache.values())
