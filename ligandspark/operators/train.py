@@ -14,11 +14,12 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ligandspark.functions.wavelets import dog
 from ligandspark.operators.folds import class_weight_by_fold
+from ligandspark.operators.metrics import sigmoid
 from ligandspark.plans.sizing import collect_small
 
 
@@ -69,13 +70,32 @@ def cross_validate(df: DataFrame, features: str, label: str, fold: str, parallel
     return preds, models, weights
 
 
-def independent_test(test: DataFrame, models: dict, features: str, fold_col: str = "fold") -> DataFrame:
-    """M2: every fold model scores the whole test split; no averaging."""
-    out = None
-    for f, m in sorted(models.items()):
-        p = score(test, m, features).withColumn(fold_col, F.lit(f))
-        out = p if out is None else out.unionByName(p)
-    return out
+def model_table(spark: SparkSession, models: dict) -> DataFrame:
+    """One row per fold model: ``fold, weights, intercept`` (weights on the raw features)."""
+    rows = [(int(f), [float(x) for x in m.coefficients], float(m.intercept)) for f, m in sorted(models.items())]
+    return spark.createDataFrame(rows, "fold int, weights array<double>, intercept double")
+
+
+def save_models(table: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Fold models as a small table, to be scored later by :func:`independent_test`."""
+    table.coalesce(1).write.mode(mode).parquet(path)
+
+
+def load_models(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("fold int, weights array<double>, intercept double").parquet(path)
+
+
+def independent_test(test: DataFrame, models: DataFrame, features: str, fold_col: str = "fold") -> DataFrame:
+    """M2: every fold model of :func:`model_table` scores the whole test split;
+    no averaging.  One pass over the split: the models' weights ride along as
+    literals, and each row yields one scored row per model."""
+    scored = []
+    for m in collect_small(models, 1000):
+        margin = F.aggregate(F.zip_with(features, F.array(*[F.lit(w) for w in m["weights"]]), lambda x, w: x * w),
+                             F.lit(m["intercept"]), lambda s, t: s + t)
+        scored.append(F.struct(F.lit(m["fold"]).alias(fold_col), margin.alias("logit")))
+    out = test.withColumn("_m", F.explode(F.array(*scored))).select("*", f"_m.{fold_col}", "_m.logit").drop("_m")
+    return out.withColumn("p", sigmoid(F.col("logit")))
 
 
 def dog_basis(features: str) -> F.Column:

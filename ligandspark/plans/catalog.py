@@ -759,7 +759,7 @@ def cv_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def independent_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     tr, te = _train_split(spark, sf_dir)
     _, models, _ = TR.cross_validate(tr, "features", "y", "fold")
-    preds = TR.independent_test(te, models, "features")
+    preds = TR.independent_test(te, TR.model_table(spark, models), "features")
     return rounded(M.report7(preds, ["fold"], "p", "y"), ["fold"])
 
 
@@ -767,7 +767,8 @@ def independent_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wavelet_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.embeddings(spark, sf_dir).withColumn("basis", TR.dog_basis("features"))
     tr = e.where(F.col("split") == "train")
-    w = tr.agg((F.count_if(F.col("y") == 0) / F.count_if(F.col("y") == 1)).alias("w")).first()["w"]
+    n = tr.agg(F.count_if(F.col("y") == 0).alias("neg"), F.count_if(F.col("y") == 1).alias("pos")).first()
+    w = n["neg"] / n["pos"] if n["pos"] else 1.0
     model = TR.fit_weighted(tr, "basis", "y", w)
     preds = TR.score(e.where(F.col("split") == "test"), model, "basis").withColumn("g", F.lit(1))
     return rounded(M.report7(preds, ["g"], "p", "y").drop("g"), [])
@@ -795,3 +796,137 @@ def streaming_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     q.awaitTermination()
     m = ST.accumulated_metrics(spark, f"{root}/sink")
     return rounded(m.select("task", "roc_auc", "average_precision", "pr_auc_trapezoid"), ["task"])
+
+
+# ---------------------------------------------------------------------------
+# scans and sinks as roundtrips (S2-S4, S6-S9), label attach (J3), metric
+# dispatch (A16), clip (F18), saved fold models (M2)
+# ---------------------------------------------------------------------------
+
+def _doubles(*names: str) -> TT.StructType:
+    return TT.StructType([TT.StructField(n, TT.DoubleType()) for n in names])
+
+
+@register
+def star_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Star tables written as CSV per split, read back with positional
+    dimension ids (J2), summed per split and label."""
+    out = scratch_path(spark, "star")
+    part = read_table(spark, sf_dir, "part").orderBy("p_partkey").select(
+        F.col("p_size").cast("double").alias("d_1"), F.col("p_retailprice").alias("d_2"))
+    supp = read_table(spark, sf_dir, "supplier").orderBy("s_suppkey").select(
+        F.col("s_nationkey").cast("double").alias("t_1"), F.col("s_acctbal").alias("t_2"))
+    fact = read_table(spark, sf_dir, "lineitem").select(
+        (F.col("l_partkey") - 1).alias("drug_id"), (F.col("l_suppkey") - 1).alias("target_id"),
+        (F.col("l_returnflag") == "R").cast("int").alias("label"), (F.col("l_orderkey") % 5 == 0).alias("held_out"))
+    for sp in IO.SPLITS:
+        part.write.option("header", True).csv(f"{out}/{sp}/drugs.csv")
+        supp.write.option("header", True).csv(f"{out}/{sp}/targets.csv")
+        fact.where(F.col("held_out") == (sp == "test")).drop("held_out").write.option("header", True).csv(
+            f"{out}/{sp}/interactions.csv")
+    scans = IO.read_star_splits(spark, out, ["d_1", "d_2"], ["t_1", "t_2"], _doubles("d_1", "d_2"), _doubles("t_1", "t_2"))
+    rows = None
+    for sp, (f, d, t) in scans.items():
+        j = AS.star_lookup(f, d, t).withColumn("split", F.lit(sp))
+        rows = j if rows is None else rows.unionByName(j)
+    x = F.concat("drug_features", "target_features")
+    sums = rows.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), *[
+        F.sum(F.element_at(x, i)).alias(f"x_{i}") for i in range(1, 5)])
+    return sums.select("split", "label", "n", *[F.round(f"x_{i}", 2).alias(f"x_{i}") for i in range(1, 5)])
+
+
+@register
+def numbered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``Label`` and numbered feature columns, written and read back."""
+    out = scratch_path(spark, "numbered")
+    e = T.embeddings(spark, sf_dir).select("features", F.col("label").alias("Label"))
+    wide = V.to_wide(e, "features", "Feature_", WIDTH).select(*V.numbered("Feature_", WIDTH), "Label")
+    wide.write.option("header", True).csv(out)
+    back = IO.read_numbered_features(spark, out, WIDTH)
+    d = back.select("label", F.posexplode("features").alias("dim", "x"))
+    return d.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 6).alias("total"))
+
+
+@register
+def selection_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6 + S7: the chosen indexes as a table, and both splits reduced to them
+    with renumbered columns, written and read back."""
+    out = scratch_path(spark, "selection")
+    IO.write_selected_indexes(spark, V.selected_indexes(subset_positions()), f"{out}/indexes")
+    idx = sorted(r[0] for r in spark.read.parquet(f"{out}/indexes").collect())
+    e = T.embeddings(spark, sf_dir).select("vec_id", "split", "features")
+    IO.write_reduced_tables(e, idx, f"{out}/reduced")
+    schema = IO.feature_schema([("vec_id", TT.LongType())], "Feature_", len(idx), label=None)
+    back = IO.read_split_pair(spark, f"{out}/reduced", schema)
+    d = back.select("vec_id", "split", F.posexplode(V.from_wide(V.numbered("Feature_", len(idx)))).alias("k", "value"))
+    return d.select("vec_id", "split", (F.col("k") + 1).alias("new_dim"), r6("value").alias("value"))
+
+
+@register
+def prediction_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction table of :func:`eval_variants`, written and read back."""
+    out = scratch_path(spark, "predictions")
+    IO.write_predictions(eval_variants(spark, sf_dir), out)
+    return spark.read.schema("smiles string, prediction double, label int, cos_similarity double").option(
+        "header", True).csv(out)
+
+
+@register
+def metric_report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 7-metric report per fold, written, read back and shown with 3 digits."""
+    out = scratch_path(spark, "report")
+    IO.write_metric_report(M.report7(T.scored_events(spark, sf_dir), ["fold"], "p", "y"), out)
+    return IO.show_metric_report(spark.read.parquet(out))
+
+
+@register
+def labelled_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load -> standardize -> join -> label (S1, A1, J1, J3): both feature
+    blocks and the label of each row, by row id and split."""
+    d = AS.standardize_train_fit(_drug_block(spark, sf_dir))
+    t = AS.standardize_train_fit(_target_block(spark, sf_dir))
+    y = read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("row_id"), F.col("p_brand").endswith("1").cast("int").alias("label"))
+    j = AS.concat_blocks(d, t, ["row_id", "split"]).join(y, "row_id")
+    return rounded(j.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), *[
+        F.avg(F.element_at("features", i)).alias(f"mean_{i}") for i in range(1, 5)]), ["split", "label", "n"])
+
+
+@register
+def metric_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every metric name over the masked long task table."""
+    lt = doc_tasks(spark, sf_dir).persist()
+    out = None
+    for name in M.METRIC_NAMES:
+        m = M.compute_metric(lt, name)
+        if name == "return_pred_true":
+            m = m.groupBy("task").agg(F.sum(F.col("y_pred") * F.col("y_true")).alias("value"))
+        m = m.select("task", F.lit(name).alias("metric"), r6("value").alias("value"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+CLIP = (-0.1, 0.1)
+
+
+@register
+def clipped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """every feature clipped into a fixed range."""
+    e = T.embeddings(spark, sf_dir).select("vec_id", F.posexplode("features").alias("dim", "x"))
+    return rounded(e.select("vec_id", "dim", V.clip(F.col("x"), *CLIP).alias("value")), ["vec_id", "dim"])
+
+
+def fixed_models(spark: SparkSession, folds: int = 3) -> DataFrame:
+    """Fold models with fixed weights ``((fold + 1) * (i + 1) % 7 - 3) / 2``."""
+    rows = [(f, [((f + 1) * (i + 1) % 7 - 3) / 2.0 for i in range(WIDTH)], 0.1 * f) for f in range(folds)]
+    return spark.createDataFrame(rows, "fold int, weights array<double>, intercept double")
+
+
+@register
+def saved_models_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 with models saved and loaded: every fold model scores the test split."""
+    path = scratch_path(spark, "models")
+    TR.save_models(fixed_models(spark), path)
+    e = T.embeddings(spark, sf_dir)
+    scored = TR.independent_test(e.where(F.col("split") == "test"), TR.load_models(spark, path), "features")
+    return rounded(M.report7(scored, ["fold"], "p", "y"), ["fold"])

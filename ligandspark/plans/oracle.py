@@ -742,3 +742,63 @@ WITH {EV}, rk AS ({ranking_sql('ev', 'fold')})
 SELECT CAST(fold AS VARCHAR) AS task, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision,
        round(pr_auc_trapezoid, 6) AS pr_auc_trapezoid FROM rk
 """
+
+
+# ---------------------------------------------------------------------------
+# roundtrips, label attach, metric dispatch, clip, saved models
+# ---------------------------------------------------------------------------
+
+ORACLE["star_csv_scan"] = """
+WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) AS id, p_size::DOUBLE AS d_1, p_retailprice AS d_2 FROM part),
+s AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS id, s_nationkey::DOUBLE AS t_1, s_acctbal AS t_2 FROM supplier)
+SELECT CASE WHEN l_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split, CAST(l_returnflag = 'R' AS INTEGER) AS label,
+  count(*) AS n, round(sum(d_1), 2) AS x_1, round(sum(d_2), 2) AS x_2, round(sum(t_1), 2) AS x_3, round(sum(t_2), 2) AS x_4
+FROM lineitem JOIN p ON l_partkey = p.id JOIN s ON l_suppkey = s.id GROUP BY 1, 2
+"""
+ORACLE["numbered_scan"] = f"""
+WITH {EMB}, {EMB_LONG}
+SELECT label, dim, count(*) AS n, round(sum(x), 6) AS total FROM emb_long GROUP BY label, dim
+"""
+ORACLE["selection_sinks"] = f"""
+WITH sel(new_dim, src_dim) AS (VALUES {_subset_pairs()})
+SELECT e.vec_id, CASE WHEN e.vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, CAST(sel.new_dim AS INTEGER) AS new_dim,
+       round(e.embedding[sel.src_dim + 1]::DOUBLE, 6) AS value
+FROM embeddings e, sel
+"""
+ORACLE["prediction_sink"] = ORACLE["eval_variants"]
+ORACLE["metric_report_sink"] = f"""
+WITH {EV}, rep7 AS (WITH {report7_sql('ev', 'fold')})
+SELECT fold, {', '.join(f"round({m}, 3) AS {m}" for m in
+                        ("accuracy", "precision", "recall", "f1", "specificity", "roc_auc", "pr_auc"))} FROM rep7
+"""
+ORACLE["labelled_blocks"] = f"""
+WITH {BLOCKS}, {_std_block('db')}, {_std_block('tb')},
+j AS (SELECT row_id, split, dim + 1 AS k, z FROM dbz WHERE row_id IN (SELECT row_id FROM tb)
+      UNION ALL SELECT row_id, split, dim + 3 AS k, z FROM tbz WHERE row_id IN (SELECT row_id FROM db))
+SELECT j.split, CAST(ends_with(p.p_brand, '1') AS INTEGER) AS label, count(DISTINCT j.row_id) AS n,
+  {', '.join(f"round(avg(z) FILTER (WHERE k = {i}), 6) AS mean_{i}" for i in range(1, 5))}
+FROM j JOIN part p ON j.row_id = p.p_partkey GROUP BY 1, 2
+"""
+ORACLE["metric_dispatch"] = f"""
+WITH {DT},
+m AS (SELECT task, y::DOUBLE AS y, logit, 1.0 / (1.0 + exp(-logit)) AS p FROM dt WHERE mask <> 0),
+rk AS ({ranking_sql('m', 'task')}),
+g AS (SELECT task, avg(abs(y - logit)) AS l1, avg((y - logit) * (y - logit)) AS mse,
+        sum((y - logit) * (y - logit)) AS sse, sum(y * logit) AS yp, var_pop(y) * count(*) AS sst FROM m GROUP BY task),
+a AS (SELECT g.task, round(rk.roc_auc, 4) AS roc_auc, l1, sqrt(mse) AS rmse, mse AS mae, mse, rk.pr_auc_trapezoid AS roc_prc,
+        CASE WHEN sst > 0 THEN round(1 - sse / sst, 4) END AS r2, yp AS return_pred_true
+      FROM g JOIN rk ON g.task = rk.task)
+{' UNION ALL '.join(f"SELECT task, '{m}' AS metric, round({m}, 6) AS value FROM a" for m in
+                    ("roc_auc", "l1", "rmse", "mae", "mse", "roc_prc", "r2", "return_pred_true"))}
+"""
+ORACLE["clipped_values"] = f"""
+WITH {EMB}, {EMB_LONG} SELECT vec_id, dim, round(greatest(least(x, 0.1), -0.1), 6) AS value FROM emb_long
+"""
+ORACLE["saved_models_test"] = f"""
+WITH {EMB}, {EMB_LONG},
+fm AS (SELECT unnest(range(3))::INTEGER AS fold),
+sc AS (SELECT fold, vec_id, any_value(y) AS y,
+         sum(x * (((fold + 1) * (dim + 1) % 7 - 3) / 2.0)) + 0.1 * fold AS logit
+       FROM emb_long, fm WHERE split = 'test' GROUP BY fold, vec_id),
+s AS (SELECT fold, y, 1.0 / (1.0 + exp(-logit)) AS p FROM sc), {report7_sql('s', 'fold')}
+"""

@@ -6,7 +6,7 @@
 * Feature tables are written with the array column (parquet) or, at the CSV
   boundary, as numbered wide columns built in one ``select``.
 * Positional ids (the star-schema loader indexes dimension rows by their
-  position in the file) come from the counts of the scan's partitions:
+  position in the file) come from the counts of the scanned file parts:
   consecutive, in file order, without moving rows to one task.
 """
 
@@ -56,8 +56,23 @@ def read_split_pair(spark: SparkSession, path: str, schema: T.StructType,
 
 
 def with_row_index(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Consecutive 0-based position of each row in scan order."""
+    """Consecutive 0-based position of each row in file order.
+
+    For a table read from files the rows are numbered by file name and place in
+    the file, however Spark deals the file parts to partitions; any other table
+    by its partitions.  Only one number per file part goes to the driver."""
     at = F.monotonically_increasing_id()            # partition * 2^33 + place in it
+    if df.inputFiles():
+        d = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+                      at.alias("_at"))
+        parts = sorted(d.groupBy("_f", "_b").agg(F.min("_at").alias("lo"), F.count(F.lit(1)).alias("n")).collect())
+        rows, total = [], 0
+        for r in parts:
+            rows.append((r["_f"], r["_b"], total - r["lo"]))
+            total += r["n"]
+        shift = df.sparkSession.createDataFrame(rows, "_f string, _b long, _shift long")
+        return d.join(F.broadcast(shift), ["_f", "_b"]).select(
+            *df.columns, (F.col("_at") + F.col("_shift")).alias(name))
     counts = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
     sizes = {r["p"]: r["n"] for r in counts}        # one number per scan partition
     first, total = [], 0
@@ -139,6 +154,12 @@ def reduced_table(df: DataFrame, indexes: Sequence[int], features: str = "featur
     return df.withColumn(features, F.array(*[F.element_at(features, int(i) + 1) for i in indexes]))
 
 
+def write_reduced_tables(df: DataFrame, indexes: Sequence[int], path: str, features: str = "features",
+                         prefix: str = "Feature_", fmt: str = "csv", layout: str = "split_files") -> None:
+    """The selected dimensions of every split, renumbered ``prefix1..``, as a split pair."""
+    write_feature_table(reduced_table(df, indexes, features), path, features, prefix, len(indexes), fmt, layout=layout)
+
+
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """``smiles, prediction, label, cos_similarity`` as CSV with header."""
     df.select("smiles", "prediction", "label", "cos_similarity").write.mode(mode).option("header", True).csv(path)
