@@ -51,10 +51,6 @@ def _vocab_map() -> Column:
     return F.create_map(*[c for i, t in enumerate(VOCAB) for c in (F.lit(t), F.lit(i))])
 
 
-def _atoms() -> Column:
-    return F.array(*[F.lit(t) for t in ATOM_TOKENS])
-
-
 def smiles_tokens(s: Column) -> Column:
     """array of tokens in match order; unmatched characters are dropped."""
     return F.regexp_extract_all(s, F.lit(SMILES_PATTERN), F.lit(1))
@@ -109,33 +105,15 @@ def canonical_tokens(tokens: Column) -> Column:
 
 
 def token_ids(tokens: Column, max_tokens: int = MAX_TOKENS) -> Column:
-    """F4 + P10: vocabulary ids of the padded sequence, NULL unless it has
-    exactly ``max_tokens + 1`` entries (too many tokens)."""
-    vm = _vocab_map()
-    seq = canonical_tokens(padded_tokens(tokens, max_tokens))
-    ids = F.transform(seq, lambda t: F.element_at(vm, t))
-    return F.when(F.size(seq) == max_tokens + 1, ids)
-
-
-def ids_of(seq: Column, max_tokens: int = MAX_TOKENS) -> Column:
-    """Ids of an already padded, canonical sequence; NULL unless it has
-    exactly ``max_tokens + 1`` entries."""
-    vm = _vocab_map()
-    return F.when(F.size(seq) == max_tokens + 1, F.transform(seq, lambda t: F.element_at(vm, t)))
-
-
-def mask_of(seq: Column) -> Column:
-    """Atom mask of an already padded, canonical sequence."""
-    atoms = _atoms()
-    return F.transform(seq, lambda t: F.when(F.array_contains(atoms, t), 1).otherwise(0))
+    """F4 + P10: vocabulary ids of the padded sequence (:func:`encode_ids`),
+    NULL unless it has exactly ``max_tokens + 1`` entries (too many tokens)."""
+    return F.when(F.size(tokens) <= max_tokens, encode_ids(tokens, max_tokens))
 
 
 def atom_mask(tokens: Column, max_tokens: int = MAX_TOKENS) -> Column:
     """1 for atom tokens and unknown bracket tokens; ``[2H]`` is known but
     not an atom (0)."""
-    seq = canonical_tokens(padded_tokens(tokens, max_tokens))
-    atoms = _atoms()
-    return F.transform(seq, lambda t: F.when(F.array_contains(atoms, t), 1).otherwise(0))
+    return mask_from_ids(encode_ids(tokens, max_tokens))
 
 
 def mask_positions(mask: Column) -> Column:
@@ -199,7 +177,7 @@ def encode_tokens_long(df, id_col: str, tokens: str, max_tokens: int = MAX_TOKEN
 def encode_ids(tokens: Column, max_tokens: int = MAX_TOKENS) -> Column:
     """F4 in one pass: ids of ``[GLO] + tokens + [PAD]...``, unknown bracket
     tokens -> the other-atom id, other unknowns -> the other-token id (one
-    map lookup per token).  Not length-checked; see :func:`ids_of` / P10."""
+    map lookup per token).  Not length-checked; see :func:`token_ids`."""
     vm = _vocab_map()
     other_atom, other_token = VOCAB.index(OTHER_ATOM), VOCAB.index(OTHER_TOKEN)
     return F.transform(

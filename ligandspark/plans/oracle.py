@@ -84,7 +84,7 @@ def ranking_sql(src: str, g: str, p: str = "p", y: str = "y") -> str:
     """SELECT g, roc_auc, average_precision, pr_auc_trapezoid.
 
     AUC from the Mann-Whitney rank sum with average ranks for ties;
-    AP and trapezoid from cumulative counts over descending distinct scores."""
+    AP and trapezoid from the steps of recall over descending distinct scores."""
     return f"""
       WITH d AS (
         SELECT {g}, {p}::DOUBLE AS s, sum(CASE WHEN {y} = 1 THEN 1 ELSE 0 END) AS pos,
@@ -99,15 +99,16 @@ def ranking_sql(src: str, g: str, p: str = "p", y: str = "y") -> str:
           sum(neg) OVER (PARTITION BY {g} ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
           sum(pos) OVER (PARTITION BY {g}) AS P,
           sum(neg) OVER (PARTITION BY {g}) AS N
-        FROM d)
+        FROM d),
+      r AS (SELECT *, tp::DOUBLE / nullif(P, 0) AS recall, tp::DOUBLE / (tp + fp) AS prec FROM c),
+      l AS (SELECT *, coalesce(lag(recall) OVER (PARTITION BY {g} ORDER BY s DESC), 0) AS recall0,
+                   coalesce(lag(prec) OVER (PARTITION BY {g} ORDER BY s DESC), 1) AS prec0 FROM r)
       SELECT {g},
         CASE WHEN max(P) > 0 AND max(N) > 0 THEN
           (sum(pos * (below + (pos + neg + 1) / 2.0)) - max(P) * (max(P) + 1) / 2.0) / (max(P) * max(N)) END AS roc_auc,
-        CASE WHEN max(P) > 0 THEN sum(pos * tp::DOUBLE / (tp + fp)) / max(P) END AS average_precision,
-        CASE WHEN max(P) > 0 THEN sum(pos * (tp::DOUBLE / (tp + fp)
-             + CASE WHEN tp - pos + fp - neg = 0 THEN 1.0
-                    ELSE (tp - pos)::DOUBLE / (tp - pos + fp - neg) END) / 2.0) / max(P) END AS pr_auc_trapezoid
-      FROM c GROUP BY {g}
+        sum((recall - recall0) * prec) AS average_precision,
+        sum((recall - recall0) * (prec + prec0) / 2.0) AS pr_auc_trapezoid
+      FROM l GROUP BY {g}
     """
 
 
@@ -462,7 +463,8 @@ SELECT fold, CAST(sum(np) OVER () - np AS BIGINT) AS n_pos, CAST(sum(nn) OVER ()
 """
 
 EMB_LOGIT = f"""{EMB},
-el AS (SELECT *, 4.0 * list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS logit, 1.0 AS mask FROM emb)"""
+el AS (SELECT *, 4.0 * list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS logit,
+  CASE WHEN variant <> 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mask FROM emb)"""
 
 ORACLE["tta_ensemble"] = f"""
 WITH {EMB_LOGIT}
@@ -559,9 +561,10 @@ SELECT row_id, split, CAST(dim + 2 AS INTEGER) AS dim, round(z, 6) AS value FROM
 """
 ORACLE["feature_blocks_unmatched"] = f"""
 WITH {BLOCKS}
-SELECT row_id, 'left_only' AS side FROM db WHERE row_id NOT IN (SELECT row_id FROM tb)
+, ld AS (SELECT row_id FROM db WHERE row_id % 10 <> 3), rt AS (SELECT row_id FROM tb WHERE row_id % 8 <> 5)
+SELECT row_id, 'left_only' AS side FROM ld WHERE row_id NOT IN (SELECT row_id FROM rt)
 UNION ALL
-SELECT row_id, 'right_only' AS side FROM tb WHERE row_id NOT IN (SELECT row_id FROM db)
+SELECT row_id, 'right_only' AS side FROM rt WHERE row_id NOT IN (SELECT row_id FROM ld)
 """
 ORACLE["star_lookup"] = """
 SELECT l.l_orderkey, l.l_linenumber, l.l_partkey AS drug_id, l.l_suppkey AS target_id,

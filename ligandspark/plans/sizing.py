@@ -1,34 +1,10 @@
-"""Size-checked broadcast and small-table helpers."""
+"""Bounded collects and the spread of narrow scans."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a side may have to be broadcast explicitly.  Above it the join is left
-# to the planner (sort-merge / shuffle-hash, AQE may still convert it at run
-# time from the measured shuffle size).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
-
-    The check runs ``limit(max_rows + 1).count()``, which stops early, so the
-    cost is bounded even for a large side."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Persist a table expected to be small, count it once, and broadcast it
-    when the count is within ``max_rows``; otherwise return it (persisted) so
-    the planner picks a shuffle join."""
-    df = df.persist()
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def collect_small(df: DataFrame, max_rows: int = 1_000_000) -> list:
     """Collect a table that is small by construction (parameters, per-dimension
     statistics, class lists).  Raises instead of pulling unbounded data."""
