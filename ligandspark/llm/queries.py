@@ -97,4 +97,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {}
+# The one operator whose whole result SQL can give; all others are tested against brute force.
+ORACLE: dict[str, str] = {"op3_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+reach AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a),
+links AS (SELECT a, count(*) AS n FROM p GROUP BY a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT m.vec_id, coalesce(links.n, 0) AS n_links, least(m.vec_id, coalesce(low.b, m.vec_id)) AS component_id,
+       m.vec_id = least(m.vec_id, coalesce(low.b, m.vec_id)) AS kept
+FROM embeddings m LEFT JOIN links ON m.vec_id = links.a LEFT JOIN low ON m.vec_id = low.a
+"""}
