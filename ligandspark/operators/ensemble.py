@@ -14,6 +14,10 @@ from ligandspark.functions.vectors import cosine
 from ligandspark.operators.metrics import sigmoid
 
 
+MAX_VARIANTS = 1_000   # variants of a sample (the reference has five)
+MAX_BATCH = 16_384     # rows of a batch, whose pair cosines are one block
+
+
 def positional_sample(position: Column, n_samples: int) -> Column:
     """Sample of a row when ``aug_times`` copies are laid out as consecutive
     blocks of ``n_samples`` rows: ``position mod n_samples``."""
@@ -45,11 +49,19 @@ def variant_ensemble(df: DataFrame, sample: str, variant: str, logit: str = "log
 
 def variant_cosines(df: DataFrame, sample: str, variant: str, features: str = "features",
                     canonical: int = 0) -> DataFrame:
-    """Per sample, cosine of the canonical vector with every other variant
-    (equi-join on the sample key; each sample has a bounded number of rows)."""
-    c = df.where(F.col(variant) == canonical).select(sample, F.col(features).alias("_c"))
-    v = df.where(F.col(variant) != canonical).select(sample, variant, F.col(features).alias("_v"))
-    return v.join(c, sample, "inner").select(sample, variant, cosine(F.col("_c"), F.col("_v")).alias("cos"))
+    """Per sample, cosine of the canonical vector with every other variant.
+
+    One grouping on the sample key: a sample holds a few variants (a parameter;
+    more than ``MAX_VARIANTS`` raise).  A sample without its canonical vector
+    gives no row."""
+    own = F.col(variant) == canonical
+    g = df.groupBy(sample).agg(
+        F.first(F.when(own, F.col(features)), ignorenulls=True).alias("_c"),
+        F.collect_list(F.when(~own, F.struct(F.col(variant).alias("variant"), F.col(features).alias("v")))).alias("_o"))
+    few = F.when(F.size("_o") > MAX_VARIANTS, F.raise_error(F.lit(f"a sample has more than {MAX_VARIANTS} variants"))
+                 .cast(dict(g.dtypes)["_o"])).otherwise(F.col("_o"))
+    o = g.where(F.col("_c").isNotNull()).select(sample, "_c", F.explode(few).alias("_o"))
+    return o.select(sample, F.col("_o.variant").alias(variant), cosine(F.col("_c"), F.col("_o.v")).alias("cos"))
 
 
 def variant_consensus(df: DataFrame, sample: str, variant: str, features: str = "features",
@@ -80,6 +92,8 @@ def batch_diversity(df: DataFrame, batch: str, features: str = "features") -> Da
                            T.StructField("diversity", T.DoubleType())])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MAX_BATCH:
+            raise ValueError(f"batch {pdf[batch].iloc[0]!r} has {len(pdf)} rows; at most {MAX_BATCH} fit one block")
         X = np.stack(pdf[features].to_numpy()).astype(np.float64)
         n = X.shape[0]
         norms = np.sqrt((X * X).sum(axis=1))

@@ -303,13 +303,11 @@ def doc_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     # upper-case letters A-Z counted with translate (a character map, no regex)
     upper = F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
     upper_share = upper / F.greatest(F.length("text"), F.lit(1))
-    q = d.select("doc_id", F.lit("quality").alias("task"), F.col("quality").alias("y"),
-                 F.col("quality").isNotNull().cast("double").alias("mask"),
-                 (F.log1p(F.col("n_chars").cast("double")) - 7.5).alias("logit"))
-    t = d.select("doc_id", F.lit("toxic").alias("task"), F.col("toxic").alias("y"),
-                 F.col("toxic").isNotNull().cast("double").alias("mask"),
-                 (F.lit(20.0) * upper_share - 1.5).alias("logit"))
-    return q.unionByName(t)
+    logits = {"quality": F.log1p(F.col("n_chars").cast("double")) - 7.5, "toxic": F.lit(20.0) * upper_share - 1.5}
+    cells = F.array(*[F.struct(F.lit(t).alias("task"), F.col(t).alias("y"),
+                               F.col(t).isNotNull().cast("double").alias("mask"), logits[t].alias("logit"))
+                      for t in TASKS])
+    return d.select("doc_id", F.explode(cells).alias("c")).select("doc_id", "c.*")
 
 
 @register
@@ -784,6 +782,10 @@ def wavelet_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 from ligandspark.streaming import accumulate as ST  # noqa: E402
 
 
+METER_FILES = 4         # files of a month, and of a micro-batch
+METER_SECONDS = 1800
+
+
 @register
 def streaming_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored events arrive as monthly batches (files in the shared scratch
@@ -794,9 +796,13 @@ def streaming_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds = ev.select(F.lit("events").alias("run"), F.col("fold").cast("string").alias("task"), "logit",
                       F.col("y").cast("double").alias("y"), F.lit(1.0).alias("mask"),
                       F.date_format("ts", "yyyy-MM").alias("month"))
-    preds.repartition("month").write.partitionBy("month").parquet(f"{root}/src")
-    q = ST.start_accumulator(spark, f"{root}/src", f"{root}/sink", f"{root}/ck", max_files_per_trigger=1)
-    q.awaitTermination()
+    # a month may hold many rows: a few files each
+    salted = preds.withColumn("_salt", F.pmod(F.xxhash64("logit", "y"), F.lit(METER_FILES)))
+    salted.repartition("month", "_salt").drop("_salt").write.partitionBy("month").parquet(f"{root}/src")
+    q = ST.start_accumulator(spark, f"{root}/src", f"{root}/sink", f"{root}/ck", max_files_per_trigger=METER_FILES)
+    if not q.awaitTermination(METER_SECONDS):
+        q.stop()
+        raise TimeoutError(f"the accumulation did not end within {METER_SECONDS} seconds")
     m = ST.accumulated_metrics(spark, f"{root}/sink")
     return rounded(m.select("task", "roc_auc", "average_precision", "pr_auc_trapezoid"), ["task"])
 

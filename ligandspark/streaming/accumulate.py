@@ -6,7 +6,7 @@ the sufficient statistics of every exact ranking metric - and written to
 ``<sink>/batch_id=<n>`` with overwrite, so a retried micro-batch replaces its
 own output (exactly-once with the checkpointed source offsets).  Metrics over
 everything seen so far are one aggregation of the count table; nothing is
-kept in driver memory and no batch is re-read.
+kept in driver memory.
 """
 
 from __future__ import annotations

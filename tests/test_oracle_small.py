@@ -8,7 +8,9 @@ from ligandspark.session import TABLES
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["centroid_cv_report", "smiles_encode", "binary_report9", "auc_by_group", "stratified_folds_seeded",
-          "early_stop", "knn_vote", "wavelet_layer", "variant_consensus", "feature_blocks_join", "streaming_meter"]
+          "early_stop", "knn_vote", "wavelet_layer", "variant_consensus", "feature_blocks_join", "streaming_meter",
+          "feature_blocks_unmatched", "tta_ensemble", "star_csv_scan", "featurize_smiles", "embed_callable",
+          "labelled_blocks", "metric_dispatch", "saved_models_test", "selection_sinks"]
 
 
 def _norm(rows):
