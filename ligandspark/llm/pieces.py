@@ -22,9 +22,24 @@ SPACE = "▁"         # stands for a blank in pieces
 CACHE_WORDS = 300_000    # encoded words kept by a worker
 CACHE_CHARS = 64         # longest word kept
 OUT_BYTES = 16 << 20
+SLICE = 1 << 20          # characters of a long text that are split into words at once
 NEVER = float("-inf")    # score of a pair that is no piece
 
 
+def word_slices(text: str) -> Iterator[tuple[int, int]]:
+    """Borders of parts of about ``SLICE`` characters that each begin a run of blanks."""
+    at = 0
+    while len(text) - at > SLICE:
+        end = text.rfind(" ", at + 1, at + SLICE)
+        while end > at and text[end - 1] in (" ", SPACE):
+            end = text.rfind(" ", at + 1, end)
+        if end <= at:
+            break
+        yield at, end
+        at = end
+    yield at, len(text)
+
+
 class MergeEncoder:
     """Encoder of one SentencePiece BPE model with byte fallback."""
 
@@ -137,7 +152,13 @@ class MergeEncoder:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        words = self.words.findall(SPACE + text.replace(" ", SPACE))
+        if len(text) > SLICE:
+            return list(chain.from_iterable(
+                self.encode_words(self.words.findall((SPACE if not a else "") + text[a:b].replace(" ", SPACE)))
+                for a, b in word_slices(text)))
+        return self.encode_words(self.words.findall(SPACE + text.replace(" ", SPACE)))
+
+    def encode_words(self, words: list[str]) -> list[int]:
         known = self.known
         try:
             return list(chain.from_iterable([known[w] for w in words]))

@@ -147,3 +147,14 @@ def test_large_envelope_holds():
         mode = min(high, max(low, (sample + 1) * (good + 1) // (n + 2)))
         for k in range(low, high + 1):
             assert math.exp(w(k) - w(mode)) <= 4.0 / (1.0 + ((k - mode) / sd) ** 2) + 1e-9, (good, bad, sample, k)
+
+
+def test_slices_of_long_texts_change_nothing(monkeypatch):
+    rng = random.Random(7)
+    word, piece = open(WORD, "rb").read(), open(PIECE, "rb").read()
+    texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 200))) for _ in range(300)]
+    a, b = packing._encoder(word), pieces.MergeEncoder(piece)
+    want = [(a(t), b.encode(t)) for t in texts]
+    monkeypatch.setattr(packing, "SLICE", 9)
+    monkeypatch.setattr(pieces, "SLICE", 9)
+    assert [(a(t), b.encode(t)) for t in texts] == want
