@@ -9,7 +9,7 @@ a later model learns from inputs as good as it gets when it is applied.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_ROWS = 20_000   # labelled documents that the chain is fitted on at most
-FEATURES = 512        # words and word beginnings kept, by their evidence for toxicity
+FEATURES = 256        # words and word beginnings kept, by their evidence for toxicity
 MIN_DOCS = 3          # toxic documents that a feature must occur in
 FOLDS = 5
-RIDGE = 1.0
+RIDGE = 0.3
 THRESHOLD = 0.5
 PREFIXES = (4, 5)     # letters of the word beginnings
 COUNTED = 200_000     # features that a task counts before it hands them on
@@ -57,10 +57,13 @@ class LinearModel:
         return 1.0 / (1.0 + np.exp(-z))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 25) -> LinearModel:
-    """Logistic regression with an L2 penalty, by Newton's method.  One class
-    only: no weights, and an intercept from the smoothed rate."""
-    rate = (y.sum() + 0.5) / (len(y) + 1.0)
+def fit_linear(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, ridge: float = RIDGE,
+               steps: int = 25) -> LinearModel:
+    """Logistic regression with an L2 penalty, by Newton's method, on rows that
+    stand for ``n`` equal ones each.  One class only: no weights, and an
+    intercept from the smoothed rate."""
+    n = np.ones(len(y)) if n is None else n
+    rate = ((n * y).sum() + 0.5) / (n.sum() + 1.0)
     w = np.zeros(x.shape[1] + 1)
     w[-1] = np.log(rate / (1 - rate))
     if 0 < y.sum() < len(y):
@@ -69,11 +72,11 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int =
         penalty[-1] = 1e-6
         for _ in range(steps):
             p = 1.0 / (1.0 + np.exp(-np.clip(x1 @ w, -30, 30)))
-            gradient = x1.T @ (y - p) - penalty * w
-            hessian = (x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(penalty)
+            gradient = x1.T @ (n * (y - p)) - penalty * w
+            hessian = (x1 * (n * p * (1 - p))[:, None]).T @ x1 + np.diag(penalty)
             step = np.linalg.solve(hessian, gradient)
             w = w + step
-            if np.abs(step).max() < 1e-6:
+            if np.abs(step).max() < 1e-4:
                 break
     return LinearModel(w[:-1], float(w[-1]))
 
@@ -100,17 +103,18 @@ class Chain:
         return done
 
 
-def fit_models(x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> list[LinearModel]:
+def fit_models(x: np.ndarray, y: np.ndarray, folds: np.ndarray, n: np.ndarray | None = None) -> list[LinearModel]:
     """The chain's models for the label columns of ``y``, in order."""
     models, earlier = [], np.zeros((len(x), 0))
+    n = np.ones(len(x)) if n is None else n
     for c in range(y.shape[1]):
         whole = np.hstack([x, earlier])
-        models.append(fit_linear(whole, y[:, c]))
+        models.append(fit_linear(whole, y[:, c], n))
         held_out = np.zeros(len(x))
         for f in np.unique(folds):
             out = folds == f
             rest = ~out if (~out).any() else out
-            held_out[out] = fit_linear(whole[rest], y[rest, c]).probability(whole[out])
+            held_out[out] = fit_linear(whole[rest], y[rest, c], n[rest]).probability(whole[out])
         earlier = np.hstack([earlier, held_out[:, None]])
     return models
 
@@ -182,11 +186,13 @@ def fit_chain(rows: DataFrame, categories: Sequence[str] = CATEGORIES, n_feature
     if not sample:
         chain.models = [LinearModel(np.zeros(len(chain.columns) + i), -30.0) for i in range(len(categories))]
         return chain
-    x = np.zeros((len(sample), len(chain.columns)), np.float64)
-    for i, r in enumerate(sample):
-        x[i, r["hits"]] = 1.0
-    y = np.array([[r[c] for c in categories] for r in sample], np.float64)
-    chain.models = fit_models(x, y, np.arange(len(sample)) % FOLDS)
+    # rows with the same features, labels and fold are one row with a count; most hold no feature at all
+    equal = Counter((i % FOLDS, tuple(r["hits"]), tuple(r[c] for c in categories)) for i, r in enumerate(sample))
+    x = np.zeros((len(equal), len(chain.columns)))
+    for i, (_, hits, _) in enumerate(equal):
+        x[i, list(hits)] = 1.0
+    chain.models = fit_models(x, np.array([k[2] for k in equal], np.float64), np.array([k[0] for k in equal]),
+                              np.array(list(equal.values()), np.float64))
     return chain
 
 
