@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +28,10 @@ from ligandspark.llm.common import written
 
 CAPACITY = 4096       # tokens of a sequence
 END_ID = 1            # closes every document
-CACHE_CHUNKS = 400_000   # tokenized words kept by a worker
+CACHE_WORDS = 300_000    # tokenized words kept by a worker
 CACHE_CHARS = 64         # longest word kept
+LATIN_END = "\u0180"      # letters below it are composed and keep their ids lower-cased
+SLICE = 1 << 20          # characters of a long text that are split into words at once
 OUT_ROWS = 2_000
 
 
@@ -122,34 +125,88 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> tup
     return fills, bins
 
 
+def slices(text: str) -> Iterator[str]:
+    """``text`` cut at blanks, which are dropped, into parts of about ``SLICE`` characters."""
+    at = 0
+    while len(text) - at > SLICE:
+        end = text.rfind(" ", at, at + SLICE)
+        if end < 0:
+            end = text.find(" ", at + SLICE)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
+
+
+def byte_signs() -> dict[int, str]:
+    """The sign that byte-level merges use for each byte: printable ones stand
+    for themselves, the others for the signs from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 def _encoder(model: bytes):
     """Function from texts to their ids as little-endian uint32 bytes.
 
     A text is cut at blanks and line feeds: the tokenizer drops white space and
     no pattern, normalization or added token of it reaches across, so the ids
-    of a text are those of its words, which are kept."""
+    of a text are those of its words, which are kept.  A word of Latin letters
+    and closing marks is two texts to it as well, and the first needs nothing
+    but lower case and the model's merges, so it goes to these at once."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(model.decode())
-    known: dict[str, bytes] = {"": b""}
+    merges, signs = tokenizer.model.tokenize, byte_signs()
+    known: dict[str, bytes] = {"": b""}        # words of texts
+    stems: dict[str, bytes] = {"": b""}        # of letters, lower-cased
+    rest: dict[str, bytes] = {"": b""}         # closing marks, and words of another kind
+
+    def halves(word: str) -> tuple[str, str]:
+        stem = word.rstrip(".,;:!?")
+        low = stem.lower()
+        if stem.isalpha() and max(stem) < LATIN_END and len(low) == len(stem):
+            return low, word[len(stem):]
+        return "", word
+
+    def merged(stem: str) -> bytes:
+        mapped = stem if stem.isascii() else stem.encode().decode("latin-1").translate(signs)
+        return array("I", [t.id for t in merges(mapped)]).tobytes()
 
     def encode(text: str) -> bytes:
+        return b"".join(encode_slice(s) for s in slices(text)) if len(text) > SLICE else encode_slice(text)
+
+    def encode_slice(text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        if len(known) > CACHE_CHUNKS:
+        if len(known) > CACHE_WORDS:
             known.clear()
             known[""] = b""
-        new = list({w for w in words if w not in known})
-        extra = {}
-        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            (known if len(w) <= CACHE_CHARS else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        if extra:
-            return b"".join([known[w] if w in known else extra[w] for w in words])
-        return b"".join([known[w] for w in words])
+        if len(stems) + len(rest) > CACHE_WORDS:
+            stems.clear()
+            rest.clear()
+            stems[""] = rest[""] = b""
+        split = {w: halves(w) for w in set(words).difference(known)}
+        new = list({end for _, end in split.values() if end not in rest})
+        long_ends, own = {}, {}
+        for end, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            (rest if len(end) <= CACHE_CHARS else long_ends)[end] = array("I", e.ids).tobytes()
+        for w, (stem, end) in split.items():
+            ids = stems.get(stem)
+            if ids is None:
+                ids = merged(stem)
+                if len(stem) <= CACHE_CHARS:
+                    stems[stem] = ids
+            ids += rest[end] if end in rest else long_ends[end]
+            (known if len(w) <= CACHE_CHARS else own)[w] = ids
+        if not own:
+            return b"".join([known[w] for w in words])
+        return b"".join([known[w] if w in known else own[w] for w in words])
 
     return encode
 
