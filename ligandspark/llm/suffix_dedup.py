@@ -10,11 +10,14 @@ a shard is chosen so that equal strings meet:
 * Consecutive windows with the same hash are one context (a few hundred bytes).
   Equal contexts are counted before anything is moved: all windows of a context
   that occurs twice are repeated, and one copy stands for all.
-* Groups are dealt to shards of about ``SHARD_BYTES``.  A group that is larger
-  (a passage in a large share of all texts, with other words around it) is cut
-  by the place of the window: windows that start within ``width`` bytes of each
-  other share a core, whose hash is the new group.  At width 1 a group is one
-  string and its count decides.
+* The contexts of a group are cut by the place of the window: windows that start
+  within ``width`` bytes of each other hold a common core, nearly as long as a
+  window, whose hash is the new group; equal parts are counted again.  What is
+  left are the parts where texts that agree on a core go apart.  In the suffix
+  array equal cores are one symbol, so it runs over the bytes around them.
+* These groups are dealt to shards of about ``SHARD_BYTES``.  A group larger
+  than ``HOT_BYTES`` (a passage in a large share of all texts) is cut again with
+  a smaller width.  At width 1 a group is one string and its count decides.
 
 Only contexts, hashes and byte ranges are shuffled, and of the texts only those
 that may hold a repeated string.
@@ -30,16 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ligandspark.llm.common import lookup, parallelism, written
-from ligandspark.llm.suffixes import repeated_starts
+from ligandspark.llm.suffixes import repeated_starts_around
 
 LENGTH = 400              # bytes of a repeated string
 GRAM = 64                 # bytes of a hashed gram
 MOST_WINDOWS = 512        # windows of one context
 SHARD_BYTES = 2 << 20     # contexts in one suffix array, about
-HOT_BYTES = 1 << 20       # a group above it is cut
+HOT_BYTES = 256 << 10     # a group above it is cut again
 WIDTHS = (32, 4, 1)       # places that share a core, level by level
 MARK_BITS = 24            # log2 of the bits that mark texts (2 MB whatever the corpus)
 OUT_BYTES = 8 << 20
+OUT_ROWS = 20_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,7 +126,7 @@ def _ranges(starts: np.ndarray) -> list[tuple[int, int]]:
 
 
 RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-ITEM = "key binary, grp long, n long, picks int, windows int, content binary"
+ITEM = "key binary, grp long, n long, windows int, content binary"
 
 
 def _range_dicts(ranges: list[tuple[int, int]]) -> list[dict]:
@@ -178,30 +182,31 @@ def _marker(marked: DataFrame, key: str):
     return lambda c: there(place(c))
 
 
-def _sharded(items: DataFrame, length: int) -> DataFrame:
-    """Items of groups small enough for one suffix array -> ``key, ranges``."""
+def _sharded(items: DataFrame, length: int, width: int) -> DataFrame:
+    """Items (parts cut with ``width``) of groups small enough for one suffix array -> ``key, ranges``."""
     total = items.agg(F.sum(F.length("content"))).first()[0] or 0
     shards = max(parallelism(items.sparkSession), -(-total // SHARD_BYTES))
-    dealt = items.select("key", "content", F.pmod(F.xxhash64("grp"), F.lit(shards)).cast("int").alias("shard"))
+    dealt = items.select("key", "content", "core", F.pmod(F.xxhash64("grp"), F.lit(shards)).cast("int").alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, keys, texts = None, [], []
+        shard, keys, texts, cores = None, [], [], []
 
         def done() -> pa.RecordBatch:
-            found = [_range_dicts(_ranges(s)) for s in repeated_starts(texts, length)]
+            starts = repeated_starts_around(texts, cores, length - width + 1, length)
+            found = [_range_dicts(_ranges(s)) for s in starts]
             out = [(k, r) for k, r in zip(keys, found, strict=True) if r]
             return pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in out], pa.binary()), pa.array([r for _, r in out], RANGES)], ["key", "ranges"])
 
         for b in batches:
-            for s, k, c in zip(b.column(2).to_pylist(), b.column(0).to_pylist(), b.column(1).to_pylist(),
-                               strict=True):
+            for k, c, at, s in zip(*(column.to_pylist() for column in b.columns), strict=True):
                 if s != shard:
                     if texts:
                         yield done()
-                    shard, keys, texts = s, [], []
+                    shard, keys, texts, cores = s, [], [], []
                 keys.append(k)
                 texts.append(c)
+                cores.append(at)
         if texts:
             yield done()
 
@@ -210,15 +215,15 @@ def _sharded(items: DataFrame, length: int) -> DataFrame:
 
 
 def _narrower(items: DataFrame, level: int, length: int, gram: int) -> DataFrame:
-    """Cut the items of large groups: a row per item and core, with the part's
-    own ``part_key, part_grp, shift`` (of its first window) and content."""
+    """Cut items by the place of the window: a row per item and core, with the
+    part's own ``part_key`` and ``grp``, ``shift`` (of its first window), ``n``,
+    ``windows`` and ``core`` (place of the core in it)."""
     width = WIDTHS[level]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            size = 0
-            for key, hot, n, windows, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, grp, n, windows, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = gram_hashes(np.frombuffer(content, np.uint8), gram)
                 # all windows have the same smallest hash; the place of its first gram in each window
                 low = window_minima(h, length - gram + 1)[0]
@@ -231,62 +236,69 @@ def _narrower(items: DataFrame, level: int, length: int, gram: int) -> DataFrame
                     core_from = int(at[lo] - cell[lo] * width)
                     core = content[core_from:core_from - (width - 1) + length]
                     part = content[lo:hi - 1 + length]
-                    place = f"{level}:{int(cell[lo])}:{hot}:".encode()
+                    place = f"{level}:{int(cell[lo])}:{grp}:".encode()
                     g = int.from_bytes(_key(place + core)[:8], "little", signed=True)
                     offset = f"{int(at[lo]) - lo}:".encode()
-                    out.append((key, _key(place + offset + part), g, lo, n, hi - lo, part))
-                    size += len(part)
-                if size > OUT_BYTES:
+                    out.append((key, _key(place + offset + part), g, lo, n, hi - lo, core_from - lo))
+                if len(out) > OUT_ROWS:
                     yield made(out)
-                    out, size = [], 0
+                    out = []
             yield made(out)
 
     def made(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
         cols = list(zip(*out, strict=True)) if out else [()] * 7
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-            ["key", "part_key", "grp", "shift", "n", "windows", "content"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+                                          ["key", "part_key", "grp", "shift", "n", "windows", "core"])
 
     return items.select("key", "grp", "n", "windows", "content").mapInArrow(
-        run, "key binary, part_key binary, grp long, shift int, n long, windows int, content binary")
+        run, "key binary, part_key binary, grp long, shift int, n long, windows int, core int")
+
+
+def _whole(items: DataFrame) -> DataFrame:
+    """All windows of the items that occur more than once."""
+    return items.where("n > 1").select("key", F.array(
+        F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"))).alias("ranges"))
 
 
-def repeated_windows(items: DataFrame, length: int = LENGTH, gram: int = GRAM, level: int = 0,
-                     hot_bytes: int | None = None) -> DataFrame:
-    """``key, ranges`` of the items that hold repeated windows.
+def repeated_windows(items: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: int | None = None,
+                     level: int = 0) -> DataFrame:
+    """``key, ranges`` of the items that share a window with another item, or
+    hold one twice.
 
     ``items`` has one row per distinct content: ``key, grp, n`` (times it
-    occurs), ``picks, windows, content``; equal windows lie in items of one grp.
-    ``ranges`` are window starts within the item, both ends included."""
+    occurs), ``windows, content``; equal windows lie in items of one grp, and
+    groups of one item without a loop are left out.  ``ranges`` are window
+    starts within the item, both ends included; whole items that occur more
+    than once are not listed again."""
     limit = HOT_BYTES if hot_bytes is None else hot_bytes
-    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).alias("b")))
-    groups = items.groupBy("grp").agg(F.sum("picks").alias("picks"),
-                                      F.sum(F.length("content").cast("long")).alias("bytes"))
-    several = groups.where("picks > 1")              # else one context without a loop: its count decides
-    hot = written(several.where(F.col("bytes") > limit).select("grp"), "hot-groups")
-    own = items.where("n > 1").select("key", whole.alias("ranges"))
-    if level >= len(WIDTHS):
-        return own                                   # one string a group: its count has decided
-    rest = items
-    if not hot.isEmpty():
-        rest = items.join(F.broadcast(hot), "grp", "left_anti") if hot.count() <= 10_000 else \
-            items.join(hot, "grp", "left_anti")
-        large = items.join(F.broadcast(hot), "grp") if hot.count() <= 10_000 else items.join(hot, "grp")
-        # a content that occurs twice is repeated as a whole, yet stays to be met by others
-        parts = written(_narrower(large, level, length, gram), "parts")
-        single = (parts.groupBy("part_key").agg(
-            F.first("grp").alias("grp"), F.sum("n").alias("n"), F.lit(1).alias("picks"),
-            F.first("windows").alias("windows"), F.first("content").alias("content")).withColumnRenamed("part_key", "key"))
-        single = written(single, "part-items")
-        found = repeated_windows(single, length, gram, level + 1, limit)
-        found = written(found, "part-ranges").select(F.col("key").alias("part_key"), "ranges")
-        back = lookup(parts.select("key", "part_key", "shift"), "part_key", found)
-        back = back.select("key", F.transform("ranges", lambda r: F.struct(
-            (r.a + F.col("shift")).alias("a"), (r.b + F.col("shift")).alias("b"))).alias("ranges"))
-        own = own.unionByName(back)
-    shared = rest.join(several.select("grp"), "grp", "left_semi")
-    return own.unionByName(_sharded(shared, length))
+    large, out = items, None
+    if level:
+        size = F.sum(F.length("content").cast("long")).alias("bytes")
+        hot = written(items.groupBy("grp").agg(size).where(F.col("bytes") > limit).select("grp"), "hot-groups")
+        if hot.isEmpty():
+            return _sharded(items, length, WIDTHS[level - 1])
+        out = _sharded(items.join(hot, "grp", "left_anti"), length, WIDTHS[level - 1])
+        large = items.join(hot, "grp", "left_semi")
+    parts = written(_narrower(large, level, length, gram), "parts")
+    single = written(parts.groupBy(F.col("part_key")).agg(
+        F.first("grp").alias("grp"), F.sum("n").alias("n"), F.first("windows").alias("windows"),
+        F.first("core").alias("core"), F.min(F.struct("key", "shift")).alias("at")).withColumnRenamed("part_key", "key"), "part-keys")
+    several = single.groupBy("grp").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("grp")
+    apart = single.join(several, "grp", "left_semi")
+    source = large.select(F.col("key").alias("item"), "content")
+    apart = apart.join(source, F.col("at.key") == F.col("item")).select(
+        "key", "grp", "n", "windows", "core",
+        F.substring("content", F.col("at.shift") + 1, F.col("windows") - 1 + length).alias("content"))
+    found = _whole(single)
+    if WIDTHS[level] > 1:
+        found = found.unionByName(repeated_windows(written(apart, "apart"), length, gram, hot_bytes, level + 1))
+    found = written(found, "part-ranges").withColumnRenamed("key", "part_key")
+    back = lookup(parts.select("key", "part_key", "shift"), "part_key", found.groupBy("part_key").agg(
+        F.flatten(F.collect_set("ranges")).alias("ranges")))
+    back = back.select("key", F.transform("ranges", lambda r: F.struct(
+        (r.a + F.col("shift")).alias("a"), (r.b + F.col("shift")).alias("b"))).alias("ranges"))
+    return back if out is None else out.unionByName(back)
 
 
 def repeated_starts_by_text(texts: DataFrame, length: int = LENGTH, gram: int = GRAM,
@@ -302,9 +314,11 @@ def repeated_starts_by_text(texts: DataFrame, length: int = LENGTH, gram: int =
     keys = written(met.groupBy("key").agg(
         F.first("grp").alias("grp"), F.count(F.lit(1)).alias("n"), F.first("picks").alias("picks"),
         F.min(F.struct("tkey", "first", "last")).alias("at")), "context-keys")
-    wanted = keys.groupBy("at.tkey").agg(F.collect_list(
-        F.struct("key", "grp", "n", "picks", "at.first", "at.last")).alias("at"))
-    holders = texts.where(_marker(keys.select("at.tkey"), "tkey")(F.col("tkey")))
+    several = keys.groupBy("grp").agg(F.sum("picks").alias("picks")).where("picks > 1").select("grp")
+    chosen = written(keys.join(several, "grp", "left_semi"), "chosen")   # else one context: its count decides
+    wanted = chosen.groupBy("at.tkey").agg(F.collect_list(
+        F.struct("key", "grp", "n", "at.first", "at.last")).alias("at"))
+    holders = texts.where(_marker(chosen.select("at.tkey"), "tkey")(F.col("tkey")))
     one = holders.groupBy("tkey").agg(F.first("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +329,7 @@ def repeated_starts_by_text(texts: DataFrame, length: int = LENGTH, gram: int =
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 for x in at.as_py():
                     part = data[x["first"]:x["last"] + length]
-                    rows.append((x["key"], x["grp"], x["n"], x["picks"], x["last"] - x["first"] + 1, part))
+                    rows.append((x["key"], x["grp"], x["n"], x["last"] - x["first"] + 1, part))
                     size += len(part)
                 if size > OUT_BYTES:
                     yield made(rows)
@@ -323,13 +337,14 @@ def repeated_starts_by_text(texts: DataFrame, length: int = LENGTH, gram: int =
             yield made(rows)
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                          ["key", "grp", "n", "picks", "windows", "content"])
+                                          ["key", "grp", "n", "windows", "content"])
 
     items = written(one.join(wanted, "tkey").select("text", "at").mapInArrow(extract, ITEM), "items")
-    flagged = written(repeated_windows(items, length, gram, 0, hot_bytes), "flagged")
+    flagged = written(repeated_windows(items, length, gram, hot_bytes).unionByName(_whole(
+        keys.withColumn("windows", F.col("at.last") - F.col("at.first") + 1))), "flagged")
     flagged = flagged.groupBy("key").agg(F.flatten(F.collect_set("ranges")).alias("ranges"))
     flagged = written(flagged, "ranges")
     places = written(met.select("tkey", "first", "key").distinct(), "places")

@@ -75,26 +75,31 @@ def _by_bucket(t, up, starts, ends, seeds) -> np.ndarray:
 
 
 def _one_by_one(t, up, starts, ends, seeds) -> np.ndarray:
-    n, text, small = len(t), t.tolist(), up.tolist()
-    sa = [-1] * n
-    tail = ends.tolist()
-    for i in reversed(seeds.tolist()):
-        c = text[i]
-        tail[c] -= 1
-        sa[tail[c]] = i
+    n = len(t)
+    # the symbol before each suffix if that one is larger (smaller) than it, else -1; place n stands for none
+    before = np.concatenate(([-1], t[:-1], [-1])).astype(np.int64)
+    is_up = np.concatenate(([True], up[:-1], [True]))
+    larger = np.where(is_up, -1, before).tolist()
+    smaller = np.where(is_up, before, -1).tolist()
+    chars = t[seeds]
+    first = np.searchsorted(chars, chars, side="left")
+    last = np.searchsorted(chars, chars, side="right")
+    place = np.full(n, n, np.int64)
+    place[ends[chars] - (last - first) + np.arange(len(seeds)) - first] = seeds
+    sa = place.tolist()
     head = starts.tolist()
     for i in sa:                                   # the list grows ahead of the reading place
-        if i > 0 and not small[i - 1]:
-            c = text[i - 1]
+        c = larger[i]
+        if c >= 0:
             sa[head[c]] = i - 1
             head[c] += 1
     tail = ends.tolist()
-    for k in range(n - 1, -1, -1):
-        i = sa[k]
-        if i > 0 and small[i - 1]:
-            c = text[i - 1]
-            tail[c] -= 1
-            sa[tail[c]] = i - 1
+    for i in reversed(sa):
+        c = smaller[i]
+        if c >= 0:
+            k = tail[c] - 1
+            sa[k] = i - 1
+            tail[c] = k
     sa[0] = n - 1
     return np.array(sa, np.int64)
 
@@ -175,16 +180,35 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     """For each text the starts of its ``length``-byte strings that also start
     at another place of the same or another text."""
-    m = len(texts)
-    sizes = np.array([len(x) for x in texts], np.int64)
+    return _repeated([np.frombuffer(x, np.uint8).astype(np.int32) for x in texts], 256, length)
+
+
+def repeated_starts_around(texts: list[bytes], cores: list[int], size: int, length: int) -> list[np.ndarray]:
+    """The same for texts of which every ``length``-byte string holds the
+    ``size`` bytes from ``cores[i]`` on: these stand in the array as one symbol
+    that equal cores share, so the array is over the bytes around them only."""
+    numbers: dict[bytes, int] = {}
+    rows = []
+    for x, at in zip(texts, cores, strict=True):
+        core = numbers.setdefault(x[at:at + size], 256 + len(numbers))
+        row = np.empty(len(x) - size + 1, np.int32)
+        row[:at] = np.frombuffer(x, np.uint8, at)
+        row[at] = core
+        row[at + 1:] = np.frombuffer(x, np.uint8, len(x) - at - size, at + size)
+        rows.append(row)
+    return _repeated(rows, 256 + len(numbers), length - size + 1)
+
+
+def _repeated(rows: list[np.ndarray], symbols: int, length: int) -> list[np.ndarray]:
+    m = len(rows)
+    sizes = np.array([len(x) for x in rows], np.int64)
     firsts = np.concatenate(([0], np.cumsum(sizes + 1)))
-    t = np.empty(int(firsts[-1]) + 1, np.int32)
-    body = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    t[:-1] = body
-    t[:-1] += m + 1
-    t[firsts[1:] - 1] = np.arange(1, m + 1)          # a symbol of its own ends each text
-    t[-1] = 0
-    phi, lcp = common_prefixes(t, suffix_array(t, m + 257))
+    t = np.zeros(int(firsts[-1]) + 1, np.int32)
+    inside = np.ones(len(t), bool)
+    inside[firsts[1:] - 1] = inside[-1] = False
+    t[inside] = np.concatenate(rows) + (m + 1)
+    t[firsts[1:] - 1] = np.arange(1, m + 1)          # a symbol of its own ends each row
+    phi, lcp = common_prefixes(t, suffix_array(t, m + 1 + symbols))
     again = lcp >= length
     hit = again.copy()
     hit[phi[again]] = True

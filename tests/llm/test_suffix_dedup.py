@@ -54,6 +54,28 @@ def test_suffix_array(limit, monkeypatch):
             assert (phi[a], lcp[a]) == (b, n)
 
 
+def test_repeated_starts():
+    rng = random.Random(8)
+    for _ in range(100):
+        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(1, 5))]
+        n = rng.randint(1, 8)
+        seen = Counter(x[i:i + n] for x in texts for i in range(len(x) - n + 1))
+        assert [s.tolist() for s in suffixes.repeated_starts(texts, n)] == [
+            [i for i in range(len(x) - n + 1) if seen[x[i:i + n]] > 1] for x in texts]
+    cores = [b"core" * 3] * 3 + [b"other123core"]
+    for _ in range(100):
+        texts, at = [], []
+        for _ in range(rng.randint(1, 8)):
+            left = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 3)))
+            right = bytes(rng.choice(b"ab") for _ in range(3))
+            texts.append(left + rng.choice(cores) + right[:3])
+            at.append(len(left))
+        n = 15                                        # every 15 bytes hold the 12 of the core
+        seen = Counter(x[i:i + n] for x in texts for i in range(len(x) - n + 1))
+        assert [s.tolist() for s in suffixes.repeated_starts_around(texts, at, 12, n)] == [
+            [i for i in range(len(x) - n + 1) if seen[x[i:i + n]] > 1] for x in texts]
+
+
 def test_contexts_count_loops():
     rng = random.Random(9)
     block = bytes(rng.choice(b"abcdefgh") for _ in range(150))
