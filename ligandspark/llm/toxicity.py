@@ -138,7 +138,8 @@ def fit_chain(rows: DataFrame, categories: Sequence[str] = CATEGORIES, n_feature
     """Fit on ``rows(doc_id, text, <category 0/1 columns>)``, a bounded sample.
 
     Features are counted in Spark; the ``n_features`` with the strongest
-    evidence for the last category (G statistic, positive side) become columns.
+    evidence for the last category (G statistic, positive side: more toxic
+    documents than the label rate, whatever that rate is) become columns.
     The models are fitted on the driver from a sample-by-features matrix."""
     last = categories[-1]
 
@@ -169,7 +170,7 @@ def fit_chain(rows: DataFrame, categories: Sequence[str] = CATEGORIES, n_feature
     evidence = 2 * (a * F.log(a / (total * rate)) + b * F.log(b / (total * (1 - rate))))
     top = (rows.select("text", last).mapInArrow(count, "feature string, pos long, neg long")
            .groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-           .where((F.col("pos") >= MIN_DOCS) & (a / total > 2 * rate))
+           .where((F.col("pos") >= MIN_DOCS) & (a / total > rate))
            .orderBy(evidence.desc(), "feature").limit(n_features).collect())
     chain = Chain({r["feature"]: i for i, r in enumerate(top)}, tuple(categories), [])
 

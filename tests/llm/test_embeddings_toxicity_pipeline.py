@@ -138,6 +138,19 @@ def test_chain_without_labels_or_rows(spark, words, no_docs):
     assert toxicity.toxicity(no_docs, none).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.5, 0.7])
+def test_chain_at_any_share_of_toxic_labels(spark, words, share):
+    rng = random.Random(9)
+    bad = ["idiot", "scum", "moron", "trash"]
+    toxic = {i: rng.random() < share for i in range(600)}
+    docs = [(i, " ".join([rng.choice(words) for _ in range(60)] + [rng.choice(bad) for _ in range(3 * toxic[i])]))
+            for i in toxic]
+    labels = spark.createDataFrame([(i, 1, int(toxic[i])) for i in range(400)], LABELS)
+    got = {r["doc_id"]: r["is_toxic"] for r in toxicity.toxicity(make(spark, docs), labels).collect()}
+    right = {want: [got[i] == want for i in range(400, 600) if toxic[i] == want] for want in (True, False)}
+    assert all(sum(r) / len(r) >= 0.95 for r in right.values()), {k: sum(r) / len(r) for k, r in right.items()}
+
+
 def test_chain_feeds_out_of_fold_probabilities():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2, (400, 6)).astype(float)
