@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_ROWS = 20_000   # labelled documents that the chain is fitted on at most
-FEATURES = 256        # words and word beginnings kept, by their evidence for toxicity
+EVIDENCE = 6.63       # least G statistic of a feature (chance of 1 % without a link); all over it are kept
 MIN_DOCS = 3          # toxic documents that a feature must occur in
 FOLDS = 5
 RIDGE = 0.3
@@ -47,35 +47,115 @@ def features(text: str | None) -> set[str]:
     return out
 
 
+@dataclass
+class Rows:
+    """Rows of 0/1 columns, of which only the ones are kept (``at`` = row and
+    ``column`` of each), followed by full columns."""
+    at: np.ndarray
+    column: np.ndarray
+    sparse: int
+    full: np.ndarray
+
+    @classmethod
+    def of_hits(cls, hits: Sequence[Sequence[int]], sparse: int) -> Rows:
+        sizes = np.fromiter(map(len, hits), np.int64, len(hits))
+        flat = np.concatenate([np.asarray(h, np.int64) for h in hits]) if len(hits) else np.zeros(0, np.int64)
+        return cls(np.repeat(np.arange(len(hits)), sizes), flat, sparse, np.zeros((len(hits), 0)))
+
+    def __len__(self) -> int:
+        return len(self.full)
+
+    @property
+    def width(self) -> int:
+        return self.sparse + self.full.shape[1]
+
+    def take(self, chosen: np.ndarray) -> Rows:
+        """The rows that the mask ``chosen`` marks."""
+        held = chosen[self.at]
+        return Rows((np.cumsum(chosen) - 1)[self.at[held]], self.column[held], self.sparse, self.full[chosen])
+
+    def with_column(self, values: np.ndarray) -> Rows:
+        return Rows(self.at, self.column, self.sparse, np.hstack([self.full, values[:, None]]))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, np.take(w, self.column), len(self)) + self.full @ w[self.sparse:]
+
+    def summed(self, r: np.ndarray) -> np.ndarray:
+        """Per column, the sum of ``r`` over the rows times their values."""
+        return np.concatenate([np.bincount(self.column, r[self.at], self.sparse), self.full.T @ r])
+
+    def summed_squares(self, r: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.column, r[self.at], self.sparse), (self.full ** 2).T @ r])
+
+
 @dataclass
 class LinearModel:
     weights: np.ndarray
     intercept: float
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip(x @ self.weights + self.intercept, -30, 30)
+    def probability(self, x: Rows) -> np.ndarray:
+        z = np.clip(x.times(self.weights) + self.intercept, -30, 30)
         return 1.0 / (1.0 + np.exp(-z))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, ridge: float = RIDGE,
-               steps: int = 25) -> LinearModel:
+def conjugate_gradients(times, b: np.ndarray, diagonal: np.ndarray, within: float) -> np.ndarray:
+    """x with ``times(x)`` = b but for a share ``within``, for a positive definite
+    ``times`` with this diagonal."""
+    x, r = np.zeros(len(b)), b.copy()
+    z = r / diagonal
+    d, rz = z.copy(), r @ z
+    end = within ** 2 * rz
+    for _ in range(10 * len(b) + 50):
+        if rz <= end or rz == 0:
+            break
+        q = times(d)
+        step = rz / (d @ q)
+        x += step * d
+        r -= step * q
+        z = r / diagonal
+        rz, before = r @ z, rz
+        d = z + rz / before * d
+    return x
+
+
+def fit_linear(x: Rows, y: np.ndarray, n: np.ndarray | None = None, ridge: float = RIDGE,
+               steps: int = 25, start: LinearModel | None = None) -> LinearModel:
     """Logistic regression with an L2 penalty, by Newton's method, on rows that
-    stand for ``n`` equal ones each.  One class only: no weights, and an
-    intercept from the smoothed rate."""
+    stand for ``n`` equal ones each.  The steps are solved by conjugate
+    gradients, the closer the smaller the gradient, so time and memory go with
+    the ones of ``x``, not with its columns squared; ``start`` saves steps, the optimum is the same without.
+    One class only: no weights, and an intercept from the smoothed rate."""
     n = np.ones(len(y)) if n is None else n
     rate = ((n * y).sum() + 0.5) / (n.sum() + 1.0)
-    w = np.zeros(x.shape[1] + 1)
+    w = np.zeros(x.width + 1)
     w[-1] = np.log(rate / (1 - rate))
     if 0 < y.sum() < len(y):
-        x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+        x1 = x.with_column(np.ones(len(x)))
+        if start is not None:
+            w = np.append(start.weights, start.intercept)
         penalty = np.full(len(w), ridge)
         penalty[-1] = 1e-6
+
+        def loss(w: np.ndarray) -> float:
+            z = x1.times(w)
+            return float((n * (np.logaddexp(0, z) - y * z)).sum() + (penalty * w * w).sum() / 2)
+
+        now, first = loss(w), None
         for _ in range(steps):
-            p = 1.0 / (1.0 + np.exp(-np.clip(x1 @ w, -30, 30)))
-            gradient = x1.T @ (n * (y - p)) - penalty * w
-            hessian = (x1 * (n * p * (1 - p))[:, None]).T @ x1 + np.diag(penalty)
-            step = np.linalg.solve(hessian, gradient)
-            w = w + step
+            p = 1.0 / (1.0 + np.exp(-np.clip(x1.times(w), -30, 30)))
+            gradient = x1.summed(n * (y - p)) - penalty * w
+            v = n * p * (1 - p)
+            size = np.linalg.norm(gradient)
+            first = size if first is None else first
+            step = conjugate_gradients(lambda d: x1.summed(v * x1.times(d)) + penalty * d, gradient,  # noqa: B023
+                                       x1.summed_squares(v) + penalty, min(0.1, size / first))
+            part, then = 1.0, loss(w + step)
+            while then > now and part > 1e-3:
+                part /= 2
+                then = loss(w + part * step)
+            if then > now:
+                break
+            w, now = w + part * step, then
             if np.abs(step).max() < 1e-4:
                 break
     return LinearModel(w[:-1], float(w[-1]))
@@ -94,28 +174,28 @@ class Chain:
 
     def probabilities(self, rows: list[list[int]]) -> np.ndarray:
         """One line per row, one column per category."""
-        x = np.zeros((len(rows), len(self.columns)))
-        for i, r in enumerate(rows):
-            x[i, r] = 1.0
-        done = np.zeros((len(rows), 0))
+        x = Rows.of_hits(rows, len(self.columns))
         for m in self.models:
-            done = np.hstack([done, m.probability(np.hstack([x, done]))[:, None]])
-        return done
+            x = x.with_column(m.probability(x))
+        return x.full
 
 
-def fit_models(x: np.ndarray, y: np.ndarray, folds: np.ndarray, n: np.ndarray | None = None) -> list[LinearModel]:
+def fit_models(x: Rows | np.ndarray, y: np.ndarray, folds: np.ndarray, n: np.ndarray | None = None) -> list[LinearModel]:
     """The chain's models for the label columns of ``y``, in order."""
-    models, earlier = [], np.zeros((len(x), 0))
+    models = []
     n = np.ones(len(x)) if n is None else n
+    if not isinstance(x, Rows):
+        x = Rows(np.zeros(0, np.int64), np.zeros(0, np.int64), 0, np.asarray(x, np.float64))
     for c in range(y.shape[1]):
-        whole = np.hstack([x, earlier])
-        models.append(fit_linear(whole, y[:, c], n))
+        models.append(fit_linear(x, y[:, c], n))
+        if c + 1 == y.shape[1]:
+            break                               # no model follows that would read it
         held_out = np.zeros(len(x))
         for f in np.unique(folds):
             out = folds == f
             rest = ~out if (~out).any() else out
-            held_out[out] = fit_linear(whole[rest], y[rest, c], n[rest]).probability(whole[out])
-        earlier = np.hstack([earlier, held_out[:, None]])
+            held_out[out] = fit_linear(x.take(rest), y[rest, c], n[rest], start=models[c]).probability(x.take(out))
+        x = x.with_column(held_out)
     return models
 
 
@@ -134,13 +214,13 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Dat
     return rows.select("doc_id", "text", *CATEGORIES)
 
 
-def fit_chain(rows: DataFrame, categories: Sequence[str] = CATEGORIES, n_features: int = FEATURES) -> Chain:
+def fit_chain(rows: DataFrame, categories: Sequence[str] = CATEGORIES, least: float = EVIDENCE) -> Chain:
     """Fit on ``rows(doc_id, text, <category 0/1 columns>)``, a bounded sample.
 
-    Features are counted in Spark; the ``n_features`` with the strongest
-    evidence for the last category (G statistic, positive side: more toxic
-    documents than the label rate, whatever that rate is) become columns.
-    The models are fitted on the driver from a sample-by-features matrix."""
+    Features are counted in Spark; all with an evidence of ``least`` or more
+    for the last category (G statistic, positive side: more toxic documents
+    than the label rate, whatever that rate is) become columns, however many.
+    The models are fitted on the driver, which holds the sample's hits only."""
     last = categories[-1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +250,9 @@ def fit_chain(rows: DataFrame, categories: Sequence[str] = CATEGORIES, n_feature
     evidence = 2 * (a * F.log(a / (total * rate)) + b * F.log(b / (total * (1 - rate))))
     top = (rows.select("text", last).mapInArrow(count, "feature string, pos long, neg long")
            .groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-           .where((F.col("pos") >= MIN_DOCS) & (a / total > rate))
-           .orderBy(evidence.desc(), "feature").limit(n_features).collect())
-    chain = Chain({r["feature"]: i for i, r in enumerate(top)}, tuple(categories), [])
+           .where((F.col("pos") >= MIN_DOCS) & (a / total > rate) & (evidence >= least))
+           .select("feature").toArrow().column(0).to_pylist())
+    chain = Chain({f: i for i, f in enumerate(sorted(top))}, tuple(categories), [])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,16 +262,17 @@ def fit_chain(rows: DataFrame, categories: Sequence[str] = CATEGORIES, n_feature
                 ["doc_id", "hits", *categories])
 
     schema = "doc_id long, hits array<int>, " + ", ".join(f"{c} int" for c in categories)
-    sample = sorted(rows.select("doc_id", "text", *categories).mapInArrow(encode, schema).collect())
+    sample = (rows.select("doc_id", "text", *categories).mapInArrow(encode, schema)
+              .orderBy("doc_id", "hits", *categories).toArrow().combine_chunks())
     rows.unpersist()
-    if not sample:
+    if not sample.num_rows:
         chain.models = [LinearModel(np.zeros(len(chain.columns) + i), -30.0) for i in range(len(categories))]
         return chain
     # rows with the same features, labels and fold are one row with a count; most hold no feature at all
-    equal = Counter((i % FOLDS, tuple(r["hits"]), tuple(r[c] for c in categories)) for i, r in enumerate(sample))
-    x = np.zeros((len(equal), len(chain.columns)))
-    for i, (_, hits, _) in enumerate(equal):
-        x[i, list(hits)] = 1.0
+    marks = zip(*[sample[c].to_pylist() for c in categories], strict=True)
+    equal = Counter((i % FOLDS, h.values.to_numpy(False).astype(np.int32).tobytes(), m)
+                    for i, (h, m) in enumerate(zip(sample["hits"], marks, strict=True)))
+    x = Rows.of_hits([np.frombuffer(hits, np.int32) for _, hits, _ in equal], len(chain.columns))
     chain.models = fit_models(x, np.array([k[2] for k in equal], np.float64), np.array([k[0] for k in equal]),
                               np.array(list(equal.values()), np.float64))
     return chain
@@ -200,7 +281,7 @@ def fit_chain(rows: DataFrame, categories: Sequence[str] = CATEGORIES, n_feature
 def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_") -> DataFrame:
     """``docs`` with a probability column ``<prefix><category>`` for every
     category.  Whole texts are read; a null text is an empty one."""
-    held = docs.sparkSession.sparkContext.broadcast(chain)  # FEATURES words and their weights
+    held = docs.sparkSession.sparkContext.broadcast(chain)  # words with evidence and their weights
 
     @F.pandas_udf(", ".join(f"`{c}` double" for c in chain.categories))
     def run(texts):

@@ -151,6 +151,34 @@ def test_chain_at_any_share_of_toxic_labels(spark, words, share):
     assert all(sum(r) / len(r) >= 0.95 for r in right.values()), {k: sum(r) / len(r) for k, r in right.items()}
 
 
+def test_chain_sees_hundreds_of_toxic_words(spark, words):
+    rng = random.Random(10)
+    bad = ["".join(rng.choice("bcdfghjklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(400)]
+    toxic = {i: i % 4 == 0 for i in range(12_000)}
+    docs = [(i, " ".join([rng.choice(words) for _ in range(20)] + rng.sample(bad, toxic[i]))) for i in toxic]
+    labels = spark.createDataFrame([(i, 1, int(toxic[i])) for i in range(10_000)], LABELS)
+    got = {r["doc_id"]: r["is_toxic"] for r in toxicity.toxicity(make(spark, docs), labels).collect()}
+    held = range(10_000, 12_000)
+    found = sum(got[i] and toxic[i] for i in held)
+    recall, precision = found / sum(toxic[i] for i in held), found / sum(got[i] for i in held)
+    print(f"recall {recall:.3f} precision {precision:.3f}")
+    assert recall >= 0.95 and precision >= 0.95
+
+
+def test_sparse_rows_fit_like_full_ones():
+    rng = np.random.default_rng(1)
+    x = (rng.random((200, 8)) < 0.3).astype(float)
+    y = (x[:, 0] + x[:, 1] + rng.random(200) > 1.2).astype(float)
+    n = rng.integers(1, 4, 200).astype(float)
+    sparse = toxicity.Rows.of_hits([np.flatnonzero(r) for r in x], 8)
+    full = toxicity.Rows(np.zeros(0, int), np.zeros(0, int), 0, x)
+    a, b = toxicity.fit_linear(sparse, y, n), toxicity.fit_linear(full, y, n)
+    assert np.allclose(a.weights, b.weights, atol=1e-6) and np.isclose(a.intercept, b.intercept, atol=1e-6)
+    p = b.probability(full)
+    assert np.allclose(x.T @ (n * (y - p)), toxicity.RIDGE * b.weights, atol=1e-3)    # the optimum
+    assert np.isclose((n * (y - p)).sum(), 0, atol=1e-3)
+
+
 def test_chain_feeds_out_of_fold_probabilities():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2, (400, 6)).astype(float)
