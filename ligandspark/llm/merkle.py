@@ -1,6 +1,8 @@
 """Merkle-tree fingerprints of documents, in DataFrame functions only.
 
-The leaves are the sentences of a paragraph (a paragraph is a line); a
+The leaves are the sentences of a paragraph (a paragraph is a line), and pieces
+of about eight words of them if asked for: a piece ends after a word whose hash
+says so, whatever the language's sentence marks are.  A
 paragraph's hash is made from its leaves, a section's from its paragraphs, the
 root from the sections.  Sections end where a paragraph's hash says so, so an
 edit moves no border further on.  The fingerprint holds the root, and short
@@ -18,12 +20,29 @@ from ligandspark.llm.common import parallelism
 SHORT = 8              # hex digits kept of a leaf's or section's hash
 SECTION_ENDS = "[01]"  # last hex digit of a section's last paragraph: 1 in 8
 RANGES_PER_TASK = 4
-
-
-def add_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the fingerprint ``root:sections:leaves`` of column ``text`` (null: empty)."""
+WORDS = 8              # words that a piece of a sentence holds, by its words' hashes
+MARK = "\x01\x03"
+# up to 64 letters and what follows them, other characters of the first blocks, or one
+# character from U+0E00 on (scripts without spaces)
+WORD = r"[A-Za-z\u00AA-\u0DFF]{1,64}[^A-Za-z\u00AA-\x{10FFFF}\n]{0,8}|[^A-Za-z\u00AA-\x{10FFFF}\n]{1,8}|[\s\S]"
+
+
+def mark_ends(text: Column) -> Column:
+    """``text`` with ``MARK`` after the words that end a piece; \\x01 is escaped,
+    so that equal results mean equal texts."""
+    words = F.regexp_extract_all(F.replace(text, F.lit("\x01"), F.lit("\x01\x02")), F.lit(WORD), F.lit(0))
+    ends = lambda w: (F.pmod(F.xxhash64(w), F.lit(WORDS)) == 0) & ~w.rlike(r"(\n|[.!?] |\x01)$")
+    return F.regexp_replace(F.array_join(F.transform(
+        words, lambda w: F.when(ends(w), F.concat(w, F.lit(MARK))).otherwise(w)), ""), MARK + r"(?=\n|\z)", "")
+
+
+def add_fingerprint(df: DataFrame, text: str, out: str, pieces: bool = False) -> DataFrame:
+    """Add the fingerprint ``root:sections:leaves`` of column ``text`` (null:
+    empty).  The leaves are sentences, or with ``pieces`` parts of them of about
+    ``WORDS`` words (characters, in scripts without spaces)."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df = df.withColumn("_llm_m", F.split(t, r"(?<=\n)|(?<=[.!?] )"))
+    ends = r"(?<=\n)|(?<=[.!?] )"
+    df = df.withColumn("_llm_m", F.split(mark_ends(t), f"{ends}|{MARK}") if pieces else F.split(t, ends))
     df = df.withColumn("_llm_m", F.array_join(F.transform("_llm_m", lambda s: F.concat(
         F.sha2(s, 256), F.when(s.endswith("\n"), ";").otherwise(","))), ""))
     paragraphs = F.transform(F.split("_llm_m", ";"), lambda p: F.sha2(p, 256))
@@ -98,15 +117,16 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     if it is shorter); after the last document comes the first.  A null text is
     an empty one and equals it; equal texts have equal fingerprints and a
     likeness of 1.  Rows with a null doc_id come last; rows of equal doc_id are
-    ordered by their text's hash; a single row is its own next.  Other columns
+    ordered by their text's hash; a single row is its own next.  The leaves are
+    pieces of sentences, so an edit changes only leaves nearby.  Other columns
     are ignored; no rows give no rows."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(add_fingerprint(src, "text", "fingerprint"), "doc_id", ["text", "fingerprint"])
+    rows = with_next(add_fingerprint(src, "text", "fingerprint", pieces=True), "doc_id", ["text", "fingerprint"])
     third = F.floor(F.length("text") / 3).cast("int")
     keep = (F.length("text") - third).cast("int")
     rows = rows.withColumn("edited_text", F.concat(F.substr("text", F.lit(1), keep),
                                                    F.substr("next_text", F.lit(1), third)))
-    rows = add_fingerprint(rows, "edited_text", "edited_fingerprint")
+    rows = add_fingerprint(rows, "edited_text", "edited_fingerprint", pieces=True)
     rows = add_likeness(rows, "fingerprint", "edited_fingerprint", "near_edited")
     return add_likeness(rows, "fingerprint", "next_fingerprint", "near_next").drop("next_text")

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from ligandspark.llm import licenses, merkle, queries, urls
 from tests.llm.conftest import make
@@ -180,6 +181,21 @@ def test_likeness_and_first_change(spark):
     assert got == [(0.6, 2), (1.0, None), (0.0, 0), (0.0, 0)]
 
 
+def test_edit_of_a_long_sentence_stays_local(spark):
+    rng = random.Random(12)
+    latin = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    rows = [(i, " ".join(rng.choice(latin) for _ in range(120))) for i in range(30)]
+    rows += [(100 + i, "".join(chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(300))) for i in range(30)]
+    for r in merkle.document_fingerprints(make(spark, rows)).collect():
+        assert r["near_edited"] > 0.2, (r["doc_id"], r["near_edited"])
+    texts = ["a\x01b", "a\x01\x02b", "a\x01\x03b", "ab", "", "\x01", "\n", "a b\n\nc. d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    parts = df.select("t", F.split(merkle.mark_ends(F.col("t")), merkle.MARK).alias("p")).collect()
+    assert all("".join(r["p"]) == r["t"].replace("\x01", "\x01\x02") for r in parts)
+    roots = {r["f"].split(":")[0] for r in merkle.add_fingerprint(df, "t", "f", pieces=True).collect()}
+    assert len(roots) == len(texts)
+
+
 def test_merkle_runs_no_python(spark, odd_docs):
     plan = merkle.document_fingerprints(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
