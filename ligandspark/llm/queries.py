@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ligandspark.llm import (
-    embeddings, licenses, merkle, packing, pieces, sharding, simhash, suffix_dedup, toxicity, urls,
+    embeddings, exact, licenses, merkle, packing, pieces, runs, sharding, simhash, suffix_dedup, toxicity, trie, urls,
 )
-from ligandspark.llm.common import table
+from ligandspark.llm.common import lookup, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -85,6 +85,62 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (~F.col("is_toxic")).alias("kept"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` of all rows; about one text in ten (by the CRC-32 of the id)
+    repeats some of its words with a period from some word on to its end."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    src = src.withColumn("_h", F.crc32(F.col("doc_id").cast("string")))
+    src = src.withColumn("_g", F.when(F.col("_h") % 10 == 0, F.expr("_h div 10")))
+    src = src.withColumn("_w", F.when(F.col("_g").isNotNull(), F.filter(
+        F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")))
+    src = src.withColumn("_n", F.coalesce(F.size("_w").cast("long"), F.lit(0)))
+    src = src.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    src = src.withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    again = F.transform(F.sequence("_a", F.col("_n") - 1), lambda i: F.get(
+        "_w", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")))
+    rebuilt = F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a").cast("int")), again), " ")
+    return src.select("doc_id", F.when(F.col("_n") > 0, rebuilt).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = runs.collapse_runs(with_periods(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length, -r.start, -r.period)))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    done = done.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("_b"),
+                       F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").alias("_l"), "collapsed")
+    return done.select(
+        "doc_id", "n_runs", (-F.col("_b.col2")).alias("start"), F.col("_b.length").alias("length"),
+        (-F.col("_b.col3")).alias("period"), F.expr("1000 * _b.length div -_b.col3").alias("exponent_milli"),
+        F.sha2("_l", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def rebuilt_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``conv_id, depth, turn_digest, chars`` and ``conv_id``: conversation c begins
+    with the first crc32(c) % 6 turns of conversation c - c % 100, and goes on
+    with its own turns after as many."""
+    turns = trie.turns_of(conversations)
+    convs = turns.select("conv_id").distinct().select(
+        "conv_id", (F.crc32(F.col("conv_id").cast("string")) % 6).alias("h"),
+        (F.col("conv_id") - F.col("conv_id") % 100).alias("base"))
+    heads = turns.where("pos <= 5").select(F.col("conv_id").alias("base"), F.col("pos").alias("depth"), "turn_digest", "chars")
+    heads = heads.where("base % 100 = 0")           # at most 5 rows per id, for at most 199 conversations
+    first = convs.join(heads, "base").where("depth <= h").select("conv_id", "depth", "turn_digest", "chars")
+    length = heads.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
+    shift = convs.join(length, "base", "left").select(
+        "conv_id", "h", (F.least("h", F.coalesce("n", F.lit(0))) - F.col("h")).alias("shift"))
+    rest = lookup(turns, "conv_id", shift).where("pos > h").select(
+        "conv_id", (F.col("pos") + F.col("shift")).alias("depth"), "turn_digest", "chars")
+    return first.unionByName(rest), convs.select("conv_id")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*rebuilt_conversations(table(spark, sf_dir, "conversations")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -96,8 +152,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_exact_dedup": op13_exact_dedup,
 }
-# The one operator whose whole result SQL can give; all others are tested against brute force.
+# The operators whose whole result SQL can give; all others are tested against brute force.
 ORACLE: dict[str, str] = {"op3_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
@@ -111,4 +170,42 @@ low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT m.vec_id, coalesce(links.n, 0) AS n_links, least(m.vec_id, coalesce(low.b, m.vec_id)) AS component_id,
        m.vec_id = least(m.vec_id, coalesce(low.b, m.vec_id)) AS kept
 FROM embeddings m LEFT JOIN links ON m.vec_id = links.a LEFT JOIN low ON m.vec_id = low.a
+""", "op12_prefix_trie": """
+WITH RECURSIVE bits AS (SELECT range AS c, range AS b, 0 AS k FROM range(256)
+  UNION ALL SELECT c, CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc_table AS (SELECT list(b ORDER BY c) AS t FROM bits WHERE k = 8),
+turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(
+            list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+            lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 6 AS h
+          FROM (SELECT DISTINCT conv_id FROM turns), crc_table),
+rebuilt AS (
+  SELECT c.conv_id, t.pos AS ord, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, 5 + t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+hashed AS (SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars,
+             sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w) AS node
+           FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY ord)),
+path AS (SELECT conv_id, depth, chars, node FROM hashed UNION ALL SELECT conv_id, 0, 0, 'root' FROM convs),
+nodes AS (SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs,
+            (count(*) - 1) * any_value(chars) AS saved FROM path GROUP BY node),
+edges AS (SELECT DISTINCT a.node AS parent, b.node AS child FROM path a JOIN path b ON a.conv_id = b.conv_id AND b.depth = a.depth + 1),
+under AS (SELECT DISTINCT a.node AS top, b.node AS node FROM path a JOIN path b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (SELECT u.top, sum(n.saved)::BIGINT AS saved_tokens,
+           count(*) FILTER (WHERE u.node NOT IN (SELECT parent FROM edges)) AS n_leaves
+         FROM under u JOIN nodes n ON u.node = n.node GROUP BY u.top),
+ends AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+         FROM (SELECT conv_id, arg_max(node, depth) AS node FROM path GROUP BY conv_id) GROUP BY node)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs,
+       (SELECT count(*) FROM edges e WHERE e.parent = n.node) AS n_children, s.n_leaves, s.saved_tokens,
+       sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM nodes n JOIN sums s ON n.node = s.top LEFT JOIN edges x ON x.child = n.node LEFT JOIN nodes p ON p.node = x.parent
+LEFT JOIN ends ON ends.node = n.node
+""", "op13_exact_dedup": """
+WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))
+             AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size, max(doc_id) FILTER (WHERE doc_id <= m) IS NOT NULL
+        AS in_history FROM t, (SELECT (min(doc_id) + max(doc_id)) // 2 AS m FROM documents) GROUP BY text_sha256)
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_sha256, g.in_history
+FROM t JOIN g ON t.text_sha256 = g.text_sha256
 """}
