@@ -134,12 +134,14 @@ def subtree_sums(nodes: DataFrame, values: list[str]) -> DataFrame:
     ``kids``, and a null parent for the root.
 
     ``live`` holds per node the sum ``a_`` of itself and of what was raked into
-    it, and the sum ``e_`` of the spliced nodes on the edge to its parent."""
-    live = cut(nodes.select(
+    it, and the sum ``e_`` of the spliced nodes on the edge to its parent.  Every
+    step is a written table: a checkpoint would hand the constraints of the steps
+    before on to the planner, which grow with each round."""
+    live = written(nodes.select(
         F.col("conv_id").alias("c"), F.col("depth").cast("long").alias("d"), F.col("parent_conv_id").alias("pc"),
         F.when(F.col("parent_conv_id").isNotNull(), F.col("depth").cast("long") - 1).alias("pd"),
         F.col("kids").cast("long").alias("kids"), *[F.col(v).cast("long").alias(f"a_{v}") for v in values],
-        *[F.lit(0).cast("long").alias(f"e_{v}") for v in values]))
+        *[F.lit(0).cast("long").alias(f"e_{v}") for v in values]), "live")
     a, e = [f"a_{v}" for v in values], [f"e_{v}" for v in values]
     rounds: list[tuple[DataFrame, DataFrame]] = []
     while not live.isEmpty():
@@ -151,9 +153,9 @@ def subtree_sums(nodes: DataFrame, values: list[str]) -> DataFrame:
             F.count_if(~leaf).alias("left"), F.max(F.when(~leaf, F.struct("c", "d", *e))).alias("kid"))
         number = len(rounds)
         mine, its = _chosen(F.col("c"), F.col("d"), number), _chosen(F.col("kid.c"), F.col("kid.d"), number)
-        inner = cut(live.where(~leaf).join(below, ["c", "d"]).select(
+        inner = written(live.where(~leaf).join(below, ["c", "d"]).select(
             "c", "d", "pc", "pd", F.col("left").alias("kids"), *[(F.col(x) + F.col(f"r{x}")).alias(x) for x in a], *e,
-            "kid", F.coalesce((F.col("left") == 1) & F.col("pc").isNotNull() & mine & ~its, F.lit(False)).alias("out")))
+            "kid", F.coalesce((F.col("left") == 1) & F.col("pc").isNotNull() & mine & ~its, F.lit(False)).alias("out")), "inner")
         spliced = inner.where("out").select(
             "c", "d", F.col("kid.c").alias("kc"), F.col("kid.d").alias("kd"),
             *[(F.col(x) + F.col(f"kid.{y}")).alias(v) for x, y, v in zip(a, e, values, strict=True)])
@@ -161,9 +163,9 @@ def subtree_sums(nodes: DataFrame, values: list[str]) -> DataFrame:
         edge = inner.where("out").select(
             F.col("kid.c").alias("c"), F.col("kid.d").alias("d"), F.col("pc").alias("npc"), F.col("pd").alias("npd"),
             *[(F.col(x) + F.col(y)).alias(f"n{y}") for x, y in zip(a, e, strict=True)])
-        live = cut(inner.where(~F.col("out")).join(edge, ["c", "d"], "left").select(
+        live = written(inner.where(~F.col("out")).join(edge, ["c", "d"], "left").select(
             "c", "d", F.coalesce("npc", "pc").alias("pc"), F.coalesce("npd", "pd").alias("pd"), "kids", *a,
-            *[(F.col(y) + F.coalesce(F.col(f"n{y}"), F.lit(0))).alias(y) for y in e]))
+            *[(F.col(y) + F.coalesce(F.col(f"n{y}"), F.lit(0))).alias(y) for y in e]), "live")
     total = None
     for raked, spliced in reversed(rounds):     # all nodes that outlive a round have their totals by now
         if total is not None:
@@ -171,7 +173,7 @@ def subtree_sums(nodes: DataFrame, values: list[str]) -> DataFrame:
             grown = spliced.join(below, ["kc", "kd"]).select(
                 "c", "d", *[(F.col(v) + F.col(f"b_{v}")).alias(v) for v in values])
             raked = total.unionByName(raked).unionByName(grown)
-        total = cut(raked)
+        total = written(raked, "totals")
     if total is None:
         total = live.select("c", "d", *[F.col(x).alias(v) for x, v in zip(a, values, strict=True)])
     return total.select(F.col("c").alias("conv_id"), F.col("d").alias("depth"), *values)
