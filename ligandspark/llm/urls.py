@@ -1,8 +1,11 @@
 """URL filter: block / allow rules first, gradient-boosted trees for the rest.
 
 The trees see lexical features only: lengths, path depth, digit ratio, character
-entropy, parameter counts, and statistics of the host's suffix (its last label)
-over all pages.  The labelled URLs are those that a rule decides."""
+entropy, parameter counts, and statistics of the host's suffix over all pages.
+The labelled URLs are those that a rule decides.  A suffix has one label more
+than the rule host that fits (two labels if none does), so it is below what the
+rules name, and a labelled URL sees the block rate of the *other* hosts' labelled
+URLs of its suffix only: neither its own label nor its host's is in its features."""
 
 from __future__ import annotations
 
@@ -20,6 +23,7 @@ TRAIN_ROWS = 20_000   # labelled URLs that the trees are fitted on at most
 TREES = 15
 DEPTH = 4
 SMOOTHING = 20.0      # labelled URLs that a suffix's rate is pulled to the mean by
+FOLDS = 5             # parts of the hosts; a labelled URL's suffix rate is that of the other parts
 
 
 @dataclass(frozen=True)
@@ -59,6 +63,14 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -
     return out
 
 
+def suffix_of(host: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The last labels of ``host``, one more than the longest rule host that fits has (at least two)."""
+    labels = F.lit(1)
+    for r in sorted({r.host for r in rules}, key=lambda h: h.count(".")):
+        labels = F.when((host == r) | host.endswith("." + r), r.count(".") + 1).otherwise(labels)
+    return F.call_function("substring_index", host, F.lit("."), -(labels + 1))
+
+
 def _count(text: Column, char: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))).cast("double")
 
@@ -93,6 +105,31 @@ def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Colum
     }
 
 
+def with_suffix_statistics(base: DataFrame) -> tuple[DataFrame | None, int, int]:
+    """``base(host, suffix, part, verdict, ...)`` with the ``SUFFIX`` columns, the
+    number of labelled URLs and that of blocked ones; no table if they are of one
+    verdict.  A labelled URL's rate is that of the other parts of its suffix."""
+    blocked = (F.col("verdict") == "block").cast("int")
+    labelled = F.col("verdict").isNotNull().cast("int")
+    counts = base.groupBy("suffix", "part").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum(labelled).alias("n"), F.coalesce(F.sum(blocked), F.lit(0)).alias("bad"))
+    suffix = cut(counts.groupBy("suffix").agg(
+        F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum("bad").alias("bad"),
+        *[F.coalesce(F.sum(F.when(F.col("part") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}")
+          for c in ("n", "bad") for k in range(FOLDS)]))
+    total = suffix.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    n, bad = total["n"] or 0, total["bad"] or 0
+    if n == 0 or bad in (0, n):
+        return None, n, bad
+    rate = lambda bad_, n_: (bad_ + SMOOTHING * bad / n) / (n_ + SMOOTHING)
+    stats = suffix.select(
+        "suffix", F.log1p("pages").alias(SUFFIX[0]), rate(F.col("bad"), F.col("n")).alias("_all"),
+        F.array(*[rate(F.col("bad") - F.col(f"bad{k}"), F.col("n") - F.col(f"n{k}")) for k in range(FOLDS)]).alias("_others"))
+    rows = lookup(base, "suffix", stats)
+    return rows.withColumn(SUFFIX[1], F.when(F.col("verdict").isNull(), F.col("_all")).otherwise(
+        F.get("_others", F.col("part")))).drop("_all", "_others"), n, bad
+
+
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``page_id, host, path, rule, verdict, p_block`` for every row of
     ``pages(page_id, url, ...)``.
@@ -109,25 +146,16 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, train_rows: i
     base = pages.select("page_id", url.alias("url")).withColumns({"host": host, "path": path})
     judged = base.withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules))
     base = written(judged.select("page_id", "url", "host", "path", "fit.rule", "fit.verdict")
-                   .withColumn("suffix", F.element_at(F.split("host", r"\."), -1)), "urls")
-    blocked = (F.col("verdict") == "block").cast("int")
-    labelled = F.col("verdict").isNotNull().cast("int")
-    suffix = cut(base.groupBy("suffix").agg(
-        F.count(F.lit(1)).alias("pages"), F.sum(labelled).alias("n"),
-        F.coalesce(F.sum(blocked), F.lit(0)).alias("bad")))
-    total = suffix.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
-    n, bad = total["n"] or 0, total["bad"] or 0
-    if n == 0 or bad in (0, n):
+                   .withColumns({"suffix": suffix_of(F.col("host"), rules),
+                                 "part": F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")}), "urls")
+    rows, n, bad = with_suffix_statistics(base)
+    if rows is None:
         rest = "block" if n and bad else "allow"
         return base.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(rest)).alias("verdict"),
                            F.lit(None).cast("double").alias("p_block"))
-    stats = suffix.select(
-        "suffix", F.log1p("pages").alias(SUFFIX[0]),
-        ((F.col("bad") + SMOOTHING * bad / n) / (F.col("n") + SMOOTHING)).alias(SUFFIX[1]))
-    rows = lookup(base, "suffix", stats)
     rows = rows.withColumns(lexical_features(F.col("url"), F.col("host"), F.col("path")))
     vectors = VectorAssembler(inputCols=[*LEXICAL, *SUFFIX], outputCol="_features").transform(rows)
-    train = (vectors.where("verdict is not null").withColumn("_label", blocked.cast("double"))
+    train = (vectors.where("verdict is not null").withColumn("_label", (F.col("verdict") == "block").cast("double"))
              .orderBy(F.xxhash64("url"), "page_id").limit(train_rows).select("_features", "_label"))
     train = cut(train.repartition(4))
     trees = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=TREES, maxDepth=DEPTH, seed=7,

@@ -15,7 +15,9 @@ from tests.llm.test_embeddings_toxicity_pipeline import brute_links
 from tests.llm.test_simhash import brute_fp, brute_groups
 from tests.llm.test_suffix_dedup import brute as brute_cut
 from tests.llm.test_tokens_packing_shards import bins_of_bfd
-from tests.llm.test_urls_licenses_merkle import brute_base, brute_fingerprint, brute_host_path, brute_rule
+from tests.llm.test_urls_licenses_merkle import (
+    brute_base, brute_fingerprint, brute_host_path, brute_labels, brute_rule,
+)
 
 
 @pytest.fixture(scope="module")
@@ -90,6 +92,17 @@ def test_op5(spark, sf, docs):
         assert (got[i]["n_words"], got[i]["n_base"]) == (n, len(hits))
         assert (got[i]["first_word"], got[i]["last_word"]) == ((min(at), max(at)) if at else (None, None))
         assert got[i]["base_labels"] == ",".join(sorted({x for _, x in hits}))
+        labels, covered = brute_labels(t)
+        assert got[i]["labels"] == ",".join(sorted(labels))
+        assert len(covered) / max(1, n) <= got[i]["score"] + 1e-9 and got[i]["score"] <= 1.0
+        assert (got[i]["score"] > 0) == bool(labels)
+
+
+def test_op5_score_counts_each_word_once(spark, tmp_path):
+    rows = [(1, "x y licensed under the apache license version 2 z w"), (2, "under the mit license"), (3, None), (4, "none")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in queries.op5_license_scans(spark, str(tmp_path)).collect()}
+    assert got == {1: pytest.approx(7 / 11), 2: 1.0, 3: 0.0, 4: 0.0}
 
 
 def test_op6(spark, sf, docs):
@@ -104,12 +117,12 @@ def test_op6(spark, sf, docs):
     for k, (i, t) in enumerate(docs):
         following, third = docs[(k + 1) % len(docs)][1], len(t) // 3
         edited = t[:len(t) - third] + following[:third]
-        own, changed = brute_fingerprint(t), brute_fingerprint(edited)
+        own, changed = brute_fingerprint(t, True), brute_fingerprint(edited, True)
         r = got[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), sha(edited))
         assert (r["fingerprint"], r["edited_fingerprint"]) == (own, changed)
         assert r["near_edited"] == pytest.approx(likeness(own, changed))
-        assert r["near_next"] == pytest.approx(likeness(own, brute_fingerprint(following)))
+        assert r["near_next"] == pytest.approx(likeness(own, brute_fingerprint(following, True)))
 
 
 def test_op7(spark, sf, docs):

@@ -114,13 +114,37 @@ def test_shards(odd_docs, no_docs, odd_rows):
 
 def test_matrix_has_exact_margins_and_the_right_law():
     starts = np.array([0, 5, 5, 12, 40, 41], np.int64)
-    blocks = sharding.block_sizes(41, 2, 3)
-    total, n = np.zeros((5, 6)), 400
-    for seed in range(n):
-        m = np.array([sharding.matrix_row(p, starts, blocks, seed) for p in range(5)])
-        assert (m.sum(1) == np.diff(starts)).all() and (m.sum(0) == blocks).all() and (m >= 0).all()
-        total += m
-    assert np.abs(total / n - np.outer(np.diff(starts), blocks) / 41).max() < 0.35
+    for shards, each in ((2, 3), (3, 7)):           # one level of the block tree, and two
+        k = shards * each
+        blocks = np.diff(sharding.first_slot(np.arange(k + 1), 41, shards, each))
+        assert blocks.sum() == 41 and blocks.min() >= 41 // k and blocks.max() <= -(-(41 // shards + 1) // each)
+        total, square, n = np.zeros((5, k)), np.zeros((5, k)), 600
+        for seed in range(n):
+            m = np.zeros((5, k), np.int64)
+            for p in range(5):
+                to, c = sharding.matrix_row(p, starts, 41, shards, each, seed)
+                assert (c > 0).all() and len(set(to.tolist())) == len(to)
+                m[p, to] = c
+            assert (m.sum(1) == np.diff(starts)).all() and (m.sum(0) == blocks).all()
+            total, square = total + m, square + m * m
+        r, mean = np.diff(starts)[:, None], np.outer(np.diff(starts), blocks) / 41
+        var = mean * (41 - r) / 41 * (41 - blocks) / 40
+        assert np.abs(total / n - mean).max() < 0.35
+        assert np.abs(square / n - (total / n) ** 2 - var).max() < 0.6
+
+
+def test_draws_go_with_the_rows_of_a_partition(monkeypatch):
+    """100 times the partitions and blocks: the draws of one partition of 1,000
+    rows grow by the logarithms only."""
+    widths, plain = [], sharding.split
+    monkeypatch.setattr(sharding, "split", lambda rng, c, t: (widths.append(len(c)), plain(rng, c, t))[1])
+    for parts in (100, 10_000):
+        starts, each = np.arange(parts + 1, dtype=np.int64) * 1000, parts * 1000 // 40_000 + 6
+        widths.clear()
+        _, n = sharding.matrix_row(parts // 3, starts, parts * 1000, 8, each, 1)
+        levels = np.log(8 * each) / np.log(sharding.FAN) + 1
+        assert n.sum() == 1000 and max(widths) <= sharding.FAN
+        assert len(widths) <= min(1000, 8 * each) * levels * np.log2(2 * parts)
 
 
 def test_large_hypergeometric(monkeypatch):

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ligandspark.llm import licenses, merkle, queries, urls
@@ -62,16 +63,48 @@ def test_urls_small(spark):
     assert {r["verdict"] for r in got} == {"block"}
 
 
-def test_url_trees_learn(spark):
-    """Held-out rule verdicts are told from lexical features and suffixes."""
+def spam_and_plain(rng, n, first):
+    """URLs of one last label: spam has digits, many parameters and random paths."""
+    letters, out = "abcdefghijklmnopqrstuvwxyz", []
+    for i in range(n):
+        name = "".join(rng.choice(letters) for _ in range(7))
+        if i % 2:
+            path = "".join(rng.choice(letters + "0123456789") for _ in range(18))
+            out.append((first + i, name, f"{path}?a={rng.randint(0, 999)}&b={rng.randint(0, 999)}&c=1", True))
+        else:
+            out.append((first + i, name, f"{rng.choice(['news', 'about'])}/{rng.choice(['home', 'team'])}", False))
+    return out
+
+
+def test_url_trees_learn_from_the_form_of_urls(spark):
+    """Within one last label, and on hosts that no rule names: digits, entropy and
+    parameters decide."""
     rng = random.Random(3)
-    rows = [(i, f"http://{''.join(rng.choice('abc') for _ in range(5))}.example.{t}/{lang}/{i}")
-            for i in range(400) for t, lang in (("com", "de"), ("org", "fr"))]
-    rest = [(10_000 + 100 * k + i, f"http://q{i}.example.{t}/zz/{i}")
-            for i in range(30) for k, t in enumerate(("com", "org"))]
-    got = {r["page_id"]: r for r in urls.filter_urls(pages(spark, rows + rest)).collect()}
-    right = sum((r["verdict"] == "block") == r["host"].endswith(".com") for i, r in got.items() if i >= 10_000)
-    assert right / 60 >= 0.9
+    rules = (urls.Rule("block", "spam.com/"), urls.Rule("allow", "plain.com/"))
+    seen = [(i, f"http://{h}.{'spam' if bad else 'plain'}.com/{p}") for i, h, p, bad in spam_and_plain(rng, 400, 0)]
+    new = spam_and_plain(rng, 200, 1000)
+    rows = seen + [(i, f"http://www.{h}.com/{p}") for i, h, p, _ in new]
+    got = {r["page_id"]: r for r in urls.filter_urls(pages(spark, rows), rules).collect()}
+    right = sum((got[i]["verdict"] == "block") == bad for i, _, _, bad in new)
+    assert right / len(new) >= 0.95 and all(got[i]["rule"] is None for i, *_ in new)
+
+
+def test_url_suffix_rate_holds_no_own_label(spark):
+    rows = [("a.x", "x", 0, "block"), ("a.x", "x", 0, "block"), ("b.x", "x", 1, "allow"), ("c.x", "x", 2, None),
+            ("d.y", "y", 3, "allow")]
+    base = spark.createDataFrame(rows, "host string, suffix string, part int, verdict string")
+    df, n, bad = urls.with_suffix_statistics(base)
+    got = {r["host"]: r[urls.SUFFIX[1]] for r in df.collect()}
+    s = urls.SMOOTHING
+    assert (n, bad) == (4, 2) and got == {
+        "a.x": pytest.approx((0 + s / 2) / (1 + s)), "b.x": pytest.approx((2 + s / 2) / (2 + s)),
+        "c.x": pytest.approx((2 + s / 2) / (3 + s)), "d.y": pytest.approx(0.5)}
+
+
+def test_suffixes_lie_below_the_rules(spark):
+    df = spark.createDataFrame([("a.b.example.com",), ("a.org",), ("x.y.net",), ("q.example.net",), ("com",), ("",)], "h string")
+    assert [r[0] for r in df.select(urls.suffix_of(F.col("h"))).collect()] == [
+        "b.example.com", "a.org", "y.net", "q.example.net", "com", ""]
 
 
 def test_entropy(spark):
@@ -81,6 +114,62 @@ def test_entropy(spark):
 
 # --------------------------------------------------------------------- licenses
 
+def brute_labels(text, phrases=licenses.PHRASES, templates=licenses.TEMPLATES):
+    """Labels of the phrases and templates that stand in the text, and the share
+    of its words that base matches and longest template matches cover."""
+    joined = " " + "".join(w.decode() + " " for w in licenses.words_of(text))
+    number = {m.end(): k for k, m in enumerate(re.finditer(" (?=.)", joined))}
+    labels, covered = set(), set()
+    for i, label in [(m, label) for p, label in phrases for m in re.finditer(
+            f"(?<= )(?=({' '.join(w.decode() for w in licenses.words_of(p))}) )", joined)]:
+        labels.add(label)
+        covered.update(range(number[i.start()], number[i.start()] + i[1].count(" ") + 1))
+    for markup, label in templates:
+        expression = ""
+        for piece in re.split("(<<[^>]*>>)", markup):
+            if piece == "<<beginOptional>>":
+                expression += "(?:"
+            elif piece == "<<endOptional>>":
+                expression += ")?"
+            elif piece.startswith("<<var"):
+                expression += "(?:[^ ]+ ){%s,%s}" % tuple(re.findall("[0-9]+", piece))
+            else:
+                expression += "".join(re.escape(w.decode()) + " " for w in licenses.words_of(piece))
+        if re.search("(?<= )" + expression, joined):
+            labels.add(label)
+    return labels, covered
+
+
+MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including without
+limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL %s BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF
+OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_bodies(spark):
+    """A body with other names is one long match; with a changed mandatory word
+    only its shorter beginning is."""
+    holders = "THE AUTHORS OR COPYRIGHT HOLDERS"
+    texts = [MIT_BODY % holders, MIT_BODY % "ACME INC", (MIT_BODY % holders).replace("sublicense", "sell"),
+             "before " + (MIT_BODY % "X").replace("(the", "(hereafter")]
+    n = [len(licenses.words_of(t)) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: max((m["words"] for m in r["matches"]), default=0) for r in licenses.scan_licenses(df).collect()}
+    assert (got[0], got[1], got[3]) == (n[0], n[1], 0) and 0 < got[2] < n[2] // 4
+    for t in texts:
+        assert brute_labels(t)[0] == {m[1] for m in licenses.scan(
+            t, [(b" ".join(licenses.words_of(p)), x) for p, x in licenses.PHRASES],
+            [licenses.compile_template(m, x) for m, x in licenses.TEMPLATES])[1]}
+
+
 def test_templates():
     a = licenses.compile_template("one <<beginOptional>>two <<beginOptional>>deep <<endOptional>><<endOptional>>"
                                   "three four <<var;words=0-2>> five", "x")
@@ -148,9 +237,35 @@ def test_next_and_edit(spark, odd_docs, odd_rows, no_docs):
     assert one["edited_text"] == "abc deabc"[:5] + "ab" and one["near_next"] == 1.0
 
 
-def brute_fingerprint(text):
+def brute_leaves(text, pieces):
+    """The sentences of ``text``, cut after each word whose hash is 0 modulo 8 if
+    ``pieces``, unless a line, a sentence or the text ends there anyway."""
+    if not pieces:
+        return re.split(r"(?<=\n)|(?<=[.!?] )", text)
+    letter, other = r"[A-Za-z\u00AA-\u0DFF]", r"[^A-Za-z\u00AA-\U0010FFFF\n]"
+    words = re.findall(f"{letter}{{1,64}}{other}{{0,8}}|{other}{{1,8}}|[\\s\\S]", text.replace("\x01", "\x01\x02"))
+    marked = ""
+    for i, w in enumerate(words):
+        marked += w
+        ends = xxhash.xxh64(w.encode(), seed=42).intdigest() % 8 == 0 and not w.endswith(("\n", ". ", "! ", "? ", "\x01"))
+        if ends and "".join(words[i + 1:i + 2])[:1] not in ("", "\n"):
+            marked += "\x01\x03"
+    out, start, i = [], 0, 0
+    while i <= len(marked):                     # where a sentence ends there as well, a mark stays in the next leaf
+        if re.search(r"(\n|[.!?] )\Z", marked[max(0, i - 2):i]):
+            out.append(marked[start:i])
+            start, i = i, i + 1
+        elif marked.startswith("\x01\x03", i):
+            out.append(marked[start:i])
+            start = i = i + 2
+        else:
+            i += 1
+    return [*out, marked[start:]]
+
+
+def brute_fingerprint(text, pieces=False):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    leaves = [s for s in re.split(r"(?<=\n)|(?<=[.!?] )", text)]
+    leaves = brute_leaves(text, pieces)
     marked = "".join(sha(s) + (";" if s.endswith("\n") else ",") for s in leaves)
     paragraphs = [sha(p) for p in marked.split(";")]
     sections, own = [], []
@@ -166,10 +281,11 @@ def brute_fingerprint(text):
 
 
 def test_fingerprint_is_the_tree(spark, odd_rows):
-    texts = [t or "" for _, t in odd_rows] + ["a. b! c\n\nd? e", "\n", "one line.\n" * 40, "x.\ny.\n" + "z " * 50]
+    texts = [t or "" for _, t in odd_rows] + ["a. b! c\n\nd? e", "\n", "cut \x01 here\x01", "a........ b" * 30, "one line.\n" * 40, "x.\ny.\n" + "z " * 50]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    for r in merkle.add_fingerprint(df, "t", "f").collect():
-        assert r["f"] == brute_fingerprint(r["t"])
+    for pieces in (False, True):
+        for r in merkle.add_fingerprint(df, "t", "f", pieces).collect():
+            assert r["f"] == brute_fingerprint(r["t"], pieces)
 
 
 def test_likeness_and_first_change(spark):
