@@ -52,6 +52,35 @@ TEMPLATES = (
      "granted provided that the above copyright notice and this permission notice appear in all copies", "isc"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
     ("copyright <<beginOptional>>c <<endOptional>><<var;words=0-8>> all rights reserved", "all-rights-reserved"),
+    # whole license bodies
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+     "documentation files the software to deal in the software without restriction including without limitation the "
+     "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+     "persons to whom the software is furnished to do so subject to the following conditions "
+     "<<beginOptional>>the above copyright notice and this permission notice <<beginOptional>>including the next "
+     "paragraph <<endOptional>>shall be included in all copies or substantial portions of the software <<endOptional>>"
+     "the software is provided as is without warranty of any kind express or implied including but not limited to the "
+     "warranties of merchantability fitness for a particular purpose and noninfringement in no event shall "
+     "<<var;words=1-12>> be liable for any claim damages or other liability whether in an action of contract tort or "
+     "otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+     "mit"),
+    ("permission to use copy modify and <<beginOptional>>or <<endOptional>>distribute this software for any purpose "
+     "with or without fee is hereby granted provided that the above copyright notice and this permission notice appear "
+     "in all copies the software is provided as is and <<var;words=1-8>> disclaims all warranties with regard to this "
+     "software including all implied warranties of merchantability and fitness in no event shall <<var;words=1-8>> be "
+     "liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of "
+     "use data or profits whether in an action of contract negligence or other tortious action arising out of or in "
+     "connection with the use or performance of this software", "isc"),
+    ("redistribution and use in source and binary forms with or without modification are permitted provided that the "
+     "following conditions are met <<beginOptional>>1 <<endOptional>>redistributions of source code must retain the "
+     "above copyright notice this list of conditions and the following disclaimer <<beginOptional>>2 <<endOptional>>"
+     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+     "following disclaimer in the documentation and or other materials provided with the distribution "
+     "<<beginOptional>><<beginOptional>>3 <<endOptional>>neither the name of <<var;words=1-8>> nor the names of its "
+     "contributors may be used to endorse or promote products derived from this software without specific prior "
+     "written permission <<endOptional>>this software is provided by <<var;words=1-8>> as is and any express or implied "
+     "warranties including but not limited to the implied warranties of merchantability and fitness for a particular "
+     "purpose are disclaimed", "bsd"),
 )
 
 # A-Z to a-z; every other ASCII byte outside 0-9 and a-z ends a word; bytes of other characters belong to words.

@@ -37,7 +37,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     base = F.filter("matches", lambda m: m.kind == "base")
-    covered = F.aggregate("matches", F.lit(0).cast("long"), lambda s, m: s + m.words)
+    spans = F.array_sort(F.transform("matches", lambda m: F.struct(
+        m.first_word.alias("a"), (m.first_word + m.words).alias("b"))))
+    nothing = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    # a word that several matches cover counts once
+    covered = F.aggregate(spans, nothing, lambda s, x: F.struct(
+        F.greatest(s.end, x.b).alias("end"),
+        (s.n + F.greatest(F.lit(0).cast("long"), x.b - F.greatest(s.end, x.a))).alias("n")), lambda s: s.n)
     starts = F.transform(base, lambda m: m.first_word)
     return found.select(
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
