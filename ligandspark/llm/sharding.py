@@ -6,9 +6,14 @@ hypergeometric law.  So the numbers are drawn first; every partition then
 permutes its rows locally and deals them out by its numbers, the rows are
 exchanged once, and every block permutes what it has got.
 
-The matrix is never built whole: partitions are the leaves of a binary tree,
-each inner node splits its block counts between its halves by one draw seeded
-with the node's place, and a task follows only the path to its own partition.
+The matrix is never built whole.  Partitions are the leaves of a binary tree, and
+blocks those of a tree with ``FAN`` children a node.  One draw, seeded with the
+places of both nodes, splits the rows of a partition node and a block node's
+children between the halves of the partition node.  A task follows the path to
+its own partition, and of the block tree only what its rows go to: with r rows in
+a partition, P partitions and B blocks that are at most ``r * log(B) * log(P)``
+small draws, so all tasks together do work in proportion to the rows, but for
+the logarithms.
 """
 
 from __future__ import annotations
@@ -23,8 +28,9 @@ from ligandspark.llm.common import written
 
 SHARDS = 8
 SEED = 42
-BLOCK_ROWS = 20_000     # slots permuted by one task
+BLOCK_ROWS = 5_000      # slots permuted by one task
 MIN_BLOCKS = 6          # blocks of a shard
+FAN = 8                 # children of a node of the block tree
 EXACT_LIMIT = 10 ** 9   # numpy draws below it
 
 
@@ -67,29 +73,53 @@ def split(rng: np.random.Generator, counts: np.ndarray, take: int) -> np.ndarray
     return out
 
 
-def matrix_row(partition: int, starts: np.ndarray, blocks: np.ndarray, seed: int) -> np.ndarray:
-    """Rows that ``partition`` sends to each block; ``starts`` are the partitions' first row numbers and the total."""
-    lo, hi, counts = 0, len(starts) - 1, blocks
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        left = split(np.random.default_rng([seed, lo, hi]), counts, int(starts[mid] - starts[lo]))
-        if partition < mid:
-            hi, counts = mid, left
-        else:
-            lo, counts = mid, counts - left
-    return counts
+def first_slot(block: np.ndarray, rows: int, shards: int, blocks: int) -> np.ndarray:
+    """Rows before a block, of ``blocks`` in each shard; all shards, and all blocks
+    of a shard, are of near equal size."""
+    s, j = np.asarray(block, np.int64) // blocks, np.asarray(block, np.int64) % blocks
+    size = rows // shards + (s < rows % shards)
+    return s * (rows // shards) + np.minimum(s, rows % shards) + j * (size // blocks) + np.minimum(j, size % blocks)
 
 
-def block_sizes(rows: int, shards: int, blocks: int) -> np.ndarray:
-    """Sizes of ``blocks`` blocks in each of ``shards`` shards, all near equal."""
-    size = [rows // shards + (s < rows % shards) for s in range(shards)]
-    return np.array([z // blocks + (j < z % blocks) for z in size for j in range(blocks)], np.int64)
+def matrix_row(partition: int, starts: np.ndarray, rows: int, shards: int, blocks: int,
+               seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks that ``partition`` sends rows to, and how many; ``starts`` are the
+    partitions' first row numbers and the total."""
+    path, (lo, hi) = [], (0, len(starts) - 1)       # nodes from the root to the partition
+    totals = [int(starts[hi] - starts[lo])]
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        path.append((lo, hi, partition < mid))
+        lo, hi = (lo, mid) if partition < mid else (mid, hi)
+        totals.append(int(starts[hi] - starts[lo]))
+    found: list[tuple[int, int]] = []
+
+    def visit(a: int, b: int, totals: list[int]) -> None:
+        """``totals``: rows that each node of the path sends to the blocks a .. b - 1."""
+        if b - a == 1:
+            found.append((a, totals[-1]))
+            return
+        cuts = a + np.arange(min(FAN, b - a) + 1) * (b - a) // min(FAN, b - a)
+        counts = [np.diff(first_slot(cuts, rows, shards, blocks))]
+        for d, (lo, hi, left) in enumerate(path):
+            take = totals[d + 1] if left else totals[d] - totals[d + 1]
+            taken = split(np.random.default_rng([seed, lo, hi, a, b]), counts[d], take)
+            counts.append(taken if left else counts[d] - taken)
+        for j in np.flatnonzero(counts[-1]).tolist():
+            visit(int(cuts[j]), int(cuts[j + 1]), [int(c[j]) for c in counts])
+
+    if totals[-1]:
+        visit(0, shards * blocks, totals)
+    to, n = zip(*found, strict=True) if found else ((), ())
+    return np.array(to, np.int64), np.array(n, np.int64)
 
 
 def shuffle_to_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, stable: bool = False) -> DataFrame:
     """All rows and columns of ``df`` with ``shard`` (0 .. shards - 1) and
     ``slot`` (gapless from 0 within the shard); shard sizes differ by one at
-    most and every assignment of rows to slots is equally likely.
+    most.  The numbers of rows that go from each partition to each block follow
+    the law of a uniform permutation, the rows are dealt by seeded permutations,
+    and the order within a block is that of a seeded 64-bit hash.
 
     The partitions are read twice and must be the same each time.  That holds
     for a table that is read from files and at most projected
@@ -106,8 +136,7 @@ def shuffle_to_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, sta
     starts = np.concatenate(([0], np.cumsum([found.get(p, 0) for p in range(parts)]))).astype(np.int64)
     rows = int(starts[-1])
     blocks = max(MIN_BLOCKS, -(-rows // (shards * BLOCK_ROWS)))
-    sizes = block_sizes(rows, shards, blocks)
-    held = spark.sparkContext.broadcast((starts, sizes))    # a number per partition and per block
+    held = spark.sparkContext.broadcast(starts)             # a number per partition
     ready: dict[int, np.ndarray] = {}
 
     @F.pandas_udf("long")
@@ -118,8 +147,7 @@ def shuffle_to_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, sta
             return pd.Series([], dtype="int64")
         p = int(part.iloc[0])
         if p not in ready:
-            first, size = held.value
-            to = np.repeat(np.arange(len(size)), matrix_row(p, first, size, seed))
+            to = np.repeat(*matrix_row(p, held.value, rows, shards, blocks, seed))
             np.random.default_rng([seed, p]).shuffle(to)    # the local permutation
             ready.clear()
             ready[p] = to
