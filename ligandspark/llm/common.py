@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +90,26 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def trimmed(run: Callable) -> Callable:
+    """A function for ``mapInArrow`` that hands freed memory back to the system
+    when its task ends: Python workers live on, and the next stage's workers
+    and heap need the room."""
+
+    def call(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc only
+            if trim is not None:
+                trim(0)
+
+    return call
+
+
 def byte_batches(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Cut positions so that each slice holds at most ``limit`` bytes (or one item)."""
     start = total = 0

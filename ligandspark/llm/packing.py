@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ligandspark.llm.common import written
+from ligandspark.llm.common import trimmed, written
 
 CAPACITY = 4096       # tokens of a sequence
 END_ID = 1            # closes every document
@@ -248,7 +248,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         yield flush()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, "
+    return src.mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, "
                                "part int, nth long")
 
 

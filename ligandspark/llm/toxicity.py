@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ligandspark.llm.common import trimmed, written
+
 TRAIN_ROWS = 20_000   # labelled documents that the chain is fitted on at most
 EVIDENCE = 6.63       # least G statistic of a feature (chance of 1 % without a link); all over it are kept
 MIN_DOCS = 3          # toxic documents that a feature must occur in
@@ -25,7 +27,7 @@ FOLDS = 5
 RIDGE = 0.3
 THRESHOLD = 0.5
 PREFIXES = (4, 5)     # letters of the word beginnings
-COUNTED = 200_000     # features that a task counts before it hands them on
+COUNTED = 100_000     # features that a task counts before it hands them on
 
 # Seed words of the two finer categories (labels = a toxic
 # document that holds one of them); the last category is the table's own label.
@@ -241,14 +243,14 @@ def fit_chain(rows: DataFrame, categories: Sequence[str] = CATEGORIES, least: fl
                     yield flush()
         yield flush()
 
-    rows = rows.persist()
+    rows = written(rows, "labelled")                        # a bounded sample, read three times
     n = {r[last]: r["n"] for r in rows.groupBy(last).agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = float(n.get(1, 0)), float(n.get(0, 0))
     a, b = F.col("pos") + 0.5, F.col("neg") + 0.5
     total, all_rows = a + b, pos + neg + 1.0
     rate = (pos + 0.5) / all_rows
     evidence = 2 * (a * F.log(a / (total * rate)) + b * F.log(b / (total * (1 - rate))))
-    top = (rows.select("text", last).mapInArrow(count, "feature string, pos long, neg long")
+    top = (rows.select("text", last).mapInArrow(trimmed(count), "feature string, pos long, neg long")
            .groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
            .where((F.col("pos") >= MIN_DOCS) & (a / total > rate) & (evidence >= least))
            .select("feature").toArrow().column(0).to_pylist())
@@ -262,9 +264,8 @@ def fit_chain(rows: DataFrame, categories: Sequence[str] = CATEGORIES, least: fl
                 ["doc_id", "hits", *categories])
 
     schema = "doc_id long, hits array<int>, " + ", ".join(f"{c} int" for c in categories)
-    sample = (rows.select("doc_id", "text", *categories).mapInArrow(encode, schema)
+    sample = (rows.select("doc_id", "text", *categories).mapInArrow(trimmed(encode), schema)
               .orderBy("doc_id", "hits", *categories).toArrow().combine_chunks())
-    rows.unpersist()
     if not sample.num_rows:
         chain.models = [LinearModel(np.zeros(len(chain.columns) + i), -30.0) for i in range(len(categories))]
         return chain
