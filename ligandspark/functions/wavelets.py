@@ -97,3 +97,31 @@ def wavelet_np(name: str, z, n=None, N=None):
         w = np.ones(N) if N == 1 else 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(N) / (N - 1))
         return sinc * w
     raise ValueError(f"no wavelet is named {name!r}; there are {', '.join(WAVELETS)}")
+
+
+def wavelet_slope_np(name: str, z, n=None, N=None):
+    """Derivative of :func:`wavelet_np` by ``z`` (for ``meyer`` at 0, where it has
+    a corner, the one-sided derivative's mean 0)."""
+    import numpy as np
+    g = np.exp(-0.5 * z * z)
+    if name == "mexican_hat":
+        return MEXICAN_HAT_C * z * (3.0 - z * z) * g
+    if name == "morlet":
+        return -(MORLET_OMEGA0 * np.sin(MORLET_OMEGA0 * z) + z * np.cos(MORLET_OMEGA0 * z)) * g
+    if name == "dog":
+        return (z * z - 1.0) * g
+    if name == "meyer":
+        v = np.abs(z)
+        t = 2 * v - 1
+        nu = t ** 4 * (35 - 84 * t + 70 * t ** 2 - 20 * t ** 3)
+        slope = 140 * t ** 3 * (1 - t) ** 3
+        inside = (v > 0.5) & (v < 1.0)
+        aux = np.where(v <= 0.5, 1.0, np.where(v >= 1.0, 0.0, np.cos(np.pi / 2 * nu)))
+        down = np.where(inside, -np.sin(np.pi / 2 * nu) * np.pi / 2 * slope * 2, 0.0)
+        return np.sign(z) * (np.pi * np.cos(np.pi * v) * aux + np.sin(np.pi * v) * down)
+    if name == "shannon":
+        with np.errstate(invalid="ignore", divide="ignore"):
+            s = np.where(z == 0, 0.0, (z * np.cos(z) - np.sin(z)) / np.where(z == 0, 1.0, z * z))
+        w = np.ones(N) if N == 1 else 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(N) / (N - 1))
+        return s * w
+    raise ValueError(f"no wavelet is named {name!r}; there are {', '.join(WAVELETS)}")

@@ -4,11 +4,12 @@ Feature vectors are ``array<double>`` columns keyed by an explicit row id; the
 wide ``prefix_1..prefix_n`` form exists only at the CSV boundary
 (:mod:`ligandspark.functions.vectors`).
 
-Standardization is an estimator: :func:`fit_standardizer` runs one
-aggregation whose shuffle is ``d`` rows per partition (partial aggregation of
-``posexplode``), returns ``d`` means and population standard deviations to the
-driver (bounded by the feature width, not by the data) and
-:meth:`Standardizer.transform` is a narrow map with literal arrays, no join.
+Standardization is an estimator: :func:`fit_standardizer` is one scan that
+merges partial moments of whole vectors (:mod:`ligandspark.operators.partials`;
+nothing is exploded, NaN is left out component by component), returns ``d``
+means and population standard deviations to the driver (bounded by the feature
+width, not by the data) and :meth:`Standardizer.transform` is a narrow map with
+literal arrays, no join.
 Not ``pyspark.ml.feature.StandardScaler``: that one uses the sample std and
 maps constant columns to 0; here constant columns keep scale 1.
 """
@@ -21,12 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ligandspark.plans.sizing import collect_small
-
-
-def _clean(x: Column) -> Column:
-    """NaN -> NULL so that avg / stddev_pop ignore it instead of returning NaN."""
-    return F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+from ligandspark.operators.partials import vector_moments
 
 
 @dataclass
@@ -36,8 +32,7 @@ class Standardizer:
 
     def transform(self, df: DataFrame, features: str = "features", out: str | None = None) -> DataFrame:
         out = out or features
-        mu = F.array(*[F.lit(float(m)) for m in self.means])
-        sd = F.array(*[F.lit(float(s)) for s in self.scales])
+        mu, sd = (F.lit([float(x) for x in v]).cast("array<double>") for v in (self.means, self.scales))
         z = F.transform(
             F.col(features),
             lambda x, i: (x.cast("double") - F.element_at(mu, i + 1)) / F.element_at(sd, i + 1),
@@ -48,16 +43,11 @@ class Standardizer:
 def fit_standardizer(df: DataFrame, features: str = "features", where: Column | None = None) -> Standardizer:
     """Mean and population std per dimension over the rows selected by
     ``where`` (the training split); zero or undefined spread -> scale 1."""
-    src = df if where is None else df.where(where)
-    stats = (
-        src.select(F.posexplode(features).alias("dim", "x"))
-        .groupBy("dim")
-        .agg(F.avg(_clean(F.col("x"))).alias("mean"), F.stddev_pop(_clean(F.col("x"))).alias("std"))
-    )
-    rows = sorted(collect_small(stats), key=lambda r: r["dim"])
-    means = [r["mean"] if r["mean"] is not None else 0.0 for r in rows]
-    scales = [r["std"] if r["std"] not in (None, 0.0) else 1.0 for r in rows]
-    return Standardizer(means, scales)
+    found = vector_moments(df if where is None else df.where(where), features)
+    if not found:
+        return Standardizer([], [])
+    m = found[None]
+    return Standardizer([float(x) for x in m.mean], [float(x) if x > 0 else 1.0 for x in m.std])
 
 
 def standardize_train_fit(df: DataFrame, features: str = "features", split: str = "split",

@@ -1,8 +1,9 @@
 """Prediction ensembles and consensus scores.
 
-All groups here have a size fixed by a parameter (copies per sample,
-variants per sample, batch size), so grouping by them never builds an
-unbounded group.
+Groups (copies or variants of a sample, rows of a batch) are small by intent, but
+none of these jobs relies on it: means are partial aggregations, variants meet
+their canonical vector in a join, and the pair cosines of a large batch are
+computed tile by tile.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ligandspark.functions.vectors import cosine
 from ligandspark.operators.metrics import sigmoid
+from ligandspark.session import materialize
 
 
-MAX_VARIANTS = 1_000   # variants of a sample (the reference has five)
-MAX_BATCH = 16_384     # rows of a batch, whose pair cosines are one block
+TILE = 4_096    # rows of a batch whose pair cosines are one block; more make tiles
 
 
 def positional_sample(position: Column, n_samples: int) -> Column:
@@ -51,17 +52,13 @@ def variant_cosines(df: DataFrame, sample: str, variant: str, features: str = "f
                     canonical: int = 0) -> DataFrame:
     """Per sample, cosine of the canonical vector with every other variant.
 
-    One grouping on the sample key: a sample holds a few variants (a parameter;
-    more than ``MAX_VARIANTS`` raise).  A sample without its canonical vector
-    gives no row."""
+    A join on the sample: one canonical row per sample (of several the first
+    by value) meets any number of variants, none is collected.  A sample without
+    its canonical vector gives no row."""
     own = F.col(variant) == canonical
-    g = df.groupBy(sample).agg(
-        F.first(F.when(own, F.col(features)), ignorenulls=True).alias("_c"),
-        F.collect_list(F.when(~own, F.struct(F.col(variant).alias("variant"), F.col(features).alias("v")))).alias("_o"))
-    few = F.when(F.size("_o") > MAX_VARIANTS, F.raise_error(F.lit(f"a sample has more than {MAX_VARIANTS} variants"))
-                 .cast(dict(g.dtypes)["_o"])).otherwise(F.col("_o"))
-    o = g.where(F.col("_c").isNotNull()).select(sample, "_c", F.explode(few).alias("_o"))
-    return o.select(sample, F.col("_o.variant").alias(variant), cosine(F.col("_c"), F.col("_o.v")).alias("cos"))
+    first = df.where(own).groupBy(sample).agg(F.min(features).alias("_c")).where("_c is not null")
+    others = df.where(~own).select(sample, variant, F.col(features).alias("_v"))
+    return others.join(first, sample).select(sample, variant, cosine(F.col("_c"), F.col("_v")).alias("cos"))
 
 
 def variant_consensus(df: DataFrame, sample: str, variant: str, features: str = "features",
@@ -75,30 +72,49 @@ def variant_consensus(df: DataFrame, sample: str, variant: str, features: str =
     return g.select(sample, cons.alias("consensus"), (F.lit(1.0) - 2 * cons).alias("cos_similarity"))
 
 
-def batch_diversity(df: DataFrame, batch: str, features: str = "features") -> DataFrame:
+def batch_diversity(df: DataFrame, batch: str, features: str = "features", tile: int = TILE) -> DataFrame:
     """Mean over all B x B cells of ``|cos| - identity`` per batch, i.e.
     ``2 * sum_{a<b} |cos(a, b)| / B^2``.
 
-    A batch has B rows (a parameter), so each group is a small numpy block:
-    ``applyInPandas`` computes the pair cosines as one matrix product per
-    batch (interpreted nested array lambdas would cost B^2 * d calls per
-    batch).  No pair rows are emitted."""
+    The rows of a batch are dealt to tiles of about ``tile`` rows, and each pair
+    of tiles is one numpy block (a matrix product in ``applyInPandas``); the
+    blocks' sums are added.  A batch up to ``tile`` rows is one block; of larger
+    ones there are fewer than rows / ``tile``, so their sizes are broadcast.  No
+    pair rows are emitted."""
     import numpy as np
     import pandas as pd
     from pyspark.sql import types as T
 
+    rows = df.select(F.col(batch).alias("_batch"), F.col(features).alias("_f"))
+    large = rows.groupBy("_batch").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tile)
+    pairs = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
+    if large.isEmpty():
+        tiled = rows.withColumns({"_t": F.lit(0), "_pair": F.explode(pairs)})
+    else:
+        # the row's number deals it to a tile, so it must not change: a written table
+        rows = materialize(rows, "batches").withColumn("_at", F.monotonically_increasing_id())
+        sizes = F.broadcast(large.select(F.col("_batch").alias("_key"), F.ceil(F.col("_n") / tile).cast("int").alias("_k")))
+        rows = rows.join(sizes, F.col("_batch").eqNullSafe(F.col("_key")), "left").withColumn(
+            "_k", F.coalesce("_k", F.lit(1)))
+        rows = rows.withColumn("_t", F.pmod(F.xxhash64("_at"), F.col("_k")).cast("int"))
+        tiled = rows.withColumn("_pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda o: F.struct(
+            F.least(o, F.col("_t")).alias("a"), F.greatest(o, F.col("_t")).alias("b")))))
+    tiled = tiled.select("_batch", "_f", "_t", F.col("_pair.a").alias("_a"), F.col("_pair.b").alias("_b"))
     key_type = df.schema[batch].dataType
-    schema = T.StructType([T.StructField(batch, key_type), T.StructField("batch_rows", T.LongType()),
-                           T.StructField("diversity", T.DoubleType())])
+    schema = T.StructType([T.StructField("_batch", key_type), T.StructField("_rows", T.LongType()),
+                           T.StructField("_sum", T.DoubleType())])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_BATCH:
-            raise ValueError(f"batch {pdf[batch].iloc[0]!r} has {len(pdf)} rows; at most {MAX_BATCH} fit one block")
-        X = np.stack(pdf[features].to_numpy()).astype(np.float64)
-        n = X.shape[0]
-        norms = np.sqrt((X * X).sum(axis=1))
-        C = np.abs((X @ X.T) / np.outer(norms, norms))
-        total = 2.0 * np.triu(C, k=1).sum() / (n * n)
-        return pd.DataFrame({batch: [pdf[batch].iloc[0]], "batch_rows": [n], "diversity": [total]})
-
-    return df.select(batch, features).groupBy(batch).applyInPandas(one, schema)
+        a, b, t = int(pdf["_a"].iloc[0]), int(pdf["_b"].iloc[0]), pdf["_t"].to_numpy()
+        X = np.stack(pdf["_f"].to_numpy()).astype(np.float64)
+        X = X / np.sqrt((X * X).sum(axis=1))[:, None]
+        if a == b:
+            total, n = 2.0 * np.triu(np.abs(X @ X.T), k=1).sum(), len(X)
+        else:
+            total, n = 2.0 * np.abs(X[t == a] @ X[t == b].T).sum(), 0
+        return pd.DataFrame({"_batch": [pdf["_batch"].iloc[0]], "_rows": [n], "_sum": [total]})
+
+    sums = tiled.groupBy("_batch", "_a", "_b").applyInPandas(one, schema).groupBy("_batch").agg(
+        F.sum("_rows").alias("batch_rows"), F.sum("_sum").alias("_s"))
+    return sums.select(F.col("_batch").alias(batch), "batch_rows",
+                       (F.col("_s") / (F.col("batch_rows") * F.col("batch_rows"))).alias("diversity"))

@@ -44,7 +44,7 @@ REPORT9 = ["auc", "accuracy", "se", "sp", "f1", "pre", "rec", "err", "mcc"]
 @register
 def centroid_cv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = T.embeddings(spark, sf_dir).select("vec_id", "features", "y")
-    folded = folds_op(emb, "y", "vec_id", n_folds=3, shuffle=False).persist()
+    folded = materialize(folds_op(emb, "y", "vec_id", n_folds=3, shuffle=False), "folded")
     scored = fold_centroid_scores(folded, "fold", "y", "features")
     rep = M.report7(scored, ["fold"], "p", "y")
     return rounded(rep, ["fold"])
@@ -56,10 +56,10 @@ def centroid_cv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from ligandspark.functions import sequences as S  # noqa: E402
 from ligandspark.operators import embed as EM  # noqa: E402
-from ligandspark.session import scratch_path  # noqa: E402
+from ligandspark.session import materialize, scratch_path  # noqa: E402
 from ligandspark.sources import io as IO  # noqa: E402
 from pyspark.sql import types as TT  # noqa: E402
-from ligandspark.plans.sizing import spread  # noqa: E402
+from ligandspark.plans.sizing import collect_small, spread  # noqa: E402
 from ligandspark.session import read_table  # noqa: E402
 
 
@@ -167,12 +167,13 @@ def embed_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(spark, sf_dir):
-    """Documents with a split; every 7th one keeps only its non-SMILES signs, so that some have no token."""
+    """All documents with a split, and beside each one a row (id -1 - doc_id) of
+    its non-SMILES signs only, which has no token."""
     d = _docs(spark, sf_dir)
-    signs = F.regexp_replace("text", r"[^ \-,;_]", "")
-    return d.select("doc_id", F.when(F.col("doc_id") % 7 == 3, F.replace(signs, F.lit("-"), F.lit("")))
-                    .otherwise(F.col("text")).alias("text"),
-                    F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"))
+    signs = F.replace(F.regexp_replace("text", r"[^ \-,;_]", ""), F.lit("-"), F.lit(""))
+    both = F.array(F.struct("doc_id", "text"), F.struct((-1 - F.col("doc_id")).alias("doc_id"), signs.alias("text")))
+    return d.select(F.explode(both).alias("r"), F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split")
+                    ).select("r.doc_id", "r.text", "split")
 
 
 @register
@@ -584,10 +585,10 @@ def feature_blocks_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def feature_blocks_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # some keys are left out on either side, so that both kinds of row occur
-    drugs = _drug_block(spark, sf_dir).where(F.col("row_id") % 10 != 3)
-    targets = _target_block(spark, sf_dir).where(F.col("row_id") % 8 != 5)
-    return AS.unmatched_keys(drugs, targets, ["row_id"])
+    # part keys are dense and order keys sparse, so either side has keys of its own
+    orders = read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.array("o_totalprice").alias("features"))
+    return AS.unmatched_keys(_drug_block(spark, sf_dir), orders, ["row_id"])
 
 
 @register
@@ -649,9 +650,11 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 import numpy as np  # noqa: E402
 
 from ligandspark.operators import knn as KN  # noqa: E402
+from ligandspark.operators import pivots as PV  # noqa: E402
 from ligandspark.operators import select as SEL  # noqa: E402
 from ligandspark.operators import train as TR  # noqa: E402
 from ligandspark.operators import wavelet_layer as WL  # noqa: E402
+from ligandspark.operators import wavelet_train as WT  # noqa: E402
 from ligandspark.functions import wavelets as WV  # noqa: E402
 
 KNN_K = 3
@@ -661,7 +664,7 @@ KNN_FOLDS = 3
 def _knn_input(spark, sf_dir):
     from ligandspark.operators.folds import stratified_folds as folds
     e = T.embeddings(spark, sf_dir).select("vec_id", "label", "features")
-    return folds(e, "label", "vec_id", n_folds=KNN_FOLDS, shuffle=False).persist()
+    return materialize(folds(e, "label", "vec_id", n_folds=KNN_FOLDS, shuffle=False), "knn-input")
 
 
 @register
@@ -712,6 +715,48 @@ def select_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  "feature_index int, best_cost double, first_cost double")
 
 
+@register
+def selection_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: the best cost after each round of the search."""
+    f = _knn_input(spark, sf_dir)
+    _, _, curve = SEL.select_features(f, "vec_id", "features", "label", "fold", WIDTH, max_iter=10)
+    return SEL.convergence_table(spark, curve)
+
+
+@register
+def subset_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memoized objective over two generations on one layout, in which
+    positions come again."""
+    f = _knn_input(spark, sf_dir)
+    objective, layout = SEL.feature_subset_objective(f, "vec_id", "features", "label", "fold", KNN_K)
+    try:
+        pos = cost_candidates()
+        first = objective(pos[:3])
+        second = objective(pos[1:])
+    finally:
+        layout.release()
+    rows = [(1, i, float(c)) for i, c in enumerate(first)] + [(2, i + 1, float(c)) for i, c in enumerate(second)]
+    return rounded(spark.createDataFrame(rows, "generation int, cand int, cost double"), ["generation", "cand"])
+
+
+COS_LEAST = 0.25
+
+
+@register
+def cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of distinct vectors with at least this cosine, by class
+    representatives, with the number of rows of either class."""
+    e = T.embeddings(spark, sf_dir).select("vec_id", "features")
+    pairs, members = PV.cosine_at_least(e, "vec_id", "features", COS_LEAST)
+    size = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    out = (pairs.join(size.withColumnsRenamed({"class_id": "a", "n": "n_a"}), "a")
+           .join(size.withColumnsRenamed({"class_id": "b", "n": "n_b"}), "b"))
+    # as in cosine_pairs, the value that is reported is F10 of the two vectors
+    va, vb = (e.select(F.col("vec_id").alias(c), F.col("features").alias(f"_{c}")) for c in ("a", "b"))
+    out = out.join(va, "a").join(vb, "b").withColumn("cos", V.cosine(F.col("_a"), F.col("_b")))
+    return rounded(out.select("a", "b", "cos", "n_a", "n_b"), ["a", "b", "n_a", "n_b"])
+
+
 @register
 def wavelet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.embeddings(spark, sf_dir).select("vec_id", F.posexplode("features").alias("dim", "x"))
@@ -721,9 +766,15 @@ def wavelet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
                             WV.shannon(x, n, F.lit(WIDTH)).alias("shannon")), ["vec_id", "dim"])
 
 
+def spread_layer(n_in: int, n_out: int, wavelet: str, seed: int) -> WL.WaveletLayer:
+    """A layer with fixed random weights, scales in [0.5, 1.5) and translations in [-0.1, 0.1)."""
+    rng, b = np.random.RandomState(seed), 1.0 / np.sqrt(n_in)
+    w, s, t = (rng.uniform(lo, hi, (n_out, n_in)) for lo, hi in ((-b, b), (0.5, 1.5), (-0.1, 0.1)))
+    return WL.WaveletLayer(w, s, t, wavelet)
+
+
 def layer_params():
-    return [WL.WaveletLayer.init(WIDTH, 8, "mexican_hat", seed=7, jitter=True),
-            WL.WaveletLayer.init(8, 4, "dog", seed=8, jitter=True)]
+    return [spread_layer(WIDTH, 8, "mexican_hat", 7), spread_layer(8, 4, "dog", 8)]
 
 
 @register
@@ -744,7 +795,8 @@ def _train_split(spark, sf_dir):
     from ligandspark.operators.folds import stratified_folds as folds
     e = T.embeddings(spark, sf_dir)
     tr = folds(e.where(F.col("split") == "train").select("vec_id", "y", "features"), "y", "vec_id",
-               n_folds=5, shuffle=True, seed=47).persist()
+               n_folds=5, shuffle=True, seed=47)
+    tr = materialize(tr, "train-split")
     te = e.where(F.col("split") == "test").select("vec_id", "y", "features")
     return tr, te
 
@@ -764,46 +816,75 @@ def independent_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.report7(preds, ["fold"], "p", "y"), ["fold"])
 
 
+@register
+def cv_per_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 with the standardization of each fold's training rows, models saved."""
+    tr, _ = _train_split(spark, sf_dir)
+    preds, _, _ = TR.cross_validate(tr, "features", "y", "fold", per_fold=True, save_to=scratch_path(spark, "fold-models"))
+    return rounded(M.report7(preds, ["fold"], "p", "y"), ["fold"])
+
+
+WAVELET_STEPS = 15
+
+
 @register
 def wavelet_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = T.embeddings(spark, sf_dir).withColumn("basis", TR.dog_basis("features"))
+    """M7: weights, scales and translations trained on the training split."""
+    e = T.embeddings(spark, sf_dir).select("vec_id", "y", "split", "features")
     tr = e.where(F.col("split") == "train")
     n = tr.agg(F.count_if(F.col("y") == 0).alias("neg"), F.count_if(F.col("y") == 1).alias("pos")).first()
     w = n["neg"] / n["pos"] if n["pos"] else 1.0
-    model = TR.fit_weighted(tr, "basis", "y", w)
-    preds = TR.score(e.where(F.col("split") == "test"), model, "basis").withColumn("g", F.lit(1))
-    return rounded(M.report7(preds, ["g"], "p", "y").drop("g"), [])
+    model = WT.fit(tr, "features", "y", WT.WaveletClassifier.init(WIDTH), w, WAVELET_STEPS)
+    preds = WT.score(e.where(F.col("split") == "test"), "features", model)
+    return rounded(M.report7(preds.withColumn("g", F.lit(1)), ["g"], "p", "y").drop("g"), [])
 
 
-# ---------------------------------------------------------------------------
-# Prediction accumulation as a stream
-# ---------------------------------------------------------------------------
+def fixed_wavelet() -> WT.WaveletClassifier:
+    """Weights (i % 5 - 2) / 8, scales 1 + i % 3 / 4, translations (i % 7 - 3) / 50."""
+    i = np.arange(WIDTH)
+    return WT.WaveletClassifier((i % 5 - 2) / 8.0, 1.0 + i % 3 / 4.0, (i % 7 - 3) / 50.0, 1.5, -0.25, "mexican_hat",
+                                0.1, 0.04)
 
-from ligandspark.streaming import accumulate as ST  # noqa: E402
 
+@register
+def wavelet_classifier_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7 scoring with fixed parameters."""
+    e = T.embeddings(spark, sf_dir).select("vec_id", "features")
+    return rounded(WT.score(e, "features", fixed_wavelet()).select("vec_id", "logit", "p"), ["vec_id"])
+
+
+@register
+def wavelet_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7 training loss, its gradient by bias and gain, and the moments of the
+    wavelet sums, at fixed parameters."""
+    e = T.embeddings(spark, sf_dir).select("y", "features")
+    loss, g, m = WT.loss_and_gradient(e, "features", "y", fixed_wavelet(), 2.0)
+    row = (float(loss), float(g[-2]), float(g[-1]), float(m.mean[0]), float(m.std[0]))
+    return rounded(spark.createDataFrame([row], "loss double, by_gain double, by_bias double, mean double, std double"), [])
 
-METER_FILES = 4         # files of a month, and of a micro-batch
-METER_SECONDS = 1800
+
+# ---------------------------------------------------------------------------
+# Prediction accumulation
+# ---------------------------------------------------------------------------
+
+from ligandspark.operators.accumulate import MeterState  # noqa: E402
 
 
 @register
 def streaming_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored events arrive as monthly batches (files in the shared scratch
-    folder); a Structured Streaming job takes one file per micro-batch and
-    accumulates score counts; the metrics per fold come from the counts."""
+    """Scored events are counted in year by year, one year a second time,
+    with a compaction between; the metrics per fold come from the state."""
     ev = T.scored_events(spark, sf_dir)
-    root = scratch_path(spark, "meter")
+    state = MeterState(spark, scratch_path(spark, "meter"))
     preds = ev.select(F.lit("events").alias("run"), F.col("fold").cast("string").alias("task"), "logit",
-                      F.col("y").cast("double").alias("y"), F.lit(1.0).alias("mask"),
-                      F.date_format("ts", "yyyy-MM").alias("month"))
-    # a month may hold many rows: a few files each
-    salted = preds.withColumn("_salt", F.pmod(F.xxhash64("logit", "y"), F.lit(METER_FILES)))
-    salted.repartition("month", "_salt").drop("_salt").write.partitionBy("month").parquet(f"{root}/src")
-    q = ST.start_accumulator(spark, f"{root}/src", f"{root}/sink", f"{root}/ck", max_files_per_trigger=METER_FILES)
-    if not q.awaitTermination(METER_SECONDS):
-        q.stop()
-        raise TimeoutError(f"the accumulation did not end within {METER_SECONDS} seconds")
-    m = ST.accumulated_metrics(spark, f"{root}/sink")
+                      F.col("y").cast("double").alias("y"), F.lit(1.0).alias("mask"), F.year("ts").alias("year"))
+    years = sorted(r["year"] for r in collect_small(preds.select("year").distinct(), 10_000))
+    for y in years:
+        state.add(y, preds.where(F.col("year") == y))
+        if y == years[0]:
+            state.compact()
+    state.add(years[0], preds.where(F.col("year") == years[0]))
+    m = state.metrics()
     return rounded(m.select("task", "roc_auc", "average_precision", "pr_auc_trapezoid"), ["task"])
 
 
@@ -818,21 +899,21 @@ def _doubles(*names: str) -> TT.StructType:
 
 @register
 def star_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Star tables written as CSV per split, read back with positional
-    dimension ids (J2), summed per split and label."""
+    """Star tables written as CSV per split, with columns in another
+    order and more of them, read back by name with positional dimension ids (J2),
+    summed per split and label."""
     out = scratch_path(spark, "star")
     part = read_table(spark, sf_dir, "part").orderBy("p_partkey").select(
-        F.col("p_size").cast("double").alias("d_1"), F.col("p_retailprice").alias("d_2"))
+        "p_name", F.col("p_retailprice").alias("d_2"), F.col("p_size").cast("double").alias("d_1"))
     supp = read_table(spark, sf_dir, "supplier").orderBy("s_suppkey").select(
-        F.col("s_nationkey").cast("double").alias("t_1"), F.col("s_acctbal").alias("t_2"))
+        F.col("s_acctbal").alias("t_2"), F.col("s_nationkey").cast("double").alias("t_1"), "s_name")
     fact = read_table(spark, sf_dir, "lineitem").select(
         (F.col("l_partkey") - 1).alias("drug_id"), (F.col("l_suppkey") - 1).alias("target_id"),
         (F.col("l_returnflag") == "R").cast("int").alias("label"), (F.col("l_orderkey") % 5 == 0).alias("held_out"))
     for sp in IO.SPLITS:
-        part.write.option("header", True).csv(f"{out}/{sp}/drugs.csv")
-        supp.write.option("header", True).csv(f"{out}/{sp}/targets.csv")
-        fact.where(F.col("held_out") == (sp == "test")).drop("held_out").write.option("header", True).csv(
-            f"{out}/{sp}/interactions.csv")
+        part.write.options(**IO.CSV).csv(f"{out}/{sp}/drugs.csv")
+        supp.write.options(**IO.CSV).csv(f"{out}/{sp}/targets.csv")
+        fact.where(F.col("held_out") == (sp == "test")).write.options(**IO.CSV).csv(f"{out}/{sp}/interactions.csv")
     scans = IO.read_star_splits(spark, out, ["d_1", "d_2"], ["t_1", "t_2"], _doubles("d_1", "d_2"), _doubles("t_1", "t_2"))
     rows = None
     for sp, (f, d, t) in scans.items():
@@ -846,16 +927,41 @@ def star_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def numbered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``Label`` and numbered feature columns, written and read back."""
+    """``Label`` and numbered feature columns, written in another order beside
+    another column, and read back by name."""
     out = scratch_path(spark, "numbered")
-    e = T.embeddings(spark, sf_dir).select("features", F.col("label").alias("Label"))
-    wide = V.to_wide(e, "features", "Feature_", WIDTH).select(*V.numbered("Feature_", WIDTH), "Label")
-    wide.write.option("header", True).csv(out)
+    e = T.embeddings(spark, sf_dir).select("features", F.col("label").alias("Label"), "vec_id")
+    wide = V.to_wide(e, "features", "Feature_", WIDTH).select("Label", *V.numbered("Feature_", WIDTH)[::-1], "vec_id")
+    wide.write.options(**IO.CSV).csv(out)
     back = IO.read_numbered_features(spark, out, WIDTH)
     d = back.select("label", F.posexplode("features").alias("dim", "x"))
     return d.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 6).alias("total"))
 
 
+@register
+def csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 with malformed rows: beside each good line of an event there is one whose
+    value is no number (for purchases) or whose last field is missing (others)."""
+    out = scratch_path(spark, "malformed")
+    ev = read_table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.round("value", 3).alias("value"), "event_type")
+    good = F.concat_ws(",", "event_type", "user_id", "value", "event_id")
+    bad = F.when(F.col("event_type") == "purchase", F.concat_ws(",", "event_type", "user_id", F.lit("n/a"), "event_id")
+                 ).otherwise(F.concat_ws(",", "event_type", "user_id", "value"))
+    lines = ev.select(F.explode(F.array(good, bad)).alias("value"))
+    # every file begins with the header: the text sink has none, so it is the CSV sink's, of one unquoted column
+    lines.select(F.col("value").alias("event_type,user_id,value,event_id")).write.options(
+        header=True, quote="", escape="", sep="\u0001").csv(out)
+    schema = TT.StructType([TT.StructField("event_id", TT.LongType()), TT.StructField("value", TT.DoubleType())])
+    rows = IO.read_csv(spark, out, schema, malformed="quarantine")
+    kept = IO.good_rows(rows).agg(F.lit("good").alias("kind"), F.count(F.lit(1)).alias("n"),
+                                  F.round(F.sum("value"), 2).alias("total"), F.sum("event_id").alias("ids"))
+    gone = IO.malformed_rows(rows).groupBy(
+        F.when(F.col("row").contains("n/a"), "no number").otherwise("missing field").alias("kind")).agg(
+        F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("total"), F.lit(None).cast("long").alias("ids"))
+    return kept.unionByName(gone)
+
+
 @register
 def selection_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S6 + S7: the chosen indexes as a table, and both splits reduced to them
@@ -876,8 +982,9 @@ def prediction_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prediction table of :func:`eval_variants`, written and read back."""
     out = scratch_path(spark, "predictions")
     IO.write_predictions(eval_variants(spark, sf_dir), out)
-    return spark.read.schema("smiles string, prediction double, label int, cos_similarity double").option(
-        "header", True).csv(out)
+    schema = TT.StructType([TT.StructField("smiles", TT.StringType()), *_doubles("prediction").fields,
+                            TT.StructField("label", TT.IntegerType()), *_doubles("cos_similarity").fields])
+    return IO.read_csv(spark, out, schema)
 
 
 @register
@@ -904,7 +1011,7 @@ def labelled_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def metric_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every metric name over the masked long task table."""
-    lt = doc_tasks(spark, sf_dir).persist()
+    lt = materialize(doc_tasks(spark, sf_dir), "tasks")
     out = None
     for name in M.METRIC_NAMES:
         m = M.compute_metric(lt, name)
@@ -939,3 +1046,48 @@ def saved_models_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.embeddings(spark, sf_dir)
     scored = TR.independent_test(e.where(F.col("split") == "test"), TR.load_models(spark, path), "features")
     return rounded(M.report7(scored, ["fold"], "p", "y"), ["fold"])
+
+
+@register
+def fixed_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logit and probability of every row under one fixed linear model."""
+    m = fixed_models(spark).where("fold = 1").first()
+    e = T.embeddings(spark, sf_dir).select("vec_id", "features")
+    out = TR.score(e, TR.LinearModel(np.array(m["weights"]), m["intercept"]), "features")
+    return rounded(out.select("vec_id", "logit", "p"), ["vec_id"])
+
+
+@register
+def cv_fixed_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1's scoring: each row under the model of its own fold, and the report."""
+    folded = _knn_input(spark, sf_dir).withColumn("y", (F.col("label") < 5).cast("int"))
+    return rounded(M.report7(TR.score_held_out(folded, fixed_models(spark), "features", "fold"), ["fold"], "p", "y"), ["fold"])
+
+
+@register
+def fold_loss_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: weighted loss and gradient of all fold models at fixed weights, from one
+    scan: each over the rows of the other folds."""
+    folded = _knn_input(spark, sf_dir).withColumn("y", (F.col("label") < 5).cast("int"))
+    models = sorted(fixed_models(spark).collect(), key=lambda r: r["fold"])
+    points = np.array([[*r["weights"], r["intercept"]] for r in models])
+    loss, g = TR.fold_sums(folded, "features", "y", "fold", np.arange(len(models)), points, np.array([2.0, 0.5, 1.25]))
+    rows = [(f, i, float(loss[f]), float(g[f, i])) for f in range(len(models)) for i in range(WIDTH + 1)]
+    df = spark.createDataFrame(rows, "fold int, dim int, loss double, gradient double")
+    return df.select("fold", "dim", F.round("loss", 4).alias("loss"), F.round("gradient", 4).alias("gradient"))
+
+
+@register
+def wavelet_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the wavelet of every name, by name, summed; and the answer to a name
+    that is none."""
+    e = T.embeddings(spark, sf_dir).select(F.posexplode("features").alias("dim", "x"))
+    sums = e.agg(*[F.sum(WV.wavelet(n, F.col("x"), F.col("dim"), F.lit(WIDTH))).alias(n) for n in WV.WAVELETS])
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), F.round(n, 4).alias("total")) for n in WV.WAVELETS])
+    out = sums.select(F.explode(cells).alias("c")).select("c.*", F.lit(None).cast("string").alias("error"))
+    try:
+        WV.wavelet("haar", F.col("x"))
+        raise AssertionError("an unknown name was taken")
+    except ValueError as err:
+        bad = spark.createDataFrame([("haar", None, str(err))], "name string, total double, error string")
+    return out.unionByName(bad)

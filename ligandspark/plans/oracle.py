@@ -261,10 +261,10 @@ grams AS (SELECT doc_id, unnest(list_concat(tok,
 SELECT doc_id, {_BUCKET} AS dim, count(*) AS cnt FROM grams GROUP BY doc_id, {_BUCKET}
 """
 
-# every 7th document keeps only its non-SMILES signs
-SPLIT_DOCS = """sd AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3
-      THEN replace(regexp_replace(text, '[^ \\-,;_]', '', 'g'), '-', '') ELSE text END AS text,
-    CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents)"""
+# every document, and a row of its non-SMILES signs
+SPLIT_DOCS = """sd AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents
+    UNION ALL SELECT -1 - doc_id, replace(regexp_replace(text, '[^ \\-,;_]', '', 'g'), '-', ''),
+      CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END FROM documents)"""
 
 ORACLE["embed_quarantine_counts"] = f"""
 WITH {SPLIT_DOCS}, t AS (SELECT split, len({_tok('text')}) AS n FROM sd)
@@ -559,12 +559,10 @@ SELECT row_id, split, dim, round(z, 6) AS value FROM dbz WHERE row_id IN (SELECT
 UNION ALL
 SELECT row_id, split, CAST(dim + 2 AS INTEGER) AS dim, round(z, 6) AS value FROM tbz WHERE row_id IN (SELECT row_id FROM db)
 """
-ORACLE["feature_blocks_unmatched"] = f"""
-WITH {BLOCKS}
-, ld AS (SELECT row_id FROM db WHERE row_id % 10 <> 3), rt AS (SELECT row_id FROM tb WHERE row_id % 8 <> 5)
-SELECT row_id, 'left_only' AS side FROM ld WHERE row_id NOT IN (SELECT row_id FROM rt)
+ORACLE["feature_blocks_unmatched"] = """
+SELECT p_partkey AS row_id, 'left_only' AS side FROM part WHERE p_partkey NOT IN (SELECT o_orderkey FROM orders)
 UNION ALL
-SELECT row_id, 'right_only' AS side FROM rt WHERE row_id NOT IN (SELECT row_id FROM ld)
+SELECT o_orderkey AS row_id, 'right_only' AS side FROM orders WHERE o_orderkey NOT IN (SELECT p_partkey FROM part)
 """
 ORACLE["star_lookup"] = """
 SELECT l.l_orderkey, l.l_linenumber, l.l_partkey AS drug_id, l.l_suppkey AS target_id,
@@ -805,3 +803,69 @@ sc AS (SELECT fold, vec_id, any_value(y) AS y,
        FROM emb_long, fm WHERE split = 'test' GROUP BY fold, vec_id),
 s AS (SELECT fold, y, 1.0 / (1.0 + exp(-logit)) AS p FROM sc), {report7_sql('s', 'fold')}
 """
+
+# ---------------------------------------------------------------------------
+# objective, threshold cosine, malformed CSV rows, fixed models
+# ---------------------------------------------------------------------------
+
+ORACLE["subset_objective"] = f"""
+WITH c AS ({ORACLE['subset_cost']})
+SELECT 1::INTEGER AS generation, cand, cost FROM c WHERE cand < 3
+UNION ALL SELECT 2::INTEGER AS generation, cand, cost FROM c WHERE cand >= 1
+"""
+ORACLE["cosine_threshold"] = f"""
+WITH c AS (SELECT min(vec_id) AS id, embedding, count(*) AS n FROM embeddings GROUP BY embedding),
+p AS (SELECT a.id AS a, b.id AS b, {COSX} AS cos, a.n AS n_a, b.n AS n_b FROM c a JOIN c b ON a.id < b.id)
+SELECT a, b, round(cos, 6) AS cos, n_a, n_b FROM p WHERE round(cos, 9) >= 0.25
+"""
+ORACLE["csv_quarantine"] = """
+SELECT 'good' AS kind, count(*) AS n, round(sum(round(value, 3)), 2) AS total, sum(event_id)::BIGINT AS ids FROM events
+UNION ALL SELECT CASE WHEN event_type = 'purchase' THEN 'no number' ELSE 'missing field' END, count(*), NULL, NULL
+FROM events GROUP BY 1
+"""
+ORACLE["fixed_model_scores"] = f"""
+WITH {EMB}, {EMB_LONG},
+s AS (SELECT vec_id, sum(x * ((2 * (dim + 1) % 7 - 3) / 2.0)) + 0.1 AS logit FROM emb_long GROUP BY vec_id)
+SELECT vec_id, round(logit, 6) AS logit, round(1.0 / (1.0 + exp(-logit)), 6) AS p FROM s
+"""
+# rows of the three unshuffled folds with y, their features, and the fixed model of each fold
+FIXED_FOLDS = f"""{KNN_FOLDED},
+fl AS (SELECT vec_id, fold, CAST(label < 5 AS INTEGER) AS y, generate_subscripts(embedding, 1) - 1 AS dim,
+         unnest(embedding)::DOUBLE AS x FROM folded),
+fm AS (SELECT unnest(range(3))::INTEGER AS model),
+sc AS (SELECT model, vec_id, any_value(fold) AS fold, any_value(y) AS y,
+         sum(x * (((model + 1) * (dim + 1) % 7 - 3) / 2.0)) + 0.1 * model AS logit FROM fl, fm GROUP BY model, vec_id)"""
+ORACLE["cv_fixed_models"] = f"""
+WITH {FIXED_FOLDS}, s AS (SELECT fold, y, 1.0 / (1.0 + exp(-logit)) AS p FROM sc WHERE model = fold), {report7_sql('s', 'fold')}
+"""
+ORACLE["fold_loss_gradient"] = f"""
+WITH {FIXED_FOLDS},
+r AS (SELECT model, vec_id, CASE WHEN y = 1 THEN [2.0, 0.5, 1.25][model + 1] ELSE 1.0 END AS w, y, logit,
+        1.0 / (1.0 + exp(-logit)) AS p FROM sc WHERE model <> fold),
+t AS (SELECT model, round(sum(w * (ln(1.0 + exp(-abs(logit))) + greatest(logit, 0) - y * logit)), 4) AS loss,
+        sum(w * (p - y)) AS g FROM r GROUP BY model),
+d AS (SELECT r.model, fl.dim, sum(r.w * (r.p - r.y) * fl.x) AS g FROM r JOIN fl ON r.vec_id = fl.vec_id GROUP BY r.model, fl.dim)
+SELECT d.model AS fold, CAST(d.dim AS INTEGER) AS dim, t.loss, round(d.g, 4) AS gradient FROM d JOIN t ON d.model = t.model
+UNION ALL SELECT model, 64, loss, round(g, 4) FROM t
+"""
+ORACLE["wavelet_dispatch"] = f"""
+WITH {EMB}, {EMB_LONG}
+{' UNION ALL '.join(f"SELECT '{n}' AS name, round(sum({_psi(n, 'x', 'dim', '64')}), 4) AS total, NULL::VARCHAR AS error FROM emb_long"
+                    for n in ('mexican_hat', 'morlet', 'dog', 'meyer', 'shannon'))}
+UNION ALL SELECT 'haar', NULL, 'no wavelet is named ''haar''; there are mexican_hat, morlet, dog, meyer, shannon'
+"""
+FIXED_WAVELET = f"""{EMB}, {EMB_LONG},
+wu AS (SELECT vec_id, any_value(y) AS y, sum(((dim % 5 - 2) / 8.0)
+         * {_psi('mexican_hat', '((x - (dim % 7 - 3) / 50.0) / (1.0 + dim % 3 / 4.0))')}) AS u FROM emb_long GROUP BY vec_id)"""
+ORACLE["wavelet_classifier_fixed"] = f"""
+WITH {FIXED_WAVELET}, z AS (SELECT vec_id, 1.5 * (u - 0.1) / sqrt(0.04 + 1e-5) - 0.25 AS logit FROM wu)
+SELECT vec_id, round(logit, 6) AS logit, round(1.0 / (1.0 + exp(-logit)), 6) AS p FROM z
+"""
+ORACLE["wavelet_loss"] = f"""
+WITH {FIXED_WAVELET}, st AS (SELECT avg(u) AS mean, stddev_pop(u) AS std FROM wu),
+z AS (SELECT y, CASE WHEN y = 1 THEN 2.0 ELSE 1.0 END AS w, (u - mean) / sqrt(std * std + 1e-5) AS h FROM wu, st),
+l AS (SELECT y, w, h, 1.5 * h - 0.25 AS logit, 1.0 / (1.0 + exp(-(1.5 * h - 0.25))) AS p FROM z)
+SELECT round(avg(w * (ln(1.0 + exp(-abs(logit))) + greatest(logit, 0) - y * logit)), 6) AS loss,
+  round(avg(w * (p - y) * h), 6) AS by_gain, round(avg(w * (p - y)), 6) AS by_bias,
+  round(any_value(mean), 6) AS mean, round(any_value(std), 6) AS std FROM l, st
+"""

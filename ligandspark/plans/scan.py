@@ -8,8 +8,9 @@ contiguous key ranges of about ``RANGE_ROWS`` rows, and the window runs within
 1. one count per group; only groups above ``RANGE_ROWS`` rows come back (fewer
    than ``rows / RANGE_ROWS`` of them, so the number of ranges follows the data)
 2. their boundaries from approximate percentiles, in one aggregation
-3. range = number of boundaries <= key, looked up in two steps; equal keys
-   share a range, so boundaries only affect balance, never the result
+3. range = number of boundaries <= key, by binary search in the group's sorted
+   boundaries, which come from a broadcast table with one row per large group;
+   equal keys share a range, so boundaries only affect balance, never the result
 4. totals per (large group, range) -> running totals -> broadcast (fewer than
    ``2 * rows / RANGE_ROWS`` + groups rows) -> window within (group, range).
 
@@ -46,8 +47,15 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(F.broadcast(renamed), on, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def _array(values: Sequence, kind: str) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+ALL = "_all"        # the one group of a table that has no groups
+
+
+def at_most(sorted_values: str, x: Column, longest: int) -> Column:
+    """How many of an ascending array column's values (at most ``longest``) are
+    ``<= x``, by binary search: 17 steps for 100,000 values."""
+    steps = F.lit([1 << b for b in range(max(0, longest.bit_length() - 1), -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(sorted_values, n + step - 1) <= x, n + step)
+                       .otherwise(n))
 
 
 @dataclass
@@ -68,6 +76,8 @@ def assign_ranges(df: DataFrame, by: Sequence[str], key: str, descending: bool =
                   rows: int | None = None) -> Ranged:
     """Add ``_range``: contiguous, order-preserving ranges of ``key`` per group;
     with ``descending`` range 0 holds the largest keys."""
+    if not by:                              # one group; its key is 0, but no literal, so joins on it stay hash joins
+        return assign_ranges(df.withColumn(ALL, F.pmod(F.hash(key), F.lit(1))), [ALL], key, descending, rows)
     by, rows = list(by), range_rows(df, rows)
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
     large = counts.collect()                # fewer than rows-of-df / rows of them
@@ -80,31 +90,20 @@ def assign_ranges(df: DataFrame, by: Sequence[str], key: str, descending: bool =
     keys = spark.createDataFrame([(*[r[c] for c in by], k) for r, k in zip(large, classes, strict=True)], schema)
     k = F.col(key).cast("double")
     held = same_keys(df.select(*by, k.alias("_v")), keys, by, "inner")
-    cuts = [F.percentile_approx(F.when(F.col("_class") == c, F.col("_v")),
-                                [i / 2 ** c for i in range(1, 2 ** c)], max(10_000, 20 * 2 ** c))
-            for c in sorted(set(classes)) if c]
+    # parsed at once: a call for each of 100,000 literals would take a minute
+    cuts = [F.expr(f"percentile_approx(if(_class = {c}, _v, null), array({', '.join(f'{i / 2 ** c!r}D' for i in range(1, 2 ** c))}), "
+                   f"{max(10_000, 20 * 2 ** c)})") for c in sorted(set(classes)) if c]
     bounds = held.groupBy(*by).agg(F.array_sort(F.array_distinct(F.coalesce(*cuts))).alias("_b")).collect()
-    step = {i: max(1, math.isqrt(len(r["_b"] or []))) for i, r in enumerate(bounds)}
-    schema = T.StructType([df.schema[c] for c in by] + [
-        T.StructField("_b", T.ArrayType(T.DoubleType())), T.StructField("_coarse", T.ArrayType(T.DoubleType())),
-        T.StructField("_step", T.IntegerType())])
-    table = spark.createDataFrame(
-        [(*[r[c] for c in by], list(r["_b"] or []), list((r["_b"] or [])[step[i] - 1::step[i]]), step[i])
-         for i, r in enumerate(bounds)], schema)
-    if by:
-        d = same_keys(df, table, by)
-    else:                                   # one list of boundaries: literals, no join
-        one = table.first()
-        d = df.withColumns({"_b": _array(one["_b"], "double"), "_coarse": _array(one["_coarse"], "double"),
-                            "_step": F.lit(one["_step"])})
-    block = F.size(F.filter("_coarse", lambda x: x <= k))
-    fine = F.slice("_b", block * F.col("_step") + 1, F.col("_step"))
-    below = block * F.col("_step") + F.size(F.filter(fine, lambda x: x <= k))
+    schema = T.StructType([df.schema[c] for c in by] + [T.StructField("_b", T.ArrayType(T.DoubleType()))])
+    table = spark.createDataFrame([(*[r[c] for c in by], list(r["_b"] or [])) for r in bounds], schema)
+    longest = max((len(r["_b"] or []) for r in bounds), default=0)
+    d = same_keys(df, table, by)
+    below = at_most("_b", k, longest)
     if descending:
         below = F.when(k.isNull(), F.size("_b")).otherwise(F.size("_b") - below)
     else:
         below = F.when(k.isNull(), 0).otherwise(below)
-    d = d.withColumn(RANGE, F.when(F.col("_b").isNull(), 0).otherwise(below).cast("int")).drop("_b", "_coarse", "_step")
+    d = d.withColumn(RANGE, F.when(F.col("_b").isNull(), 0).otherwise(below).cast("int")).drop("_b")
     return Ranged(d, by, key, descending, keys.drop("_class"))
 
 
@@ -119,7 +118,7 @@ def scan_ranges(
         df = df.withColumn("_one", F.lit(1))
         sums = [*sums, "_one"]
     if ranged.large is not None:
-        groups = same_keys(df, ranged.large, by, "left_semi") if by else df
+        groups = same_keys(df, ranged.large, by, "left_semi")
         totals = groups.groupBy(*by, RANGE).agg(
             *[F.sum(c).alias(f"_s_{c}") for c in sums], *[F.max(c).alias(f"_x_{c}") for c in maxes],
             *[F.min(c).alias(f"_m_{c}") for c in mins])
@@ -129,13 +128,7 @@ def scan_ranges(
             *by, RANGE, *[F.sum(f"_s_{c}").over(before).alias(f"_s_{c}") for c in sums],
             *[F.max(f"_x_{c}").over(before).alias(f"_x_{c}") for c in maxes],
             *[F.min(f"_m_{c}").over(before).alias(f"_m_{c}") for c in mins])
-        if by:
-            df = same_keys(df, totals, [*by, RANGE])
-        else:                               # one list of totals, an entry per range
-            kinds, found = dict(totals.dtypes), {r[RANGE]: r for r in totals.collect()}
-            df = df.withColumns({c: F.element_at(_array(
-                [found[i][c] if i in found else None for i in range(max(found, default=0) + 1)], kinds[c]),
-                F.col(RANGE) + 1) for c in totals.columns if c != RANGE})
+        df = same_keys(df, totals, [*by, RANGE])
     key = F.col(ranged.key)
     order = [key.desc() if ranged.descending else key.asc(), *[F.col(t) if isinstance(t, str) else t for t in tiebreak]]
     w = Window.partitionBy(*by, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -152,7 +145,7 @@ def scan_ranges(
     res = df.select("*", *out)
     if row_number:
         res = res.withColumn(row_number, (F.col("cum__one") + (0 if inclusive else 1)).cast("long")).drop("_one", "cum__one")
-    return res.drop("_s__one", *[f"_s_{c}" for c in sums], *[f"_x_{c}" for c in maxes], *[f"_m_{c}" for c in mins])
+    return res.drop(ALL, "_s__one", *[f"_s_{c}" for c in sums], *[f"_x_{c}" for c in maxes], *[f"_m_{c}" for c in mins])
 
 
 def prefix_scan(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -78,10 +79,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_scratch: dict[int, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:10]}"
+    """A fresh folder for a written table, in a folder of this Spark context
+    within the shared checkpoint folder; it is removed when the driver's Python ends."""
+    sc = spark.sparkContext
+    if id(sc) not in _scratch:
+        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex[:12]}"
+        _scratch[id(sc)] = base
+
+        def remove() -> None:
+            if sc._jsc is not None:
+                path = sc._jvm.org.apache.hadoop.fs.Path(base)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+        atexit.register(remove)
+    return f"{_scratch[id(sc)]}/{name}-{uuid.uuid4().hex[:10]}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: it is computed once,
+    and a lost executor costs a read.  Nothing stays in executor memory."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

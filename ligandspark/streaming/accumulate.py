@@ -1,4 +1,5 @@
-"""Prediction accumulation (A28) as a Structured Streaming job.
+"""Prediction accumulation (A28) fed by a Structured Streaming source; the batch
+form is :mod:`ligandspark.operators.accumulate`.
 
 Scored batches (``run, task, logit, y, mask``) arrive as parquet files in a
 folder.  Each micro-batch is reduced to counts per ``(run, task, score)`` -
@@ -12,22 +13,11 @@ kept in driver memory.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ligandspark.operators.metrics import curve_from_counts, masked, metrics_from_curve, sigmoid
+from ligandspark.operators.accumulate import KEYS, batch_counts, merged_counts
+from ligandspark.operators.metrics import curve_from_counts, metrics_from_curve
 
 PREDICTION_SCHEMA = "run string, task string, logit double, y double, mask double"
-KEYS = ["run", "task"]
-
-
-def batch_counts(batch: DataFrame) -> DataFrame:
-    """Masked rows -> counts of positives / negatives per distinct probability."""
-    m = masked(batch).where(F.col("y").isin(0.0, 1.0))
-    return m.groupBy(*KEYS, sigmoid(F.col("logit")).alias("_score")).agg(
-        F.count_if(F.col("y") == 1.0).cast("long").alias("pos"),
-        F.count_if(F.col("y") == 0.0).cast("long").alias("neg"))
-
-
 def start_accumulator(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                       schema: str = PREDICTION_SCHEMA, available_now: bool = True,
                       max_files_per_trigger: int | None = None):
@@ -48,6 +38,5 @@ def start_accumulator(spark: SparkSession, source_dir: str, sink_dir: str, check
 def accumulated_metrics(spark: SparkSession, sink_dir: str) -> DataFrame:
     """roc_auc / average_precision / pr_auc_trapezoid per (run, task) over all
     accumulated batches."""
-    counts = spark.read.parquet(sink_dir).groupBy(*KEYS, "_score").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = merged_counts(spark.read.parquet(sink_dir))
     return metrics_from_curve(curve_from_counts(counts, KEYS), KEYS)

@@ -9,6 +9,7 @@ from ligandspark.operators import embed, history, knn
 from ligandspark.operators import metrics as M
 from ligandspark.operators.centroid import fold_centroid_scores
 from ligandspark.operators.folds import stratified_folds
+from ligandspark.functions.wavelets import wavelet_np
 from ligandspark.operators.wavelet_layer import WaveletLayer
 from ligandspark.plans.scan import RANGE_CONF, prefix_scan
 
@@ -155,6 +156,11 @@ def test_whole_error_text_is_kept(spark):
 
 
 def test_wide_layer_works_in_small_blocks():
-    layer = WaveletLayer.init(4000, 64)
-    x = np.random.RandomState(0).standard_normal((20, 4000))
-    assert np.allclose(layer.pre_activation_np(x), layer.pre_activation_np(x, 20))
+    rng = np.random.RandomState(0)
+    x, layer = rng.standard_normal((20, 400)), WaveletLayer.init(400, 64)
+    apart = WaveletLayer(layer.weights, rng.uniform(0.5, 1.5, (64, 400)), rng.uniform(-0.1, 0.1, (64, 400)))
+    for one in (layer, apart):
+        z = (x[:, None, :] - one.translation) / one.scale
+        want = (wavelet_np(one.wavelet, z) * one.weights).sum(axis=2)
+        for size in (1, 20_000, 1 << 25):
+            assert np.allclose(one.pre_activation_np(x, size), want)

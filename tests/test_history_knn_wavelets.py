@@ -114,10 +114,11 @@ def test_select_features_with_spark_objective(spark):
     lab = (X[:, 0] > 0.5).astype(int)          # dimension 0 carries the label
     df = spark.createDataFrame([(i, [float(v) for v in X[i]], int(lab[i]), i % 3) for i in range(36)],
                                "id long, f array<double>, label int, fold int")
-    obj = feature_subset_objective(df, "id", "f", "label", "fold")
+    obj, layout = feature_subset_objective(df, "id", "f", "label", "fold")
     best, pos, curve = vars(magpie_search(obj, 0.0, 1.0, 6, members=10, rounds=2, seed=3)).values()
     assert best == min(obj.cache.values())
     assert len(obj.cache) == obj.evaluations          # each distinct mask evaluated once
     assert all(0.0 <= v <= 1.0 + 0.005 for v in obj.cache.values())
+    layout.release()
     idx = [int(i) for i in np.where(pos > 0.5)[0]]
     assert all(0 <= i < 6 for i in idx)

@@ -10,7 +10,10 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = ["centroid_cv_report", "smiles_encode", "binary_report9", "auc_by_group", "stratified_folds_seeded",
           "early_stop", "knn_vote", "wavelet_layer", "variant_consensus", "feature_blocks_join", "streaming_meter",
           "feature_blocks_unmatched", "tta_ensemble", "star_csv_scan", "featurize_smiles", "embed_callable",
-          "labelled_blocks", "metric_dispatch", "saved_models_test", "selection_sinks"]
+          "labelled_blocks", "metric_dispatch", "saved_models_test", "selection_sinks", "numbered_scan", "csv_quarantine",
+          "cosine_pairs", "cosine_threshold", "subset_objective", "fixed_model_scores", "cv_fixed_models",
+          "fold_loss_gradient", "wavelet_classifier_fixed", "wavelet_loss", "wavelet_dispatch", "eval_single",
+          "batch_diversity", "standardize_train_fit", "prediction_sink"]
 
 
 def _norm(rows):
