@@ -230,7 +230,7 @@ def test_stages_and_run(spark, words, tmp_path, monkeypatch):
 
 
 def test_queries_have_all_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_digest_queries_on_a_given_table(spark, sf):
