@@ -1,8 +1,10 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Prints one JSON line: {"metric", "value" (sum of per-query medians), "unit",
-"queries": {name: median seconds}, "sf", ...}.  Each query is built and fully
-executed into Spark's noop sink; a warm-up query runs first and is not counted.
+"queries": {name: median seconds}, "sf", "calibration_sec", ...}.  Each query is
+built and fully executed into Spark's noop sink; a warm-up query runs first and
+is not counted.  The calibration is a fixed job that reads no table: its time
+tells how fast the machine was, and is not in the sum.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ HEADLINE = [
 
 SPLIT_SCANS = ["auc_by_group", "early_stop", "stratified_folds_seeded"]
 RANGE_ROWS = "500"
+CALIBRATION_ROWS = 400_000_000
 
 
 def main() -> None:
@@ -60,7 +63,14 @@ def main() -> None:
         spark.conf.unset(RANGE_CONF)
         return took
 
+    def calibrate() -> float:
+        t0 = time.perf_counter()
+        spark.range(0, CALIBRATION_ROWS, 1, int(cpus)).selectExpr("sum(xxhash64(id) % 1000) AS s").collect()
+        return time.perf_counter() - t0
+
     run("binary_report7")  # JVM / codegen warm-up
+    calibrate()
+    calibration = [calibrate() for _ in range(3)]
     res, rows = {}, {}
     for name in names:
         times = [run(name) for _ in range(repeat)]
@@ -77,6 +87,7 @@ def main() -> None:
         "sf": sf,
         "cpus": int(cpus),
         "repeat": repeat,
+        "calibration_sec": round(statistics.median(calibration), 3),
         "spark": spark.version,
         "action": "noop write (full execution, no driver collect)",
     }
