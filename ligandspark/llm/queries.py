@@ -66,7 +66,8 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.dedup(table(spark, sf_dir, "documents"), suffix_dedup.LENGTH)
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
-                       F.sha2("kept", 256).alias("kept_sha256"))
+                       F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"),
+                       (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,11 +275,12 @@ def repeated_windows(items: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     large, out = items, None
     if level:
         size = F.sum(F.length("content").cast("long")).alias("bytes")
-        hot = written(items.groupBy("grp").agg(size).where(F.col("bytes") > limit).select("grp"), "hot-groups")
-        if hot.isEmpty():
-            return _sharded(items, length, WIDTHS[level - 1])
-        out = _sharded(items.join(hot, "grp", "left_anti"), length, WIDTHS[level - 1])
-        large = items.join(hot, "grp", "left_semi")
+        hot = items.groupBy("grp").agg(size).where(F.col("bytes") > limit).select("grp", F.lit(True).alias("_hot"))
+        marked = written(items.join(hot, "grp", "left"), "marked")
+        out = _sharded(marked.where("_hot is null"), length, WIDTHS[level - 1])
+        large = marked.where("_hot").drop("_hot")
+        if large.isEmpty():
+            return out
     parts = written(_narrower(large, level, length, gram), "parts")
     single = written(parts.groupBy(F.col("part_key")).agg(
         F.first("grp").alias("grp"), F.sum("n").alias("n"), F.first("windows").alias("windows"),
