@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ligandspark.operators import embed, history, knn
+from ligandspark.operators import embed, history, knn, pivots
 from ligandspark.operators import metrics as M
 from ligandspark.operators.centroid import fold_centroid_scores
 from ligandspark.operators.folds import stratified_folds
@@ -118,18 +118,19 @@ def test_zero_and_nan_vectors_keep_their_rows(spark):
     assert cos[(1, 2)] == 0 and cos[(2, 4)] == 0 and cos[(2, 5)] == -1
 
 
-def test_nearest_is_a_stable_sort():
+def test_closest_is_a_stable_sort():
     rng = np.random.RandomState(4)
     for n in (1, 5, 40):
-        d = rng.randint(0, 6, (50, n)).astype(float)
-        d[rng.rand(50, n) < 0.1] = np.nan
-        d[rng.rand(50, n) < 0.1] = np.inf
+        q, r = rng.randint(0, 3, (50, 2)).astype(float), rng.randint(0, 3, (n, 2)).astype(float)
+        r[rng.rand(n) < 0.1, 1] = np.nan
+        bad = rng.rand(50, n) < 0.2
+        d = ((q[:, None, :] - r[None, :, :]) ** 2).sum(axis=2)
+        d = np.where(np.isnan(d), np.inf, d)
         for k in (1, 3, 10):
-            order = knn._nearest(d, k)
-            want = np.argsort(d, axis=1, kind="stable")[:, :k]
-            a, b = np.take_along_axis(d, order, 1), np.take_along_axis(d, want, 1)
-            real = ~np.isnan(b)
-            assert np.array_equal(a[real], b[real]) and np.array_equal(order[real], want[real]) and np.isnan(a[~real]).all()
+            qi, ri, dist = pivots.closest(q, r, k, bad.copy(), False)
+            want = [(i, int(j), d[i, j]) for i in range(50)
+                    for j in [j for j in np.argsort(d[i], kind="stable") if not bad[i, j]][:k]]
+            assert list(zip(qi.tolist(), ri.tolist(), dist.tolist())) == want
 
 
 def test_embedding_once_per_row_with_repeated_ids(spark):
