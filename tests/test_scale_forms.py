@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ligandspark.functions.wavelets import WAVELETS, wavelet_np, wavelet_slope_np
-from ligandspark.operators import ensemble, knn, pivots, train, wavelet_train
+from ligandspark.operators import ensemble, knn, pivots, stripes, train, wavelet_train
 from ligandspark.operators import metrics as M
 from ligandspark.operators.accumulate import MeterState
 from ligandspark.operators.assemble import fit_standardizer
@@ -405,3 +405,33 @@ def test_many_ranges_of_one_group_plan_quickly(spark):
     planned = time.time() - t
     got = out.agg(F.sum((F.col("cum_one") == F.col("k") + 1).cast("int"))).first()[0]
     assert got == n and out.columns == ["k", "one", "cum_one"] and planned < 60
+
+
+# --- stripes ------------------------------------------------------------------
+
+@pytest.mark.parametrize("kind", ["normal", "copies", "odd", "scale"])
+def test_rows_that_stream_past_a_stripe_give_its_nearest(kind):
+    rng = np.random.default_rng(5)
+    x = vectors("normal" if kind == "scale" else kind, 500, 6)
+    x = x * 1e-3 + rng.integers(0, 3, 500)[:, None] * 1e6 if kind == "scale" else x
+    ids, fold, q = np.arange(500), np.arange(500) % 3, np.arange(0, 500, 2)
+    state = stripes.Nearest(x[q], ids[q], fold[q], 4, False)
+    order = rng.permutation(500)
+    for s in range(0, 500, 90):
+        p = order[s:s + 90]
+        state.meet(x[p], ids[p], fold[p], s)
+    for i, near in brute_neighbours(x, 4, fold, False).items():
+        if i % 2 == 0:
+            assert state.there[i // 2].all() and [r for _, r in near] == state.rid[i // 2].tolist()
+            assert np.allclose([d for d, _ in near], state.dist[i // 2])
+
+
+def test_a_row_moves_once_for_each_stripe_whatever_the_rows(spark):
+    # by block pairs the copies grew with the square of the rows
+    assert stripes.stripes_of(615_000, stripes.STRIPE_ROWS, 12) <= 38
+    df = table(spark, vectors("normal", 240))
+    layout = knn.PairLayout(df, "id", "f", "label", "fold", block_rows=40)
+    assert layout.rows.count() == 240 * (1 + layout.stripes.count)
+    held = layout.rows.select(F.spark_partition_id().alias("p"), "_to", "_ref").collect()
+    assert all(r["p"] == r["_to"] for r in held)        # a task for each stripe
+    assert sum(not r["_ref"] for r in held) == 240      # a query is held once
