@@ -4,8 +4,8 @@ The tokenization stays in the JVM (column expressions).  The vector comes from
 an *encoder*:
 
 * the built-in default, :func:`add_hashed_vector`, is a hashed unigram +
-  bigram count vector built from SQL functions only (md5 -> bucket -> counts),
-  deterministic and checkable by SQL.  It is
+  bigram count vector (md5 -> bucket -> counts, each different gram of an Arrow
+  batch hashed once), deterministic and checkable by SQL.  It is
   **not** a pretrained model embedding; no weights exist here.
 * any Python callable ``encoder(pd.Series[str]) -> list[vector]`` plugs in
   through :func:`embed_rows`, which runs it in ``mapInArrow``
@@ -16,9 +16,13 @@ an *encoder*:
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,25 +48,82 @@ def ngrams(tokens: Column) -> Column:
     return F.concat(tokens, bigrams)
 
 
+KNOWN_GRAMS = 1 << 18     # buckets that a task remembers
+
+
+class GramBuckets:
+    """Hashed uni- and bigram counts of Arrow lists of tokens.  Every different
+    gram of a batch is hashed once, and buckets are remembered within a task."""
+
+    def __init__(self, dim: int) -> None:
+        self.dim, self.known = dim, {}
+
+    def buckets(self, grams: list[str]) -> np.ndarray:
+        if len(self.known) > KNOWN_GRAMS:
+            self.known.clear()
+        for g in grams:
+            if g not in self.known:
+                self.known[g] = int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % self.dim
+        return np.array([self.known[g] for g in grams], np.int64)
+
+    def counts(self, tokens: pa.ListArray) -> np.ndarray:
+        """A row of ``dim`` counts for each list (zeros for NULL)."""
+        n, dim = len(tokens), self.dim
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(n, dtype=np.int64), sizes)
+        if not len(row):
+            return np.zeros((n, dim), np.int64)
+        coded = tokens.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        out = np.bincount(row * dim + self.buckets(words)[code], minlength=n * dim)
+        pair = (code[:-1] * len(words) + code[1:])[row[:-1] == row[1:]]
+        if len(pair):
+            coded = pa.array(pair).dictionary_encode()
+            firsts, seconds = np.divmod(coded.dictionary.to_numpy(), len(words))
+            hashed = self.buckets([f"{words[a]} {words[b]}" for a, b in zip(firsts, seconds, strict=True)])
+            start = row[:-1][row[:-1] == row[1:]]
+            out += np.bincount(start * dim + hashed[coded.indices.to_numpy()], minlength=n * dim)
+        return out.reshape(n, dim)
+
+
 def hashed_ngram_counts(df: DataFrame, id_col: str, tokens: str, dim: int = DEFAULT_DIM) -> DataFrame:
     """Long form ``(id, dim, cnt)`` of hashed uni- and bigram counts (nonzero
-    only).  explode + groupBy keeps the work in generated JVM code (lambda
-    functions are interpreted); partial aggregation leaves at most ``dim``
-    rows per id to shuffle."""
-    g = df.select(id_col, F.explode(ngrams(F.col(tokens))).alias("_g"))
-    return g.groupBy(id_col, hash_bucket(F.col("_g"), dim).alias("dim")).agg(
-        F.count(F.lit(1)).alias("cnt"))
+    only).  Counted per row by :class:`GramBuckets`; at most ``dim`` rows per
+    row are shuffled, for ids that repeat."""
+    schema = T.StructType([df.schema[id_col], T.StructField("dim", T.IntegerType()), T.StructField("cnt", T.LongType())])
+
+    def run(batches):
+        grams = GramBuckets(dim)
+        for b in batches:
+            counts = grams.counts(b.column(1))
+            row, at = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(counts[row, at])],
+                [id_col, "dim", "cnt"])
+
+    return df.select(id_col, tokens).mapInArrow(run, schema).groupBy(id_col, "dim").agg(F.sum("cnt").alias("cnt"))
 
 
 def add_hashed_vector(df: DataFrame, tokens: str, dim: int = DEFAULT_DIM, out: str = "features") -> DataFrame:
-    """Add the dense hashed uni- and bigram counts of a token array as
+    """Replace a token array by its dense hashed uni- and bigram counts as
     ``array<double>``, in the row itself (no shuffle, no join, so repeated or
     NULL ids keep their rows); NULL where there is no token."""
-    df = df.withColumn("_b", F.transform(ngrams(F.col(tokens)), lambda t: hash_bucket(t, dim)))
-    # array_remove runs a plain loop over the int array for each dimension
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                         lambda d: (F.size("_b") - F.size(F.array_remove(F.col("_b"), d))).cast("double"))
-    return df.withColumn(out, F.when(F.size(tokens) > 0, counts)).drop("_b")
+    kept = [f for f in df.schema.fields if f.name not in (tokens, out)]
+    schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        grams = GramBuckets(dim)
+        for b in batches:
+            lists = b.column(b.num_columns - 1)
+            counts = grams.counts(lists)
+            none = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False) == 0
+            ends = np.arange(0, counts.size + 1, dim, dtype=np.int32)
+            vectors = pa.ListArray.from_arrays(pa.array(ends), pa.array(counts.ravel().astype(np.float64)),
+                                               mask=pa.array(none))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], vectors], [*b.schema.names[:-1], out])
+
+    return df.select(*[f.name for f in kept], tokens).mapInArrow(run, schema)
 
 
 def embed_rows(df: DataFrame, text_col: str, encoder: Callable[[pd.Series], list], dim: int) -> DataFrame:
@@ -72,8 +133,6 @@ def embed_rows(df: DataFrame, text_col: str, encoder: Callable[[pd.Series], list
 
     If a whole batch fails, its rows are tried one by one, so only the failing
     rows get an error.  Filter *before* this call: it is an optimizer barrier."""
-    import pyarrow as pa
-
     schema = T.StructType([f for f in df.schema.fields if f.name not in ("features", "error")]
                           + [T.StructField("features", T.ArrayType(T.DoubleType())),
                              T.StructField("error", T.StringType())])

@@ -33,3 +33,21 @@ def test_featurize_protein_with_failing_encoder(spark):
     assert sorted(r["row_id"] for r in good.collect()) == [1, 3]
     errs = {r["row_id"]: r["error"] for r in bad.collect()}
     assert list(errs) == [2] and "rare residue" in errs[2]
+
+
+def test_every_different_gram_is_hashed_once_per_task():
+    import hashlib
+
+    import pyarrow as pa
+
+    from ligandspark.operators.embed import GramBuckets
+
+    lists = [["C", "C", "O"], None, [], ["[C@H]", "C"], ["O"], ["C", "C", "O"]]
+    grams = GramBuckets(8)
+    got = grams.counts(pa.array(lists, pa.list_(pa.string())))
+    for row, tokens in zip(got, lists, strict=True):
+        want = [0] * 8
+        for g in (tokens or []) + [f"{a} {b}" for a, b in zip((tokens or [])[:-1], (tokens or [])[1:])]:
+            want[int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % 8] += 1
+        assert row.tolist() == want
+    assert set(grams.known) == {"C", "O", "[C@H]", "C C", "C O", "[C@H] C"}
