@@ -435,3 +435,17 @@ def test_a_row_moves_once_for_each_stripe_whatever_the_rows(spark):
     held = layout.rows.select(F.spark_partition_id().alias("p"), "_to", "_ref").collect()
     assert all(r["p"] == r["_to"] for r in held)        # a task for each stripe
     assert sum(not r["_ref"] for r in held) == 240      # a query is held once
+
+
+@pytest.mark.parametrize("kind", ["normal", "clusters"])
+def test_pairs_over_a_threshold_carry_class_sizes_and_are_not_shuffled(spark, kind):
+    x = vectors(kind, 200)
+    x[150:] = x[100]
+    pairs, _ = pivots.cosine_at_least(table(spark, x), "id", "f", 0.9, block_rows=30)
+    got = {(r["a"], r["b"]): (r["n_a"], r["n_b"]) for r in pairs.collect()}
+    assert len(got) == pairs.count() and got
+    assert all(n == (51 if a == 100 else 1, 51 if b == 100 else 1) for (a, b), n in got.items())
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    if kind == "normal":
+        # above the task that makes the pairs there is no join and no shuffle
+        assert "Join" not in plan.split("MapInArrow")[0] and "Repartition" not in plan.split("MapInArrow")[0]
