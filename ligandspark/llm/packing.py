@@ -31,6 +31,7 @@ END_ID = 1            # closes every document
 CACHE_WORDS = 300_000    # tokenized words kept by a worker
 CACHE_CHARS = 64         # longest word kept
 LATIN_END = "\u0180"      # letters below it are composed and keep their ids lower-cased
+MARKS = ".,;:!?"          # may close a word of letters
 SLICE = 1 << 20          # characters of a long text that are split into words at once
 OUT_ROWS = 2_000
 
@@ -164,13 +165,6 @@ def _encoder(model: bytes):
     stems: dict[str, bytes] = {"": b""}        # of letters, lower-cased
     rest: dict[str, bytes] = {"": b""}         # closing marks, and words of another kind
 
-    def halves(word: str) -> tuple[str, str]:
-        stem = word.rstrip(".,;:!?")
-        low = stem.lower()
-        if stem.isalpha() and max(stem) < LATIN_END and len(low) == len(stem):
-            return low, word[len(stem):]
-        return "", word
-
     def merged(stem: str) -> bytes:
         mapped = stem if stem.isascii() else stem.encode().decode("latin-1").translate(signs)
         return array("I", [t.id for t in merges(mapped)]).tobytes()
@@ -191,19 +185,32 @@ def _encoder(model: bytes):
             stems.clear()
             rest.clear()
             stems[""] = rest[""] = b""
-        split = {w: halves(w) for w in set(words).difference(known)}
-        new = list({end for _, end in split.values() if end not in rest})
-        long_ends, own = {}, {}
-        for end, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (rest if len(end) <= CACHE_CHARS else long_ends)[end] = array("I", e.ids).tobytes()
-        for w, (stem, end) in split.items():
-            ids = stems.get(stem)
+        own: dict[str, bytes] = {}             # words too long to keep
+        waiting: list[tuple[str, bytes, str]] = []
+        for w in set(words).difference(known):
+            stem = w.rstrip(MARKS)
+            low = stem.lower()
+            if stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END and len(low) == len(stem)):
+                end = w[len(stem):]
+            else:
+                low, end = "", w
+            ids = stems.get(low)
             if ids is None:
-                ids = merged(stem)
-                if len(stem) <= CACHE_CHARS:
-                    stems[stem] = ids
-            ids += rest[end] if end in rest else long_ends[end]
-            (known if len(w) <= CACHE_CHARS else own)[w] = ids
+                ids = merged(low)
+                if len(low) <= CACHE_CHARS:
+                    stems[low] = ids
+            more = rest.get(end)
+            if more is None:
+                waiting.append((w, ids, end))
+            else:
+                (known if len(w) <= CACHE_CHARS else own)[w] = ids + more
+        if waiting:
+            new = list({end for _, _, end in waiting})
+            ends = {end: array("I", e.ids).tobytes() for end, e in
+                    zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+            rest.update((end, ids) for end, ids in ends.items() if len(end) <= CACHE_CHARS)
+            for w, ids, end in waiting:
+                (known if len(w) <= CACHE_CHARS else own)[w] = ids + ends[end]
         if not own:
             return b"".join([known[w] for w in words])
         return b"".join([known[w] if w in known else own[w] for w in words])
