@@ -34,7 +34,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _ready(spark)
-    return suffix_dedup.cut_repeats(docs, suffix_dedup.LENGTH)
+    return suffix_dedup.cut_repeats(docs, suffix_dedup.LENGTH, suffix_dedup.PASSAGE)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

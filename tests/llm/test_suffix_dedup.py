@@ -1,10 +1,12 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from ligandspark.llm import suffix_dedup, suffixes
+import corpus_pipeline
+from ligandspark.llm import common, suffix_dedup, suffixes
 from tests.llm.conftest import make
 
 
@@ -125,3 +127,60 @@ def test_cut_repeats(spark, words):
     kept = brute([t for _, t in rows], 400)
     for i in (1, 2):
         assert out[i]["text"] == kept[i - 1].decode("utf-8", "ignore") and out[i]["n_chars"] == len(out[i]["text"])
+
+
+def brute_passages(texts, length, n):
+    """Bytes left without the repeated ``length``-byte strings and ``n``-word passages."""
+    data = [(t or "").encode() for t in texts]
+    at = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)] for d in data]
+    said = [[d[a:b] for a, b in w] for d, w in zip(data, at)]
+    seen = Counter(d[i:i + length] for d in data for i in range(len(d) - length + 1))
+    stand = Counter(tuple(w[i:i + n]) for w in said for i in range(len(w) - n + 1))
+    out = []
+    for d, places, w in zip(data, at, said):
+        gone = bytearray(len(d))
+        ranges = [(i, i + length) for i in range(len(d) - length + 1) if seen[d[i:i + length]] > 1]
+        ranges += [(places[i][0], places[i + n - 1][1]) for i in range(len(w) - n + 1) if stand[tuple(w[i:i + n])] > 1]
+        for a, b in ranges:
+            gone[a:b] = b"\1" * (b - a)
+        out.append(bytes(c for c, g in zip(d, gone) if not g))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 0])
+def test_passages_of_words(spark, hot):
+    rng = random.Random(hot)
+    lexicon = ["a", "é", "to", "ñu", "the", "word", "long" * 30, "z"] + [f"w{i}" for i in range(40)]
+    say = lambda n: [rng.choice(lexicon) for _ in range(n)]
+    blank = lambda w: "".join(x + rng.choice([" ", "\n", "  ", "\t "]) for x in w)
+    passages = [say(n) for n in (5, 6, 7, 15)]
+    rows = [(i, blank(say(rng.randint(0, 20)) + (passages[i % 4] if i % 3 else []) + say(rng.randint(0, 9))))
+            for i in range(80)]
+    rows += [(100, None), (101, ""), (102, "a " * 30), (103, rows[1][1]), (104, "x" * 500), (105, "y" + "x" * 500)]
+    got = run(make(spark, rows).repartition(4), length=120, gram=8, hot_bytes=hot, words=6)
+    left = brute_passages([t for _, t in rows], 120, 6)
+    assert got == sorted(((i, t or "", k) for (i, t), k in zip(rows, left)), key=str)
+    assert left != brute([t for _, t in rows], 120)
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    """A passage of 51 words with fewer bytes than LENGTH goes from all its texts."""
+    rng = random.Random(51)
+    say = lambda n: " ".join("".join(rng.choice("aeioubdr") for _ in range(4)) for _ in range(n))
+    passage = say(51)
+    assert len(passage) < suffix_dedup.LENGTH
+    rows = [(i, f"{say(70)}. {passage} {say(30)}") for i in range(3)] + [(3, say(150)), (4, None)]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_stage(spark, make(spark, rows), "").collect()}
+    assert [out[i] for i in range(5)] == [t and t.replace(passage, "") for _, t in rows]
+
+
+def test_passing_tables_go(spark):
+    import glob
+
+    base = common._scratch_base(spark)
+    with common.passing(spark):
+        gone = common.written(spark.range(3), "test-gone")
+        stays = common.written(gone.where("id > 0"), "test-stays", keep=True)
+    assert stays.count() == 2
+    folder = base.removeprefix("file://").removeprefix("file:")
+    assert not glob.glob(f"{folder}/test-gone*") and glob.glob(f"{folder}/test-stays*")
