@@ -1,28 +1,32 @@
-"""SentencePiece BPE encoding with a prefix table, and decoding.
+"""SentencePiece BPE encoding by compatible pieces, and decoding.
 
 The encoding of a text by merges has this property: every prefix has exactly
-one last token, and a token may follow another if and only if the two alone
-encode to themselves.  So an Aho-Corasick automaton over the vocabulary lists,
-at each place, the tokens that end there; the one that is compatible with the
-last token of the prefix before it is the prefix's own; and the ids are read
-backwards from the end.  Time is linear in the text, whatever the merge order.
+one encoding by tokens of which each two neighbours alone encode to themselves,
+and it is the one by merges.  So a word is read once from the left, the longest
+piece first; a piece that is not compatible with the one before it gives way to
+a shorter one.  No way is tried twice, so time is linear in the text, whatever
+the merge order.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"         # stands for a blank in pieces
-CACHE_WORDS = 300_000    # encoded words kept by a worker
+CACHE_WORDS = 500_000    # encoded words kept by a worker
+CACHE_PAIRS = 1_000_000  # pairs of pieces whose compatibility is kept by a worker
 CACHE_CHARS = 64         # longest word kept
 OUT_BYTES = 16 << 20
 SLICE = 1 << 20          # characters of a long text that are split into words at once
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af"    # of Latin script
 NEVER = float("-inf")    # score of a pair that is no piece
 
 
@@ -56,18 +60,28 @@ class MergeEncoder:
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece goes on after its first word; words can't be encoded alone")
-        # line feeds also part words if no piece holds one
+        # line feeds also part words if no piece holds one, and letters and other signs if none holds both
         stop = "" if any("\n" in p for p in self.id) else "\n"
-        self.words = re.compile(f"{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+" + ("|\n" if stop else ""))
-        self.matches = ahocorasick.Automaton()
-        for p in self.id:
-            if self.merged(p) == [p]:                      # pieces that no merge order reaches never occur
-                self.matches.add_word(p, (self.id[p], len(p)))
-        self.matches.make_automaton()
+        line = "|\n" if stop else ""
+        self.words = re.compile(f"{SPACE}*[{LETTERS}]+|{SPACE}*[^{LETTERS}{SPACE}{stop}]+|{SPACE}+{line}")
+        if any(self.words.findall(p) != [p] for p in self.id):
+            self.words = re.compile(f"{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+{line}")
+        reached = [p for p in self.id if self.merged(p) == [p]]    # pieces that no merge order reaches never occur
+        # each beginning of a piece and the longest piece it begins with
+        self.begins, self.longest = ahocorasick.Automaton(), {"": 0}
+        for p in sorted(reached, key=len):
+            for n in range(1, len(p) + 1):
+                if p[:n] not in self.longest:
+                    self.longest[p[:n]] = self.id[p] if n == len(p) else self.longest[p[:n - 1]]
+                    self.begins.add_word(p[:n], 0)
+        self.shorter = {self.id[p]: self.longest[p[:-1]] for p in reached}
+        # else a character may merge though it is no piece
+        self.closed = all(c in self.id for p in self.id for c in p)
         self.size = {i: len(p) for i, p in self.text.items()}
-        self.compatible: dict[int, bool] = {}
+        self.compatible: dict[int, dict[int, bool]] = {i: {} for i in self.id.values()}    # by left and right
+        self.pairs = 0
         self.history: dict[str, list[tuple[float, str, str]]] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merges by definition: the best-scored pair first, the leftmost of equals."""
@@ -118,66 +132,88 @@ class MergeEncoder:
             else:
                 j += 1
 
-    def prefix_table(self, word: str) -> list[int]:
-        """For each prefix of ``word`` the id of its last token; 0 at the start
-        and after a character that is in no piece and so never merges."""
-        last, compatible = [0] * (len(word) + 1), self.compatible
-        for end, (i, size) in self.matches.iter(word):
-            end += 1
-            if last[end]:
+    def encode_word(self, word: str) -> list[int]:
+        """The ids of a word: at each place the longest piece that may follow the
+        last one; where none may, the last one gives way to a shorter piece, and
+        no other way leads to that place again.
+
+        A character that is in no piece never merges, so what is before it stays."""
+        if not self.closed:
+            return [i for p in self.merged(word) for i in
+                    ([self.id[p]] if p in self.id else [self.byte[b] for b in p.encode("utf-8", "replace")])]
+        reach, longest, shorter, size = self.begins.longest_prefix, self.longest, self.shorter, self.size
+        compatible, out, at, last, stays = self.compatible, [], 0, 0, 0
+        dead: set[int] = set()       # places that no right way leads through
+        rest = word
+        while rest:
+            i = longest[rest[:reach(rest)]]
+            if not i:
+                out.extend(self.byte[b] for b in rest[0].encode("utf-8", "replace"))
+                last, stays = 0, len(out)
+                at += 1
+                rest = rest[1:]
                 continue
-            before = last[end - size]
-            if before:
-                key = before << 20 | i
-                if key not in compatible:
-                    compatible[key] = self.follows(self.text[before], self.text[i])
-                if not compatible[key]:
-                    continue
-            last[end] = i
-        return last
-
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        last, at, out, size = self.prefix_table(word), len(word), [], self.size
-        while at:
-            i = last[at]
-            if i:
-                out.append(i)
-                at -= size[i]
-            else:
-                at -= 1
-                out.extend(self.byte[b] for b in reversed(word[at].encode("utf-8", "replace")))
-        out.reverse()
-        return tuple(out)
+            while True:
+                if at + size[i] not in dead:
+                    if not last:
+                        break
+                    fits = compatible[last].get(i)
+                    if fits is None:
+                        fits = compatible[last][i] = self.follows(self.text[last], self.text[i])
+                        self.pairs += 1
+                    if fits:
+                        break
+                i = shorter[i]
+                while not i:
+                    dead.add(at)
+                    i = out.pop()
+                    at -= size[i]
+                    last = out[-1] if len(out) > stays else 0
+                    i = shorter[i]
+            out.append(i)
+            last = i
+            at += size[i]
+            rest = word[at:]
+        return out
 
     def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids of a text as native int32 bytes."""
         if not text:
-            return []
+            return b""
         if len(text) > SLICE:
-            return list(chain.from_iterable(
+            return b"".join(
                 self.encode_words(self.words.findall((SPACE if not a else "") + text[a:b].replace(" ", SPACE)))
-                for a, b in word_slices(text)))
+                for a, b in word_slices(text))
         return self.encode_words(self.words.findall(SPACE + text.replace(" ", SPACE)))
 
-    def encode_words(self, words: list[str]) -> list[int]:
+    def encode_words(self, words: list[str]) -> bytes:
         known = self.known
-        try:
-            return list(chain.from_iterable([known[w] for w in words]))
-        except KeyError:
-            pass
         if len(known) > CACHE_WORDS:
             known.clear()
-        if len(self.compatible) > 8 * CACHE_WORDS:
-            self.compatible.clear()
+        if self.pairs > CACHE_PAIRS:
+            for pairs in self.compatible.values():
+                pairs.clear()
+            self.pairs = 0
         own = {}
-        for w in set(words):
-            if w not in known:
-                (known if len(w) <= CACHE_CHARS else own)[w] = self.encode_word(w)
-        return list(chain.from_iterable([known[w] if w in known else own[w] for w in words]))
+        for w in set(words).difference(known):
+            (known if len(w) <= CACHE_CHARS else own)[w] = array("i", self.encode_word(w)).tobytes()
+        if own:
+            return b"".join([known[w] if w in known else own[w] for w in words])
+        return b"".join([known[w] for w in words])
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(model: bytes) -> MergeEncoder:
+    """The encoder of a worker, which its next task goes on with."""
+    return MergeEncoder(model)
+
+
 def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     """``doc_id, ids, decoded`` for every row of ``docs(doc_id, text, ...)``.
 
@@ -189,14 +225,14 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
         held = docs.sparkSession.sparkContext.broadcast(f.read())   # a vocabulary file, under 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = MergeEncoder(held.value)
+        encoder = encoder_of(held.value)
         for b in batches:
             doc, ids, decoded, size = [], [], [], 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                one = encoder.encode(text.as_py() or "")
+                one = np.frombuffer(encoder.encode_bytes(text.as_py() or ""), np.int32)
                 doc.append(doc_id)
-                ids.append(pa.array(one, pa.int32()))
-                decoded.append(encoder.decode(one) if one else "")
+                ids.append(one)
+                decoded.append(encoder.decode(one.tolist()) if len(one) else "")
                 size += 4 * len(one) + len(decoded[-1])
                 if size > OUT_BYTES:
                     yield made(doc, ids, decoded)
@@ -204,12 +240,10 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
             yield made(doc, ids, decoded)
 
     def made(doc, ids, decoded) -> pa.RecordBatch:
-        ends = [0]
-        for x in ids:
-            ends.append(ends[-1] + len(x))
-        flat = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        flat = np.concatenate([np.empty(0, np.int32), *ids])
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
+            [pa.array(doc, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
              pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

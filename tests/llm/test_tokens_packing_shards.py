@@ -92,6 +92,31 @@ def test_pieces_are_the_library():
         assert own.encode(t) == lib.encode(t), t
 
 
+def test_parts_of_words_are_encoded_once(monkeypatch):
+    own, done = pieces.encoder_of(open(PIECE, "rb").read()), []
+    assert own is pieces.encoder_of(open(PIECE, "rb").read())      # the next task of a worker goes on with it
+    own.known.clear()
+    encode_word = own.encode_word
+    monkeypatch.setattr(own, "encode_word", lambda w: (done.append(w), encode_word(w))[1])
+    for t in ("Xylomar, xylomar", "Xylomar. xylomar!", "Xylomar *** xylomar (Xylomar)"):
+        assert own.encode(t) == own.library.encode(t), t
+    assert sum(w.lstrip("\u2581").lower() == "xylomar" for w in done) == len(done) - 6 == 3
+
+
+def test_pieces_in_a_row_are_the_library(monkeypatch):
+    model = open(PIECE, "rb").read()
+    own, lib, rng = pieces.MergeEncoder(model), sentencepiece.SentencePieceProcessor(model_proto=model), random.Random(2)
+    texts = ["".join(rng.choice(list(own.id)[:9000]) for _ in range(rng.randint(2, 9))).replace("\u2581", " ") for _ in range(3000)]
+    want = [lib.encode(t) for t in texts]
+    assert [own.encode(t) for t in texts] == want
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 0)
+    monkeypatch.setattr(pieces, "CACHE_PAIRS", 10)
+    monkeypatch.setattr(pieces, "CACHE_CHARS", 4)
+    assert [own.encode(t) for t in texts] == want
+    own.closed = False       # merges by definition, as where a character of a piece is none itself
+    assert [own.encode(t) for t in texts[:300]] == want[:300]
+
+
 def test_encode_decode(odd_docs, no_docs, odd_rows):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     got = sorted(((r["doc_id"], r["ids"], r["decoded"]) for r in pieces.encode_decode(odd_docs, PIECE).collect()), key=str)
