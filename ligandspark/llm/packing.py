@@ -28,10 +28,10 @@ from ligandspark.llm.common import trimmed, written
 
 CAPACITY = 4096       # tokens of a sequence
 END_ID = 1            # closes every document
-CACHE_WORDS = 300_000    # tokenized words kept by a worker
+CACHE_WORDS = 500_000    # tokenized words kept by a worker
 CACHE_CHARS = 64         # longest word kept
 LATIN_END = "\u0180"      # letters below it are composed and keep their ids lower-cased
-MARKS = ".,;:!?"          # may close a word of letters
+MARKS = ".,;:!?)\"#$%&*+=~"    # may close a word of letters
 SLICE = 1 << 20          # characters of a long text that are split into words at once
 OUT_ROWS = 2_000
 
@@ -174,10 +174,6 @@ def _encoder(model: bytes):
 
     def encode_slice(text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
         if len(known) > CACHE_WORDS:
             known.clear()
             known[""] = b""
@@ -191,7 +187,7 @@ def _encoder(model: bytes):
             stem = w.rstrip(MARKS)
             low = stem.lower()
             if stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END and len(low) == len(stem)):
-                end = w[len(stem):]
+                end = w[len(stem):] if stem is not w else ""
             else:
                 low, end = "", w
             ids = stems.get(low)

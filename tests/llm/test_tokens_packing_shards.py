@@ -1,4 +1,5 @@
 import random
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -83,6 +84,34 @@ def test_pack(odd_docs, no_docs, odd_rows):
             assert at <= capacity
 
 
+def test_closing_marks_part_words(monkeypatch):
+    import tokenizers
+
+    library, whole = tokenizers.Tokenizer.from_file(WORD), []
+
+    class Seen:
+        model = library.model
+
+        @staticmethod
+        def from_str(_):
+            return Seen()
+
+        def encode_batch_fast(self, texts, **how):
+            whole.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Seen)
+    own, marks = packing._encoder(open(WORD, "rb").read()), string.punctuation
+    rng = random.Random(3)
+    texts = [w + "".join(rng.choice(marks) for _ in range(rng.randint(0, 4))) + after
+             for w in ("Xylomar", "\u00dcbel", "don't", "x<|endoftext|>", "e\u0301", "7a") for after in ("", "s", "\u0301") for _ in range(200)]
+    for t in texts:
+        assert own(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    whole.clear()
+    own(" ".join("Xylomar" + a + b for a in "*#$%&" for b in "*#$%&"))
+    assert not any(c.isalpha() for t in whole for c in t)
+
+
 def test_pieces_are_the_library():
     model = open(PIECE, "rb").read()
     own, lib, rng = pieces.MergeEncoder(model), sentencepiece.SentencePieceProcessor(model_proto=model), random.Random(1)
