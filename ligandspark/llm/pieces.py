@@ -1,11 +1,11 @@
-"""SentencePiece BPE encoding by compatible pieces, and decoding.
+"""SentencePiece BPE encoding with a prefix table, and decoding.
 
 The encoding of a text by merges has this property: every prefix has exactly
-one encoding by tokens of which each two neighbours alone encode to themselves,
-and it is the one by merges.  So a word is read once from the left, the longest
-piece first; a piece that is not compatible with the one before it gives way to
-a shorter one.  No way is tried twice, so time is linear in the text, whatever
-the merge order.
+one last token, and a token may follow another if and only if the two alone
+encode to themselves.  So an Aho-Corasick automaton over the vocabulary lists,
+at each place, the tokens that end there; the one that is compatible with the
+last token of the prefix before it is the prefix's own; and the ids are read
+backwards from the end.  Time is linear in the text, whatever the merge order.
 """
 
 from __future__ import annotations
@@ -66,17 +66,11 @@ class MergeEncoder:
         self.words = re.compile(f"{SPACE}*[{LETTERS}]+|{SPACE}*[^{LETTERS}{SPACE}{stop}]+|{SPACE}+{line}")
         if any(self.words.findall(p) != [p] for p in self.id):
             self.words = re.compile(f"{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+{line}")
-        reached = [p for p in self.id if self.merged(p) == [p]]    # pieces that no merge order reaches never occur
-        # each beginning of a piece and the longest piece it begins with
-        self.begins, self.longest = ahocorasick.Automaton(), {"": 0}
-        for p in sorted(reached, key=len):
-            for n in range(1, len(p) + 1):
-                if p[:n] not in self.longest:
-                    self.longest[p[:n]] = self.id[p] if n == len(p) else self.longest[p[:n - 1]]
-                    self.begins.add_word(p[:n], 0)
-        self.shorter = {self.id[p]: self.longest[p[:-1]] for p in reached}
-        # else a character may merge though it is no piece
-        self.closed = all(c in self.id for p in self.id for c in p)
+        self.matches = ahocorasick.Automaton()
+        for p in self.id:
+            if self.merged(p) == [p]:                      # pieces that no merge order reaches never occur
+                self.matches.add_word(p, (self.id[p], len(p)))
+        self.matches.make_automaton()
         self.size = {i: len(p) for i, p in self.text.items()}
         self.compatible: dict[int, dict[int, bool]] = {i: {} for i in self.id.values()}    # by left and right
         self.pairs = 0
@@ -132,48 +126,36 @@ class MergeEncoder:
             else:
                 j += 1
 
-    def encode_word(self, word: str) -> list[int]:
-        """The ids of a word: at each place the longest piece that may follow the
-        last one; where none may, the last one gives way to a shorter piece, and
-        no other way leads to that place again.
-
-        A character that is in no piece never merges, so what is before it stays."""
-        if not self.closed:
-            return [i for p in self.merged(word) for i in
-                    ([self.id[p]] if p in self.id else [self.byte[b] for b in p.encode("utf-8", "replace")])]
-        reach, longest, shorter, size = self.begins.longest_prefix, self.longest, self.shorter, self.size
-        compatible, out, at, last, stays = self.compatible, [], 0, 0, 0
-        dead: set[int] = set()       # places that no right way leads through
-        rest = word
-        while rest:
-            i = longest[rest[:reach(rest)]]
-            if not i:
-                out.extend(self.byte[b] for b in rest[0].encode("utf-8", "replace"))
-                last, stays = 0, len(out)
-                at += 1
-                rest = rest[1:]
+    def prefix_table(self, word: str) -> list[int]:
+        """For each prefix of ``word`` the id of its last token; 0 at the start
+        and after a character that is in no piece and so never merges."""
+        last, compatible = [0] * (len(word) + 1), self.compatible
+        for end, (i, size) in self.matches.iter(word):
+            end += 1
+            if last[end]:
                 continue
-            while True:
-                if at + size[i] not in dead:
-                    if not last:
-                        break
-                    fits = compatible[last].get(i)
-                    if fits is None:
-                        fits = compatible[last][i] = self.follows(self.text[last], self.text[i])
-                        self.pairs += 1
-                    if fits:
-                        break
-                i = shorter[i]
-                while not i:
-                    dead.add(at)
-                    i = out.pop()
-                    at -= size[i]
-                    last = out[-1] if len(out) > stays else 0
-                    i = shorter[i]
-            out.append(i)
-            last = i
-            at += size[i]
-            rest = word[at:]
+            before = last[end - size]
+            if before:
+                fits = compatible[before].get(i)
+                if fits is None:
+                    fits = compatible[before][i] = self.follows(self.text[before], self.text[i])
+                    self.pairs += 1
+                if not fits:
+                    continue
+            last[end] = i
+        return last
+
+    def encode_word(self, word: str) -> list[int]:
+        last, at, out, size = self.prefix_table(word), len(word), [], self.size
+        while at:
+            i = last[at]
+            if i:
+                out.append(i)
+                at -= size[i]
+            else:
+                at -= 1
+                out.extend(self.byte[b] for b in reversed(word[at].encode("utf-8", "replace")))
+        out.reverse()
         return out
 
     def encode(self, text: str) -> list[int]:
