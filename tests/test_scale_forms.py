@@ -449,3 +449,51 @@ def test_pairs_over_a_threshold_carry_class_sizes_and_are_not_shuffled(spark, ki
     if kind == "normal":
         # above the task that makes the pairs there is no join and no shuffle
         assert "Join" not in plan.split("MapInArrow")[0] and "Repartition" not in plan.split("MapInArrow")[0]
+
+
+@pytest.mark.parametrize("own", [True, False])
+@pytest.mark.parametrize("kind", ["normal", "copies", "odd"])
+def test_bounds_are_drawn_in_while_rows_stream_past(kind, own, monkeypatch):
+    monkeypatch.setattr(stripes, "FIRST", 32)
+    monkeypatch.setattr(stripes, "TILE", (16, 96))
+    rng = np.random.default_rng(8)
+    x = vectors(kind, 500, 6)
+    ids, fold, q = np.arange(500), np.arange(500) % 3, np.arange(0, 500, 2)
+    for k in (1, 4, 40):      # more than a tile has groups, too
+        state = stripes.Nearest(x[q], ids[q], fold[q] if own else None, k, False)
+        order = rng.permutation(500)
+        for s in range(0, 500, 230):
+            p = order[s:s + 230]
+            state.meet(x[p], ids[p], fold[p] if own else None, s, state.known(ids[p]))
+        for i, near in brute_neighbours(x, k, fold if own else None, False).items():
+            if i % 2 == 0:
+                assert state.there[i // 2].all() and [r for _, r in near] == state.rid[i // 2].tolist()
+
+
+def test_rows_vote_in_the_task_that_finds_their_neighbours(spark):
+    """Only the hits of a fold leave a task; ids that repeat vote as one, null
+    labels of neighbours as one of their own, and null labels of rows count for nothing."""
+    rng = np.random.RandomState(3)
+    x = np.round(rng.rand(120, 5), 1)
+    ids = [i if i < 100 else i - 100 for i in range(120)]
+    x[100:] = x[:20]
+    label = [None if i % 11 == 0 else int(i % 3) for i in ids]
+    df = spark.createDataFrame([(ids[i], [float(v) for v in x[i]], label[i], ids[i] % 4) for i in range(120)],
+                               "id long, f array<double>, label int, fold int").repartition(3)
+    masks = np.array([[1, 1, 0, 1, 0], [0, 1, 1, 1, 1], [1, 0, 0, 0, 0]], float).T
+    layout = knn.PairLayout(df, "id", "f", "label", "fold", block_rows=25)
+    voted = layout.stripes.votes(3, masks)
+    assert voted.count() <= 3 * 4 * layout.stripes.count
+    costs = layout.costs(masks)
+    assert "Window" not in costs._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["cand"]: r["accuracy"] for r in costs.collect()}
+    for c in range(3):
+        hits = {f: [] for f in range(4)}
+        for q in range(100):
+            near = sorted((round(float((((x[q] - x[r]) * masks[:, c]) ** 2).sum()), 9), ids[r]) for r in range(120)
+                          if ids[r] % 4 != q % 4 for _ in range(1 + (q < 20)))[:3]
+            votes = [-1 if label[r] is None else label[r] for _, r in near]
+            best = min(set(votes), key=lambda v: (-votes.count(v), v))
+            if label[q] is not None:
+                hits[q % 4].append(best == label[q])
+        assert got[c] == pytest.approx(np.mean([np.mean(h) for h in hits.values()]))
