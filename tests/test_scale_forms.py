@@ -497,3 +497,43 @@ def test_rows_vote_in_the_task_that_finds_their_neighbours(spark):
             if label[q] is not None:
                 hits[q % 4].append(best == label[q])
         assert got[c] == pytest.approx(np.mean([np.mean(h) for h in hits.values()]))
+
+
+@pytest.mark.parametrize("folds", ["few", "null", "many", "none"])
+@pytest.mark.parametrize("kind", ["normal", "copies", "odd", "scale"])
+def test_masks_that_share_components_share_a_product(kind, folds, monkeypatch):
+    for name, value in {"FIRST": 16, "MASK_TILE": (40, 64), "MEASURED": 50, "HELD": 100, "PAIR": 1.0, "PAIR_MASK": 0.0}.items():
+        monkeypatch.setattr(stripes, name, value)
+    rng = np.random.default_rng(9)
+    n, d = 420, 12
+    x = vectors("normal" if kind == "scale" else kind, n, d)
+    x = x * 1e-3 + rng.integers(0, 3, n)[:, None] * 1e6 if kind == "scale" else x
+    x[5, 2], x[7, 4] = 1e20, np.inf
+    masks = np.repeat(rng.random((d, 1)) < 0.7, 7, axis=1)
+    for c in range(1, 6):
+        masks[rng.choice(d, 2, replace=False), c] ^= True
+    masks[:, 6] = rng.random(d) < 0.5
+    ids, fold = np.arange(n), np.arange(n) % (40 if folds == "many" else 3)
+    fold = np.where(ids >= 150, fold, np.nan) if folds == "null" else None if folds == "none" else fold
+    q = np.arange(1, n, 3) if folds != "null" else np.arange(200, n, 3)      # of the queries no fold is null
+    state = stripes.Families(x[q], ids[q], None if fold is None else fold[q], 3, masks)
+    order = rng.permutation(n)
+    joined = 0
+    for s in range(0, n, 130):
+        p = order[s:s + 130]
+        state.meet(x[p], ids[p], None if fold is None else fold[p], s)
+        joined = max(joined, *(len(f.masks) for f in state.families))
+    assert joined > 1 or kind == "copies"
+    for c, best in enumerate(state.best):
+        near = brute_neighbours(np.where(masks[:, c], x, 0.0), 3, fold, False)
+        for at, i in enumerate(q):
+            assert [r for _, r in near[i]] == best.rid[at][best.there[at]].tolist(), (c, i)
+
+
+def test_a_layout_for_masks_has_a_stripe_for_each_core_and_vectors_as_bytes(spark):
+    assert stripes.stripes_of(102_564, stripes.STRIPE_ROWS, 8, 1) == 8
+    x = vectors("odd", 90)
+    layout = knn.PairLayout(table(spark, x), "id", "f", "label", "fold", block_rows=40)
+    assert isinstance(layout.rows.schema["_f"].dataType, T.BinaryType)
+    held = {r["_id"]: np.frombuffer(r["_f"]) for r in layout.rows.where("NOT _ref").collect()}
+    assert len(held) == 90 and all(np.array_equal(held[i], x[i], equal_nan=True) for i in held)
